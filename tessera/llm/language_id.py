@@ -189,6 +189,19 @@ def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, key:
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, languages: list[str], prototypes: np.ndarray, into: str) -> DataFrame:
+    """``docs`` with a struct column ``into`` of lang_pred and score; the other columns stay in the JVM."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        store = GramStore()
+        for texts in batches:
+            langs, scores = classify(texts, languages, prototypes, store)
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return docs.withColumn(into, predicted(F.col("text").cast("string")))
+
+
 def language_id(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
     """Train on the documents outside fold ``held`` of ``parts`` and classify all:
     ``doc_id, held_out, lang_pred, score``."""

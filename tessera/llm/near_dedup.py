@@ -208,3 +208,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = found.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(roots, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "doc_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate class, with all columns; rows without doc_id stay."""
+    found = near_duplicates(docs)
+    drop = found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.withColumn("__id", F.col("doc_id").cast("bigint")).join(drop, "__id", "left_anti")
+    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    if not repeated.limit(1).count():
+        return rows.drop("__id")
+    single = rows.join(repeated, "__id", "left_anti")
+    once = rows.join(repeated, "__id", "left_semi").dropDuplicates(["__id"])
+    return single.unionByName(once).drop("__id")

@@ -2,22 +2,73 @@
 
 from __future__ import annotations
 
+import os
+
 from .common import table
+from .decontaminate import contaminated
 from .language_id import language_id
 from .near_dedup import near_duplicates
+from .personal_data import find_personal_data
+from .piece_codec import encode_documents
+
+
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers; TESSERA_TOKENIZERS names another folder."""
+    if folder := os.environ.get("TESSERA_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def documents(spark, sf_dir, *columns):
+    return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+
+
+def op4_sentencepiece_codec(spark, sf_dir):
+    """Ids of every document under seeded merge-dropout, and whether they decode to its text."""
+    coded = encode_documents(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_tokens", "ids", "lossless")
 
 
 def op5_minhash_near_dedup(spark, sf_dir):
     """Near-duplicate classes of ``documents``."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op7_personal_data(spark, sf_dir):
+    """Spans of personal data in every document."""
+    return find_personal_data(documents(spark, sf_dir))
+
+
+def op8_decontamination(spark, sf_dir):
+    """The benchmark items that documents quote."""
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op10_language_id(spark, sf_dir):
     """Predicted language of every document."""
-    return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return language_id(documents(spark, sf_dir, "lang"))
+
+
+def pipeline(spark, sf_dir):
+    """The corpus pipeline over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_sentencepiece_codec,
+        op5_minhash_near_dedup,
+        op7_personal_data,
+        op8_decontamination,
+        op10_language_id,
+        pipeline,
+    )
+}
 ORACLES: dict[str, str] = {}
 
 
