@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 import zlib
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="tessera-ship-")  # the driver serves it as long as it lives
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder, "tessera.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._tessera_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,12 +55,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, tag: str, paths: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, tag: str, paths: list[str] | None = None, compact: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage
-    that survives lost executors. The path is added to ``paths``, for :func:`discard`."""
+    that survives lost executors. The path is added to ``paths``, for :func:`discard`.
+    ``compact`` writes with two tasks for each core of the cluster, however many shuffle
+    partitions there are: for tables much smaller than the documents."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if compact else df).write.parquet(path)
     if paths is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,9 @@ import os
 
 from .common import table
 from .decontaminate import contaminated
+from .fingerprints import edited_fingerprints
 from .language_id import language_id
+from .main_text import extract
 from .near_dedup import near_duplicates
 from .personal_data import find_personal_data
 from .piece_codec import encode_documents
@@ -25,6 +27,16 @@ def documents(spark, sf_dir, *columns):
     return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
 
 
+def op1_document_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and its edited text."""
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op2_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op4_sentencepiece_codec(spark, sf_dir):
     """Ids of every document under seeded merge-dropout, and whether they decode to its text."""
     coded = encode_documents(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
@@ -61,6 +73,8 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_document_fingerprints,
+        op2_main_text,
         op4_sentencepiece_codec,
         op5_minhash_near_dedup,
         op7_personal_data,
