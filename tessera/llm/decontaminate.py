@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 CHARS_PER_EDIT = 10
 LEAST_ITEM = 16
 GRAM = 3
@@ -144,6 +146,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, edits``: a row for each item that a document quotes."""
     spark, out = docs.sparkSession, None
+    ship(docs.sparkSession)
     texts = docs.where("text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for items in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(items)
@@ -161,6 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def quotes_any(items: list[tuple[int, str]], spark):
     """A boolean column function: whether a text quotes any of the items."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(items)
 
     @F.pandas_udf("boolean")

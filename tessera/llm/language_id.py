@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, ship
 
 #: Length of a hypervector and the seed of the letter vectors.
 DIMENSIONS = 1024
@@ -125,6 +125,7 @@ def train_prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     Each partition sends one bundle per language; their integer sums do not depend on
     how rows are dealt out. The driver gets languages x dimensions numbers, whatever
     the number of documents."""
+    ship(docs.sparkSession)
     parts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInPandas(_bundles, "lang string, bundle array<bigint>")
     summed = parts.select("lang", F.posexplode("bundle").alias("dim", "value")).groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).select("lang", F.col("v.value").alias("v")).orderBy("lang").collect()
@@ -179,6 +180,8 @@ def classify(texts, languages: list[str], prototypes: np.ndarray, store: GramSto
 def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, lang_pred, score`` of every document, in one pass without a shuffle."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store = GramStore()
         for batch in batches:
@@ -192,6 +195,8 @@ def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, key:
 def with_language(docs: DataFrame, languages: list[str], prototypes: np.ndarray, into: str) -> DataFrame:
     """``docs`` with a struct column ``into`` of lang_pred and score; the other columns stay in the JVM."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         store = GramStore()

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import ship, stage
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 4
@@ -162,7 +162,8 @@ def discover(observed: DataFrame) -> DataFrame:
 def all_spans(docs: DataFrame, paths: list[str]) -> DataFrame:
     """``doc_id, text_key, spans`` with an array of ``kind, start, end, base`` for each text that has any."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    observed = stage(texts.mapInPandas(_observe, OBSERVED), "observed", paths)
+    ship(docs.sparkSession)
+    observed = stage(texts.mapInPandas(_observe, OBSERVED), "observed", paths, compact=False)
     base = observed.where("kind IS NOT NULL").select("doc_id", "text_key", "kind", "start", "end", F.lit(True).alias("base"))
     spans = base.unionByName(discover(observed).withColumn("base", F.lit(False))).distinct()
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("place")
