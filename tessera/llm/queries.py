@@ -12,6 +12,7 @@ from .main_text import extract
 from .near_dedup import near_duplicates
 from .personal_data import find_personal_data
 from .piece_codec import encode_documents
+from .quality import quality_scores
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,6 +38,11 @@ def op2_main_text(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op3_quality(spark, sf_dir):
+    """Quality score of every document."""
+    return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece_codec(spark, sf_dir):
     """Ids of every document under seeded merge-dropout, and whether they decode to its text."""
     coded = encode_documents(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
@@ -75,6 +81,7 @@ QUERIES = {
     for f in (
         op1_document_fingerprints,
         op2_main_text,
+        op3_quality,
         op4_sentencepiece_codec,
         op5_minhash_near_dedup,
         op7_personal_data,
