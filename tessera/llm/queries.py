@@ -13,6 +13,11 @@ from .near_dedup import near_duplicates
 from .personal_data import find_personal_data
 from .piece_codec import encode_documents
 from .quality import quality_scores
+from .sharding import SHARDS, place, placement_sql
+from .token_files import token_file_digests
+
+#: A prime just above a hundred slots a shard.
+QUERY_SLOTS = 6_421
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,6 +59,11 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op6_token_files(spark, sf_dir):
+    """Place, number and checksum of every document's ids, read back from the token files."""
+    return token_file_digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_personal_data(spark, sf_dir):
     """Spans of personal data in every document."""
     return find_personal_data(documents(spark, sf_dir))
@@ -64,6 +74,11 @@ def op8_decontamination(spark, sf_dir):
     return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op9_sharding(spark, sf_dir):
+    """Slot and shard of every document."""
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", list(SHARDS), QUERY_SLOTS)
+
+
 def op10_language_id(spark, sf_dir):
     """Predicted language of every document."""
     return language_id(documents(spark, sf_dir, "lang"))
@@ -84,13 +99,15 @@ QUERIES = {
         op3_quality,
         op4_sentencepiece_codec,
         op5_minhash_near_dedup,
+        op6_token_files,
         op7_personal_data,
         op8_decontamination,
+        op9_sharding,
         op10_language_id,
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_sharding": placement_sql(list(SHARDS), QUERY_SLOTS)}
 
 
 def queries():
