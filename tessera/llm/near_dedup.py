@@ -9,7 +9,9 @@ is confirmed on the full sets.
 Buckets are not expanded into all pairs. Every member is first compared with the
 bucket's smallest member; the links confirmed so far give components, and only buckets
 that still hold more than one component are compared across components, which is all
-that can still change the result. At similarity 0.75 a pair shares no band with
+that can still change the result. There a document's shingles that none of the others
+holds, and its overlap with the bucket's smallest member, bound what it can have in common
+with any; what the bounds exclude is not paired. At similarity 0.75 a pair shares no band with
 probability 2.5e-7, and the estimate is held to six standard deviations.
 
 Defined results: null, empty and blank texts have no shingle, link with nothing and are
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, ship, stage
 from .components import components
 
 SHINGLE = 5
@@ -156,54 +158,84 @@ def may_link(left: str, right: str):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * THRESHOLD) & (estimate(left, right) >= LEAST_ESTIMATE)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, paths: list[str]) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose full sets reach the threshold. Sets are made again from
-    the texts of the documents concerned only."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def full_sets(docs: DataFrame, needed: DataFrame, paths: list[str]) -> DataFrame:
+    """``doc_id, shingles`` of the documents in ``needed(doc_id)``, made again from their texts."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed, "doc_id", "left_semi")
-    sets = stage(texts.mapInPandas(_sets, "doc_id bigint, shingles array<bigint>"), "sets", mine := [])
+    return stage(texts.mapInPandas(_sets, "doc_id bigint, shingles array<bigint>"), "sets", paths, compact=False)
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, paths: list[str]) -> DataFrame:
+    """``pairs(a, b)`` with the number of shingles in common and whether they reach the threshold."""
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
     with_a = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
     sizes = with_a.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("sum"))
-    out = stage(sizes.where(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * THRESHOLD).select("a", "b"), "links", paths)
-    discard(docs.sparkSession, mine)
-    return out
+    linked = F.col("common") * 100 >= (F.col("sum") - F.col("common")) * THRESHOLD
+    return stage(sizes.select("a", "b", "common", linked.alias("linked")), "overlaps", paths)
+
+
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """``doc_id, shared``: of each set the number of shingles that another of the sets holds too."""
+    held = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    alone = held.where("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    own = sets.select("doc_id", F.size("shingles").cast("bigint").alias("n")).distinct()
+    return own.join(alone, "doc_id", "left").select("doc_id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def may_overlap():
+    """Whether the members x and y of a bucket can have enough in common. A shingle that no other
+    of the documents holds is not common to them; where both were compared with the bucket's
+    centre, what they have in common lies in the centre (``core``) or in the rest of what is
+    shared. Both bounds are exact."""
+    rest = F.least(F.col("x.shared") - F.col("x.core"), F.col("y.shared") - F.col("y.core"))
+    most = F.coalesce(F.when(F.col("x.core").isNotNull() & F.col("y.core").isNotNull(), F.least("x.core", "y.core") + rest), F.least("x.shared", "y.shared"))
+    return most * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - most) * THRESHOLD
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per document; ``docs`` needs doc_id and text."""
     spark, done, held = docs.sparkSession, [], []
-    found = stage(signatures(docs), "signatures", held)
+    ship(spark)
+    found = stage(signatures(docs), "signatures", held, compact=False)
     member = found.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_key")
     classes = stage(member.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes", held)
     sketch = ["n_shingles", *(f"s{k}" for k in range(LONGS))]
     unique = found.where("n_shingles > 0").join(classes, (found["set_key"] == classes["set_key"]) & (found["doc_id"] == classes["rep"]), "left_semi")
-    unique = stage(unique.dropDuplicates(["doc_id", "set_key"]), "unique", done)
-    buckets = stage(unique.select("doc_id", F.explode("bands").alias("band")), "buckets", done)
-    centres = stage(buckets.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre"), "centres", done)
+    unique = stage(unique, "unique", done)
+    buckets = unique.select("doc_id", F.explode("bands").alias("band"))
+    centres = stage(buckets.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("band", "centre"), "centres", done)
+    crowded = stage(buckets.join(centres, "band").select("band", "doc_id", "centre"), "crowded", done)
 
     # 1. each member against the smallest of its bucket
-    stars = buckets.join(centres, "band").where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = crowded.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     b = unique.select(F.col("doc_id").alias("b"), *sketch).alias("y")
     a = unique.select(F.col("doc_id").alias("a"), *sketch).alias("x")
     likely = stars.join(b, "b").select("a", "b", F.struct(*(F.col(f"y.{c}") for c in sketch)).alias("y")).join(a, "a").where(may_link("x", "y")).select("a", "b").distinct()
     likely = stage(likely, "likely", done)
-    links = confirmed(likely, docs, held)
+    sets = full_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), done)
+    measured = overlaps(likely, sets, held)
+    links = measured.where("linked").select("a", "b")
 
     # 2. buckets that still hold several components, across components
     roots, root_paths = components(links)
-    crowded = buckets.join(centres.select("band"), "band").join(roots, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    crowded = stage(crowded, "crowded", done)
-    mixed = stage(crowded.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "mixed", done)
-    open_rows = stage(crowded.join(mixed, "band").join(unique.select("doc_id", *sketch), "doc_id"), "open", done)
+    rooted = stage(crowded.join(roots, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", "centre", F.coalesce("root", "doc_id").alias("root")), "rooted", done)
+    mixed = stage(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "mixed", done)
+    in_mixed = stage(rooted.join(mixed, "band"), "in_mixed", done)
+    sets = full_sets(docs, in_mixed.select("doc_id").distinct(), done)
+    shared = shared_sizes(sets)
+    shared = shared.join(unique.select("doc_id", "bands", *sketch), "doc_id").where(F.col("shared") * 100 >= F.col("n_shingles") * THRESHOLD)
+    open_rows = in_mixed.join(stage(shared, "shared", done), "doc_id")
+    open_rows = open_rows.join(measured.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), "common"), ["centre", "doc_id"], "left")
+    open_rows = stage(open_rows.withColumn("core", F.when(F.col("doc_id") == F.col("centre"), F.col("n_shingles")).otherwise(F.col("common"))).drop("common"), "open", done)
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y"))
-    more = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = stage(more.join(likely, ["a", "b"], "left_anti"), "more", done)
-    links = links.unionByName(confirmed(more, docs, held))
-    roots, last_paths = components(links)
-    discard(spark, done + root_paths)
+    first_band = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
+    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & may_overlap() & may_link("x", "y") & first_band)
+    more = stage(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "more", done)
+    added = overlaps(more, sets, held).where("linked").select("a", "b")
+    if added.limit(1).count():
+        held += root_paths
+        roots, root_paths = components(links.unionByName(added))
+    discard(spark, done)
 
     placed = found.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(roots, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "doc_id")
