@@ -115,7 +115,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     placed = docs.withColumn("bucket", bucket_of(sorted(set(cuts))))
     tops = {r["bucket"]: r["top"] for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect() if r["top"] is not None}
     order = sorted(tops, reverse=True)
-    goes_to = dict(zip([tops[b] for b in order], [order[-1] if order else 0, *order[:-1]], strict=True))
+    goes_to = dict(zip([tops[b] for b in order], order[-1:] + order[:-1], strict=True))
     rows = placed.withColumn("is_copy", F.lit(False))
     if goes_to:
         target = F.create_map(*(F.lit(x) for pair in goes_to.items() for x in pair))

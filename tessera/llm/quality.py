@@ -92,7 +92,8 @@ def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarr
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     measure = Statistics()
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [measure(t) for t in batch["text"]]})
+        if len(batch):
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [measure(t) for t in batch["text"]]})
 
 
 def summed(rows: DataFrame, partial, width: int) -> np.ndarray:
@@ -113,7 +114,8 @@ def summed(rows: DataFrame, partial, width: int) -> np.ndarray:
         for piece in pieces:
             for row, values in zip(piece["row"], piece["values"], strict=True):
                 totals[row] = totals[row] + values if row in totals else values
-        yield pd.DataFrame({"row": list(totals), "values": list(totals.values())})
+        if totals:
+            yield pd.DataFrame({"row": list(totals), "values": list(totals.values())})
 
     schema = "row int, values array<double>"
     parts = rows.mapInPandas(run, schema).repartition(F.col("row")).mapInPandas(add, schema)
