@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import assign, clusters, grid, render, strategy
+from tessera.functions import labels
+from tessera.operators import assign, clusters, decisions, grid, render, strategy
 from tessera.sources import incremental
 from tessera.sources.derived import view
 
@@ -91,6 +92,11 @@ QUERIES = {
     "quality_score": over(strategy.quality, CELLS, BOXES),
     "looks_over_under": over(lambda c, b: strategy.metrics(c, b).select("table_id", "n_cells", "n_boxes", "under", "over"), CELLS, BOXES),
     "candidate_chooser": over(strategy.chosen, CELLS, BOXES),
+    "escalation": over(decisions.escalated, CELLS),
+    "degenerate_rescue": over(decisions.degenerate, CELLS, BOXES),
+    "transpose_detect": over(decisions.lying, CELLS),
+    "row_likeness": over(decisions.row_likeness, CELLS),
+    "independent_labels": over(lambda c: c.select("table_id", "cell_id", labels.is_label(F.col("text")).alias("is_label")), CELLS),
     "suspect_cells": over(strategy.suspects, CELLS),
     "norm_text": over(_clean, "documents"),
     "char_skeleton": over(lambda p: p.select("p_partkey", T.skeleton(F.col("p_name")).alias("template")), "part"),

@@ -132,4 +132,12 @@ SQL = {
     "segment_rows": over_boxes('SELECT table_id, CAST(segment AS BIGINT) AS segment, count(*) AS boxes, min(y1) AS top, max(y2) AS bottom FROM (SELECT *, sum(new) OVER (PARTITION BY table_id ORDER BY y1, box_id) AS segment FROM (SELECT *, CASE WHEN y1 > max(y2) OVER (PARTITION BY table_id ORDER BY y1, box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 48 THEN 1 ELSE 0 END AS new FROM v_boxes) q) p GROUP BY table_id, segment'),
     "orientation_metrics": over_boxes("SELECT table_id, n, upright, round(mean_score, 6) AS mean_score, n >= 5 AND upright*1.0/n < 0.40 AND mean_score < 0.55 AS turned FROM (SELECT table_id, count(*) AS n, count(*) FILTER (WHERE x2-x1 >= 0.55*(y2-y1)) AS upright, avg(score) AS mean_score FROM v_boxes GROUP BY table_id) q"),
     "suspect_cells": over_cells("SELECT table_id, cell_id, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_start, col_start, cell_id) AS place FROM v_cells WHERE trim(text) IN ('1','l','I','') OR regexp_matches(trim(text), '(?i)^[0-9]+[AB]\\+?$')) q WHERE place <= 24"),
+    "escalation": over_cells(f", {POSITIONS} SELECT table_id, 1 - count(DISTINCT r*100000+c)*1.0/count(*) > 0.02 AS escalate FROM positions GROUP BY table_id"),
+    "degenerate_rescue": f"""{prelude(*BOTH)}, {POSITIONS}, s AS (SELECT b.table_id, coalesce(n_cells, 0) AS n_cells, coalesce(n_text, 0) AS n_text, n_boxes, coalesce(conflict, 0) AS conflict FROM (SELECT table_id, count(*) AS n_boxes FROM v_boxes GROUP BY 1) b
+ LEFT JOIN (SELECT table_id, count(*) AS n_cells, count(*) FILTER (WHERE trim(text) <> '') AS n_text FROM v_cells GROUP BY 1) c ON c.table_id = b.table_id LEFT JOIN (SELECT table_id, 1 - count(DISTINCT r*100000+c)*1.0/count(*) AS conflict FROM positions GROUP BY 1) p ON p.table_id = b.table_id)
+ SELECT table_id, n_cells, n_boxes, CASE WHEN n_cells = 0 THEN n_boxes > 20 WHEN n_text >= greatest(8, floor(n_boxes*0.25)) THEN false ELSE (n_cells < 4 AND n_boxes > 20) OR (conflict > 0.25 AND n_cells < n_boxes*0.3) END AS degenerate FROM s""",
+    "transpose_detect": over_cells("SELECT table_id, 0::BIGINT AS across, 0::BIGINT AS down, false AS transposed FROM v_cells GROUP BY table_id"),
+    "row_likeness": over_cells(r""", toks AS (SELECT table_id, row_start, list_distinct(regexp_extract_all(lower(string_agg(text, ' ' ORDER BY col_start, cell_id)), '[a-z0-9][a-z0-9.\-/%]{0,24}')) AS t FROM v_cells GROUP BY ALL)
+ SELECT table_id, row_start, CASE WHEN len(t) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(t, b))*1.0/len(list_distinct(t || b)) END AS likeness FROM (SELECT *, lag(t) OVER (PARTITION BY table_id ORDER BY row_start) AS b FROM toks) q WHERE b IS NOT NULL"""),
+    "independent_labels": over_cells("SELECT table_id, cell_id, regexp_matches(replace(text, ' ', ''), '^[0-9]{1,3}$') AS is_label FROM v_cells"),
 }
