@@ -107,9 +107,10 @@ def _bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             if text:
-                held = counts.setdefault(lang, np.zeros(CLASSES**3, np.int64))
+                if lang not in counts:
+                    counts[lang] = np.zeros(CLASSES**3, np.int64)
                 g, n = np.unique(trigrams(text), return_counts=True)
-                held[g] += n
+                counts[lang][g] += n
     for lang, held in counts.items():
         total = np.zeros(DIMENSIONS, np.int64)
         grams = np.flatnonzero(held)
