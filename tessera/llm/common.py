@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD_PATTERN)
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1024
+#: Rows of ids, and of short structs, that are broadcast at most: some tens of megabytes.
+BROADCAST_ROWS = 2_000_000
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -26,8 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
+    """Give the executors this package, once per application, and let no batch of texts hold
+    more than ``BATCH_ROWS`` rows: a worker's memory follows the batch."""
     context = spark.sparkContext
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     if getattr(context, "_tessera_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -68,6 +75,13 @@ def stage(df: DataFrame, tag: str, paths: list[str] | None = None, compact: bool
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows`` joined with ``keys``, a staged table: by broadcast while the keys are counted to be
+    few, so that long rows do not move, else by a shuffle."""
+    few = keys.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if few else keys, on, how)
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables that no pending result reads any more."""
     for path in paths:

@@ -11,7 +11,7 @@ confident pattern become spans of that pattern's kind. Base spans always stay.
 
 Defined results: null and empty texts have no span; equal texts have equal base spans; a
 candidate that two kinds claim goes to the higher score, then to the kind listed first.
-Rows with the same doc_id are told apart by their text.
+Spans belong to texts, so rows that repeat an id or have none get those of their text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import by_keys, ship, stage
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 4
@@ -118,25 +118,25 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     return out
 
 
-OBSERVED = "doc_id bigint, text_key string, kind string, start int, end int, instance string, pattern string"
+OBSERVED = "text_key string, kind string, start int, end int, instance string, pattern string"
 
 
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for text in batch["text"]:
             if not text or not ("@" in text or DIGIT_RE.search(text)):
                 continue
             base = base_spans(text)
             found = [*base, *((None, lo, hi) for lo, hi in candidates(text, base))]
             if found:
                 key = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.extend((doc_id, key, kind, lo, hi, text[lo:hi], context(text, lo)) for kind, lo, hi in found)
-        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "kind", "start", "end", "instance", "pattern"]).astype({"doc_id": "Int64", "start": "int32", "end": "int32"})
+                rows.extend((key, kind, lo, hi, text[lo:hi], context(text, lo)) for kind, lo, hi in found)
+        yield pd.DataFrame(rows, columns=["text_key", "kind", "start", "end", "instance", "pattern"]).astype({"start": "int32", "end": "int32"})
 
 
 def discover(observed: DataFrame) -> DataFrame:
-    """``doc_id, text_key, kind, start, end`` of identifiers that no base pattern covers."""
+    """``text_key, kind, start, end`` of identifiers that no base pattern covers."""
     graph = observed.where("pattern <> ''").groupBy("pattern", "instance").agg(*(F.max((F.col("kind") == k).cast("int")).alias(k) for k in KINDS))
     stacked = "stack(4, " + ", ".join(f"'{k}', coalesce({k}, 0)" for k in KINDS) + ") as (kind, seed)"
     support = graph.select("pattern", "instance", F.expr(stacked)).groupBy("pattern", "kind").agg(F.sum("seed").alias("seeds"))
@@ -156,18 +156,18 @@ def discover(observed: DataFrame) -> DataFrame:
     best = ranked.groupBy("pattern", "instance").agg(F.max(F.struct("score", order[F.col("kind")].alias("place"), "kind")).alias("best")).select("pattern", "instance", F.col("best.kind").alias("kind"))
     best = stage(best, "discovered", paths)
     new = observed.where("kind IS NULL").drop("kind").join(best, ["pattern", "instance"])
-    return new.select("doc_id", "text_key", "kind", "start", "end")
+    return new.select("text_key", "kind", "start", "end")
 
 
 def all_spans(docs: DataFrame, paths: list[str]) -> DataFrame:
-    """``doc_id, text_key, spans`` with an array of ``kind, start, end, base`` for each text that has any."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ship(docs.sparkSession)
-    observed = stage(texts.mapInPandas(_observe, OBSERVED), "observed", paths, compact=False)
-    base = observed.where("kind IS NOT NULL").select("doc_id", "text_key", "kind", "start", "end", F.lit(True).alias("base"))
+    """``__key, __spans`` with an array of ``place, start, end, kind, base`` for each distinct text that
+    has any; staged."""
+    observed = stage(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_observe, OBSERVED), "observed", paths, compact=False)
+    base = observed.where("kind IS NOT NULL").select("text_key", "kind", "start", "end", F.lit(True).alias("base"))
     spans = base.unionByName(discover(observed).withColumn("base", F.lit(False))).distinct()
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("place")
-    return spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct(place, "start", "end", "kind", "base"))).alias("spans"))
+    grouped = spans.groupBy(F.col("text_key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct(place, "start", "end", "kind", "base"))).alias("__spans"))
+    return stage(grouped, "spans", paths)
 
 
 def text_key(column: str = "text"):
@@ -177,10 +177,9 @@ def text_key(column: str = "text"):
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: base counts, digest of the base spans, all spans as text, and
     the number of spans found through patterns."""
-    paths: list[str] = []
-    spans = all_spans(docs, paths)
-    keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"))
-    joined = keys.join(spans, ["doc_id", "text_key"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<place:bigint,start:int,end:int,kind:string,base:boolean>>")))
+    ship(docs.sparkSession)
+    keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("__key"))
+    joined = by_keys(keys, all_spans(docs, []), ["__key"], "left").withColumn("spans", F.coalesce("__spans", F.array().cast("array<struct<place:bigint,start:int,end:int,kind:string,base:boolean>>")))
     own = F.filter("spans", lambda s: s["base"])
     as_text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -192,9 +191,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in the text replaced by its kind in brackets, n_chars made anew."""
-    found = all_spans(docs, []).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
+    ship(docs.sparkSession)
     columns = docs.columns
-    joined = docs.withColumns({"__key": text_key(), "__id": F.col("doc_id").cast("bigint")}).join(found, ["__id", "__key"], "left")
+    joined = by_keys(docs.withColumn("__key", text_key()), all_spans(docs, []), ["__key"], "left")
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
