@@ -107,7 +107,23 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLES = {"op9_sharding": placement_sql(list(SHARDS), QUERY_SLOTS)}
+#: Exact links and components; SQL joins all documents that share a shingle.
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM split),
+members AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y),
+roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(root, doc_id)) AS kept
+FROM sets LEFT JOIN roots ON roots.x = sets.doc_id"""
+ORACLES = {"op5_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_sharding": placement_sql(list(SHARDS), QUERY_SLOTS)}
 
 
 def queries():
