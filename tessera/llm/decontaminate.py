@@ -42,12 +42,15 @@ def pieces_of(item: str) -> list[tuple[int, str]]:
     return [(lo, item[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
-def may_hold(item: str, window: str, limit: int) -> bool:
-    """Whether the window has as many of the item's short grams as the limit leaves; each edit
+def grams_of(text: str) -> list[str]:
+    return [text[k : k + GRAM] for k in range(len(text) - GRAM + 1)]
+
+
+def may_hold(grams: list[str], window: str, limit: int) -> bool:
+    """Whether the window has as many of an item's short grams as the limit leaves; each edit
     spoils at most ``GRAM`` of them, so nothing within the limit is turned away."""
-    there = {window[k : k + GRAM] for k in range(len(window) - GRAM + 1)}
-    grams = len(item) - GRAM + 1
-    return sum(item[k : k + GRAM] in there for k in range(grams)) >= grams - GRAM * limit
+    there = set(map("".join, zip(window, window[1:], window[2:], strict=False)))
+    return sum(map(there.__contains__, grams)) >= len(grams) - GRAM * limit
 
 
 def least_distance(item: str, window: str, limit: int) -> int | None:
@@ -55,8 +58,6 @@ def least_distance(item: str, window: str, limit: int) -> int | None:
     if item in window:
         return 0
     m = len(item)
-    if not may_hold(item, window, limit):
-        return None
     masks: dict[str, int] = defaultdict(int)
     for k, ch in enumerate(item):
         masks[ch] |= 1 << k
@@ -86,6 +87,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items = items
+        self.grams = [grams_of(text) for _, text in items]
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text) in enumerate(items):
             for offset, piece in pieces_of(text):
@@ -122,7 +124,8 @@ class Matcher:
             limit = len(item) // CHARS_PER_EDIT
             best = None
             for lo, hi in spans:
-                d = least_distance(item, text[lo:hi], limit)
+                window = text[lo:hi]
+                d = least_distance(item, window, limit) if may_hold(self.grams[k], window, limit) else None
                 if d is not None and (best is None or d < best):
                     best = d
                 if best == 0:
