@@ -32,7 +32,7 @@ from .common import new_path, ship, stage
 from .fingerprints import BUCKETS_PER_PARTITION, bucket_of
 
 MAGIC = b"TSR8B\x01\0\0"
-BLOCK = 4096
+BLOCK = 16_384
 #: Ids after which a file is closed at the next document.
 FILE_IDS = 16_000_000
 END_ID = 2
@@ -40,7 +40,7 @@ END_ID = 2
 COUNTS = (1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 NULL_ID = -(2**63)
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 300_000
 
 
 def bit_widths(ids: np.ndarray) -> np.ndarray:
@@ -65,7 +65,10 @@ def pack_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in range(15, 1, -1):
         count, p = COUNTS[s], 1 << (COUNTS[s].bit_length() - 1)
         top = np.maximum(widest[p][:n], widest[p][count - p : count - p + n])
-        best[top <= WIDTHS[s]] = s
+        fits = top <= WIDTHS[s]
+        best[fits] = s
+        if not fits.any() and s < 15:  # nor does any narrower and longer word
+            break
     step = np.array(COUNTS)[best].tolist()
     starts, at = [], 0
     while at < n:
@@ -148,11 +151,12 @@ def _class(test) -> str:
 class WordEncoder:
     """Ids of texts by the tokenizers library, with the ids of whole pieces remembered.
 
-    Texts of Latin letters and common marks are normalised and cut into pieces here, as
-    the vocabulary's own settings say; pieces not yet known go to the library together. All
+    Texts of Latin letters and common marks are normalised and cut into words and pieces
+    here, as the vocabulary's own settings say; pieces not yet known go to the library
+    together. A piece by itself is a word with the same ids, so one memory holds both. All
     other texts, and those that hold a special token, go to the library whole."""
 
-    OTHER = re.compile("[^\\x00-\\u024f]|[\\x1c-\\x1f\\x85\\xa0\\u0130]|<\\|")
+    OTHER = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\u012f\\u0131-\\u024f]")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -161,17 +165,17 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
         letters, numbers = _class(lambda c: c[0] == "L"), _class(lambda c: c[0] == "N")
-        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\t-\\r {letters}{numbers}]+")
+        self.pieces = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^\\t-\\r {letters}{numbers}]+")
         self.known: dict[str, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces: encoded as one text, cut again where an id ends a piece."""
         made: dict[str, bytes] = {}
-        for lo in range(0, len(pieces), 1024):
-            part = pieces[lo : lo + 1024]
+        for lo in range(0, len(pieces), 8192):
+            part = pieces[lo : lo + 8192]
             ids = self.plain([" ".join(part)])[0]
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(part):
@@ -182,19 +186,20 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        odd = [k for k, t in enumerate(texts) if self.OTHER.search(t)]
+        odd = [k for k, t in enumerate(texts) if "<|" in t or self.OTHER.search(t)]
         for k, ids in zip(odd, self.plain([texts[k] for k in odd]) if odd else [], strict=True):
             out[k] = ids
-        split = {k: self.pieces.findall(t.lower()) for k, t in enumerate(texts) if out[k] is None}
-        new = list(set().union(*split.values()).difference(self.known))
-        made = self.learn(new)
-        if len(self.known) + len(made) > KEPT_WORDS:
+        split = {k: t.lower().split() for k, t in enumerate(texts) if out[k] is None}
+        new = {w: self.pieces.findall(w) for w in set().union(*split.values()).difference(self.known)}
+        made = self.learn(list(set().union(*new.values()).difference(self.known)))
+        if len(self.known) + len(made) + len(new) > KEPT_WORDS:
             known, self.known = self.known | made, {}
         else:
             self.known.update(made)
             known = self.known
-        for k, pieces in split.items():
-            out[k] = np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
+        known.update((w, b"".join(map(known.__getitem__, p))) for w, p in new.items() if len(p) != 1)
+        for k, words in split.items():
+            out[k] = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
         return out
 
 
@@ -264,7 +269,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     start is summed over the files, of which there is one for each bucket or more."""
     ship(manifest.sparkSession)
     before = F.sum("n_ids").over(Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1))
-    placed = manifest.select("path", F.coalesce(before, F.lit(0)).alias("before")).repartition(F.col("path"))
+    placed = manifest.select("path", F.coalesce(before, F.lit(0)).alias("before")).repartition(2 * manifest.sparkSession.sparkContext.defaultParallelism, F.col("path"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, _ = open_folder(folder)
@@ -277,7 +282,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 for d, lo, hi in zip(data.doc_ids.tolist(), data.firsts.tolist(), ends.tolist(), strict=True):
                     if held is None or hi > base + len(held):
                         base = lo // BLOCK * BLOCK
-                        held = data.ids(base, min(data.n_ids, max(hi, base + 256 * BLOCK))).astype("<u4")
+                        held = data.ids(base, min(data.n_ids, max(hi, base + 64 * BLOCK))).astype("<u4")
                     rows.append((None if d == NULL_ID else d, start + lo, hi - lo, zlib.crc32(held[lo - base : hi - base].tobytes())))
                 frame = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
                 yield frame.astype({"doc_id": "Int64"})
