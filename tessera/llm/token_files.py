@@ -40,7 +40,7 @@ END_ID = 2
 COUNTS = (1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 NULL_ID = -(2**63)
-KEPT_WORDS = 300_000
+KEPT_WORDS = 900_000
 
 
 def bit_widths(ids: np.ndarray) -> np.ndarray:
