@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ship, stage
+from .common import by_keys, discard, ship, stage
 from .components import components
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ CHANCE = 0.5**BITS
 MARGIN = 6 * float(np.sqrt((0.75 + 0.25 * CHANCE) * 0.25 * (1 - CHANCE) / HASHES)) / (1 - CHANCE)
 LEAST_ESTIMATE = THRESHOLD / 100 - MARGIN
 SEED = 5_077
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -160,7 +160,8 @@ def may_link(left: str, right: str):
 
 def full_sets(docs: DataFrame, needed: DataFrame, paths: list[str]) -> DataFrame:
     """``doc_id, shingles`` of the documents in ``needed(doc_id)``, made again from their texts."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = by_keys(texts, stage(needed, "needed", paths), ["doc_id"], "left_semi")
     return stage(texts.mapInPandas(_sets, "doc_id bigint, shingles array<bigint>"), "sets", paths, compact=False)
 
 
@@ -245,10 +246,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate class, with all columns; rows without doc_id stay."""
     found = near_duplicates(docs)
-    drop = found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.col("doc_id").cast("bigint")).join(drop, "__id", "left_anti")
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    if not repeated.limit(1).count():
+    found = stage(found, "classes")
+    drop = stage(found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "drop")
+    rows = by_keys(docs.withColumn("__id", F.col("doc_id").cast("bigint")), drop, ["__id"], "left_anti")
+    repeated = stage(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    if not repeated.count():
         return rows.drop("__id")
     single = rows.join(repeated, "__id", "left_anti")
     once = rows.join(repeated, "__id", "left_semi").dropDuplicates(["__id"])
