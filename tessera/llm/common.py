@@ -19,8 +19,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD_PATTERN)
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1024
-#: Rows of ids, and of short structs, that are broadcast at most: some tens of megabytes.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of keys, by count and size of a row, that are broadcast at most.
+BROADCAST_BYTES = 32_000_000
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -75,10 +75,10 @@ def stage(df: DataFrame, tag: str, paths: list[str] | None = None, compact: bool
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+def by_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str, row_bytes: int = 8) -> DataFrame:
     """``rows`` joined with ``keys``, a staged table: by broadcast while the keys are counted to be
     few, so that long rows do not move, else by a shuffle."""
-    few = keys.count() <= BROADCAST_ROWS
+    few = keys.count() * row_bytes <= BROADCAST_BYTES
     return rows.join(F.broadcast(keys) if few else keys, on, how)
 
 

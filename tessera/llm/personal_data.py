@@ -35,6 +35,8 @@ LEAST_PATTERN = 0.7
 LEAST_INSTANCE = 0.7
 LEAST_DIGITS = 3
 CONTEXT_WORDS = 2
+#: About the size of a text's key and spans.
+SPAN_BYTES = 200
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN_RE = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -179,7 +181,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     the number of spans found through patterns."""
     ship(docs.sparkSession)
     keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("__key"))
-    joined = by_keys(keys, all_spans(docs, []), ["__key"], "left").withColumn("spans", F.coalesce("__spans", F.array().cast("array<struct<place:bigint,start:int,end:int,kind:string,base:boolean>>")))
+    joined = by_keys(keys, all_spans(docs, []), ["__key"], "left", SPAN_BYTES).withColumn("spans", F.coalesce("__spans", F.array().cast("array<struct<place:bigint,start:int,end:int,kind:string,base:boolean>>")))
     own = F.filter("spans", lambda s: s["base"])
     as_text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -193,7 +195,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in the text replaced by its kind in brackets, n_chars made anew."""
     ship(docs.sparkSession)
     columns = docs.columns
-    joined = by_keys(docs.withColumn("__key", text_key()), all_spans(docs, []), ["__key"], "left")
+    joined = by_keys(docs.withColumn("__key", text_key()), all_spans(docs, []), ["__key"], "left", SPAN_BYTES)
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
