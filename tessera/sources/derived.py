@@ -1,7 +1,8 @@
 """Table observations derived from the star schema.
 
 The data set holds no pictures of tables, so cells, text boxes, atoms, boundaries and the
-run archive are derived from its relations. The SQL is the same for Spark and DuckDB.
+run archive are derived from its relations. The SQL is the same for Spark and DuckDB,
+but for the name of the function that lists a range.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ SELECT table_id, box_id, CAST(bx AS DOUBLE) AS x1, CAST(byy AS DOUBLE) AS y1,
        CAST(100 - q AS DOUBLE)/100 AS score, concat(l_returnflag, CAST(q AS VARCHAR(9))) AS text
 FROM ({_KEYED.format(key="box_id", more='''(l_linenumber-1)*100 + (l_suppkey*7) % 60 AS bx, (l_orderkey % 16)*40 + l_suppkey % 20 AS byy,''')}) s"""
 
+#: Every row and column of a table's own range, whether or not a cell begins there.
 ATOMS = """
-SELECT t.table_id, r.i AS r, c.i AS c, CAST(c.i*100 AS DOUBLE) AS x1, CAST(r.i*40 AS DOUBLE) AS y1,
-       CAST((c.i+1)*100 AS DOUBLE) AS x2, CAST((r.i+1)*40 AS DOUBLE) AS y2
-FROM (SELECT DISTINCT table_id FROM v_cells WHERE table_id < 50) t
-CROSS JOIN (SELECT DISTINCT row_start AS i FROM v_cells) r CROSS JOIN (SELECT DISTINCT col_start AS i FROM v_cells) c"""
+SELECT table_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, CAST(c*100 AS DOUBLE) AS x1, CAST(r*40 AS DOUBLE) AS y1,
+       CAST((c+1)*100 AS DOUBLE) AS x2, CAST((r+1)*40 AS DOUBLE) AS y2
+FROM (SELECT table_id, r, unnest(generate_series(first_col, last_col)) AS c
+      FROM (SELECT table_id, unnest(generate_series(first_row, last_row)) AS r, first_col, last_col
+            FROM (SELECT table_id, min(row_start) AS first_row, max(row_end) AS last_row,
+                         min(col_start) AS first_col, max(col_end) AS last_col FROM v_cells GROUP BY table_id) t) w) a"""
 
 BOUNDARIES = "SELECT DISTINCT table_id, row_start AS boundary, CAST(row_start*40 AS DOUBLE) AS y FROM v_cells WHERE row_start > 0"
 
@@ -64,6 +68,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text, reads = VIEWS[name]
+    text = text.replace("unnest(generate_series(", "explode(sequence(")
     frames = {}
     for source in reads:
         frames[source] = view(spark, sf_dir, source)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import assign, clusters, grid, render
 from tessera.sources import incremental, ocr
+from tessera.sources.derived import view
 
 BOX = "table_id bigint, box_id int, x1 double, y1 double, x2 double, y2 double, score double, text string"
 CELL = "table_id bigint, cell_id int, row_start int, row_end int, col_start int, col_end int, x1 double, y1 double, x2 double, y2 double, text string"
@@ -107,3 +108,23 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_atoms_of_every_table_have_owners(spark, sf_dir):
+    cells = view(spark, sf_dir, "v_cells").collect()
+    tables = {}
+    for k in cells:
+        tables.setdefault(k["table_id"], []).append(k)
+    assert len(tables) > 50
+    want = {}
+    for t, own in tables.items():
+        for r in range(min(k["row_start"] for k in own), max(k["row_end"] for k in own) + 1):
+            for c in range(min(k["col_start"] for k in own), max(k["col_end"] for k in own) + 1):
+                over = [(max(0, min(k["x2"], c * 100 + 100) - max(k["x1"], c * 100)) * max(0, min(k["y2"], r * 40 + 40) - max(k["y1"], r * 40)) / 4000, -k["cell_id"]) for k in own]
+                if max(over)[0] >= 0.35:
+                    want[t, r, c] = -max(over)[1]
+    atoms = view(spark, sf_dir, "v_atoms")
+    owned = grid.fusion_owner(atoms, view(spark, sf_dir, "v_cells"))
+    assert {(a["table_id"], a["r"], a["c"]): a["cell_id"] for a in owned.collect()} == want
+    groups = {(a["table_id"], a["r"], a["c"]): a["component"] for a in grid.atom_components(owned).collect()}
+    assert groups.keys() == want.keys() and {t for t, _, _ in want} == set(tables)
