@@ -45,6 +45,22 @@ def test_block_merging_equals_the_agenda(vocabulary):
         assert codec.encode_block(words, variant) == [codec.encode_unit(w, variant) for w in words]
 
 
+def test_every_occurrence_has_its_own_segmentation(vocabulary):
+    codec, unit, n = C.Codec(vocabulary, 0.1), " segmentation", 4000
+    text = unit * n
+    ids = codec.encode(text[1:], "7").tolist()
+    assert codec.decode(np.array(ids)) == text[1:]
+    states = codec.states("7", n)
+    held = codec.encode_units([unit] * n, states)
+    assert ids == np.frombuffer(b"".join(held), np.uint32).tolist()
+    assert held == [codec.written(codec.merge(unit, codec.skips(s))) for s in states]
+    assert len(set(held)) > 5 and len({codec.encode(unit[1:], str(k)).tobytes() for k in range(300)}) > 3
+    plain = codec.data[codec.first[unit]]
+    takes = codec.takes[codec.first[unit]]
+    drawn = (codec.gaps(codec.states("7", n), 0) >= takes).sum()
+    assert abs(drawn / n - 0.9**takes) < 0.04 and sum(h == plain for h in held) >= drawn
+
+
 def test_encoded_documents(docs, no_docs):
     rows = C.encode_documents(docs, MODEL).collect()
     assert len(rows) == docs.count() and all(r["lossless"] and r["n_tokens"] == len(r["ids"]) for r in rows)
