@@ -46,6 +46,8 @@ PHONE_RE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT_RE = re.compile("[0-9]")
 NOT_DIGIT_RE = re.compile("[^0-9]")
 TOKEN_RE = re.compile(r"[^\x20\x09-\x0D]+")
+#: What stands between the separators of text without blanks.
+FIELD_RE = re.compile(r"[A-Za-z0-9._%+@/:#-]+")
 SHAPE_RE = re.compile(r"[A-Za-z0-9]+(?:[-_./:#][A-Za-z0-9]+)*")
 
 
@@ -90,13 +92,18 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def context(text: str, start: int) -> str:
-    """The words left of a place, lower-cased and without surrounding punctuation."""
+    """The words left of a place, lower-cased and without surrounding punctuation. Behind another
+    identifier in the same run without blanks, the fields left of it, with # for identifiers."""
     left = TOKEN_RE.findall(text[max(0, start - 80) : start])[-CONTEXT_WORDS:]
+    if left and text[start - 1] > " ":
+        fields = ["#" if "@" in f or len(DIGIT_RE.findall(f)) >= LEAST_DIGITS else f.lower().strip(".:#") for f in FIELD_RE.findall(left[-1])]
+        if "#" in fields:
+            return " ".join(fields[-CONTEXT_WORDS:])
     return " ".join(w.lower().strip(".,;:!?\"'()[]<>") or w for w in left)
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens that touch no base span."""
+    """Identifier-like tokens that touch no base span, all of each run without blanks."""
     out, taken = [], sorted((lo, hi) for _, lo, hi in base)
     k, last = 0, -1
     for d in DIGIT_RE.finditer(text):
@@ -108,15 +115,13 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
         while hi < len(text) and text[hi] > " ":
             hi += 1
         last = hi
-        m = SHAPE_RE.search(text, lo, hi)
-        while m and len(DIGIT_RE.findall(m[0])) < LEAST_DIGITS:
-            m = SHAPE_RE.search(text, m.end(), hi)
-        if not m:
-            continue
-        while k < len(taken) and taken[k][1] <= m.start():
-            k += 1
-        if k == len(taken) or taken[k][0] >= m.end():
-            out.append(m.span())
+        for m in SHAPE_RE.finditer(text, lo, hi):
+            if len(DIGIT_RE.findall(m[0])) < LEAST_DIGITS:
+                continue
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if k == len(taken) or taken[k][0] >= m.end():
+                out.append(m.span())
     return out
 
 

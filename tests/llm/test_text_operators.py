@@ -137,6 +137,24 @@ def test_long_runs_take_linear_time():
         PII.base_spans(text)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("ref=AB-1001,CD-2002", ["AB-1001", "CD-2002"]),
+        ("10.0.0.1,AB-1001", ["AB-1001"]),
+        ('{"a":"X-123","m":"a@b.c","n":12,"b":"Y-4567"} 890', ["X-123", "Y-4567", "890"]),
+    ],
+)
+def test_all_candidates_of_a_run(text, want):
+    assert [text[lo:hi] for lo, hi in PII.candidates(text, PII.base_spans(text))] == want
+
+
+def test_later_identifiers_of_a_run_are_found(spark):
+    rows = [(k, f"ref=AB-10{k:02d},mail=user{k}@mail.org,") for k in range(30)] + [(50, "ref=AB-1077,mail=badge-4711;")]
+    got = PII.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id = 50").first()
+    assert got["text"] == "ref=AB-1077,mail=[EMAIL];"
+
+
 @pytest.fixture(scope="module")
 def letters(spark):
     rows = [(k, f"please write to reach me at user{k}@mail.org today") for k in range(12)]
