@@ -6,8 +6,9 @@ look like identifiers (letters, digits and joiners with at least ``LEAST_DIGITS`
 are candidates. Patterns and instances form a bipartite graph on which Spark alternates
 two steps: a pattern scores the mean score of its distinct instances, damped for
 patterns with little support; a candidate scores one minus the product of (1 - score) over
-its confident patterns. After ``ROUNDS`` rounds, occurrences of a candidate under a
-confident pattern become spans of that pattern's kind. Base spans always stay.
+its confident patterns. Seeds and what was found so far support patterns alike, so a
+pattern may become confident in any round. After ``ROUNDS`` rounds, all occurrences of a
+candidate that was found become spans of its kind. Base spans always stay.
 
 Defined results: null and empty texts have no span; equal texts have equal base spans; a
 candidate that two kinds claim goes to the higher score, then to the kind listed first.
@@ -28,13 +29,15 @@ from .common import by_keys, ship, stage
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 4
-#: Fewer distinct seeds than this make no pattern; DAMPING counts as so many instances without score.
+#: Fewer distinct seeds, or instances found, than this make no pattern; DAMPING counts as so many instances without score.
 LEAST_SEEDS = 5
 DAMPING = 1.0
 LEAST_PATTERN = 0.7
 LEAST_INSTANCE = 0.7
 LEAST_DIGITS = 3
 CONTEXT_WORDS = 2
+#: About the size of a pattern or an instance with its score.
+PATTERN_BYTES = 80
 #: About the size of a text's key and spans.
 SPAN_BYTES = 200
 
@@ -145,24 +148,35 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def discover(observed: DataFrame) -> DataFrame:
     """``text_key, kind, start, end`` of identifiers that no base pattern covers."""
     graph = observed.where("pattern <> ''").groupBy("pattern", "instance").agg(*(F.max((F.col("kind") == k).cast("int")).alias(k) for k in KINDS))
-    stacked = "stack(4, " + ", ".join(f"'{k}', coalesce({k}, 0)" for k in KINDS) + ") as (kind, seed)"
-    support = graph.select("pattern", "instance", F.expr(stacked)).groupBy("pattern", "kind").agg(F.sum("seed").alias("seeds"))
-    # Only patterns with enough seeds of a kind can become confident, and candidates have no other way to a score.
-    strong = support.where(F.col("seeds") >= LEAST_SEEDS).select("pattern", "kind")
+    # A pattern with fewer instances than LEAST_SEEDS has support in no round.
+    sizes = graph.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS)
     paths: list[str] = []
-    edges = stage(graph.join(strong, "pattern").select("pattern", "kind", "instance", F.expr("CASE kind " + " ".join(f"WHEN '{k}' THEN coalesce({k}, 0)" for k in KINDS) + " END").cast("double").alias("seed"), (F.greatest(*(F.coalesce(F.col(k), F.lit(0)) for k in KINDS)) > 0).alias("is_base")), "edges", paths)
-    scored = edges.select("pattern", "kind", "instance", "is_base", "seed", F.col("seed").alias("score"))
+    graph = stage(graph, "graph", paths)
+    sizes = stage(sizes, "sizes", paths)
+    is_base = F.greatest(*(F.coalesce(F.col(k), F.lit(0)) for k in KINDS)) > 0
+    edges = stage(by_keys(graph.where(~is_base).select("pattern", "instance"), sizes.select("pattern"), ["pattern"], "left_semi", PATTERN_BYTES), "edges", paths)
+    stacked = "stack(4, " + ", ".join(f"'{k}', coalesce({k}, 0)" for k in KINDS) + ") as (kind, seed)"
+    seeds = graph.where(is_base).select("pattern", F.expr(stacked)).where("seed > 0").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("total"), F.count("*").alias("support"))
+    seeds = stage(seeds, "seeds", paths)
+
+    def confident(found: DataFrame | None) -> DataFrame:
+        held = seeds
+        if found is not None:
+            votes = by_keys(edges, found, ["instance"], "inner", PATTERN_BYTES)
+            held = held.unionByName(votes.groupBy("pattern", "kind").agg(F.sum("score").alias("total"), F.sum((F.col("score") >= LEAST_INSTANCE).cast("bigint")).alias("support")))
+        held = held.groupBy("pattern", "kind").agg(F.sum("total").alias("total"), F.sum("support").alias("support")).where(F.col("support") >= LEAST_SEEDS)
+        scored = held.join(sizes, "pattern").select("pattern", "kind", (F.col("total") / (F.col("n") + DAMPING)).alias("confidence"))
+        return stage(scored.where(F.col("confidence") >= LEAST_PATTERN), "patterns", paths)
+
+    found = None
     for _ in range(ROUNDS):
-        patterns = scored.groupBy("pattern", "kind").agg((F.sum("score") / (F.count("*") + DAMPING)).alias("confidence")).where(F.col("confidence") >= LEAST_PATTERN)
-        votes = edges.where("NOT is_base").join(patterns, ["pattern", "kind"])
-        found = votes.groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("found"))
-        scored = stage(edges.join(found, ["kind", "instance"], "left").select("pattern", "kind", "instance", "is_base", "seed", F.when(F.col("seed") > 0, 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("score")), "scored", paths)
-    confident = scored.groupBy("pattern", "kind").agg((F.sum("score") / (F.count("*") + DAMPING)).alias("confidence")).where(F.col("confidence") >= LEAST_PATTERN)
-    ranked = scored.where(~F.col("is_base") & (F.col("score") >= LEAST_INSTANCE)).join(confident, ["pattern", "kind"])
+        votes = by_keys(edges, confident(found), ["pattern"], "inner", PATTERN_BYTES)
+        score = (1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("score")
+        found = stage(votes.groupBy("kind", "instance").agg(score), "found", paths)
     order = F.create_map(*(x for n, k in enumerate(KINDS) for x in (F.lit(k), F.lit(-n))))
-    best = ranked.groupBy("pattern", "instance").agg(F.max(F.struct("score", order[F.col("kind")].alias("place"), "kind")).alias("best")).select("pattern", "instance", F.col("best.kind").alias("kind"))
+    best = found.where(F.col("score") >= LEAST_INSTANCE).groupBy("instance").agg(F.max(F.struct("score", order[F.col("kind")].alias("place"), "kind")).alias("best")).select("instance", F.col("best.kind").alias("kind"))
     best = stage(best, "discovered", paths)
-    new = observed.where("kind IS NULL").drop("kind").join(best, ["pattern", "instance"])
+    new = by_keys(observed.where("kind IS NULL").drop("kind"), best, ["instance"], "inner", PATTERN_BYTES)
     return new.select("text_key", "kind", "start", "end")
 
 

@@ -172,6 +172,17 @@ def test_confident_patterns_find_unseen_identifiers(letters):
     assert (got[43]["n_card"], got[43]["n_ip"], got[43]["n_email"]) == (1, 1, 0)
 
 
+def test_found_identifiers_make_patterns(spark):
+    rows = [(k, f"please write to reach me at user{k}@mail.org today") for k in range(60)]
+    rows += [(100 + k, f"please write to reach me at badge-77{k}-x{k}9 now") for k in range(8)]
+    rows += [(200 + k, f"her staff number badge-77{k}-x{k}9 is known") for k in range(8)]
+    rows += [(300, "his staff number badge-900-x1 is new"), (301, "lost near badge-900-x1 or badge-773-x39"), (302, "totals were 88123 in spring")]
+    got = {r["doc_id"]: r["text"] for r in PII.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[200 + k] == "her staff number [EMAIL] is known" for k in range(8))
+    assert got[300] == "his staff number [EMAIL] is new"  # its pattern has no base seed
+    assert got[301] == "lost near [EMAIL] or [EMAIL]" and got[302] == rows[-1][1]
+
+
 def test_redaction(letters, docs, no_docs):
     got = {r["doc_id"]: r["text"] for r in PII.redact(letters).collect()}
     assert got[0] == "please write to reach me at [EMAIL] today" and got[43] == "card [CARD] and [IP]" and got[41] is None
