@@ -150,9 +150,9 @@ def doc_vectors(grams: list[np.ndarray], counts: list[np.ndarray], store: GramSt
     return out
 
 
-def classify(texts, languages: list[str], prototypes: np.ndarray, store: GramStore) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
-    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+def classify(texts, languages: list[str], prototypes: np.ndarray, store: GramStore) -> tuple[list[str], list[float], list[int]]:
+    """Language, score and number of distinct trigrams of each text."""
+    langs, scores, sizes = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
     block: list[int] = []
     grams: list[np.ndarray] = []
     counts: list[np.ndarray] = []
@@ -170,12 +170,13 @@ def classify(texts, languages: list[str], prototypes: np.ndarray, store: GramSto
         if text and languages and len(codes := trigrams(text)):
             g, n = np.unique(codes, return_counts=True)
             block.append(i)
+            sizes[i] = len(g)
             grams.append(g)
             counts.append(n)
             if len(block) == BLOCK:
                 settle()
     settle()
-    return langs, scores
+    return langs, scores, sizes
 
 
 def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,7 +187,7 @@ def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, key:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store = GramStore()
         for batch in batches:
-            langs, scores = classify(batch["text"], languages, prototypes, store)
+            langs, scores, _ = classify(batch["text"], languages, prototypes, store)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores})
 
     kind = docs.schema[key].dataType.simpleString()
@@ -194,16 +195,16 @@ def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, key:
 
 
 def with_language(docs: DataFrame, languages: list[str], prototypes: np.ndarray, into: str) -> DataFrame:
-    """``docs`` with a struct column ``into`` of lang_pred and score; the other columns stay in the JVM."""
+    """``docs`` with a struct column ``into`` of lang_pred, score and n_grams; the other columns stay in the JVM."""
 
     ship(docs.sparkSession)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, n_grams int")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         store = GramStore()
         for texts in batches:
-            langs, scores = classify(texts, languages, prototypes, store)
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            langs, scores, sizes = classify(texts, languages, prototypes, store)
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "n_grams": sizes})
 
     return docs.withColumn(into, predicted(F.col("text").cast("string")))
 
