@@ -29,6 +29,14 @@ def _first_lines(docs):
     return docs.select("doc_id", (F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).alias("jaccard"))
 
 
+def _neighbour_lines(docs):
+    """Jaccard value of every line's words and the next line's, over whole texts."""
+    words = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda t: F.array_distinct(F.split(t, " "))).alias("w")).where(F.size("w") > 1)
+    pairs = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("line"))
+    a, b = F.get("w", F.col("line")), F.get("w", F.col("line") + 1)
+    return pairs.select("doc_id", "line", (F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).alias("jaccard"))
+
+
 def _value_grades(cells):
     pair = T.value_grade(F.col("text"))
     return cells.select("table_id", "cell_id", pair.alias("p")).where("p IS NOT NULL").select("table_id", "cell_id", "p.value", "p.grade")
@@ -102,6 +110,7 @@ QUERIES = {
     "char_skeleton": over(lambda p: p.select("p_partkey", T.skeleton(F.col("p_name")).alias("template")), "part"),
     "value_grade_split": over(_value_grades, CELLS),
     "jaccard_rows": over(_first_lines, "documents"),
+    "jaccard_lines": over(_neighbour_lines, "documents"),
     "html_escape": over(_digest(T.html_escaped), "documents"),
     "md_escape": over(_digest(T.md_escaped), "documents"),
     "html_blocks": over(render.headings, "pages"),

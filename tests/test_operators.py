@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import assign, clusters, grid, render
+from tessera.plans import catalog
 from tessera.sources import incremental, ocr
 from tessera.sources.derived import view
 
@@ -128,3 +129,14 @@ def test_atoms_of_every_table_have_owners(spark, sf_dir):
     assert {(a["table_id"], a["r"], a["c"]): a["cell_id"] for a in owned.collect()} == want
     groups = {(a["table_id"], a["r"], a["c"]): a["component"] for a in grid.atom_components(owned).collect()}
     assert groups.keys() == want.keys() and {t for t, _, _ in want} == set(tables)
+
+
+def test_jaccard_of_all_neighbouring_lines(spark, sf_dir):
+    want = {}
+    for d in view(spark, sf_dir, "documents").collect():
+        sets = [set(line.split(" ")) for line in (d["text"] or "").split("\n")]
+        for k, (a, b) in enumerate(zip(sets, sets[1:])):
+            want[d["doc_id"], k] = len(a & b) / len(a | b)
+    got = catalog.queries()["jaccard_lines"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["line"]): r["jaccard"] for r in got} == want
+    assert max(k for _, k in want) > 1
