@@ -6,9 +6,9 @@ so a piece found exactly is the only place to look. One automaton finds all piec
 one pass over a document; Myers' bit-parallel recurrence over the window around the hits
 gives the least edit distance. Case and runs of white space do not count.
 
-Defined results: null and empty texts match nothing; items that are null or shorter than
-``LEAST_ITEM`` characters after normalisation are no passages and match nothing; items
-with equal text are reported each; a document that quotes an item several times gives one
+Defined results: null and empty texts match nothing; items that are null or empty after
+normalisation match nothing; items too short for an edit must be quoted exactly and not
+inside longer words; items with equal text are reported each; a document that quotes an item several times gives one
 row with the least distance.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 CHARS_PER_EDIT = 10
+#: Items of this length are passages; shorter ones are searched for as well.
 LEAST_ITEM = 16
 GRAM = 3
 #: Characters of benchmark text that one pass searches for; larger benchmarks take more passes.
@@ -53,6 +54,18 @@ def may_hold(grams: list[str], window: str, limit: int) -> bool:
     return sum(map(there.__contains__, grams)) >= len(grams) - GRAM * limit
 
 
+def stands_alone(item: str, text: str) -> bool:
+    """Whether the text has the item, and not as a part of longer words."""
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        joined = at and text[at - 1].isalnum() and item[0].isalnum() or end < len(text) and text[end].isalnum() and item[-1].isalnum()
+        if not joined:
+            return True
+        at = text.find(item, at + 1)
+    return False
+
+
 def least_distance(item: str, window: str, limit: int) -> int | None:
     """Least edit distance between the item and any substring of the window, if within the limit."""
     if item in window:
@@ -122,6 +135,10 @@ class Matcher:
         for k, spans in self.windows(text).items():
             item_id, item = self.items[k]
             limit = len(item) // CHARS_PER_EDIT
+            if not limit:
+                if stands_alone(item, text):
+                    out.append((item_id, 0))
+                continue
             best = None
             for lo, hi in spans:
                 window = text[lo:hi]
@@ -143,7 +160,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     for k in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text").collect()
         items = [(r["item_id"], normalise(r["text"])) for r in rows]
-        yield [(i, t) for i, t in items if len(t) >= LEAST_ITEM]
+        yield [(i, t) for i, t in items if t]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -98,6 +98,14 @@ def test_matches_equal_brute_force(spark):
     assert clean == {r[0] for r in rows} - {d for d, _, _ in want}
 
 
+def test_short_items_are_found(spark):
+    bench = spark.createDataFrame([(1, "Paris"), (2, "42 km"), (3, "blue whales"), (4, " "), (5, "quite rare word")], "item_id bigint, text string")
+    texts = ["It is  PARIS, of course", "comparison of parish registers", "about 42\nkm away", "142 km away", "the blue whale", "a quite rar word", "a parish, then Paris."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {tuple(r) for r in D.contaminated(docs, bench).collect()} == {(0, 1, 0), (2, 2, 0), (4, 3, 1), (5, 5, 1), (6, 1, 0)}
+    assert {r["doc_id"] for r in D.decontaminate(docs, bench).collect()} == {1, 3}
+
+
 def test_decontamination_of_empty_tables(docs, no_docs, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.contaminated(docs, none).collect() == [] and D.contaminated(no_docs, none).collect() == []
