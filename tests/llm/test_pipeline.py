@@ -52,7 +52,7 @@ def test_texts_in_no_language_go(spark, sf_dir):
     sample = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 100").select("doc_id", "text", "lang")
     words = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
     scripts = ["абвгдежзиклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", [chr(0x4E00 + k) for k in range(3000)], "abcdefghijklmnopqrstuvwxyz"]
-    planted = [(-1 - k, words(scripts[k % 4], (10, 100, 2000)[k // 4 % 3]), None) for k in range(60)]
+    planted = [(-1 - k, words(scripts[k % 4], (20, 100, 2000)[k // 4 % 3]), None) for k in range(60)]
     docs = sample.unionByName(spark.createDataFrame(planted, sample.schema))
     assert {r["doc_id"] for r in cp.language(spark, docs, sf_dir).collect()} == {r["doc_id"] for r in sample.collect()}
 
