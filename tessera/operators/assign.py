@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import area, centre, distance2, holds_centre, ioa
+from tessera.functions.text import is_caption, no_spaces
 
 #: Height of the bands on which rectangles of one table meet; wider tables take more bands.
 BAND = 160.0
@@ -70,6 +71,26 @@ def free_text(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     return boxes.join(combined(boxes, cells), KEY, "left_anti").select(*KEY, "text")
 
 
+def not_absorbed(free: DataFrame, cells: DataFrame) -> DataFrame:
+    """Free text that no cell of its table holds already, blanks left out of account; captions stay
+    and empty text goes."""
+    kept = free.withColumn("bare", no_spaces(F.col("text"))).where("bare <> ''")
+    held = cells.select("table_id", no_spaces(F.col("text")).alias("held")).where("held <> ''").groupBy("table_id").agg(F.collect_set("held").alias("held"))
+    joined = kept.join(held, "table_id", "left")
+    inside = F.exists(F.coalesce("held", F.array().cast("array<string>")), lambda h: h.contains(F.col("bare")))
+    return joined.where(is_caption(F.col("text")) | ~inside).select("table_id", "free_id", "text")
+
+
+def nearest_empty_header(pieces: DataFrame, cells: DataFrame) -> DataFrame:
+    """For each piece of text the empty cell of the two header rows whose centre is nearest in x, the
+    first of equals."""
+    head = cells.where((F.col("row_start") <= 1) & (F.trim("text") == ""))
+    centres = head.groupBy("table_id").agg(F.collect_list(F.struct(((F.col("x1") + F.col("x2")) / 2).alias("cx"), "cell_id")).alias("heads"))
+    cx = (F.col("x1") + F.col("x2")) / 2
+    near = F.array_sort(F.transform("heads", lambda h: F.struct(F.abs(h["cx"] - cx).alias("d"), h["cell_id"].alias("cell_id"))))
+    return pieces.join(centres, "table_id").select("table_id", "box_id", F.get(near, 0)["cell_id"].alias("cell_id"))
+
+
 def coverage(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """Share of a table's boxes whose centre a cell holds."""
     hits = by_centre(boxes, cells).groupBy("table_id").agg(F.count("*").alias("hits"))

@@ -10,6 +10,7 @@ from tessera.operators import assign, clusters, decisions, grid, render, strateg
 from tessera.sources import incremental
 from tessera.sources.derived import view
 
+from . import sequences
 from .oracles import SQL
 
 
@@ -127,6 +128,9 @@ QUERIES = {
 }
 
 
+QUERIES |= {name: over(operator, *relations) for name, (operator, relations) in sequences.QUERIES.items()}
+
+
 def queries():
     """Query functions ``f(spark, sf_dir)`` by name."""
     return dict(QUERIES)
@@ -134,4 +138,4 @@ def queries():
 
 def oracle_sql():
     """DuckDB SQL by query name."""
-    return dict(SQL)
+    return SQL | sequences.SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.functions.labels import IDEOGRAPHS, LABEL
 from tessera.sources.derived import prelude
 
 AREA = "(greatest(0.0, {0}.x2-{0}.x1)*greatest(0.0, {0}.y2-{0}.y1))"
@@ -66,6 +67,8 @@ htmls AS (SELECT table_id, '<table>' || string_agg(tr, '' ORDER BY row_start) ||
 SKELETON = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}), '[ \\t\\n\\r\\x0b\\x0c]', '', 'g'), '[A-Za-z]+', 'A', 'g'), '[0-9]+', '9', 'g'), '[\\x{{3400}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}]+', 'C', 'g')"
 CLEAN = "translate(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '—–−¬ー―─－', '--------')"
 
+IS_LABEL = f"regexp_matches(regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c]+', '', 'g'), '{LABEL}')"
+
 SQL = {
     "assign_center": f"{prelude(*BOTH)}, {BY_CENTRE} SELECT * FROM by_centre",
     "assign_ioa": f"{prelude(*BOTH)}, {BY_OVERLAP} SELECT * FROM by_overlap",
@@ -136,8 +139,11 @@ SQL = {
     "degenerate_rescue": f"""{prelude(*BOTH)}, {POSITIONS}, s AS (SELECT b.table_id, coalesce(n_cells, 0) AS n_cells, coalesce(n_text, 0) AS n_text, n_boxes, coalesce(conflict, 0) AS conflict FROM (SELECT table_id, count(*) AS n_boxes FROM v_boxes GROUP BY 1) b
  LEFT JOIN (SELECT table_id, count(*) AS n_cells, count(*) FILTER (WHERE trim(text) <> '') AS n_text FROM v_cells GROUP BY 1) c ON c.table_id = b.table_id LEFT JOIN (SELECT table_id, 1 - count(DISTINCT r*100000+c)*1.0/count(*) AS conflict FROM positions GROUP BY 1) p ON p.table_id = b.table_id)
  SELECT table_id, n_cells, n_boxes, CASE WHEN n_cells = 0 THEN n_boxes > 20 WHEN n_text >= greatest(8, floor(n_boxes*0.25)) THEN false ELSE (n_cells < 4 AND n_boxes > 20) OR (conflict > 0.25 AND n_cells < n_boxes*0.3) END AS degenerate FROM s""",
-    "transpose_detect": over_cells("SELECT table_id, 0::BIGINT AS across, 0::BIGINT AS down, false AS transposed FROM v_cells GROUP BY table_id"),
-    "row_likeness": over_cells(r""", toks AS (SELECT table_id, row_start, list_distinct(regexp_extract_all(lower(string_agg(text, ' ' ORDER BY col_start, cell_id)), '[a-z0-9][a-z0-9.\-/%]{0,24}')) AS t FROM v_cells GROUP BY ALL)
+    "transpose_detect": over_cells(f""", s AS (SELECT table_id, count(*) AS n, max(row_end)+1 AS "rows", max(col_end)+1 AS cols, count(*) FILTER (WHERE lab AND row_start = 0) AS across, count(*) FILTER (WHERE lab AND col_start = 0) AS down
+  FROM (SELECT *, {IS_LABEL} AND regexp_matches(text, '例|形態|態様') AS lab FROM v_cells) q GROUP BY table_id)
+ SELECT table_id, across, down, n >= 12 AND ((across >= 6 AND down < 3 AND across >= down+5) OR ("rows" >= 30 AND across >= 4 AND across > down+2) OR (cols >= 8 AND cols > "rows"*1.5 AND across >= 8 AND down < 3)) AS transposed FROM s"""),
+    "row_likeness": over_cells(r""", lines AS (SELECT table_id, row_start, lower(string_agg(text, ' ' ORDER BY col_start, cell_id)) AS joined FROM v_cells GROUP BY ALL),
+ toks AS (SELECT table_id, row_start, list_distinct(regexp_extract_all(joined, '[a-z0-9][a-z0-9.\-/%]{0,24}') || flatten(list_transform(regexp_extract_all(joined, '""" + IDEOGRAPHS + r"""'), lambda c: CASE WHEN length(c) <= 2 THEN [c] ELSE list_transform(range(1, length(c)), lambda k: c[k:k+1]) END))) AS t FROM lines)
  SELECT table_id, row_start, CASE WHEN len(t) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(t, b))*1.0/len(list_distinct(t || b)) END AS likeness FROM (SELECT *, lag(t) OVER (PARTITION BY table_id ORDER BY row_start) AS b FROM toks) q WHERE b IS NOT NULL"""),
-    "independent_labels": over_cells("SELECT table_id, cell_id, regexp_matches(replace(text, ' ', ''), '^[0-9]{1,3}$') AS is_label FROM v_cells"),
+    "independent_labels": over_cells(f"SELECT table_id, cell_id, {IS_LABEL} AS is_label FROM v_cells"),
 }

@@ -15,21 +15,37 @@ _KEYED = """
            ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS {key}
   FROM lineitem"""
 
+#: By the number of a table: every fifth has no conflicting cells, every fourth lacks a column, every
+#: seventh some rows, every ninth nearly all cells; a column is a seam (2 of 6) or narrow (3 of 6), columns are
+#: far apart (5 of 13), labels stand in the first row or column (7, 8 of 12), a caption inside (9 of 10).
 CELLS = f"""
 SELECT table_id, cell_id, row_start, row_end, col_start, col_end,
        CAST(col_start*100 + l_partkey % 7 AS DOUBLE) AS x1, CAST(row_start*40 + l_partkey % 3 AS DOUBLE) AS y1,
-       CAST((col_end+1)*100 - l_suppkey % 5 AS DOUBLE) AS x2, CAST((row_end+1)*40 AS DOUBLE) AS y2,
-       CASE q % 10 WHEN 0 THEN '-' WHEN 1 THEN '1' WHEN 2 THEN '' WHEN 3 THEN concat(CAST(q AS VARCHAR(9)),'A')
-                   WHEN 4 THEN l_returnflag ELSE CAST(q AS VARCHAR(9)) END AS text
-FROM ({_KEYED.format(key="cell_id", more='''CAST(l_orderkey % 16 AS INT) AS row_start, CAST(l_linenumber-1 AS INT) AS col_start,
-         CAST(l_orderkey % 16 AS INT) + CASE WHEN CAST(l_quantity AS INT) % 12 = 0 THEN 1 ELSE 0 END AS row_end,
-         CAST(l_linenumber-1 AS INT) + CASE WHEN CAST(l_quantity AS INT) >= 45 THEN 1 ELSE 0 END AS col_end,''')}) s"""
-
+       CAST(CASE WHEN table_id % 6 = 2 AND col_start = 3 AND col_end = 3 THEN 308 + l_partkey % 7 + l_suppkey % 5
+                 WHEN table_id % 6 = 3 AND col_start = 4 AND col_end = 4 THEN 420 + l_partkey % 7
+                 ELSE (col_end+1)*100 - l_suppkey % 5 END AS DOUBLE) AS x2, CAST((row_end+1)*40 AS DOUBLE) AS y2,
+       CASE WHEN row_start = 0 AND table_id % 12 = 7 THEN concat('实施例', CAST(l_linenumber AS VARCHAR(9)))
+            WHEN col_start = 0 AND table_id % 12 = 8 THEN concat('实施例', CAST(row_start+1 AS VARCHAR(9)))
+            WHEN col_start = 0 AND row_start = 8 AND table_id % 10 = 9 THEN '[表1-2]'
+            WHEN (table_id*7 + col_start) % 11 = 0 OR (table_id % 6 = 3 AND col_start = 4) THEN ''
+            ELSE CASE q % 10 WHEN 0 THEN '-' WHEN 1 THEN '1' WHEN 2 THEN '' WHEN 3 THEN concat(CAST(q AS VARCHAR(9)),'A')
+                   WHEN 4 THEN l_returnflag ELSE CAST(q AS VARCHAR(9)) END END AS text
+FROM (SELECT *, CAST(row_start + CASE WHEN q % 12 = 0 AND table_id % 5 <> 0 THEN 1 ELSE 0 END AS INT) AS row_end,
+             CAST(col_start + CASE WHEN q >= 45 AND table_id % 5 <> 0 THEN 1 ELSE 0 END AS INT) AS col_end
+      FROM ({_KEYED.format(key="cell_id", more="""CAST(l_orderkey % 16 AS INT) AS row_start,
+         CAST((l_linenumber-1) * CASE WHEN CAST(floor(l_orderkey/16) AS BIGINT) % 13 = 5 THEN 6 ELSE 1 END AS INT) AS col_start,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS dup,""")}) k) s
+WHERE NOT (table_id % 5 = 0 AND dup > 1) AND NOT (table_id % 4 = 1 AND l_linenumber = 3) AND NOT (table_id % 7 = 6 AND row_start BETWEEN 6 AND 8)
+  AND NOT (table_id % 9 = 4 AND (row_start > 0 OR l_linenumber > 2))"""
+
+#: Boxes of every eighth table are upright, tall and little trusted.
 BOXES = f"""
 SELECT table_id, box_id, CAST(bx AS DOUBLE) AS x1, CAST(byy AS DOUBLE) AS y1,
-       CAST(bx + 20 + l_partkey % 90 AS DOUBLE) AS x2, CAST(byy + 10 + l_partkey % 18 AS DOUBLE) AS y2,
-       CAST(100 - q AS DOUBLE)/100 AS score, concat(l_returnflag, CAST(q AS VARCHAR(9))) AS text
-FROM ({_KEYED.format(key="box_id", more='''(l_linenumber-1)*100 + (l_suppkey*7) % 60 AS bx, (l_orderkey % 16)*40 + l_suppkey % 20 AS byy,''')}) s"""
+       CAST(bx + CASE WHEN table_id % 8 = 3 THEN 10 + l_partkey % 18 ELSE 20 + l_partkey % 90 END AS DOUBLE) AS x2,
+       CAST(byy + CASE WHEN table_id % 8 = 3 THEN 20 + l_partkey % 90 ELSE 10 + l_partkey % 18 END AS DOUBLE) AS y2,
+       CAST(100 - q AS DOUBLE)/CASE WHEN table_id % 8 = 3 THEN 200 ELSE 100 END AS score, concat(l_returnflag, CAST(q AS VARCHAR(9))) AS text
+FROM ({_KEYED.format(key="box_id", more="""(l_linenumber-1)*100 + (l_suppkey*7) % 60 AS bx, (l_orderkey % 16)*40 + l_suppkey % 20 AS byy,""")}) s
+WHERE NOT (table_id % 7 = 6 AND l_orderkey % 16 BETWEEN 6 AND 8)"""
 
 #: Every row and column of a table's own range, whether or not a cell begins there.
 ATOMS = """
@@ -52,11 +68,32 @@ INPUTS = """
 SELECT concat('img_', CAST(o_orderkey AS VARCHAR(20)), '.png') AS name, CAST(o_custkey AS BIGINT) AS size,
        CAST(o_orderkey*1000 AS BIGINT) AS mtime_ns, o_orderkey % 5 <> 0 AS output_present FROM orders"""
 
+#: Ruling lines: level and upright ones near the edges of cells, some of them twice.
+RULES = f"""
+SELECT table_id, rule_id, CASE WHEN l_partkey % 2 = 0 THEN 'h' ELSE 'v' END AS axis, CASE WHEN q % 3 = 0 THEN 'extra' ELSE 'primary' END AS origin,
+       CAST(CASE WHEN l_partkey % 2 = 0 THEN row_at*40 + l_suppkey % 9 ELSE col_at*100 + l_suppkey % 9 END AS DOUBLE) AS coord,
+       CAST(CASE WHEN l_partkey % 2 = 0 THEN col_at*100 ELSE row_at*40 END AS DOUBLE) AS lo,
+       CAST(CASE WHEN l_partkey % 2 = 0 THEN (col_at+1+q % 3)*100 ELSE (row_at+1+q % 4)*40 END AS DOUBLE) AS hi,
+       CAST(CASE WHEN l_partkey % 2 = 0 THEN (1+q % 3)*100 ELSE (1+q % 4)*40 END AS DOUBLE) AS length
+FROM ({_KEYED.format(key="rule_id", more="CAST(l_orderkey % 16 AS INT) AS row_at, CAST(l_linenumber-1 AS INT) AS col_at,")}) s"""
+
+#: Text outside all cells: captions, pieces of cell text, other text, blanks.
+FREE = f"""
+SELECT table_id, free_id, CASE q % 4 WHEN 0 THEN concat('[表', CAST(q AS VARCHAR(9)), ']') WHEN 1 THEN CAST(q AS VARCHAR(9)) WHEN 2 THEN concat(l_returnflag, ' ', l_linestatus) ELSE ' ' END AS text,
+       CAST(q AS DOUBLE)/50 AS score, CAST(l_partkey % 40 AS DOUBLE)/1000 AS ink
+FROM ({_KEYED.format(key="free_id", more="")}) s"""
+
+#: Detected tables of a page, four to a page, with their confidence.
+DETECTED = "SELECT CAST(floor(table_id/4) AS BIGINT) AS page_id, table_id, avg(score) AS confidence FROM v_boxes GROUP BY table_id"
+
 #: View text and the tables or views it reads.
 VIEWS = {
     "v_cells": (CELLS, ("lineitem",)),
     "v_boxes": (BOXES, ("lineitem",)),
     "v_atoms": (ATOMS, ("v_cells",)),
+    "v_rules": (RULES, ("lineitem",)),
+    "v_free": (FREE, ("lineitem",)),
+    "v_detected": (DETECTED, ("v_boxes",)),
     "v_boundaries": (BOUNDARIES, ("v_cells",)),
     "v_archive": (ARCHIVE, ("orders",)),
     "v_inputs": (INPUTS, ("orders",)),

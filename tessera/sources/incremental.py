@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +48,68 @@ def cache_misses(keyed: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 def append_results(results: DataFrame, path: str) -> None:
     """Add computed rows to the cache; readers take the newest of a key."""
     results.write.mode("append").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str, key: str, written: str) -> DataFrame:
+    """The newest cached row of every key, by the column ``written``; no cache yet, no rows."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], f"{key} string")
+    fields = F.struct(*rows.columns)
+    return rows.groupBy(key).agg(F.max_by(fields, written).alias("row")).select("row.*")
+
+
+def iso(stamp):
+    """A time as text, to the second and with its offset."""
+    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+RECORD = "struct<name:string,status:string,size:bigint,mtime_ns:bigint,error:string,updated_at:string>"
+
+
+def archive_json(archive: DataFrame) -> DataFrame:
+    """The archive as one JSON document in ``value``: version, time and the records by name, in order.
+    One run's archive is a driver-sized document by its nature; tables are kept as Parquet."""
+    record = F.struct(*archive.columns)
+    items = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", record.alias("record")))))
+    return archive.agg(items.alias("items")).select(F.to_json(F.struct(F.lit(1).alias("version"), iso(F.current_timestamp()).alias("updated_at"), "items")).alias("value"))
+
+
+def archive_rows(documents: DataFrame) -> DataFrame:
+    """Records of archive documents in ``value``, whether they list records or map names to them.
+    What is no JSON, or no record, gives no row."""
+    mapped = F.map_values(F.from_json("value", f"items map<string,{RECORD}>")["items"])
+    listed = F.from_json("value", f"items array<{RECORD}>")["items"]
+    names = F.map_keys(F.from_json("value", f"items map<string,{RECORD}>")["items"])
+    named = F.transform(F.arrays_zip(names.alias("n"), mapped.alias("r")), lambda p: p["r"].withField("name", F.coalesce(p["r"]["name"], p["n"])))
+    rows = documents.select(F.explode(F.coalesce(named, listed)).alias("r")).where("r IS NOT NULL")
+    return rows.select("r.*").where("name IS NOT NULL")
+
+
+def write_archive(archive: DataFrame, path: str) -> None:
+    """Overwrite the archive document at a path."""
+    archive_json(archive).write.mode("overwrite").text(path)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the archive document at a path; a missing or broken one has none."""
+    try:
+        return archive_rows(spark.read.text(path, wholetext=True))
+    except AnalysisException:
+        return archive_rows(spark.createDataFrame([], "value string"))
+
+
+def json_round_trip(archive: DataFrame) -> DataFrame:
+    """The records of an archive by way of its documents, one for each status."""
+    record = F.struct(*archive.columns)
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", record.alias("record")))))
+    documents = archive.groupBy("status", F.pmod(F.xxhash64("name"), F.lit(64)).alias("part")).agg(entries.alias("items")).select(F.to_json(F.struct(F.lit(1).alias("version"), "items")).alias("value"))
+    return archive_rows(documents).select(*archive.columns)
+
+
+def sizes_by_status(archive: DataFrame) -> DataFrame:
+    """For each status the number of records, their size and the first name, from maps of name to size."""
+    maps = archive.groupBy("status", F.pmod(F.xxhash64("name"), F.lit(64)).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("name", "size"))).alias("sizes"))
+    rows = maps.select("status", F.explode(F.map_entries("sizes")).alias("e"))
+    return rows.groupBy("status").agg(F.count("*").alias("items"), F.sum("e.value").alias("total"), F.min("e.key").alias("first"))
