@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -19,7 +20,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD_PATTERN)
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1024
-#: Bytes of keys, by count and size of a row, that are broadcast at most.
+#: Bytes of keys that are broadcast at most.
 BROADCAST_BYTES = 32_000_000
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -48,15 +49,47 @@ def ship(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
+def give_back() -> None:
+    """Hand memory that this Python worker has freed back to the system. Workers live on between
+    tasks, and what their allocators keep counts against the executor."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run):
+    """The same function of batches, which gives memory back when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of
+    our own, which only a session on one machine can have."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark itself resolves it."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
+    return re.sub(r"^file:/+", "file:///", found)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nobody else uses."""
     return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
@@ -75,10 +108,15 @@ def stage(df: DataFrame, tag: str, paths: list[str] | None = None, compact: bool
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str, row_bytes: int = 8) -> DataFrame:
-    """``rows`` joined with ``keys``, a staged table: by broadcast while the keys are counted to be
+def bytes_of(rows: DataFrame) -> int:
+    """About the bytes that rows take in memory: twice their length as JSON."""
+    return 2 * (rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))))).first()[0] or 0)
+
+
+def by_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows`` joined with ``keys``, a staged table: by broadcast while the keys are measured to be
     few, so that long rows do not move, else by a shuffle."""
-    few = keys.count() * row_bytes <= BROADCAST_BYTES
+    few = bytes_of(keys) <= BROADCAST_BYTES
     return rows.join(F.broadcast(keys) if few else keys, on, how)
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import give_back, ship, tidy
 
 CHARS_PER_EDIT = 10
 #: Items of this length are passages; shorter ones are searched for as well.
@@ -177,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(d, i, e) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, e in matcher.match(normalise(t))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits"]).astype({"doc_id": "Int64", "item_id": "int64", "edits": "int64"})
 
-        found = texts.mapInPandas(run, "doc_id bigint, item_id bigint, edits bigint")
+        found = texts.mapInPandas(tidy(run), "doc_id bigint, item_id bigint, edits bigint")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
@@ -192,6 +192,8 @@ def quotes_any(items: list[tuple[int, str]], spark):
         matcher = Matcher(shared.value)
         for texts in batches:
             yield pd.Series([bool(matcher.match(normalise(t))) for t in texts], dtype=bool)
+        del matcher
+        give_back()
 
     return quotes
 

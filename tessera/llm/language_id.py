@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, ship
+from .common import fold_of, give_back, ship, tidy
 
 #: Length of a hypervector and the seed of the letter vectors.
 DIMENSIONS = 1024
@@ -30,6 +30,8 @@ CLASSES = 128
 UNKNOWN = "und"
 #: Trigram vectors that a Python worker keeps at most.
 KEPT_GRAMS = 1 << 14
+#: Characters of a language after which a worker's counts go into its bundle: they hold 32 bits.
+MOST_COUNTED = 1 << 31
 #: Documents whose bundles are made in one matrix product.
 BLOCK = 64
 
@@ -84,7 +86,7 @@ class GramStore:
 
     def __init__(self) -> None:
         self.place = np.full(CLASSES**3, -1, np.int32)
-        self.rows = np.empty((1024, DIMENSIONS), np.float32)
+        self.rows = np.empty((1024, DIMENSIONS), np.int8)
         self.used = 0
 
     def get(self, grams: np.ndarray) -> np.ndarray:
@@ -99,25 +101,35 @@ class GramStore:
             self.place[new] = np.arange(self.used, self.used + len(new))
             self.used += len(new)
             at = self.place[grams]
-        return self.rows[at]
+        return self.rows[at].astype(np.float32)
 
 
 def _bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[str, np.ndarray] = {}
+    bundles: dict[str, np.ndarray] = {}
+    room: dict[str, int] = {}
+
+    def settle(lang: str) -> None:
+        held = counts[lang]
+        grams = np.flatnonzero(held)
+        for lo in range(0, len(grams), 1024):
+            part = grams[lo : lo + 1024]
+            bundles[lang] += held[part].astype(np.int64) @ gram_vectors(part).astype(np.int64)
+        held[grams], room[lang] = 0, MOST_COUNTED
+
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             if text:
                 if lang not in counts:
-                    counts[lang] = np.zeros(CLASSES**3, np.int64)
+                    counts[lang], bundles[lang], room[lang] = np.zeros(CLASSES**3, np.uint32), np.zeros(DIMENSIONS, np.int64), MOST_COUNTED
+                elif room[lang] < len(text):
+                    settle(lang)
                 g, n = np.unique(trigrams(text), return_counts=True)
-                counts[lang][g] += n
-    for lang, held in counts.items():
-        total = np.zeros(DIMENSIONS, np.int64)
-        grams = np.flatnonzero(held)
-        for lo in range(0, len(grams), 4096):
-            part = grams[lo : lo + 4096]
-            total += held[part] @ gram_vectors(part).astype(np.int64)
-        yield pd.DataFrame({"lang": [lang], "bundle": [total.tolist()]})
+                counts[lang][g] += n.astype(np.uint32)
+                room[lang] -= len(text)
+    for lang in counts:
+        settle(lang)
+        yield pd.DataFrame({"lang": [lang], "bundle": [bundles[lang].tolist()]})
 
 
 def train_prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -127,7 +139,7 @@ def train_prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     how rows are dealt out. The driver gets languages x dimensions numbers, whatever
     the number of documents."""
     ship(docs.sparkSession)
-    parts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInPandas(_bundles, "lang string, bundle array<bigint>")
+    parts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInPandas(tidy(_bundles), "lang string, bundle array<bigint>")
     summed = parts.select("lang", F.posexplode("bundle").alias("dim", "value")).groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).select("lang", F.col("v.value").alias("v")).orderBy("lang").collect()
     matrix = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), DIMENSIONS)
@@ -191,7 +203,7 @@ def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, key:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(tidy(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, languages: list[str], prototypes: np.ndarray, into: str) -> DataFrame:
@@ -205,8 +217,11 @@ def with_language(docs: DataFrame, languages: list[str], prototypes: np.ndarray,
         for texts in batches:
             langs, scores, sizes = classify(texts, languages, prototypes, store)
             yield pd.DataFrame({"lang_pred": langs, "score": scores, "n_grams": sizes})
+        del store, texts
+        give_back()
 
-    return docs.withColumn(into, predicted(F.col("text").cast("string")))
+    # Declared so that a filter on the column and a use of it share one evaluation.
+    return docs.withColumn(into, predicted.asNondeterministic()(F.col("text").cast("string")))
 
 
 def language_id(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:

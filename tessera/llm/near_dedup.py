@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_keys, discard, ship, stage
+from .common import by_keys, discard, ship, stage, tidy
 from .components import components
 
 SHINGLE = 5
@@ -130,7 +130,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Set size, set digest, band keys and packed signature of every document."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_signatures, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(tidy(_signatures), SIGNATURE)
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +162,7 @@ def full_sets(docs: DataFrame, needed: DataFrame, paths: list[str]) -> DataFrame
     """``doc_id, shingles`` of the documents in ``needed(doc_id)``, made again from their texts."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = by_keys(texts, stage(needed, "needed", paths), ["doc_id"], "left_semi")
-    return stage(texts.mapInPandas(_sets, "doc_id bigint, shingles array<bigint>"), "sets", paths, compact=False)
+    return stage(texts.mapInPandas(tidy(_sets), "doc_id bigint, shingles array<bigint>"), "sets", paths, compact=False)
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, paths: list[str]) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, tidy
 
 DROPOUT = 0.1
 SEED = 9_176
@@ -393,7 +393,7 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec_for(path: str, dropout: float, seed: int) -> Codec:
-    """One codec per worker, whose remembered words serve the tasks that follow."""
+    """One codec per worker; its words are forgotten when a task ends."""
     return Codec(Vocabulary(path), dropout, seed)
 
 
@@ -418,8 +418,9 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
                 values = np.concatenate(ids).view(np.int32) if ids else np.zeros(0, np.int32)
                 made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(good)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "ids", "n_tokens", "lossless"])
+        codec.forget()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
