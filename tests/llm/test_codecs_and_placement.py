@@ -79,9 +79,9 @@ def test_words_round_trip(high):
         ids = rng.integers(0, high, n, dtype=np.uint64)
         if n > 70:
             ids[7], ids[60] = 2**64 - 1, 2**60
-        data = F.TokenFile(F.write_file([5, F.NULL_ID], [ids, ids[:3]]))
+        data = F.TokenFile(F.write_file([None, -(2**63)], [ids, ids[:3]]))
         assert (data.ids(0, data.n_ids) == np.concatenate([ids, ids[:3]])).all()
-        assert (data.ids(n // 3, n) == ids[n // 3 :]).all() and data.doc_ids.tolist() == [5, F.NULL_ID]
+        assert (data.ids(n // 3, n) == ids[n // 3 :]).all() and (data.n_nulls, data.doc_ids.tolist()) == (1, [0, -(2**63)])
 
 
 def test_fast_encoder_equals_the_library(corpus):
@@ -92,6 +92,32 @@ def test_fast_encoder_equals_the_library(corpus):
     assert [i.tolist() for i in F.WordEncoder(WORDS)(texts)] == want
 
 
+def test_all_documents_have_the_ids_of_the_library(spark, sf_dir, monkeypatch):
+    from tokenizers import Tokenizer
+
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcXYZ019'sst.,- \n\t_@éßÀŉº½²\x00\x07漢α\u0301<|>"))
+    texts += ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(4000)]
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    for kept, most in ((900_000, 12_000_000), (900, 20_000)):  # the second forgets all the time
+        monkeypatch.setattr(F, "KEPT_PIECES", kept)
+        encode = F.WordEncoder(WORDS)
+        got = [i.tolist() for some in F.in_slices(((t,) for t in texts), most) for i in encode([t for (t,) in some])]
+        assert got == want
+
+
+def test_one_id_on_most_rows_is_dealt_out(spark):
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else -(2**63) + k, f"text number {k}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    folder = F.qualified(spark, F.new_path(spark, "tokens"))
+    files = F.write_token_files(docs, WORDS, folder).collect()
+    assert len(files) == 4 and max(f["n_docs"] for f in files) < 300 and sum(f["n_docs"] for f in files) == 600
+    got = sorted(F.token_file_digests(docs, WORDS).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert [r["start"] for r in got] == [sum(g["n_tokens"] for g in got[:k]) for k in range(len(got))]
+
+
 def test_files_hold_documents_in_order(spark, docs, corpus, no_docs):
     encode = F.WordEncoder(WORDS)
     rows = sorted([(-1, "no id at all here"), (1, corpus[0][1]), *corpus])
