@@ -7,19 +7,26 @@ sketches follow resemblance, containment and the number of distinct shingles.
 
 Defined results: null, empty and blank texts have the empty sketch; two empty sketches
 resemble each other fully, an empty and another one not at all. Documents with equal ids
-follow each other by text; rows without an id come after all others.
+follow each other by descending hash of the text; rows without an id come after all others, in
+the same order, and the first of all follows the last of them. An id, or none, on very many
+rows is dealt out by that hash.
 """
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 SIZE = 256
-#: Buckets of ids for each shuffle partition, and how many bounds are compared at one level.
+#: Buckets of ids for each shuffle partition, how many bounds are compared at one level, and into how
+#: many parts one id is split at most.
 BUCKETS_PER_PARTITION = 4
 FAN = 64
+PARTS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 EMPTY = "array<bigint>"
 
@@ -94,38 +101,57 @@ def from_text(column: str) -> Column:
     return F.transform(parts, lambda p: F.conv(p, 16, -10).cast("bigint"))
 
 
-def bucket_of(bounds: list[int]) -> Column:
-    """Number of bounds up to doc_id, found at two levels."""
-    if not bounds:
-        return F.lit(0)
+def literal(values: list | dict, kind: str) -> Column:
+    """A constant array or map, which the plan holds as one literal however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def slots(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with ``slot``, a number that ascends with doc_id (rows without one lowest), of
+    about equally many rows each, and ``key``, by which rows of a slot ascend. An id that fills several
+    quantiles is split by the hash of the text."""
+    spark = docs.sparkSession
+    count = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts, rows, known = docs.agg(F.percentile_approx("doc_id", [k / count for k in range(1, count)], 100 * count), F.count("*"), F.count("doc_id")).first()
+    repeats = Counter(cuts or [])
+    bounds = sorted(repeats)
     groups = [bounds[k : k + FAN] for k in range(0, len(bounds), FAN)]
-    ids = lambda values: F.array(*(F.lit(v).cast("bigint") for v in values))
-    up_to = lambda values: F.size(F.filter(values, lambda b: b <= F.col("doc_id")))
-    group = up_to(ids([g[0] for g in groups]))
-    inner = up_to(F.get(F.array(*map(ids, groups)), group - 1))
-    return F.when(group == 0, 0).otherwise((group - 1) * FAN + inner)
+    hot = {str(v): n for v, n in repeats.items() if n > 1}
+    hashed = F.shiftrightunsigned(F.xxhash64("text"), 2)
+    doc_id = F.col("doc_id")
+    up_to = lambda values: F.size(F.filter(values, lambda b: b <= doc_id))
+    bucket = F.lit(0)
+    if bounds:
+        group = up_to(literal([g[0] for g in groups], "array<bigint>"))
+        bucket = F.when(group == 0, 0).otherwise((group - 1) * FAN + up_to(F.get(literal(groups, "array<array<bigint>>"), group - 1)))
+    dealt = lambda n: F.floor(F.col("hashed") / F.lit(2.0**62) * n)
+    unknown = max(1, -(-(rows - known) * count // max(1, rows)))
+    shares = F.try_element_at(literal(hot, "map<string,int>"), doc_id.cast("string")) if hot else F.lit(None).cast("int")
+    part = F.when(doc_id.isNull(), dealt(F.lit(unknown))).when(shares.isNotNull(), dealt(shares)).otherwise(PARTS - 1)
+    keyed = docs.withColumn("hashed", hashed)
+    slot = F.coalesce(F.when(doc_id.isNotNull(), bucket + 1), F.lit(0)).cast("bigint") * PARTS + F.least(part, F.lit(PARTS - 1))
+    key = F.coalesce(doc_id, F.lit(0)).cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + F.col("hashed").cast("decimal(19,0)")
+    return keyed.withColumn("slot", slot).withColumn("key", key.cast("decimal(38,0)")).drop("hashed")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` in buckets of descending doc_id, each bucket followed by a copy of the
-    row that comes next: columns ``bucket`` and ``is_copy``. Texts move once."""
+    """``docs(doc_id, text)`` in slots of descending doc_id, each slot followed by a copy of the row that
+    comes next: columns ``slot``, ``key`` and ``is_copy``. Texts move once; the driver gets two numbers of
+    each slot."""
     spark = docs.sparkSession
-    count = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / count for k in range(1, count)], 100 * count)).first()[0] or []
-    placed = docs.withColumn("bucket", bucket_of(sorted(set(cuts))))
-    tops = {r["bucket"]: r["top"] for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect() if r["top"] is not None}
-    order = sorted(tops, reverse=True)
-    goes_to = dict(zip([tops[b] for b in order], order[-1:] + order[:-1], strict=True))
+    placed = slots(docs)
+    tops = sorted(map(tuple, placed.groupBy("slot").agg(F.max("key")).collect()), reverse=True)
     rows = placed.withColumn("is_copy", F.lit(False))
-    if goes_to:
-        target = F.create_map(*(F.lit(x) for pair in goes_to.items() for x in pair))
-        heads = docs.where(F.col("doc_id").isin(list(goes_to))).withColumn("bucket", target[F.col("doc_id")]).withColumn("is_copy", F.lit(True))
-        rows = rows.unionByName(heads)
-    return rows
+    if not tops:
+        return rows
+    heads = [(slot, top, target) for (slot, top), (target, _) in zip(tops, tops[-1:] + tops[:-1], strict=True)]
+    table = spark.createDataFrame(heads, "slot bigint, key decimal(38,0), target bigint")
+    copies = placed.join(F.broadcast(table), ["slot", "key"]).dropDuplicates(["slot", "key"])
+    return rows.unionByName(copies.select("doc_id", "text", F.col("target").alias("slot"), "key", F.lit(True).alias("is_copy")))
 
 
 def in_order() -> Window:
-    return Window.partitionBy("bucket").orderBy("is_copy", F.col("doc_id").desc_nulls_last(), "text")
+    return Window.partitionBy("slot").orderBy("is_copy", F.col("key").desc(), "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

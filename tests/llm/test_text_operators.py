@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as D
 from tessera.llm import fingerprints as P
@@ -39,6 +40,34 @@ def test_edited_texts_and_likeness(spark, corpus):
     assert got[1]["fingerprint"] == got[2]["fingerprint"] and got[4]["fingerprint"] == got[5]["fingerprint"] == ""
 
 
+def test_successors_of_repeated_and_missing_ids(spark):
+    """One id, and none, on a third of the rows each: in the order of id, hash and text."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k - 150, f"text {k // 2} of the row x{k // 2}") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    slots = P.slots(frame).groupBy("slot").count().collect()
+    assert len(slots) > 8 and max(r["count"] for r in slots) < 80
+    hashed = frame.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 2).alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), -r["h"]))
+    want = []
+    for k, r in enumerate(order):
+        third, following = len(r["text"]) // 3, order[(k + 1) % len(order)]["text"]
+        want.append((r["doc_id"], hashlib.sha256((r["text"][: len(r["text"]) - third] + following[:third]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["edited_sha256"]) for r in P.edited_fingerprints(frame).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_fingerprints_are_the_smallest_hashes(spark, corpus):
+    frame = spark.createDataFrame(corpus, "doc_id bigint, text string").where("text IS NOT NULL")
+    got = {r["doc_id"]: r["fingerprint"] for r in P.edited_fingerprints(frame).collect()}
+    for doc_id, text in corpus:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        if len(words) < 5:
+            continue
+        parts = spark.createDataFrame([words[k : k + 5] for k in range(len(words) - 4)], "a string, b string, c string, d string, e string")
+        hashes = {r["h"] for r in parts.select(F.xxhash64("a", "b", "c", "d", "e").alias("h")).collect()}
+        assert got[doc_id] == ",".join(f"{h % 2**64:X}" for h in sorted(hashes)[: P.SIZE])
+
+
 def test_fingerprints_of_no_and_repeated_rows(spark, docs, no_docs):
     assert P.edited_fingerprints(no_docs).collect() == []
     assert P.edited_fingerprints(docs).count() == docs.count()
