@@ -6,7 +6,7 @@ in the trigram; a text is the sum (bundle) of its trigrams, a language the bundl
 its texts. A document takes the language whose prototype has the largest cosine.
 
 Defined results: null or empty text, and text without a letter, gives ``und`` with
-score 0; rows with a null lang train nothing; without any trained language all
+score 0; rows with a null lang or doc_id train nothing and are not held out; without any trained language all
 documents are ``und``. Equal cosines take the language first in code-point order.
 """
 
@@ -230,4 +230,4 @@ def language_id(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
     fold = fold_of("doc_id", parts)
     languages, prototypes = train_prototypes(docs.where(fold != held))
     found = identify(docs, languages, prototypes)
-    return found.select("doc_id", (fold == held).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "lang_pred", "score")

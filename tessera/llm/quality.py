@@ -152,8 +152,9 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.at, self.level), 0.0, 1.0)
 
 
-def fit(labelled: DataFrame) -> Model:
-    """Model of ``labelled(x, quality)``."""
+def fit(labelled: DataFrame, apart: DataFrame) -> Model:
+    """Model of ``labelled(x, quality)``, calibrated on the rows ``apart`` that its weights have not
+    seen; if there are none, on the same rows."""
     none = Model(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), np.zeros(FEATURES + 1), np.zeros(0), np.zeros(0))
 
     def moments(batch: pd.DataFrame) -> np.ndarray:
@@ -182,7 +183,9 @@ def fit(labelled: DataFrame) -> Model:
         y = batch["quality"].to_numpy(np.float64)
         return np.stack([np.bincount(place, minlength=BINS), np.bincount(place, y, BINS), np.bincount(place, raw, BINS)]).astype(np.float64)
 
-    counts = summed(labelled.select("x", "quality"), histogram, 3)
+    counts = summed(apart.select("x", "quality"), histogram, 3)
+    if not counts.size:
+        counts = summed(labelled.select("x", "quality"), histogram, 3)
     used = counts[0] > 0
     at, level = counts[2, used] / counts[0, used], counts[1, used] / counts[0, used]
     model.at, model.level = at, isotonic(at, level, counts[0, used])
@@ -190,15 +193,17 @@ def fit(labelled: DataFrame) -> Model:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document; learned outside fold ``held``."""
+    """``doc_id, held_out, score, predicted`` of every document; learned outside fold ``held``, the
+    calibration on the fold after it."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     measured = stage(texts.mapInPandas(_measure, "doc_id bigint, x array<double>"), "statistics", compact=False)
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(fold_of("doc_id", parts) != held)
     usable = usable.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
-    training = stage(measured.join(usable, "doc_id").select("x", "quality"), "training")
-    model = fit(training)
+    training = stage(measured.join(usable, "doc_id").select("x", "quality", fold_of("doc_id", parts).alias("fold")), "training")
+    apart = F.col("fold") == (held + 1) % parts
+    model = fit(training.where(~apart), training.where(apart))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,4 +211,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score})
 
     scored = measured.mapInPandas(run, "doc_id bigint, score double")
-    return scored.select("doc_id", (fold_of("doc_id", parts) == held).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold_of("doc_id", parts) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
