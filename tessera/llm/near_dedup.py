@@ -11,7 +11,8 @@ bucket's smallest member; the links confirmed so far give components, and only b
 that still hold more than one component are compared across components, which is all
 that can still change the result. There a document's shingles that none of the others
 holds, and its overlap with the bucket's smallest member, bound what it can have in common
-with any; what the bounds exclude is not paired. At similarity 0.75 a pair shares no band with
+with any; what the bounds exclude is not paired. Buckets are paired in blocks and classes of set
+size, so that a crowded one is spread over many tasks. At similarity 0.75 a pair shares no band with
 probability 2.5e-7, and the estimate is held to six standard deviations.
 
 Defined results: null, empty and blank texts have no shingle, link with nothing and are
@@ -43,6 +44,8 @@ CHANCE = 0.5**BITS
 MARGIN = 6 * float(np.sqrt((0.75 + 0.25 * CHANCE) * 0.25 * (1 - CHANCE) / HASHES)) / (1 - CHANCE)
 LEAST_ESTIMATE = THRESHOLD / 100 - MARGIN
 SEED = 5_077
+#: Members of a bucket that are paired with as many others in one task.
+BLOCK_ROWS = 1_000
 KEPT_WORDS = 200_000
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -193,6 +196,23 @@ def may_overlap():
     return most * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - most) * THRESHOLD
 
 
+def blocked(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairing of bucket members, as ``x`` (the smaller set) and ``y``. A bucket is cut
+    into classes of set size, of which only neighbours can link, and a class of many members into
+    blocks that meet in twos, so that however large a bucket is, no task gets more than two blocks."""
+    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / THRESHOLD) * (1 + 1e-9))).cast("int")
+    rows = members.withColumn("size_class", size_class)
+    both = rows.select("*", F.explode(F.array(F.col("size_class") - 1, F.col("size_class"))).alias("met"))
+    count = rows.groupBy("band", "size_class").count().select("band", "size_class", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("x_blocks"))
+    met = both.groupBy("band", F.col("met").alias("size_class")).count().select("band", "size_class", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("y_blocks"))
+    blocks = count.join(met, ["band", "size_class"])
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(blocks, ["band", "size_class"]).withColumn("x_block", own("x_blocks")).withColumn("y_block", every("y_blocks"))
+    right = both.drop("size_class").withColumnRenamed("met", "size_class").join(blocks, ["band", "size_class"]).withColumn("y_block", own("y_blocks")).withColumn("x_block", every("x_blocks"))
+    return left.alias("x"), right.alias("y")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per document; ``docs`` needs doc_id and text."""
     spark, done, held = docs.sparkSession, [], []
@@ -228,17 +248,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_rows = in_mixed.join(stage(shared, "shared", done), "doc_id")
     open_rows = open_rows.join(measured.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), "common"), ["centre", "doc_id"], "left")
     open_rows = stage(open_rows.withColumn("core", F.when(F.col("doc_id") == F.col("centre"), F.col("n_shingles")).otherwise(F.col("common"))).drop("common"), "open", done)
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    x, y = blocked(open_rows)
+    key = ["band", "size_class", "x_block", "y_block"]
     first_band = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & may_overlap() & may_link("x", "y") & first_band)
-    more = stage(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "more", done)
+    ordered = F.struct("x.n_shingles", "x.doc_id") < F.struct("y.n_shingles", "y.doc_id")
+    same = F.lit(True)
+    for c in key:
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    across = x.join(y, same & ordered & (F.col("x.root") != F.col("y.root")) & may_overlap() & may_link("x", "y") & first_band)
+    more = stage(across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "more", done)
     added = overlaps(more, sets, held).where("linked").select("a", "b")
     if added.limit(1).count():
         held += root_paths
         roots, root_paths = components(links.unionByName(added))
     discard(spark, done)
 
-    placed = found.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    # Documents without a shingle have no class; each looks for one of its own, so that they don't meet in one task.
+    own_key = F.coalesce("set_key", F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))).alias("set_key")
+    placed = found.select("doc_id", "n_shingles", own_key).join(classes, "set_key", "left").join(roots, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "doc_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

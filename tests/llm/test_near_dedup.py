@@ -65,3 +65,21 @@ def test_one_row_of_each_class_stays(docs, corpus):
     assert kept.columns == docs.columns
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
     assert ids == sorted(k for k, (_, c) in brute(corpus).items() if k == c)
+
+
+def test_crowded_bucket_is_paired_in_blocks(spark, monkeypatch):
+    """Hundreds of texts share a long template and little else; some of them link across the crowd."""
+    rng = random.Random(11)
+    base, rows = [f"t{k}" for k in range(90)], []
+    for k in range(400):
+        own = [f"o{k}x{j}" for j in range(rng.choice([35, 38, 60]))] if k % 5 else [f"p{k // 25}x{j}" for j in range(36)] + [f"q{k}"]
+        rows.append((1000 - k, " ".join(base + own)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = brute(rows)
+    assert got(N.near_duplicates(frame)) == want and len({c for _, c in want.values()}) > 300
+    monkeypatch.setattr(N, "BLOCK_ROWS", 40)
+    assert got(N.near_duplicates(frame)) == want
+    members = spark.range(5000).selectExpr("id AS doc_id", "7L AS band", "100 + id % 3 AS n_shingles")
+    for side in N.blocked(members):
+        sizes = side.groupBy("band", "size_class", "x_block", "y_block").count().collect()
+        assert len(sizes) > 1000 and max(r["count"] for r in sizes) < 120
