@@ -1,10 +1,14 @@
 """Labelled pages: page source and the main text that a reader marked in it.
 
-Small pages written for this purpose. They show what stands around articles: menus,
-notices, adverts, forms, lists of links, footers, comments of readers, pages without
-any article element.
+Four small pages written by hand, and :func:`composed` ones: layouts drawn by a seed, with and
+without telling names and elements, of menus, notices, adverts, forms, share bars, lists of links,
+comments of readers and footers around and inside articles of made-up words.
 """
 
+from __future__ import annotations
+
+import random
+
 PAGES = [
     (
         """<html><head><title>River levels</title><script>var a = "<p>";</script></head><body>
@@ -48,3 +52,109 @@ Work begins in June. The eastern part stays open to small boats throughout.
 It is a good plan, said the harbour master.""",
     ),
 ]
+
+SYLLABLES = "ka lo mi ren tos ul va shi no pe dra len ost im gu fa ber sel on ty".split()
+NEUTRAL = ["c1", "c2", "x-row", "block", "box", "w12", "col", "m-2", "unit", "el"]
+#: Names that tell, by what they stand around; the last are names of content that only look telling.
+TELLING = {
+    "menu": ["nav", "menu", "navbar", "top-menu", "breadcrumb", "main-navigation"],
+    "notice": ["cookie-notice", "consent", "gdpr", "alert", "cookie-banner"],
+    "ad": ["ad", "ads", "advert", "sponsored", "promo", "banner"],
+    "form": ["newsletter", "subscribe", "signup", "search-form", "subscription"],
+    "share": ["share", "sharing", "social", "share-buttons", "toolbar"],
+    "list": ["sidebar", "related", "recommended", "widget", "more-stories"],
+    "comments": ["comments", "comment-list", "disqus", "replies", "discussion"],
+    "footer": ["footer", "site-footer", "legal", "imprint"],
+    "header": ["header", "masthead", "site-header", "top"],
+    "body": ["content", "post-body", "entry", "story", "article-text"],
+    "inset": ["share-price", "fact", "note-on-method", "comment-by-the-board", "search-results-of-the-survey", "quote", "key-points"],
+}
+MENU = "Home News Sport Weather Contact About Archive Start Login Help Search".split()
+NOTICES = ["We use cookies to improve this site.", "Accept all cookies?", "This site uses cookies. Read our privacy policy.", "Please turn off your ad blocker."]
+ADS = ["Advertisement", "Sponsored: shoes at half price this week only, order now.", "Buy now and save twenty percent.", "Our partner offers you a free trial today.", "Sale ends Sunday, shop today."]
+FORMS = ["Subscribe to our newsletter", "Sign up for free", "Your e-mail address", "Search this site", "Leave a reply"]
+SHARES = ["Share", "Tweet", "Mail", "Print", "Follow us", "Copy link"]
+FOOTERS = ["Copyright 2021, all rights reserved.", "Imprint | Privacy | Terms", "Contact | Privacy policy", "Terms of use", "Powered by the press office"]
+HEADS = ["Comments", "3 comments", "Discussion", "Leave a reply", "Reader comments", "What readers say"]
+RELATED = ["Related", "Read more", "Most read", "You may also like", "More stories"]
+
+
+def composed(seed: int) -> tuple[str, str]:
+    """A page and its main text, both determined by the seed."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.choice((2, 2, 3, 3))))
+    telling = rng.random() < 0.6
+    main: list[str] = []
+
+    def sentence(least: int = 4, most: int = 18) -> str:
+        words = [word() for _ in range(rng.randint(least, most))]
+        return words[0].capitalize() + " " + " ".join(words[1:]) + rng.choice(("." * 9) + "?")
+
+    def named(kind: str, always: bool = False) -> str:
+        name = rng.choice(TELLING[kind]) if telling or always else rng.choice(NEUTRAL)
+        return f' {rng.choice(("class", "class", "id"))}="{name}"' if telling or always or rng.random() < 0.7 else ""
+
+    def links(texts: list[str]) -> str:
+        item = rng.choice(("<li>{}</li>", "<li>{}</li>", "{} ", "<div>{}</div>", "<td>{}</td>"))
+        plain = rng.random() < 0.15
+        inner = "".join(item.format(t if plain else f'<a href="/{k}">{t}</a>') for k, t in enumerate(texts))
+        return f"<ul>{inner}</ul>" if "li" in item else f"<table><tr>{inner}</tr></table>" if "td" in item else inner
+
+    def wrapped(kind: str, inner: str, tags: tuple[str, ...]) -> str:
+        tag = rng.choice(tags) if telling or rng.random() < 0.4 else "div"
+        return f"<{tag}{named(kind)}>{inner}</{tag}>"
+
+    def block(text: str, tag: str = "p") -> str:
+        main.append(text)
+        k = rng.randrange(6)
+        if k == 0 and tag == "p":
+            first, _, rest = text.partition(" ")
+            return f"<p><b>{first}</b> {rest}</p>"
+        if k == 1 and tag == "p":
+            first, _, rest = text.partition(" ")
+            return f'<p>{first} <a href="/w">{rest.split(" ")[0]}</a> {" ".join(rest.split(" ")[1:])}</p>' if rest else f"<p>{text}</p>"
+        return f"<{tag}>{text}</{tag}>"
+
+    def furniture(kind: str) -> str:
+        if kind == "ad":
+            return wrapped("ad", rng.choice(("<p>{}</p>", "{}")).format(rng.choice((rng.choice(ADS), f"{rng.choice(ADS)} {sentence(3, 7)}", " ".join(sentence(5, 14) for _ in range(rng.randint(1, 2))) if telling else rng.choice(ADS)))), ("div", "aside", "section"))
+        if kind == "share":
+            return wrapped("share", links(rng.sample(SHARES, 3)), ("div", "ul", "nav"))
+        if kind == "form":
+            return f'<form action="/s"{named("form")}><label>{rng.choice(FORMS)}</label><input name="q"><button>Go</button></form>' if rng.random() < 0.6 else wrapped("form", f"<p>{rng.choice(FORMS)}</p>", ("div", "section"))
+        if kind == "list":
+            return wrapped("list", f"<h3>{rng.choice(RELATED)}</h3>" + links([f"{word()} {word()} {word()}".capitalize() for _ in range(rng.randint(2, 6))]), ("aside", "div", "section"))
+        if kind == "notice":
+            return wrapped("notice", rng.choice(("<p>{}</p>", "{} <button>Accept</button>")).format(rng.choice(NOTICES)), ("div", "dialog", "section"))
+        people = [f"{word().capitalize()}: {sentence(4, 14)}" if rng.random() < 0.6 else f"<b>{word().capitalize()}</b> {rng.randint(1, 9)} hours ago</p><p>{sentence(4, 14)}" for _ in range(rng.randint(1, 5))]
+        return wrapped("comments", f"<h{rng.randint(2, 4)}>{rng.choice(HEADS)}</h3>" + "".join(f"<p>{x}</p>" for x in people), ("section", "div", "aside"))
+
+    def body() -> str:
+        parts = [block(sentence(3, 9).rstrip(".?"), "h1")] if rng.random() < 0.85 else []
+        for _ in range(rng.randint(2, 9)):
+            k = rng.random()
+            if k < 0.05:
+                parts.append(block(word().capitalize() + "."))
+            elif k < 0.62:
+                parts.append(block(" ".join(sentence() for _ in range(rng.randint(1, 4)))))
+            elif k < 0.70:
+                parts.append(block(sentence(2, 6).rstrip(".?"), "h2"))
+            elif k < 0.78:
+                parts.append("<ul>" + "".join(block(f"{word()} {word()}" if rng.random() < 0.5 else sentence(3, 7), "li") for _ in range(rng.randint(2, 4))) + "</ul>")
+            elif k < 0.84:
+                parts.append(block(sentence(5, 14), "blockquote"))
+            elif k < 0.90:
+                parts.append(f"<div{named('inset', True)}>{block(sentence(3, 8))}</div>")
+            else:
+                parts.append(furniture(rng.choice(("ad", "ad", "share", "form", "list"))))
+        return "".join(parts)
+
+    top = wrapped("header", f'<a href="/">{word().capitalize()} {word()}</a>' + (wrapped("menu", links(rng.sample(MENU, rng.randint(3, 7)) if rng.random() < 0.7 else [word() for _ in range(rng.randint(2, 5))]), ("nav", "nav", "div", "ul"))), ("header", "div"))
+    before = "".join(furniture(k) for k in ("notice", "ad", "list") if rng.random() < 0.4)
+    text = body()
+    tag = rng.choice(("article", "article", "main", "div", "section", ""))
+    text = f"<{tag}{named('body') if tag == 'div' else ''}>{text}</{tag}>" if tag else text
+    after = "".join(furniture(k) for k in ("share", "comments", "list", "form", "ad") if rng.random() < 0.5)
+    said = rng.choice((rng.choice(FOOTERS), f"{rng.choice(FOOTERS)} {sentence(4, 16)}", f"© {word()}.example.org · " + " ".join(sentence() for _ in range(rng.randint(1, 3)))))
+    foot = wrapped("footer", rng.choice(("<p>{}</p>", "{}", "<small>{}</small>")).format(said) + (links(["Privacy", "Terms", "Contact"]) if rng.random() < 0.5 else ""), ("footer", "div"))
+    return f"<html><body>{top}{before}{text}{after}{foot}</body></html>", "\n".join(main)

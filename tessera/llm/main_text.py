@@ -1,14 +1,17 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a row of tokens: runs of words, and tags. Words score positive and tags
-negative, with weights that are log odds from labelled pages; words in furniture (menus,
-headers, footers, adverts, notices, forms, readers' comments) score nothing. One linear scan
-finds the contiguous region with the largest sum; its blocks, without furniture inside
-it, are the main text.
-
-Defined results: null and empty pages and pages without words outside furniture give the
+A page is a row of tokens: runs of words, and tags. Words score by the log odds of the block
+they stand in, which a logistic model learned from labelled pages: from the elements around
+it, the names in their class, id and role, the share of words in links, its length, how it
+ends, the words of short blocks and of the last heading. So the words of articles score
+positive, and those of menus, notices, adverts, forms and readers' comments negative, as do tags.
+One linear scan finds the contiguous region with the largest sum; its blocks, without those whose
+log odds lie below a bound that the labelled pages set, are the main text.
+
+Defined results: null and empty pages, and pages of nothing but clear furniture, give the
 empty text; of equally good regions the first counts; a region that begins or ends inside
-a block takes the whole block. Unclosed comments, scripts and tags end with the page.
+a block takes the whole block; repeated pages give equal texts. Unclosed comments, scripts and
+tags end with the page. Very long pages take linear time.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .labelled_pages import PAGES
+from .labelled_pages import PAGES, composed
 
 TOKEN_RE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -40,117 +44,202 @@ WORD_PART_RE = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-FURNITURE_TAGS = frozenset("aside button datalist dialog footer form head menu nav select".split())
-CONTENT_TAGS = frozenset(("article", "main"))
-#: Names in class, id or role that mark furniture.
-FURNITURE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer form gdpr login "
-    "masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion recommended related replies reply search share sharing sidebar signup "
-    "social sponsor sponsored subscribe subscription toolbar widget alert".split()
-)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Composed pages that the default model learns from, and how often a feature must come.
+LEARNED_PAGES = 300
+LEAST_SEEN = 15
+RIDGE = 1.0
+#: Words of a block this short are features; a word scores this much at most.
+SHORT_BLOCK = 12
+MOST_SCORE = 3.0
+#: What a block of furniture costs at most, and one of content gains at least, so that a long advert does
+#: not cut off the end of an article.
+MOST_COST, LEAST_GAIN = 2.0, 6.0
 #: Elements that end an open paragraph.
 ENDS_P = BLOCKS - {"br", "body", "html", "head"}
 
 
-def is_furniture(name: str, attrs: str, in_content: bool) -> bool:
-    if name in FURNITURE_TAGS or (name == "header" and not in_content):
-        return True
-    if "=" not in attrs or name in CONTENT_TAGS or name in ("body", "html"):
-        return False
-    marks = " ".join(a or b or c for a, b, c in NAME_RE.findall(attrs)).lower()
-    parts = WORD_PART_RE.findall(marks)
-    return not FURNITURE_NAMES.isdisjoint(parts) or (not in_content and "header" in parts)
+class Token:
+    """``kind``: the tag's name, or empty for text; ``block``: number of the block that text is in."""
 
+    __slots__ = ("kind", "text", "words", "block")
 
-class Token:
-    """``kind``: the tag's name, or ``text``, ``link`` and ``furniture`` for words; ``inside``:
-    within an article element."""
+    def __init__(self, kind: str, text: str = "", words: int = 0, block: int = -1) -> None:
+        self.kind, self.text, self.words, self.block = kind, text, words, block
+
+
+class Block:
+    """Text between two block tags, and what is open around it."""
+
+    __slots__ = ("around", "text", "words", "linked", "heading")
+
+    def __init__(self, around: tuple[str, ...], heading: tuple[str, ...]) -> None:
+        self.around, self.heading, self.text, self.words, self.linked = around, heading, "", 0, 0
 
-    __slots__ = ("kind", "inside", "text", "words")
+    def links(self) -> int:
+        """Class of the share of words in links."""
+        share = self.linked / max(1, self.words)
+        return 0 if not share else 1 if share < 0.5 else 2 if share < 1 else 3
 
-    def __init__(self, kind: str, inside: bool, text: str = "", words: int = 0) -> None:
-        self.kind, self.inside, self.text, self.words = kind, inside, text, words
+    def features(self) -> list[str]:
+        """What the model sees of the block."""
+        n = self.words
+        size = "1" if n < 2 else "2-4" if n < 5 else "5-9" if n < 10 else "10-19" if n < 20 else "20+"
+        ends = "." if self.text[-1:] in ".?!:;\"'" else "-"
+        words = WORD_PART_RE.findall(self.text.lower()[:400]) if n <= SHORT_BLOCK else []
+        first = self.text[:60].split()[:2]
+        out = [*self.around, f"size {size}", f"size {size}{ends}", f"links {self.links()}"]
+        out += [f"word {w}" for w in words] + [f"head {w}" for w in self.heading]
+        out += ["rights"] if self.text[:1] == "©" else []
+        return [*out, "named speaker"] if any(w.endswith(":") for w in first) else out
 
 
-def tokens(page: str) -> Iterator[Token]:
-    """Tokens of a whole page in order."""
-    stack: list[tuple[str, bool]] = []
+def name_parts(attrs: str) -> list[str]:
+    """Words of the names in class, id and role, and each name as a whole."""
+    if "=" not in attrs:
+        return []
+    names = " ".join(a or b or c for a, b, c in NAME_RE.findall(attrs)).lower().split()
+    return [f"name {w}" for n in names for w in {*WORD_PART_RE.findall(n), n}]
+
+
+def parsed(page: str) -> tuple[list[Token], list[Block]]:
+    """Tokens and blocks of a whole page in order."""
+    stack: list[tuple[str, list[str]]] = []
     opened: Counter = Counter()
-    open_furniture = content = links = 0
+    around: Counter = Counter()
+    row: list[Token] = []
+    blocks: list[Block] = []
+    current: Block | None = None
+    pieces: list[str] = []
+    heading: tuple[str, ...] = ()
+    last_tag = ""
+
+    def close_block() -> None:
+        nonlocal current, heading
+        if current is not None:
+            current.text = " ".join("".join(pieces).split())
+            current.words = current.text.count(" ") + 1 if current.text else 0
+            if last_tag in HEADINGS:
+                heading = tuple(WORD_PART_RE.findall(current.text.lower()[:200]))[:8]
+            current = None
+            pieces.clear()
 
     def pop_to(depth: int) -> None:
-        nonlocal open_furniture, content, links
         while len(stack) > depth:
-            name, furniture = stack.pop()
+            name, marks = stack.pop()
             opened[name] -= 1
-            open_furniture -= furniture
-            content -= name in CONTENT_TAGS
-            links -= name == "a"
+            for m in marks:
+                around[m] -= 1
+                if not around[m]:
+                    del around[m]
 
     for m in TOKEN_RE.finditer(page):
         if (text := m["text"]) is not None:
+            text = html.unescape(text)
+            if current is None:
+                current = Block(tuple(around), heading)
+                blocks.append(current)
             words = len(text.split())
-            if words or text:
-                yield Token("furniture" if open_furniture else "link" if links else "text", content > 0, html.unescape(text), words)
+            pieces.append(text)
+            current.linked += words if opened["a"] else 0
+            row.append(Token("", text, words, len(blocks) - 1))
         elif (name := m["name"]) is not None:
             name = name.lower()
+            if name in BLOCKS:
+                close_block()
+                last_tag = "" if m["close"] else name
             if m["close"]:
                 if opened[name]:
                     pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             else:
                 if name in ENDS_P and opened["p"]:
                     for depth in range(len(stack) - 1, -1, -1):
-                        if stack[depth][0] == "p" and not stack[depth][1]:
+                        if stack[depth][0] == "p":
                             pop_to(depth)
                             break
                         if stack[depth][0] in BLOCKS:
                             break
-                furniture = is_furniture(name, m["attrs"], content > 0)
                 if name not in VOID and not m["attrs"].endswith("/"):
-                    stack.append((name, furniture))
+                    marks = [f"in {name}"] + ([] if name in ("body", "html") else name_parts(m["attrs"]))
+                    stack.append((name, marks))
                     opened[name] += 1
-                    open_furniture += furniture
-                    content += name in CONTENT_TAGS
-                    links += name == "a"
-            yield Token(name, content > 0)
-
-
-def learn_weights(pages: list[tuple[str, str]]) -> dict[tuple[str, bool], float]:
-    """Log odds of lying inside the main text, by kind of token and article element:
-    words at least LEAST_WORD, tags at most LEAST_TAG, furniture words 0."""
+                    for mark in marks:
+                        around[mark] += 1
+            row.append(Token(name))
+    close_block()
+    return row, blocks
+
+
+class Model:
+    """Log odds of blocks by feature, of tags by name, and the bound below which a block goes."""
+
+    def __init__(self, features: dict[str, float], tags: dict[str, float], bound: float = 0.0) -> None:
+        self.features, self.tags, self.bound = features, tags, bound
+
+    def odds(self, blocks: list[Block]) -> list[float]:
+        """Of each block. Where none is above even odds, as on a page of a few words, blocks are judged
+        by their surroundings alone."""
+        get = self.features.get
+        out = [get("", 0.0) + sum(get(f, 0.0) for f in set(b.features())) for b in blocks]
+        if any(o >= 0 and b.words for o, b in zip(out, blocks, strict=True)):
+            return out
+        return [sum(get(f, 0.0) for f in (*b.around, *(f"head {w}" for w in b.heading))) for b in blocks]
+
+
+def fitted(rows: list[list[str]], inside: list[bool]) -> dict[str, float]:
+    """Ridge logistic regression on sets of features by Newton's method; the constant is ``""``."""
+    seen = Counter(f for row in rows for f in set(row))
+    names = ["", *sorted(f for f, n in seen.items() if n >= LEAST_SEEN)]
+    place = {f: k for k, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    x[:, 0] = 1
+    for k, row in enumerate(rows):
+        x[k, [place[f] for f in set(row) if f in place]] = 1
+    y, beta, penalty = np.array(inside, float), np.zeros(len(names)), np.full(len(names), RIDGE)
+    penalty[0] = 0
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        gradient = x.T @ (p - y) + penalty * beta
+        beta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), gradient)
+    return {f: float(b) for f, b in zip(names, beta, strict=True)}
+
+
+def learn(pages: list[tuple[str, str]]) -> Model:
+    """Model of labelled pages. Tags score the log odds of lying between the first and the last block of
+    the main text, divided by ``TAG_SHARE`` and at most ``LEAST_TAG``. The bound is the one, of a few, at
+    which most pages come out as labelled."""
+    rows, marks = [], []
     inside, outside = Counter(), Counter()
-    for page, main in pages:
-        lines = set(main.split("\n"))
-        row = list(tokens(page))
-        places, block, start = [], [], 0
-        for k, t in enumerate([*row, Token("p", False)]):
-            if t.kind in BLOCKS:
-                if " ".join("".join(block).split()) in lines:
-                    places.append((start, k))
-                block, start = [], k + 1
-            elif t.text and t.kind != "furniture":
-                block.append(t.text)
-        lo, hi = (places[0][0], places[-1][1]) if places else (0, 0)
+    read = [parsed(page) for page, _ in pages]
+    for (row, blocks), (_, main) in zip(read, pages, strict=True):
+        left, good = Counter(main.split("\n")), []
+        for b in blocks:
+            good.append(left[b.text] > 0)
+            left[b.text] -= 1
+            if b.words:
+                rows.append(b.features())
+                marks.append(good[-1])
+        held = [k for k, t in enumerate(row) if t.block >= 0 and t.words and good[t.block]]
         for k, t in enumerate(row):
-            (inside if lo <= k < hi else outside)[t.kind, t.inside] += t.words or (0 if t.text else 1)
-    weights = {}
-    for key in {*inside, *outside}:
-        odds = math.log((inside[key] + 0.5) / (outside[key] + 0.5))
-        word = key[0] in ("text", "link")
-        weights[key] = 0.0 if key[0] == "furniture" else max(LEAST_WORD, odds) if word else min(LEAST_TAG, odds / TAG_SHARE)
-    return weights
+            if t.kind:
+                (inside if held and held[0] <= k <= held[-1] else outside)[t.kind] += 1
+    tags = {k: min(LEAST_TAG, math.log((inside[k] + 0.5) / (outside[k] + 0.5)) / TAG_SHARE) for k in {*inside, *outside}}
+    model = Model(fitted(rows, marks), tags)
+    seen = [(row, blocks, model.odds(blocks)) for row, blocks in read]
+    right = {b: sum(region_text(*x, tags, b) == main for x, (_, main) in zip(seen, pages, strict=True)) for b in BOUNDS}
+    model.bound = max(BOUNDS, key=lambda b: (right[b], -abs(b)))
+    return model
 
 
-LEAST_WORD, LEAST_TAG = 0.1, -0.05
+LEAST_TAG, OTHER_TAG = -0.05, -0.2
 #: Tags say less than words do: an article holds many short blocks.
 TAG_SHARE = 4.0
-#: Tags that the labelled pages don't show.
-OTHER_TAG = {True: -0.05, False: -0.3}
+BOUNDS = (0.0, -0.5, -1.0, -1.5, -2.0, -3.0)
 
 
 @lru_cache(maxsize=1)
-def default_weights() -> dict[tuple[str, bool], float]:
-    return learn_weights(PAGES)
+def default_model() -> Model:
+    return learn(PAGES * 5 + [composed(k) for k in range(LEARNED_PAGES)])
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -165,39 +254,32 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return lo, hi
 
 
-def main_text(page: str | None, weights: dict[tuple[str, bool], float] | None = None) -> str:
+def region_text(row: list[Token], blocks: list[Block], odds: list[float], tags: dict[str, float], bound: float) -> str:
+    """Text of the best region of a parsed page, without the blocks below the bound."""
+    worth = [max(min(MOST_SCORE, o), LEAST_GAIN / max(1, b.words)) if o >= 0 else max(o, -MOST_SCORE, -MOST_COST / max(1, b.words)) for o, b in zip(odds, blocks, strict=True)]
+    lo, hi = best_region([tags.get(t.kind, OTHER_TAG) if t.kind else worth[t.block] * t.words for t in row])
+    wanted = dict.fromkeys(t.block for t in row[lo:hi] if not t.kind)
+    return "\n".join(blocks[k].text for k in wanted if blocks[k].words and odds[k] >= bound)
+
+
+def main_text(page: str | None, model: Model | None = None) -> str:
     """Main text of one page, a line for each block."""
     if not page:
         return ""
-    weights = default_weights() if weights is None else weights
-    row = list(tokens(page))
-    lo, hi = best_region([weights.get((t.kind, t.inside), 0.0 if t.text else OTHER_TAG[t.inside]) * (t.words if t.text else 1) for t in row])
-    if lo == hi:
-        return ""
-    while lo and row[lo - 1].kind not in BLOCKS:
-        lo -= 1
-    while hi < len(row) and row[hi].kind not in BLOCKS:
-        hi += 1
-    out, block = [], []
-    for t in [*row[lo:hi], Token("p", False)]:
-        if t.kind in BLOCKS:
-            if line := " ".join("".join(block).split()):
-                out.append(line)
-            block = []
-        elif t.text and t.kind != "furniture":
-            block.append(t.text)
-    return "\n".join(out)
+    model = default_model() if model is None else model
+    row, blocks = parsed(page)
+    return region_text(row, blocks, model.odds(blocks), model.tags, model.bound)
 
 
 def extract(pages: DataFrame, page: str = "html", labelled: list[tuple[str, str]] | None = None) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` in place of columns of these names."""
     ship(pages.sparkSession)
-    weights = default_weights() if labelled is None else learn_weights(labelled)
+    model = default_model() if labelled is None else learn(labelled)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            yield pd.Series([main_text(x, weights) for x in rows], dtype=object)
+            yield pd.Series([main_text(x, model) for x in rows], dtype=object)
 
     made = pages.withColumn("__main", run(F.col(page).cast("string")))
     others = [c for c in pages.columns if c not in ("text", "n_chars")]

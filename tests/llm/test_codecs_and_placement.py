@@ -9,7 +9,7 @@ from tessera.llm import main_text as H
 from tessera.llm import piece_codec as C
 from tessera.llm import sharding as S
 from tessera.llm import token_files as F
-from tessera.llm.labelled_pages import PAGES
+from tessera.llm.labelled_pages import PAGES, composed
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -205,6 +205,44 @@ def test_pages(page, want):
     assert H.main_text(page) == want
 
 
+def test_unseen_layouts_are_mostly_recovered():
+    """Pages whose layouts, names and words were drawn with other seeds than those learned from."""
+    exact = lost = extra = lines = 0
+    for k in range(5000, 5200):
+        page, main = composed(k)
+        got, want = H.main_text(page).split("\n"), main.split("\n")
+        exact += got == want
+        lines += len(want)
+        lost += sum(x not in got for x in want)
+        extra += sum(x not in want for x in got)
+    assert exact >= 170 and lost <= 0.03 * lines and extra <= 0.02 * lines
+
+
+def test_names_and_comments_are_told_by_what_is_around_them():
+    page = '<article><h1>Prices</h1><p>Wheat was dear this year, the board said on Monday.</p><div class="share-price"><p>Shares rose to nine.</p></div><p>More rain is expected in the south.</p></article>'
+    assert H.main_text(page).split("\n")[2] == "Shares rose to nine."
+    page = "<div class=c1><a href=1>A</a> <a href=2>B</a></div><div class=c2><p>The board met twice in the spring and agreed on the plan for the wall.</p></div><div class=c3><h3>Comments</h3><p>Anna: I liked this very much indeed.</p><p>Jo: So did I.</p></div>"
+    assert H.main_text(page) == "The board met twice in the spring and agreed on the plan for the wall."
+
+
+def plain_region(row, blocks, odds, tags, bound):
+    """Text of the best of all regions, tried one by one."""
+    worth = [max(min(H.MOST_SCORE, o), H.LEAST_GAIN / max(1, b.words)) if o >= 0 else max(o, -H.MOST_SCORE, -H.MOST_COST / max(1, b.words)) for o, b in zip(odds, blocks, strict=True)]
+    scores = [tags.get(t.kind, H.OTHER_TAG) if t.kind else worth[t.block] * t.words for t in row]
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    lo, hi = max(((i, j) for i in range(len(row) + 1) for j in range(i, len(row) + 1)), key=lambda r: (round(sums[r[1]] - sums[r[0]], 9), -r[0], -r[1]))
+    inside = sorted({t.block for t in row[lo:hi] if not t.kind})
+    return "\n".join(blocks[k].text for k in inside if blocks[k].words and odds[k] >= bound)
+
+
+def test_main_text_equals_all_regions_tried():
+    model = H.default_model()
+    for k in range(6000, 6040):
+        row, blocks = H.parsed(composed(k)[0])
+        odds = model.odds(blocks)
+        assert H.main_text(composed(k)[0]) == plain_region(row, blocks, odds, model.tags, model.bound)
+
+
 def test_best_region_equals_all_ranges():
     rng = np.random.default_rng(4)
     for _ in range(200):
