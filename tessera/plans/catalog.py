@@ -10,7 +10,7 @@ from tessera.operators import assign, clusters, decisions, grid, render, strateg
 from tessera.sources import incremental
 from tessera.sources.derived import view
 
-from . import sequences
+from . import repairs, sequences
 from .oracles import SQL
 
 
@@ -107,7 +107,7 @@ QUERIES = {
     "row_likeness": over(decisions.row_likeness, CELLS),
     "independent_labels": over(lambda c: c.select("table_id", "cell_id", labels.is_label(F.col("text")).alias("is_label")), CELLS),
     "suspect_cells": over(strategy.suspects, CELLS),
-    "norm_text": over(_clean, "documents"),
+    "strip_controls": over(_clean, "documents"),
     "char_skeleton": over(lambda p: p.select("p_partkey", T.skeleton(F.col("p_name")).alias("template")), "part"),
     "value_grade_split": over(_value_grades, CELLS),
     "jaccard_rows": over(_first_lines, "documents"),
@@ -118,8 +118,7 @@ QUERIES = {
     "md_table": over(render.markdown_tables, CELLS),
     "html_table": over(render.html_tables, CELLS),
     "html_to_markdown": over(lambda c: render.pages_markdown(render.html_tables(c)).select("table_id", "md"), CELLS),
-    "health_score": over(lambda c: render.health(render.html_tables(c)), CELLS),
-    "ocr_json_parse": over(lambda e: e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k")), "events"),
+    "json_field": over(lambda e: e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k")), "events"),
     "cache_key": over(lambda d: d.select("doc_id", incremental.cache_key("text", "v1", "tables").alias("cache_key")), "documents"),
     "cache_miss": over(lambda d, c: incremental.cache_misses(d.select("doc_id"), c.select("doc_id"), "doc_id"), "documents", "labels"),
     "archive_select": over(incremental.selected, "v_inputs", "v_archive"),
@@ -128,7 +127,7 @@ QUERIES = {
 }
 
 
-QUERIES |= {name: over(operator, *relations) for name, (operator, relations) in sequences.QUERIES.items()}
+QUERIES |= {name: over(operator, *relations) for name, (operator, relations) in (sequences.QUERIES | repairs.QUERIES).items()}
 
 
 def queries():
@@ -138,4 +137,4 @@ def queries():
 
 def oracle_sql():
     """DuckDB SQL by query name."""
-    return SQL | sequences.SQL
+    return SQL | sequences.SQL | repairs.SQL

@@ -111,7 +111,7 @@ SQL = {
     "quality_score": f"{prelude(*BOTH)}, {BY_CENTRE}, {METRICS.format(name='metrics')} SELECT table_id, {QUALITY} AS quality FROM metrics",
     "looks_over_under": f'{prelude(*BOTH)}, {BY_CENTRE}, {METRICS.format(name="metrics")} SELECT table_id, n_cells, n_boxes, under, "over" FROM metrics',
     "nms_edges": over_boxes(f"SELECT a.table_id, a.box_id AS keeper, b.box_id AS dropped FROM v_boxes a JOIN v_boxes b ON a.table_id = b.table_id AND a.box_id <> b.box_id AND ({iou('a', 'b')} >= 0.78 OR (CASE WHEN {common('a', 'b')} > 1e-9 THEN {common('a', 'b')}/greatest(least({area('a')}, {area('b')}), 1e-9) ELSE 0.0 END) >= 0.97) AND (a.score > b.score OR (a.score = b.score AND ({area('a')} > {area('b')} OR ({area('a')} = {area('b')} AND a.box_id < b.box_id))))"),
-    "norm_text": f"SELECT doc_id, md5({CLEAN}) AS digest, length({CLEAN}) AS n FROM documents",
+    "strip_controls": f"SELECT doc_id, md5({CLEAN}) AS digest, length({CLEAN}) AS n FROM documents",
     "char_skeleton": f"SELECT p_partkey, {SKELETON.format('p_name')} AS template FROM part",
     "value_grade_split": over_cells(r"SELECT table_id, cell_id, regexp_extract(trim(text), '(?i)^([<>]?[0-9]+(?:\.[0-9]+)?)[ \t]*([AB]\+?)$', 1) AS value, upper(regexp_extract(trim(text), '(?i)^([<>]?[0-9]+(?:\.[0-9]+)?)[ \t]*([AB]\+?)$', 2)) AS grade FROM v_cells WHERE regexp_matches(trim(text), '(?i)^([<>]?[0-9]+(?:\.[0-9]+)?)[ \t]*([AB]\+?)$')"),
     "jaccard_rows": "SELECT doc_id, CASE WHEN len(list_distinct(a || b)) = 0 THEN 0.0 ELSE len(list_intersect(a, b))*1.0/len(list_distinct(a || b)) END AS jaccard FROM (SELECT doc_id, list_distinct(string_split(split_part(text, chr(10), 1), ' ')) AS a, list_distinct(string_split(split_part(text, chr(10), 2), ' ')) AS b FROM documents) q",
@@ -120,8 +120,7 @@ SQL = {
     "md_escape": "SELECT doc_id, md5(trim(replace(replace(text, '|', '\\|'), chr(10), '<br>'))) AS digest FROM documents",
     "md_table": over_cells(f", {GRID}, lines AS (SELECT table_id, r, '| ' || string_agg(trim(replace(replace(text, '|', '\\|'), chr(10), '<br>')), ' | ' ORDER BY c) || ' |' AS line, count(*) AS n FROM grid GROUP BY ALL) SELECT table_id, string_agg(CASE WHEN r = 0 THEN line || chr(10) || '| ' || array_to_string(list_transform(range(n), lambda x: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY r) AS md FROM lines GROUP BY ALL"),
     "html_table": over_cells(f", {HTML} SELECT * FROM htmls"),
-    "health_score": over_cells(f", {HTML} SELECT table_id, n_rows, n_cells, (CASE WHEN n_rows >= 10 AND n_rows >= ceil(n_cells*1.0/n_rows) THEN 6.0 ELSE 0.0 END - CASE WHEN n_rows <= 6 AND ceil(n_cells*1.0/n_rows) >= 12 THEN 12.0 ELSE 0.0 END)::DOUBLE AS health FROM (SELECT table_id, len(string_split(html, '<tr'))-1 AS n_rows, len(string_split(html, '<td'))-1 AS n_cells FROM htmls) q"),
-    "ocr_json_parse": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "json_field": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "cache_key": "SELECT doc_id, sha1(coalesce(text, '') || '|v1|tables') AS cache_key FROM documents",
     "cache_miss": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "archive_select": f"{prelude('v_archive', 'v_inputs')} SELECT i.name, CASE WHEN a.status IS NULL THEN 'new' WHEN a.status = 'failed' THEN 'retry' WHEN a.status = 'success' AND NOT (a.size = i.size AND a.mtime_ns = i.mtime_ns) THEN 'changed' WHEN a.status = 'success' AND NOT i.output_present THEN 'out_missing' WHEN a.status = 'success' THEN 'skip' ELSE 'retry' END AS action FROM v_inputs i LEFT JOIN v_archive a ON a.name = i.name",

@@ -86,6 +86,20 @@ FROM ({_KEYED.format(key="free_id", more="")}) s"""
 #: Detected tables of a page, four to a page, with their confidence.
 DETECTED = "SELECT CAST(floor(table_id/4) AS BIGINT) AS page_id, table_id, avg(score) AS confidence FROM v_boxes GROUP BY table_id"
 
+_NUMBERS = "concat(CAST(CAST(x1 AS INT) AS VARCHAR(9)), ',', CAST(CAST(y1 AS INT) AS VARCHAR(9)), ',', CAST(CAST(x2 AS INT) AS VARCHAR(9)), ',', CAST(CAST(y2 AS INT) AS VARCHAR(9)))"
+_CORNERS = "concat('[', CAST(CAST(x1 AS INT) AS VARCHAR(9)), ',', CAST(CAST(y1 AS INT) AS VARCHAR(9)), '],[', CAST(CAST(x2 AS INT) AS VARCHAR(9)), ',', CAST(CAST(y1 AS INT) AS VARCHAR(9)), '],[', CAST(CAST(x2 AS INT) AS VARCHAR(9)), ',', CAST(CAST(y2 AS INT) AS VARCHAR(9)), ']')"
+_SHARES = "concat(CAST(CAST(x1 AS INT) AS VARCHAR(9)), 'e-3,', CAST(CAST(y1 AS INT) AS VARCHAR(9)), 'e-3,', CAST(CAST(x2 AS INT) AS VARCHAR(9)), 'e-3,', CAST(CAST(y2 AS INT) AS VARCHAR(9)), 'e-3')"
+
+#: Result lines with one box each, in the forms that services give them; every seventh is broken.
+OCR_LINES = """
+SELECT table_id, box_id AS line_id, CASE WHEN box_id % 7 = 6 THEN '{broken' ELSE concat(CASE box_id % 5
+  WHEN 0 THEN concat('{"result":{"ocrResults":[{"prunedResult":{"rec_texts":["', text, '"],"rec_polys":[[', @corners, ']],"rec_scores":[0.5]}}]}}')
+  WHEN 1 THEN concat('{"result":{"ocrResults":[{"prunedResult":{"rec_texts":["', text, '"],"rec_polys":[],"rec_boxes":[[', @numbers, ']]}}]}}')
+  WHEN 2 THEN concat('{"ocrResults":[{"coordinates":[', @shares, '],"text":"', text, '","width":1000,"height":2000}]}')
+  WHEN 3 THEN concat('{"result":{"ocrResults":[],"prunedResult":{"rec_texts":["', text, '"],"dt_boxes":[[', @numbers, ']],"rec_scores":[0.25]}}}')
+  ELSE concat('{"ocrResults":[{"coordinates":[', @corners, '],"text":"', text, '","score":0.75}]}') END, '') END AS value
+FROM v_boxes""".replace("@numbers", _NUMBERS).replace("@corners", _CORNERS).replace("@shares", _SHARES)
+
 #: View text and the tables or views it reads.
 VIEWS = {
     "v_cells": (CELLS, ("lineitem",)),
@@ -94,6 +108,7 @@ VIEWS = {
     "v_rules": (RULES, ("lineitem",)),
     "v_free": (FREE, ("lineitem",)),
     "v_detected": (DETECTED, ("v_boxes",)),
+    "v_ocr": (OCR_LINES, ("v_boxes",)),
     "v_boundaries": (BOUNDARIES, ("v_cells",)),
     "v_archive": (ARCHIVE, ("orders",)),
     "v_inputs": (INPUTS, ("orders",)),
@@ -105,7 +120,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text, reads = VIEWS[name]
-    text = text.replace("unnest(generate_series(", "explode(sequence(")
+    text = text.replace("unnest(generate_series(", "explode(sequence(").replace("{", "{{").replace("}", "}}")
     frames = {}
     for source in reads:
         frames[source] = view(spark, sf_dir, source)

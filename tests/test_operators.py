@@ -104,6 +104,134 @@ def test_result_lines(spark):
     assert [tuple(r) for r in got] == [(0, 0, "a", 0.5, 0.0, 1.0, 4.0, 3.0), (0, 1, "b", 1.0, 5.0, 5.0, 6.0, 9.0)]
 
 
+
+def test_result_lines_in_other_forms(spark):
+    lines = [
+        '{"result":{"ocrResults":[{"prunedResult":{"rec_texts":["a"],"rec_boxes":[[1,2,3,4]]}},{"coordinates":"no"},{"coordinates":[0.1,0.2,0.3,0.4],"text":"s","width":10,"height":100}]}}',
+        '{"ocrResults":[],"dataInfo":{"width":50,"height":20},"prunedResult":{"rec_texts":["p","q"],"dt_polys":[[[0,0],[1,0],[1,1]]],"rec_scores":[0.5]}}',
+        '{"ocrResults":[{"coordinates":[[5,6],[9,6],[9,8],[5,8]],"score":0.5}]}', '{"ocrResults":[{"coordinates":[0.5,0.5,1,1],"text":"w"}],"dataInfo":{"width":40,"height":20}}', "[1]", "", None,
+    ]
+    got = ocr.text_boxes(spark.createDataFrame([(x,) for x in lines], "value string")).drop("value").collect()
+    want = [(0, 0, "a", 1.0, 1.0, 2.0, 3.0, 4.0), (2, 0, "s", 0.0, 1.0, 20.0, 3.0, 40.0), (0, 0, "p", 0.5, 0.0, 0.0, 1.0, 1.0), (0, 0, "", 0.5, 5.0, 6.0, 9.0, 8.0), (0, 0, "w", 0.0, 20.0, 10.0, 40.0, 20.0)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+class Recogniser:
+    """Answers at the second question; one picture fails twice, one always."""
+
+    failures: dict = {}
+
+    def __init__(self):
+        self.asked = 0
+
+    def submit(self, content):
+        left = {b"twice": 2, b"never": 9}.get(bytes(content), 0)
+        done = Recogniser.failures.get(bytes(content), 0)
+        Recogniser.failures[bytes(content)] = done + 1
+        if done < left:
+            raise OSError("busy")
+        self.asked = 0
+        return bytes(content).decode()
+
+    def done(self, job):
+        self.asked += 1
+        return self.asked > 1
+
+    def lines(self, job):
+        return [f"{job}-1", "", f"{job}-2"]
+
+
+def test_recognition_is_tried_again(spark):
+    pictures = spark.createDataFrame([("a", b"fine"), ("b", b"twice"), ("c", b"never")], "path string, content binary").coalesce(1)
+    got = [tuple(r) for r in ocr.recognised(pictures, Recogniser, wait=0, poll=0).collect()]
+    assert got == [("a", "fine-1", None), ("a", "fine-2", None), ("b", "twice-1", None), ("b", "twice-2", None), ("c", None, "OSError: busy")]
+
+
+def test_folders_of_pictures_and_pages(spark, tmp_path):
+    for name, content in (("b.PNG", b"1"), ("a.jpg", b"2"), ("c.txt", b"3"), ("x.html", "<h1>é</h1>".encode("gbk")), ("y.htm", "<h1>é</h1>".encode())):
+        (tmp_path / name).write_bytes(content)
+    assert [r["path"][-5:] for r in ocr.images(spark, str(tmp_path)).collect()] == ["a.jpg", "b.PNG"]
+    assert ocr.image(spark, "a.jpg", str(tmp_path)).count() == 1
+    assert {r["html"] for r in ocr.html_files(spark, str(tmp_path)).collect()} == {"<h1>é</h1>"}
+    for call in (lambda: ocr.images(spark, str(tmp_path / "*.txt")), lambda: ocr.image(spark, "none.png", str(tmp_path))):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_structures_come_from_one_model_a_partition(spark):
+    cell = {"row_start": 0, "row_end": 0, "col_start": 0, "col_end": 1, "x1": 0.0, "y1": 0.0, "x2": 5.0, "y2": 5.0}
+    pictures = spark.createDataFrame([("a", b"xx"), ("b", b"")], "path string, content binary")
+    got = ocr.structures(pictures, lambda: lambda content: [cell] * len(content)).collect()
+    assert [(r["path"], r["cell_id"], r["col_end"]) for r in got] == [("a", 0, 1), ("a", 1, 1)]
+
+
+def test_files_are_written_by_image_and_format(spark, tmp_path):
+    boxes = spark.createDataFrame([("i", 0, 0.4, 1.0, 9.0, 5.0, 0.5, 'a "b"'), ("i", 1, 2.0, 2.0, 4.0, 4.0, 1.0, "c")], "image_id string, box_id int, x1 double, y1 double, x2 double, y2 double, score double, text string")
+    paths = [r["path"] for r in ocr.write_outputs(ocr.artifacts(boxes), str(tmp_path / "out")).collect()]
+    assert sorted(p.split("/")[-1] for p in paths) == ["i.csv", "i.json"]
+    assert (tmp_path / "out/i.csv").read_text("utf-8-sig").splitlines()[1].startswith('1,"a ""b""",0.5000,0.4,1.0,')
+    assert '"text":"c"' in (tmp_path / "out/i.json").read_text()
+    png = bytes(ocr.overlays(boxes).first()["png"])
+    assert png[:8] == b"\x89PNG\r\n\x1a\n" and png[-8:-4] == b"IEND"
+
+
+def test_archive_documents(spark, tmp_path):
+    rows = [("b.png", "success", 5, 7), ("a.png", "failed", 1, 2)]
+    incremental.write_archive(spark.createDataFrame(rows, "name string, status string, size bigint, mtime_ns bigint"), str(tmp_path / "archive"))
+    assert sorted(tuple(r)[:4] for r in incremental.read_archive(spark, str(tmp_path / "archive")).collect()) == sorted(rows)
+    assert incremental.read_archive(spark, str(tmp_path / "none")).count() == 0
+    texts = ['{"items":[{"name":"x","status":"success"},{"status":"failed"}]}', '{"items":{"y":{"status":"failed"}}}', "{broken", "[]"]
+    assert sorted((r["name"], r["status"]) for r in incremental.archive_rows(spark.createDataFrame([(t,) for t in texts], "value string")).collect()) == [("x", "success"), ("y", "failed")]
+
+
+def test_newest_row_of_a_key(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert incremental.read_cache(spark, path, "k", "at").count() == 0
+    for at, value in ((1, "old"), (2, "new")):
+        incremental.append_results(spark.createDataFrame([("a", at, value)], "k string, at int, v string"), path)
+    assert [tuple(r) for r in incremental.read_cache(spark, path, "k", "at").collect()] == [("a", 2, "new")]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<h2>T <b>x</b></h2><p>a &amp; b<br>c</p><table><tr><th>h</th></tr><tr><td>1</td></tr></table>", "## Tx\n\n**a & bc**\n\n| h |\n| --- |\n| 1 |\n"),
+        ("<div>one<span> two </span></div>", "one\ntwo\n"), ("", ""), (None, ""), ("<table><tr><td><p>in</p></td></tr></table>", "| in |\n| --- |\n"),
+    ],
+)
+def test_page_markdown(page, want):
+    assert render.page_markdown(page) == want
+
+
+@pytest.mark.parametrize("text, want", [("烯键式不饱和", "ene"), ("封端剂", "cap"), ("三官能硅烷", "silane_三"), ("四羧酸", "acid"), ("二胺", "amine"), ("共聚成分", "copoly"), ("树脂", "cjk"), ("AB", "other"), (None, "other")])
+def test_header_categories(spark, text, want):
+    assert one(spark, text, T.header_category) == want
+
+
+def test_pieces_of_a_line(spark):
+    rows = spark.createDataFrame([("树", "脂", ""), ("ab", "cd", ""), ("(", "x", ""), ("x", ")", ""), ("", "x", ""), ("树", "a", "")], "a string, b string, c string")
+    assert [r[0] for r in rows.select(T.joined_pieces(F.col("a"), F.col("b"))).collect()] == ["树脂", "ab cd", "(x", "x)", "x", "树 a"]
+    assert one(spark, "树a b", lambda c: F.transform(T.prefix_widths(c), lambda w: F.round(w, 2))) == [0.0, 1.0, 1.55, 1.85, 2.4]
+    assert one(spark, "树a b", lambda c: T.char_index(c, F.lit(0.5))) == 1
+
+
+BAD = "<table>" + "<tr></tr>" * 5 + "</table>"
+GOOD = "<table><tr><td>组合物</td><td>灵敏度</td></tr>" + "".join(f"<tr><td>实施例{k}</td><td>4</td></tr>" for k in range(10)) + "</table>"
+SIDE = "<table><tr>" + "".join(f"<td>实施例{k}</td>" for k in range(7)) + "</tr></table>"
+DUMP = "<table>" + ("<tr>" + "<td>A</td>" * 12 + "</tr>") * 2 + "</table>"
+
+
+@pytest.mark.parametrize("html, broken, health", [("no", False, -100.0), ("<table", False, -50.0), (BAD, True, -15.0), (GOOD, False, 20 + 12 + 6 + 4), (SIDE, True, -15.0), (DUMP, True, -27.0), ("<p>AB</p>" * 8 + GOOD, True, -15 + 12 + 6 + 4)])
+def test_health(spark, html, broken, health):
+    row = render.health(spark.createDataFrame([(1, html)], "table_id bigint, html string")).first()
+    assert (row["broken"], row["health"]) == (broken, pytest.approx(health))
+
+
+def test_garbage(spark):
+    rows = [("x", 0.1, 0.0, 0.1), ("树", 0.6, None, None), ("ab", 0.1, 0.001, 0.1), ("ab", 0.9, 0.0, 0.1), ("树", 0.7, 0.02, 0.1), ("、", 0.3, None, None), ("", 0.1, 0.0, 0.1)]
+    frame = spark.createDataFrame(rows, "t string, s double, i double, m double")
+    assert [r[0] for r in frame.select(T.garbage(F.col("t"), F.col("s"), F.col("i"), F.col("m"))).collect()] == [False, True, True, False, True, True, False]
+
 def test_entry(spark):
     import __spark_entry__
 
