@@ -36,12 +36,24 @@ def by_overlap(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     return hits.groupBy("b.table_id", "b.box_id").agg(best).select(*KEY, "best.cell_id", "best.ioa")
 
 
+def matched(boxes: DataFrame, cells: DataFrame) -> DataFrame:
+    """``centre`` and ``overlap``: the cells of :func:`by_centre` and :func:`by_overlap` of each box that has
+    either, from one join on table and band."""
+    b, c = banded(boxes, "b", "y1", "y2"), banded(cells, "c", "y1", "y2")
+    holds, share = holds_centre("c", "b"), ioa("b", "c")
+    hits = b.join(c, (F.col("b.table_id") == F.col("c.table_id")) & (F.col("b.band") == F.col("c.band")) & (holds | (share > 0)))
+    centre_cell = F.min_by(F.when(holds, F.col("c.cell_id")), F.when(holds, F.struct(area("c"), F.col("c.cell_id"))))
+    overlap_cell = F.max_by(F.when(share > 0, F.col("c.cell_id")), F.when(share > 0, F.struct(share, -area("c"), -F.col("c.cell_id"))))
+    return hits.groupBy("b.table_id", "b.box_id").agg(centre_cell.alias("centre"), overlap_cell.alias("overlap"))
+
+
+def _first_of(both: DataFrame) -> DataFrame:
+    return both.select(*KEY, F.coalesce("centre", "overlap").alias("cell_id"), F.when(F.col("centre").isNotNull(), "centre").otherwise("overlap").alias("method"))
+
+
 def combined(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """By centre where a cell holds it, else by overlap."""
-    first = by_centre(boxes, cells).withColumn("method", F.lit("centre"))
-    rest = boxes.join(first, KEY, "left_anti")
-    second = by_overlap(rest, cells).select(*KEY, "cell_id", F.lit("overlap").alias("method"))
-    return first.unionByName(second)
+    return _first_of(matched(boxes, cells))
 
 
 def table_bounds(boxes_or_cells: DataFrame, pad: float = BBOX_PAD) -> DataFrame:
@@ -51,19 +63,29 @@ def table_bounds(boxes_or_cells: DataFrame, pad: float = BBOX_PAD) -> DataFrame:
 
 def by_distance(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """The nearest cell of boxes whose centre lies in the table's bounds; the order-free form,
-    without weights for cells that hold text already."""
-    inside = boxes.alias("b").join(table_bounds(cells).alias("t"), (F.col("b.table_id") == F.col("t.table_id")) & holds_centre("t", "b"), "left_semi")
-    pairs = inside.alias("b").join(cells.alias("c"), F.col("b.table_id") == F.col("c.table_id"))
-    return pairs.groupBy("b.table_id", "b.box_id").agg(F.min_by("c.cell_id", F.struct(distance2("c", "b"), F.col("c.cell_id"))).alias("cell_id"))
+    without weights for cells that hold text already. A table's cells come to its boxes as one array."""
+    rects = F.collect_list(F.struct("cell_id", "x1", "y1", "x2", "y2")).alias("cells")
+    bounds = [(F.min("x1") - BBOX_PAD).alias("l"), (F.min("y1") - BBOX_PAD).alias("t"), (F.max("x2") + BBOX_PAD).alias("r"), (F.max("y2") + BBOX_PAD).alias("b")]
+    x, y = centre()
+    inside = boxes.withColumns({"cx": x, "cy": y}).select(*KEY, "cx", "cy").join(cells.groupBy("table_id").agg(rects, *bounds), "table_id")
+    inside = inside.where(F.col("cx").between(F.col("l"), F.col("r")) & F.col("cy").between(F.col("t"), F.col("b")))
+
+    def far(c):
+        dx = F.greatest(F.lit(0.0), c["x1"] - F.col("cx"), F.col("cx") - c["x2"])
+        dy = F.greatest(F.lit(0.0), c["y1"] - F.col("cy"), F.col("cy") - c["y2"])
+        return F.struct((dx * dx + dy * dy).alias("d"), c["cell_id"].alias("cell_id"))
+
+    return inside.select(*KEY, F.array_min(F.transform("cells", far))["cell_id"].alias("cell_id"))
 
 
 def assigned(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """Every box with its cell and the method: centre, overlap, nearest, or free text without a cell."""
-    first = combined(boxes, cells)
-    rest = boxes.join(first, KEY, "left_anti")
-    near = by_distance(rest, cells).withColumn("method", F.lit("nearest"))
-    found = first.unionByName(near)
-    return boxes.select(*KEY).join(found, KEY, "left").select(*KEY, "cell_id", F.coalesce("method", F.lit("free")).alias("method"))
+    both = boxes.join(matched(boxes, cells), KEY, "left")
+    met = F.col("centre").isNotNull() | F.col("overlap").isNotNull()
+    rest = both.where(~met)
+    near = rest.select(*KEY).join(by_distance(rest, cells), KEY, "left")
+    near = near.select(*KEY, "cell_id", F.when(F.col("cell_id").isNull(), "free").otherwise("nearest").alias("method"))
+    return _first_of(both.where(met)).unionByName(near)
 
 
 def free_text(boxes: DataFrame, cells: DataFrame) -> DataFrame:
@@ -116,39 +138,28 @@ def rows_of_boxes(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     return placed.groupBy("table_id", "cell_id").agg(items.alias("items")).select("table_id", "cell_id", F.aggregate("items", start, step, lambda acc: acc["out"]).alias("text"))
 
 
-def suppression_edges(boxes: DataFrame, least_iou: float = 0.78, least_containment: float = 0.97) -> DataFrame:
-    """Pairs of boxes of which the first, of higher score then area, suppresses the second."""
+def suppression_edges(boxes: DataFrame, least_iou: float = 0.78, least_containment: float = 0.97, with_rank: bool = False) -> DataFrame:
+    """Pairs of boxes of which the first, of higher score then area, suppresses the second; ``place``
+    ascends as the first one's rank descends."""
     from tessera.functions.geometry import containment, iou
 
     a, b = banded(boxes, "a", "y1", "y2"), banded(boxes, "b", "y1", "y2")
     rank = lambda t: F.struct(F.col(f"{t}.score"), area(t), -F.col(f"{t}.box_id"))
     near = (F.col("a.table_id") == F.col("b.table_id")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.box_id") != F.col("b.box_id"))
     pairs = a.join(b, near & ((iou("a", "b") >= least_iou) | (containment("a", "b") >= least_containment)) & (rank("a") > rank("b")))
-    return pairs.select(F.col("a.table_id").alias("table_id"), F.col("a.box_id").alias("keeper"), F.col("b.box_id").alias("dropped")).distinct()
+    place = F.struct((-F.col("a.score")).alias("score"), (-area("a")).alias("area"), F.col("a.box_id").alias("box_id")).alias("place")
+    return pairs.select(F.col("a.table_id").alias("table_id"), F.col("a.box_id").alias("keeper"), F.col("b.box_id").alias("dropped"), *([place] if with_rank else [])).distinct()
 
 
 def suppressed(boxes: DataFrame) -> DataFrame:
     """Boxes that greedy suppression keeps. A box falls only to a kept one, so the decision runs
-    down each table's edges in order of rank; only tables with edges are grouped."""
-    import pandas as pd
-
-    edges = suppression_edges(boxes)
-    ranked = boxes.select("table_id", "box_id", "score", area().alias("area"))
-    involved = edges.select("table_id", F.explode(F.array("keeper", "dropped")).alias("box_id")).distinct()
-    nodes = ranked.join(involved, KEY, "left_semi")
-    out_edges = edges.groupBy("table_id", F.col("keeper").alias("box_id")).agg(F.collect_list("dropped").alias("drops"))
+    down each table's edges in order of rank, in one fold for each table."""
+    edges = suppression_edges(boxes, with_rank=True)
+    lists = edges.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("place", "keeper", "dropped"))).alias("edges"))
 
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        for row in group.sort_values(["score", "area", "box_id"], ascending=[False, False, True]).itertuples():
-            if row.box_id not in gone and row.drops is not None:
-                gone.update(row.drops)
-        return group.loc[group["box_id"].isin(gone), ["table_id", "box_id"]]
+    def step(gone, e):
+        return F.when(F.array_contains(gone, e["keeper"]) | F.array_contains(gone, e["dropped"]), gone).otherwise(F.array_append(gone, e["dropped"]))
 
-    dropped = nodes.join(out_edges, KEY, "left").groupBy("table_id").applyInPandas(greedy, "table_id bigint, box_id int")
-    return boxes.join(dropped, KEY, "left_anti")
-
-
-def centre_columns(boxes: DataFrame) -> DataFrame:
-    x, y = centre()
-    return boxes.withColumns({"cx": x, "cy": y})
+    gone = lists.select("table_id", F.aggregate("edges", F.array().cast("array<int>"), step).alias("gone"))
+    joined = boxes.join(gone, "table_id", "left")
+    return joined.where(F.col("gone").isNull() | ~F.array_contains("gone", F.col("box_id"))).drop("gone")

@@ -205,9 +205,9 @@ def fusion_owner(atoms: DataFrame, cells: DataFrame, least: float = 0.35) -> Dat
     return pairs.groupBy("a.table_id", "a.r", "a.c").agg(best).select("table_id", "r", "c", "best.cell_id", "best.share")
 
 
-def atom_components(owned: DataFrame, rounds: int = 64) -> DataFrame:
-    """Connected groups of neighbouring atoms with the same owner; ``component`` is the least
-    ``r * 1000 + c`` of a group. A table's atoms are few, so a table is one group of the map."""
+def atom_components(owned: DataFrame) -> DataFrame:
+    """Connected groups of neighbouring atoms with the same owner; ``component_r`` and ``component_c`` are
+    the first place of a group by row, then column. A table's atoms are few, so a table is one group."""
     import pandas as pd
 
     def grouped(table: pd.DataFrame) -> pd.DataFrame:
@@ -216,7 +216,7 @@ def atom_components(owned: DataFrame, rounds: int = 64) -> DataFrame:
         for start in sorted(owner):
             if start in root:
                 continue
-            label, todo = start[0] * 1000 + start[1], [start]
+            label, todo = start, [start]
             root[start] = label
             while todo:
                 r, c = todo.pop()
@@ -224,9 +224,9 @@ def atom_components(owned: DataFrame, rounds: int = 64) -> DataFrame:
                     if near not in root and owner.get(near, -1) == owner[r, c]:
                         root[near] = label
                         todo.append(near)
-        return pd.DataFrame([(table["table_id"].iloc[0], r, c, k) for (r, c), k in root.items()], columns=["table_id", "r", "c", "component"])
+        return pd.DataFrame([(table["table_id"].iloc[0], *place, *first) for place, first in root.items()], columns=["table_id", "r", "c", "component_r", "component_c"])
 
-    return owned.select("table_id", "r", "c", "cell_id").groupBy("table_id").applyInPandas(grouped, "table_id bigint, r int, c int, component int")
+    return owned.select("table_id", "r", "c", "cell_id").groupBy("table_id").applyInPandas(grouped, "table_id bigint, r int, c int, component_r int, component_c int")
 
 
 def weak_boundaries(boundaries: DataFrame, boxes: DataFrame, strip: float = 6.0) -> DataFrame:

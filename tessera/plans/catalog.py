@@ -23,19 +23,11 @@ def _owned(atoms, cells):
     return grid.atom_components(grid.fusion_owner(atoms, cells))
 
 
-def _first_lines(docs):
-    lines = F.split("text", "\n")
-    words = lambda k: F.array_distinct(F.split(F.coalesce(F.get(lines, k), F.lit("")), " "))
-    a, b = words(0), words(1)
-    return docs.select("doc_id", (F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).alias("jaccard"))
-
-
 def _neighbour_lines(docs):
-    """Jaccard value of every line's words and the next line's, over whole texts."""
-    words = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda t: F.array_distinct(F.split(t, " "))).alias("w")).where(F.size("w") > 1)
-    pairs = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("line"))
-    a, b = F.get("w", F.col("line")), F.get("w", F.col("line") + 1)
-    return pairs.select("doc_id", "line", (F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).alias("jaccard"))
+    """Likeness of every line's tokens and the next line's, over whole texts."""
+    sets = docs.select("doc_id", F.transform(F.split("text", "\n"), labels.row_tokens).alias("t")).where(F.size("t") > 1)
+    pairs = sets.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.size("t") - 2)).alias("line"))
+    return pairs.select("doc_id", "line", labels.jaccard(F.get("t", F.col("line")), F.get("t", F.col("line") + 1)).alias("jaccard"))
 
 
 def _value_grades(cells):
@@ -110,8 +102,7 @@ QUERIES = {
     "strip_controls": over(_clean, "documents"),
     "char_skeleton": over(lambda p: p.select("p_partkey", T.skeleton(F.col("p_name")).alias("template")), "part"),
     "value_grade_split": over(_value_grades, CELLS),
-    "jaccard_rows": over(_first_lines, "documents"),
-    "jaccard_lines": over(_neighbour_lines, "documents"),
+    "jaccard_rows": over(_neighbour_lines, "documents"),
     "html_escape": over(_digest(T.html_escaped), "documents"),
     "md_escape": over(_digest(T.md_escaped), "documents"),
     "html_blocks": over(render.headings, "pages"),

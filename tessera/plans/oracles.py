@@ -67,8 +67,12 @@ htmls AS (SELECT table_id, '<table>' || string_agg(tr, '' ORDER BY row_start) ||
 SKELETON = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}), '[ \\t\\n\\r\\x0b\\x0c]', '', 'g'), '[A-Za-z]+', 'A', 'g'), '[0-9]+', '9', 'g'), '[\\x{{3400}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}]+', 'C', 'g')"
 CLEAN = "translate(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '—–−¬ー―─－', '--------')"
 
+#: Pairs of neighbouring ideographs of a lower-cased text.
+PAIRS = "flatten(list_transform(regexp_extract_all({0}, '" + IDEOGRAPHS.replace("{", "{{").replace("}", "}}") + "'), lambda c: CASE WHEN length(c) <= 2 THEN [c] ELSE list_transform(range(1, length(c)), lambda i: c[i:i+1]) END))"
 IS_LABEL = f"regexp_matches(regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c]+', '', 'g'), '{LABEL}')"
 
+NMS_EDGES = f"SELECT a.table_id, a.box_id AS keeper, b.box_id AS dropped FROM v_boxes a JOIN v_boxes b ON a.table_id = b.table_id AND a.box_id <> b.box_id AND ({iou('a', 'b')} >= 0.78 OR (CASE WHEN {common('a', 'b')} > 1e-9 THEN {common('a', 'b')}/greatest(least({area('a')}, {area('b')}), 1e-9) ELSE 0.0 END) >= 0.97) AND (a.score > b.score OR (a.score = b.score AND ({area('a')} > {area('b')} OR ({area('a')} = {area('b')} AND a.box_id < b.box_id))))"
+
 SQL = {
     "assign_center": f"{prelude(*BOTH)}, {BY_CENTRE} SELECT * FROM by_centre",
     "assign_ioa": f"{prelude(*BOTH)}, {BY_OVERLAP} SELECT * FROM by_overlap",
@@ -109,12 +113,26 @@ SQL = {
     "stacked_amount_merge": over_cells(", firsts AS (SELECT * FROM (SELECT table_id, col_start, row_start, arg_min(trim(text), cell_id) AS text FROM v_cells GROUP BY ALL) q WHERE text <> '') SELECT table_id, col_start, row_start, next_row, text || chr(10) || next_text AS merged FROM (SELECT *, lead(row_start) OVER w AS next_row, lead(text) OVER w AS next_text FROM firsts WINDOW w AS (PARTITION BY table_id, col_start ORDER BY row_start)) q WHERE next_row - row_start <= 3"),
     "header_band_end": over_cells(f"SELECT t.table_id, coalesce(f, 0)-1 AS header_end FROM (SELECT DISTINCT table_id FROM v_cells) t LEFT JOIN (SELECT table_id, min(row_start) AS f FROM (SELECT table_id, row_start, count(*) AS n, count(*) FILTER (WHERE regexp_matches(trim(text), {NUMBER})) AS k FROM v_cells GROUP BY ALL) q WHERE k*2 >= n GROUP BY table_id) d ON d.table_id = t.table_id"),
     "quality_score": f"{prelude(*BOTH)}, {BY_CENTRE}, {METRICS.format(name='metrics')} SELECT table_id, {QUALITY} AS quality FROM metrics",
+    "candidate_chooser": f"""{prelude(*BOTH)}, {BY_CENTRE}, {METRICS.format(name='metrics')}, {POSITIONS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY table_id, row_start, row_end, col_start, col_end ORDER BY {area('c')} DESC, cell_id) AS k FROM v_cells c), single AS (SELECT * FROM ranked WHERE k = 1),
+ met AS (SELECT DISTINCT b.table_id, b.box_id FROM v_boxes b JOIN single c ON c.table_id = b.table_id AND {CENTRE}),
+ {METRICS.format(name='fewer').replace('FROM by_centre', 'FROM met').replace('cover AS', 'cover2 AS').replace('JOIN cover USING', 'JOIN cover2 USING').replace('FROM v_cells GROUP', 'FROM single GROUP')},
+ conflicts AS (SELECT table_id, 1 - count(DISTINCT r*100000+c)*1.0/count(*) AS conflict FROM positions GROUP BY 1), a AS (SELECT table_id, {QUALITY} AS light FROM metrics), b AS (SELECT table_id, {QUALITY} AS deduped FROM fewer)
+ SELECT a.table_id, light, deduped, CASE WHEN conflict <= 0.02 THEN 'light' WHEN deduped > light THEN 'deduped' ELSE 'light' END AS candidate FROM a JOIN b ON b.table_id = a.table_id JOIN conflicts k ON k.table_id = a.table_id""",
     "looks_over_under": f'{prelude(*BOTH)}, {BY_CENTRE}, {METRICS.format(name="metrics")} SELECT table_id, n_cells, n_boxes, under, "over" FROM metrics',
-    "nms_edges": over_boxes(f"SELECT a.table_id, a.box_id AS keeper, b.box_id AS dropped FROM v_boxes a JOIN v_boxes b ON a.table_id = b.table_id AND a.box_id <> b.box_id AND ({iou('a', 'b')} >= 0.78 OR (CASE WHEN {common('a', 'b')} > 1e-9 THEN {common('a', 'b')}/greatest(least({area('a')}, {area('b')}), 1e-9) ELSE 0.0 END) >= 0.97) AND (a.score > b.score OR (a.score = b.score AND ({area('a')} > {area('b')} OR ({area('a')} = {area('b')} AND a.box_id < b.box_id))))"),
+    "reading_order_join": assigning(""", placed AS (SELECT k.table_id, k.cell_id, b.box_id, b.y1, trim(b.text) AS text, row_number() OVER (PARTITION BY k.table_id, k.cell_id ORDER BY b.y1, b.x1, b.box_id) AS n FROM combined k JOIN v_boxes b ON b.table_id = k.table_id AND b.box_id = k.box_id),
+ fold(table_id, cell_id, n, total, m, txt) AS (SELECT table_id, cell_id, n, y1, 1, text FROM placed WHERE n = 1 UNION ALL
+  SELECT p.table_id, p.cell_id, p.n, CASE WHEN abs(p.y1-f.total/f.m) < 8 THEN f.total+p.y1 ELSE p.y1 END, CASE WHEN abs(p.y1-f.total/f.m) < 8 THEN f.m+1 ELSE 1 END,
+   CASE WHEN f.txt = '' THEN p.text ELSE f.txt || CASE WHEN abs(p.y1-f.total/f.m) < 8 THEN ' ' ELSE chr(10) END || p.text END FROM fold f JOIN placed p ON p.table_id = f.table_id AND p.cell_id = f.cell_id AND p.n = f.n+1)
+ SELECT table_id, cell_id, arg_max(txt, n) AS text FROM fold GROUP BY ALL"""),
+    "nms_edges": over_boxes(NMS_EDGES),
+    "nms_greedy": over_boxes(f""", edges AS ({NMS_EDGES}), ordered AS (SELECT e.*, row_number() OVER (PARTITION BY e.table_id ORDER BY a.score DESC, {area('a')} DESC, keeper, dropped) AS n FROM edges e JOIN v_boxes a ON a.table_id = e.table_id AND a.box_id = e.keeper),
+ fold(table_id, n, gone) AS (SELECT DISTINCT table_id, 0::BIGINT, []::INT[] FROM ordered UNION ALL SELECT o.table_id, o.n, CASE WHEN list_contains(f.gone, o.keeper) OR list_contains(f.gone, o.dropped) THEN f.gone ELSE list_append(f.gone, o.dropped) END FROM fold f JOIN ordered o ON o.table_id = f.table_id AND o.n = f.n+1),
+ lost AS (SELECT table_id, arg_max(gone, n) AS gone FROM fold GROUP BY 1) SELECT b.* FROM v_boxes b LEFT JOIN lost l ON l.table_id = b.table_id WHERE gone IS NULL OR NOT list_contains(gone, b.box_id)"""),
     "strip_controls": f"SELECT doc_id, md5({CLEAN}) AS digest, length({CLEAN}) AS n FROM documents",
     "char_skeleton": f"SELECT p_partkey, {SKELETON.format('p_name')} AS template FROM part",
     "value_grade_split": over_cells(r"SELECT table_id, cell_id, regexp_extract(trim(text), '(?i)^([<>]?[0-9]+(?:\.[0-9]+)?)[ \t]*([AB]\+?)$', 1) AS value, upper(regexp_extract(trim(text), '(?i)^([<>]?[0-9]+(?:\.[0-9]+)?)[ \t]*([AB]\+?)$', 2)) AS grade FROM v_cells WHERE regexp_matches(trim(text), '(?i)^([<>]?[0-9]+(?:\.[0-9]+)?)[ \t]*([AB]\+?)$')"),
-    "jaccard_rows": "SELECT doc_id, CASE WHEN len(list_distinct(a || b)) = 0 THEN 0.0 ELSE len(list_intersect(a, b))*1.0/len(list_distinct(a || b)) END AS jaccard FROM (SELECT doc_id, list_distinct(string_split(split_part(text, chr(10), 1), ' ')) AS a, list_distinct(string_split(split_part(text, chr(10), 2), ' ')) AS b FROM documents) q",
+    "jaccard_rows": f"""WITH RECURSIVE lines AS (SELECT doc_id, k-1 AS line, list_distinct(regexp_extract_all(lower(ls[k]), '[a-z0-9][a-z0-9.\\-/%]{{0,24}}') || {PAIRS.format('lower(ls[k])')}) AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls)+1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) q) p)
+ SELECT a.doc_id, CAST(a.line AS INT) AS line, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t))*1.0/len(list_distinct(a.t || b.t)) END::DOUBLE AS jaccard FROM lines a JOIN lines b ON b.doc_id = a.doc_id AND b.line = a.line+1""",
     "html_blocks": "SELECT page_id, CAST(k-1 AS INT) AS seq, hs[k] AS heading FROM (SELECT page_id, hs, unnest(range(1, len(hs)+1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS hs FROM pages) p) q",
     "html_escape": "SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>')) AS digest FROM documents",
     "md_escape": "SELECT doc_id, md5(trim(replace(replace(text, '|', '\\|'), chr(10), '<br>'))) AS digest FROM documents",
@@ -129,7 +147,7 @@ SQL = {
     "grid_fusion_owner": f"{prelude('v_atoms', 'v_cells')} SELECT table_id, r, c, cell_id, share FROM (SELECT a.table_id, a.r, a.c, k.cell_id, {common('a', 'k')}/{area('a')} AS share, row_number() OVER (PARTITION BY a.table_id, a.r, a.c ORDER BY {common('a', 'k')}/{area('a')} DESC, k.cell_id) AS n FROM v_atoms a JOIN v_cells k ON a.table_id = k.table_id AND {common('a', 'k')}/{area('a')} >= 0.35) q WHERE n = 1",
     "connected_components": f"""{prelude('v_atoms', 'v_cells')}, owned AS (SELECT table_id, r, c, cell_id FROM (SELECT a.table_id, a.r, a.c, k.cell_id, row_number() OVER (PARTITION BY a.table_id, a.r, a.c ORDER BY {common('a', 'k')}/{area('a')} DESC, k.cell_id) AS n FROM v_atoms a JOIN v_cells k ON a.table_id = k.table_id AND {common('a', 'k')}/{area('a')} >= 0.35) q WHERE n = 1),
  reach(table_id, r, c, r0, c0, cell_id) AS (SELECT table_id, r, c, r, c, cell_id FROM owned UNION SELECT o.table_id, o.r, o.c, p.r0, p.c0, o.cell_id FROM reach p JOIN owned o ON o.table_id = p.table_id AND o.cell_id = p.cell_id AND abs(o.r-p.r)+abs(o.c-p.c) = 1)
- SELECT table_id, r, c, min(r0*1000+c0) AS component FROM reach GROUP BY ALL""",
+ SELECT table_id, r, c, min(r0) AS component_r, arg_min(c0, r0*1000000+c0) AS component_c FROM reach GROUP BY ALL""",
     "evidence_boundary_merge": f"{prelude('v_boundaries', 'v_boxes')} SELECT y.table_id, y.boundary, count(*) AS crossings FROM v_boundaries y JOIN v_boxes b ON y.table_id = b.table_id AND b.y1 < y.y-6 AND b.y2 > y.y+6 GROUP BY ALL",
     "segment_rows": over_boxes('SELECT table_id, CAST(segment AS BIGINT) AS segment, count(*) AS boxes, min(y1) AS top, max(y2) AS bottom FROM (SELECT *, sum(new) OVER (PARTITION BY table_id ORDER BY y1, box_id) AS segment FROM (SELECT *, CASE WHEN y1 > max(y2) OVER (PARTITION BY table_id ORDER BY y1, box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 48 THEN 1 ELSE 0 END AS new FROM v_boxes) q) p GROUP BY table_id, segment'),
     "orientation_metrics": over_boxes("SELECT table_id, n, upright, round(mean_score, 6) AS mean_score, n >= 5 AND upright*1.0/n < 0.40 AND mean_score < 0.55 AS turned FROM (SELECT table_id, count(*) AS n, count(*) FILTER (WHERE x2-x1 >= 0.55*(y2-y1)) AS upright, avg(score) AS mean_score FROM v_boxes GROUP BY table_id) q"),

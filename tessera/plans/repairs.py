@@ -9,6 +9,7 @@ from tessera.operators import clusters, passes, render
 from tessera.sources import ocr
 from tessera.sources.derived import prelude
 
+from . import run
 from .oracles import AREA, BOTH, HTML
 
 CELLS, BOXES = "v_cells", "v_boxes"
@@ -23,6 +24,11 @@ def _rendered(cells, boxes):
     return render.html_tables(grid)
 
 
+def _extracted(cells, boxes):
+    made = run.extracted(cells, boxes)
+    return made.select("table_id", F.md5(F.col("html").cast("binary")).alias("digest"), "broken", "health")
+
+
 def _lines(lines):
     return ocr.text_boxes(lines).drop("value")
 
@@ -76,6 +82,7 @@ TABLE = {
     "clip_narrow_labels": (passes.narrow_labels_clipped, (CELLS,), f", ones AS (SELECT table_id, median(x2-x1) AS one FROM v_cells WHERE col_start = col_end AND x2-x1 > 1e-6 GROUP BY 1) SELECT {ROOM.format('col_start, CASE WHEN row_start = row_end AND col_start <= 3 AND x2-x1 < one*1.35 THEN col_start ELSE col_end END AS col_end')} FROM v_cells LEFT JOIN ones USING (table_id)"),
     "refine_light": (_light, BOTH, None),
     "render_chain": (_rendered, BOTH, None),
+    "extract_tables": (_extracted, BOTH, None),
     "row_segments": (clusters.row_segments, (CELLS,), f", {ROWS} SELECT s.table_id, CAST(seg AS INT) AS segment, lo, CASE WHEN next_lo IS NULL THEN e.hi ELSE least(s.hi, next_lo-1) END AS hi FROM segs s LEFT JOIN (SELECT table_id, arg_max(hi, k) AS hi FROM ext GROUP BY 1) e ON e.table_id = s.table_id"),
     "health_score": (lambda c: render.health(render.html_tables(c)), (CELLS,), f""", {HTML}, {HEALTH} SELECT table_id, CAST(n_rows AS INT) AS n_rows, CAST(n_cols AS INT) AS n_cols, CAST(labels AS INT) AS labels, broken, CAST(CASE WHEN broken THEN -15.0 ELSE 20.0 END + least(labels, 25)*1.2 + CASE WHEN n_rows >= 10 AND n_rows >= n_cols THEN 6.0 ELSE 0.0 END - CASE WHEN n_rows <= 6 AND n_cols >= 12 THEN 12.0 ELSE 0.0 END
  + CASE WHEN regexp_matches(body[1:2000], '{HD}') THEN 4.0 ELSE 0.0 END - CASE WHEN len(regexp_extract_all(body, '{EX}')) <= 1 AND len(regexp_extract_all(body, '{render.RECIPE}')) >= 8 AND n_cols >= 10 THEN 10.0 ELSE 0.0 END AS DOUBLE) AS health FROM judged"""),

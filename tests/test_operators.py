@@ -1,5 +1,7 @@
 """Hand-made cases of the table operators."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,16 +257,16 @@ def test_atoms_of_every_table_have_owners(spark, sf_dir):
     atoms = view(spark, sf_dir, "v_atoms")
     owned = grid.fusion_owner(atoms, view(spark, sf_dir, "v_cells"))
     assert {(a["table_id"], a["r"], a["c"]): a["cell_id"] for a in owned.collect()} == want
-    groups = {(a["table_id"], a["r"], a["c"]): a["component"] for a in grid.atom_components(owned).collect()}
+    groups = {(a["table_id"], a["r"], a["c"]): (a["component_r"], a["component_c"]) for a in grid.atom_components(owned).collect()}
     assert groups.keys() == want.keys() and {t for t, _, _ in want} == set(tables)
 
 
 def test_jaccard_of_all_neighbouring_lines(spark, sf_dir):
     want = {}
     for d in view(spark, sf_dir, "documents").collect():
-        sets = [set(line.split(" ")) for line in (d["text"] or "").split("\n")]
+        sets = [set(re.findall(r"[a-z0-9][a-z0-9.\-/%]{0,24}", line.lower())) for line in (d["text"] or "").split("\n")]
         for k, (a, b) in enumerate(zip(sets, sets[1:])):
-            want[d["doc_id"], k] = len(a & b) / len(a | b)
-    got = catalog.queries()["jaccard_lines"](spark, sf_dir).collect()
+            want[d["doc_id"], k] = len(a & b) / len(a | b) if a and b else 0.0
+    got = catalog.queries()["jaccard_rows"](spark, sf_dir).collect()
     assert len(got) == len(want) and {(r["doc_id"], r["line"]): r["jaccard"] for r in got} == want
     assert max(k for _, k in want) > 1
