@@ -16,9 +16,6 @@ from .quality import quality_scores
 from .sharding import SHARDS, place, placement_sql
 from .token_files import token_file_digests
 
-#: A prime just above a hundred slots a shard.
-QUERY_SLOTS = 6_421
-
 
 def tokenizer_path(name: str) -> str:
     """A vocabulary file of the installed public tokenizers; TESSERA_TOKENIZERS names another folder."""
@@ -76,7 +73,7 @@ def op8_decontamination(spark, sf_dir):
 
 def op9_sharding(spark, sf_dir):
     """Slot and shard of every document."""
-    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", list(SHARDS), QUERY_SLOTS)
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", list(SHARDS))
 
 
 def op10_language_id(spark, sf_dir):
@@ -123,7 +120,7 @@ reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JO
 roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(root, doc_id)) AS kept
 FROM sets LEFT JOIN roots ON roots.x = sets.doc_id"""
-ORACLES = {"op5_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_sharding": placement_sql(list(SHARDS), QUERY_SLOTS)}
+ORACLES = {"op5_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_sharding": placement_sql(list(SHARDS))}
 
 
 def queries():

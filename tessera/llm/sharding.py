@@ -18,8 +18,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A prime well above a hundred times the number of shards, for even shares.
-TABLE_SIZE = 65_537
+#: A prime above a hundred times the number of shards: shares differ by a hundredth at most.
+TABLE_SIZE = 6_421
 #: Largest table that is broadcast.
 LARGEST_TABLE = 10_000_019
 SHARDS = tuple(f"shard-{k:02d}" for k in range(64))
