@@ -26,6 +26,7 @@ EXAMPLE_ROW = "合成例|实施例|実施例|比較例|比较例"
 DASH_VALUE = "^(?:[-—–−~～]|[-—–−]{2,})$"
 PLAIN_NUMBER = r"^[0-9]+(?:\.[0-9]+)?$"
 CHEMICAL = r"^[A-Za-z][A-Za-z0-9\-+']{1,24}(?:[(（][0-9]+(?:\.[0-9]+)?[)）])?$"
+CODE = r"^[A-Za-z][A-Za-z0-9\-+']{1,24}$"
 PAREN_AMOUNT = r"^[(（][0-9]+(?:\.[0-9]+)?[)）]$"
 WEIGHED = r"(?i)[0-9](?:g|mol)"
 CAPTION = r"^\[?[ \t]*表[ \t]*[0-9\-ー－]+[ \t]*\]?$"

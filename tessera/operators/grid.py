@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import area, intersection, iou
-from tessera.functions.text import DASH_ONLY, blank, is_row_index, skeleton
+from tessera.functions.text import CODE, DASH_ONLY, PAREN_AMOUNT, blank, is_row_index, no_spaces, skeleton
 
 from .assign import banded
 
@@ -180,12 +180,18 @@ def rows_unmerged(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     return joined.withColumns({"n": n, "place": place}).where("n = height").select(*CELL, (F.col("row_start") + F.col("place")).alias("row"), "text")
 
 
-def next_filled(cells: DataFrame, within: int = 3) -> DataFrame:
-    """For each filled single cell the next filled one below it in its column, at most three rows on."""
-    first = cells.groupBy("table_id", "col_start", "row_start").agg(F.min_by(F.trim("text"), "cell_id").alias("text")).where("text <> ''")
-    below = Window.partitionBy("table_id", "col_start").orderBy("row_start")
-    nxt = first.select("*", F.lead("row_start").over(below).alias("next_row"), F.lead("text").over(below).alias("next_text"))
-    return nxt.where(F.col("next_row") - F.col("row_start") <= within).select("table_id", "col_start", "row_start", "next_row", F.concat_ws("\n", "text", "next_text").alias("merged"))
+def amounts_merged(cells: DataFrame, within: int = 3) -> DataFrame:
+    """Cells in which a code takes up the amount in parentheses that comes next below it in its column, at
+    most ``within`` rows on: text, rows and rectangle grow, and the amount's own cell goes."""
+    bare = no_spaces(F.col("text"))
+    below = Window.partitionBy("table_id", "col_start").orderBy("row_start", "row_end", "cell_id")
+    filled = cells.where((F.col("col_start") == F.col("col_end")) & (bare != ""))
+    nxt = F.lead(F.struct("cell_id", "row_start", "row_end", "x1", "y1", "x2", "y2", F.trim("text").alias("text"))).over(below)
+    pairs = filled.select("table_id", "cell_id", "row_end", bare.alias("code"), nxt.alias("n"))
+    merges = pairs.where(F.col("code").rlike(CODE) & no_spaces(F.col("n.text")).rlike(PAREN_AMOUNT) & (F.col("n.row_start") <= F.col("row_end") + within)).select("table_id", "cell_id", "n")
+    joined = cells.join(merges, CELL, "left").join(merges.select("table_id", F.col("n.cell_id").alias("cell_id"), F.lit(True).alias("gone")), CELL, "left").where("gone IS NULL")
+    grown = {"row_end": F.greatest("row_end", "n.row_end"), "x1": F.least("x1", "n.x1") + 0.5, "y1": F.least("y1", "n.y1") + 0.5, "x2": F.greatest("x2", "n.x2") - 0.5, "y2": F.greatest("y2", "n.y2") - 0.5, "text": F.concat(F.trim("text"), F.lit("\n"), F.col("n.text"))}
+    return joined.select(*(F.when(F.col("n").isNotNull(), grown[c]).otherwise(F.col(c)).alias(c) if c in grown else F.col(c) for c in cells.columns))
 
 
 def header_bands(cells: DataFrame) -> DataFrame:

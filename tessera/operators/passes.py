@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import area, intersection, iou
-from tessera.functions.text import blank, is_fragment, is_row_index
-
+from tessera.functions.labels import are_labels
+from tessera.functions.text import blank, is_caption, is_fragment, is_row_index
 from tessera.sources.staging import cut
 
 from .assign import banded
+from .decisions import escalated
+from .grid import amounts_merged, dash_applied, rows_unmerged
 from .sequences import full_separators
 
 Pass = Callable[[DataFrame, DataFrame], DataFrame]
@@ -257,6 +259,47 @@ def narrow_labels_clipped(cells: DataFrame, ratio: float = 1.35) -> DataFrame:
     return cells.join(one, "table_id", "left").select(*(F.when(cut, F.col("col_start")).otherwise(F.col(c)).alias(c) if c == "col_end" else F.col(c) for c in cells.columns))
 
 
+def _renumbered(parts: DataFrame, cells: DataFrame) -> DataFrame:
+    """``parts`` of cells, of which the first (``k`` = 0) keeps the id and the others get ids above all."""
+    top = cells.groupBy("table_id").agg(F.max("cell_id").alias("top"))
+    number = F.row_number().over(Window.partitionBy("table_id").orderBy("k", "cell_id"))
+    parts = parts.select(*cells.columns, "k")
+    later = parts.where("k > 0").join(top, "table_id").withColumn("cell_id", (F.col("top") + number).cast(cells.schema["cell_id"].dataType))
+    return parts.where("k = 0").select(*cells.columns).unionByName(later.select(*cells.columns))
+
+
+def rows_split(cells: DataFrame, boxes: DataFrame) -> DataFrame:
+    """A cell over several rows that holds one box for each of them becomes a cell for each row."""
+    rows = rows_unmerged(cells, boxes).withColumnRenamed("text", "part")
+    height = (F.col("y2") - F.col("y1")) / (F.col("row_end") - F.col("row_start") + 1)
+    made = cells.join(rows, CELL).withColumn("k", F.col("row") - F.col("row_start")).withColumn("h", height).withColumn("top", F.col("y1"))
+    made = made.withColumns({"row_start": F.col("row"), "row_end": F.col("row"), "y1": F.col("top") + F.col("k") * F.col("h"), "y2": F.col("top") + (F.col("k") + 1) * F.col("h"), "text": F.col("part")})
+    return cells.join(rows.select(*CELL).distinct(), CELL, "left_anti").unionByName(_renumbered(made, cells))
+
+
+def label_rows_split(cells: DataFrame) -> DataFrame:
+    """A cell over as many rows as its text has lines, all of them labels of rows, becomes a cell for
+    each row."""
+    lines = F.split("text", "\n")
+    height = F.col("row_end") - F.col("row_start") + 1
+    ripe = (height > 1) & (F.size(lines) == height) & are_labels(lines) & F.forall(lines, lambda t: F.trim(t) != "")
+    made = cells.where(ripe).select("*", (F.col("y2") - F.col("y1")).alias("h"), height.alias("n"), F.posexplode(lines).alias("k", "line"))
+    row = F.col("row_start") + F.col("k")
+    made = made.select(*(({"row_start": row, "row_end": row, "y1": F.col("y1") + F.col("k") * F.col("h") / F.col("n"), "y2": F.col("y1") + (F.col("k") + 1) * F.col("h") / F.col("n"), "text": F.trim("line")}.get(c, F.col(c))).alias(c) for c in cells.columns), "k")
+    return cells.where(~F.coalesce(ripe, F.lit(False))).unionByName(_renumbered(made, cells))
+
+
+def dashes_filled(cells: DataFrame) -> DataFrame:
+    """Cells with the misread and missing dashes of dash columns put right."""
+    texts = dash_applied(cells).withColumnRenamed("text", "put_right")
+    return cells.join(texts, CELL).select(*(F.col("put_right").alias(c) if c == "text" else F.col(c) for c in cells.columns))
+
+
+def captions_stripped(cells: DataFrame) -> DataFrame:
+    """Cells without the numbers of tables in them, which belong above the grid."""
+    return cells.withColumn("text", F.when(is_caption(F.col("text")), "").otherwise(F.col("text")))
+
+
 #: Passes in their order, each a function of cells and boxes.
 LIGHT: list[tuple[str, Pass]] = [
     ("labels_clipped", lambda cells, boxes: labels_clipped(cells)),
@@ -267,6 +310,15 @@ LIGHT: list[tuple[str, Pass]] = [
     ("ghost_rows", lambda cells, boxes: ghosts_merged(cells, boxes, "row")),
     ("deduped_again", lambda cells, boxes: deduped(cells)),
 ]
+#: For tables whose cells conflict: what the light chain does, and rows within cells.
+AGGRESSIVE: list[tuple[str, Pass]] = [*LIGHT, ("rows_split", rows_split), ("deduped_last", lambda cells, boxes: deduped(cells))]
+#: After text was assigned.
+FILLED: list[tuple[str, Pass]] = [
+    ("label_rows_split", lambda cells, boxes: label_rows_split(cells)),
+    ("amounts_merged", lambda cells, boxes: amounts_merged(cells)),
+    ("dashes_filled", lambda cells, boxes: dashes_filled(cells)),
+    ("captions_stripped", lambda cells, boxes: captions_stripped(cells)),
+]
 RENDER: list[tuple[str, Pass]] = [
     ("clipped_spans", lambda cells, boxes: clipped_spans(cells)),
     ("compressed_grid", lambda cells, boxes: compressed_grid(cells)),
@@ -275,6 +327,14 @@ RENDER: list[tuple[str, Pass]] = [
 ]
 
 
+def refined(cells: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Cells after the light chain, or after the aggressive one in tables whose cells conflict."""
+    flags = cut(escalated(cells), "escalated")
+    both = cells.join(flags, "table_id")
+    light = applied(LIGHT, both.where("NOT escalate").drop("escalate"), boxes)
+    return light.unionByName(applied(AGGRESSIVE, both.where("escalate").drop("escalate"), boxes))
+
+
 def applied(chain: list[tuple[str, Pass]], cells: DataFrame, boxes: DataFrame) -> DataFrame:
     """Cells after all passes of a chain; what each leaves is written for the next."""
     for name, one in chain:

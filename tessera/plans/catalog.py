@@ -79,7 +79,7 @@ QUERIES = {
     "transpose_cells": over(grid.transposed, CELLS),
     "span_explode": over(grid.unspanned, CELLS),
     "rowspan_unmerge": over(grid.rows_unmerged, CELLS, BOXES),
-    "stacked_amount_merge": over(grid.next_filled, CELLS),
+    "stacked_amount_merge": over(grid.amounts_merged, CELLS),
     "header_band_end": over(grid.header_bands, CELLS),
     "grid_fusion_owner": over(grid.fusion_owner, "v_atoms", CELLS),
     "connected_components": over(_owned, "v_atoms", CELLS),

@@ -40,11 +40,16 @@ def over_boxes(body: str) -> str:
     return f"{prelude('v_boxes')} {body}"
 
 
-NEAREST = f"""bounds AS (SELECT table_id, min(x1)-4 AS x1, min(y1)-4 AS y1, max(x2)+4 AS x2, max(y2)+4 AS y2 FROM v_cells GROUP BY table_id),
-rest AS (SELECT b.*, (b.x1+b.x2)/2 AS cx, (b.y1+b.y2)/2 AS cy FROM v_boxes b WHERE NOT EXISTS (SELECT 1 FROM combined k WHERE k.table_id = b.table_id AND k.box_id = b.box_id)),
-inside AS (SELECT r.* FROM rest r JOIN bounds t ON r.table_id = t.table_id AND cx BETWEEN t.x1 AND t.x2 AND cy BETWEEN t.y1 AND t.y2),
-nearest AS (SELECT table_id, box_id, cell_id FROM (SELECT r.table_id, r.box_id, c.cell_id, row_number() OVER (PARTITION BY r.table_id, r.box_id ORDER BY
-  power(greatest(0.0, c.x1-cx, cx-c.x2), 2) + power(greatest(0.0, c.y1-cy, cy-c.y2), 2), c.cell_id) AS k FROM inside r JOIN v_cells c ON r.table_id = c.table_id) q WHERE k = 1)"""
+#: Boxes that no cell holds or overlaps take the nearest cell in turn; cells with text by then count as nearer.
+NEAREST = """bounds AS (SELECT table_id, min(x1)-4 AS x1, min(y1)-4 AS y1, max(x2)+4 AS x2, max(y2)+4 AS y2 FROM v_cells GROUP BY table_id),
+turns AS (SELECT *, (x1+x2)/2 AS cx, (y1+y2)/2 AS cy, row_number() OVER (PARTITION BY table_id ORDER BY box_id) AS turn FROM v_boxes),
+since AS (SELECT k.table_id, k.cell_id, min(turn) AS since FROM combined k JOIN turns t ON t.table_id = k.table_id AND t.box_id = k.box_id GROUP BY ALL),
+rects AS (SELECT c.table_id, list({'i': c.cell_id, 'x1': c.x1, 'y1': c.y1, 'x2': c.x2, 'y2': c.y2, 's': coalesce(since, 1000000000)} ORDER BY c.cell_id) AS cells FROM v_cells c LEFT JOIN since s ON s.table_id = c.table_id AND s.cell_id = c.cell_id GROUP BY c.table_id),
+rest AS (SELECT b.table_id, b.box_id, b.cx, b.cy, b.turn, row_number() OVER (PARTITION BY b.table_id ORDER BY turn) AS n FROM turns b JOIN bounds t ON b.table_id = t.table_id AND cx BETWEEN t.x1 AND t.x2 AND cy BETWEEN t.y1 AND t.y2 WHERE NOT EXISTS (SELECT 1 FROM combined k WHERE k.table_id = b.table_id AND k.box_id = b.box_id)),
+walk(table_id, n, box_id, cell_id, filled) AS (SELECT table_id, 0::BIGINT, NULL::INT, NULL::INT, []::INT[] FROM (SELECT DISTINCT table_id FROM rest) d
+ UNION ALL SELECT table_id, n, box_id, best, list_append(filled, best) FROM (SELECT r.table_id, r.n, r.box_id, w.filled, list_sort(list_transform(cells, lambda c: {'d': (power(greatest(0.0, c.x1-cx, cx-c.x2), 2) + power(greatest(0.0, c.y1-cy, cy-c.y2), 2)) *
+   CASE WHEN (c.s < r.turn OR list_contains(w.filled, c.i)) AND cx BETWEEN c.x1 AND c.x2 THEN 0.25 WHEN c.s < r.turn OR list_contains(w.filled, c.i) THEN 0.85 ELSE 1.0 END, 'i': c.i}))[1].i AS best FROM walk w JOIN rest r ON r.table_id = w.table_id AND r.n = w.n+1 JOIN rects q ON q.table_id = r.table_id) z),
+nearest AS (SELECT table_id, box_id, cell_id FROM walk WHERE n > 0)"""
 
 POSITIONS = "positions AS (SELECT table_id, cell_id, r, unnest(range(col_start, col_end+1)) AS c FROM (SELECT *, unnest(range(row_start, row_end+1)) AS r FROM v_cells) q)"
 NUMBER = "'^[<>]?[0-9]+(\\.[0-9]+)?$'"
@@ -110,7 +115,10 @@ SQL = {
     "transpose_cells": over_cells("SELECT table_id, cell_id, col_start AS row_start, col_end AS row_end, row_start AS col_start, row_end AS col_end, y1 AS x1, x1 AS y1, y2 AS x2, x2 AS y2 FROM v_cells"),
     "span_explode": over_cells("SELECT table_id, cell_id, row_start, row_end, CAST(col_start+k AS INT) AS col, x1+k*step AS x1, x1+(k+1)*step AS x2, CASE WHEN k = 0 THEN text ELSE '' END AS text FROM (SELECT *, (x2-x1)/(col_end-col_start+1) AS step, unnest(range(0, col_end-col_start+1)) AS k FROM v_cells) q"),
     "rowspan_unmerge": f'{prelude(*BOTH)}, {BY_CENTRE} SELECT table_id, cell_id, CAST(row_start+place-1 AS INT) AS "row", text FROM (SELECT c.table_id, c.cell_id, c.row_start, c.row_end-c.row_start+1 AS height, b.text, count(*) OVER (PARTITION BY c.table_id, c.cell_id) AS n, row_number() OVER (PARTITION BY c.table_id, c.cell_id ORDER BY b.y1, b.box_id) AS place FROM v_cells c JOIN by_centre k ON k.table_id = c.table_id AND k.cell_id = c.cell_id JOIN v_boxes b ON b.table_id = k.table_id AND b.box_id = k.box_id WHERE c.row_end > c.row_start) q WHERE n = height',
-    "stacked_amount_merge": over_cells(", firsts AS (SELECT * FROM (SELECT table_id, col_start, row_start, arg_min(trim(text), cell_id) AS text FROM v_cells GROUP BY ALL) q WHERE text <> '') SELECT table_id, col_start, row_start, next_row, text || chr(10) || next_text AS merged FROM (SELECT *, lead(row_start) OVER w AS next_row, lead(text) OVER w AS next_text FROM firsts WINDOW w AS (PARTITION BY table_id, col_start ORDER BY row_start)) q WHERE next_row - row_start <= 3"),
+    "stacked_amount_merge": over_cells(r""", bare AS (SELECT *, regexp_replace(text, '[ \t\n\r\x0b\x0c]+', '', 'g') AS t FROM v_cells WHERE col_start = col_end), nxt AS (SELECT table_id, cell_id, row_end, t, lead(cell_id) OVER w AS n_id, lead(row_start) OVER w AS n_start, lead(row_end) OVER w AS n_end, lead(t) OVER w AS n_t, lead(trim(text)) OVER w AS n_text, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1, lead(x2) OVER w AS nx2, lead(y2) OVER w AS ny2 FROM bare WHERE t <> '' WINDOW w AS (PARTITION BY table_id, col_start ORDER BY row_start, row_end, cell_id)),
+ merges AS (SELECT * FROM nxt WHERE regexp_matches(t, '^[A-Za-z][A-Za-z0-9\-+'']{1,24}$') AND regexp_matches(n_t, '^[(（][0-9]+(?:\.[0-9]+)?[)）]$') AND n_start <= row_end+3)
+ SELECT c.table_id, c.cell_id, c.row_start, greatest(c.row_end, coalesce(n_end, c.row_end)) AS row_end, c.col_start, c.col_end, CASE WHEN n_id IS NULL THEN x1 ELSE least(x1, nx1)+0.5 END AS x1, CASE WHEN n_id IS NULL THEN y1 ELSE least(y1, ny1)+0.5 END AS y1, CASE WHEN n_id IS NULL THEN x2 ELSE greatest(x2, nx2)-0.5 END AS x2, CASE WHEN n_id IS NULL THEN y2 ELSE greatest(y2, ny2)-0.5 END AS y2,
+  CASE WHEN n_id IS NULL THEN text ELSE trim(text) || chr(10) || n_text END AS text FROM v_cells c LEFT JOIN merges m ON m.table_id = c.table_id AND m.cell_id = c.cell_id WHERE NOT EXISTS (SELECT 1 FROM merges g WHERE g.table_id = c.table_id AND g.n_id = c.cell_id)"""),
     "header_band_end": over_cells(f"SELECT t.table_id, coalesce(f, 0)-1 AS header_end FROM (SELECT DISTINCT table_id FROM v_cells) t LEFT JOIN (SELECT table_id, min(row_start) AS f FROM (SELECT table_id, row_start, count(*) AS n, count(*) FILTER (WHERE regexp_matches(trim(text), {NUMBER})) AS k FROM v_cells GROUP BY ALL) q WHERE k*2 >= n GROUP BY table_id) d ON d.table_id = t.table_id"),
     "quality_score": f"{prelude(*BOTH)}, {BY_CENTRE}, {METRICS.format(name='metrics')} SELECT table_id, {QUALITY} AS quality FROM metrics",
     "candidate_chooser": f"""{prelude(*BOTH)}, {BY_CENTRE}, {METRICS.format(name='metrics')}, {POSITIONS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY table_id, row_start, row_end, col_start, col_end ORDER BY {area('c')} DESC, cell_id) AS k FROM v_cells c), single AS (SELECT * FROM ranked WHERE k = 1),

@@ -81,6 +81,10 @@ TABLE = {
     "move_label_children": (passes.children_moved, (CELLS,), f", {RIGHT}, moves AS (SELECT table_id, kid AS cell_id, max(parent_end)+1 AS dest FROM kids GROUP BY ALL) SELECT {ROOM.format('greatest(col_start, coalesce(dest, col_start)) AS col_start, col_end+greatest(col_start, coalesce(dest, col_start))-col_start AS col_end')} FROM v_cells LEFT JOIN moves USING (table_id, cell_id)"),
     "clip_narrow_labels": (passes.narrow_labels_clipped, (CELLS,), f", ones AS (SELECT table_id, median(x2-x1) AS one FROM v_cells WHERE col_start = col_end AND x2-x1 > 1e-6 GROUP BY 1) SELECT {ROOM.format('col_start, CASE WHEN row_start = row_end AND col_start <= 3 AND x2-x1 < one*1.35 THEN col_start ELSE col_end END AS col_end')} FROM v_cells LEFT JOIN ones USING (table_id)"),
     "refine_light": (_light, BOTH, None),
+    "refine_escalated": (passes.refined, BOTH, None),
+    "post_assignment": (lambda c: passes.applied(passes.FILLED, c, c), (CELLS,), None),
+    "split_rows": (passes.rows_split, BOTH, None),
+    "strip_captions": (passes.captions_stripped, (CELLS,), r" SELECT * REPLACE (CASE WHEN regexp_matches(trim(text), '^\[?[ \t]*表[ \t]*[0-9\-ー－]+[ \t]*\]?$') THEN '' ELSE text END AS text) FROM v_cells"),
     "render_chain": (_rendered, BOTH, None),
     "extract_tables": (_extracted, BOTH, None),
     "row_segments": (clusters.row_segments, (CELLS,), f", {ROWS} SELECT s.table_id, CAST(seg AS INT) AS segment, lo, CASE WHEN next_lo IS NULL THEN e.hi ELSE least(s.hi, next_lo-1) END AS hi FROM segs s LEFT JOIN (SELECT table_id, arg_max(hi, k) AS hi FROM ext GROUP BY 1) e ON e.table_id = s.table_id"),

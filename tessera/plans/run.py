@@ -38,10 +38,12 @@ def extracted(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     """``table_id, html, md, broken, health`` of every table with text: its grid refined, filled and
     rendered, with the text outside it in front."""
     boxes = cut(cleaned(boxes), "boxes")
-    grid = passes.applied(passes.LIGHT, cells, boxes)
-    grid = cut(filled(grid, boxes), "filled")
-    tables = render.html_tables(passes.applied(passes.RENDER, grid, boxes))
-    whole = tables.join(paragraphs(boxes, grid), "table_id", "full")
+    grid = cut(filled(passes.refined(cells, boxes), boxes), "filled")
+    whole_grid = passes.applied([*passes.FILLED, *passes.RENDER], grid, boxes)
+    tables = render.html_tables(whole_grid)
+    captions = grid.where(is_caption(F.col("text"))).groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_start", "col_start", "cell_id", "text"))), lambda c: F.concat(F.lit("<p>"), html_escaped(F.trim(c["text"])), F.lit("</p>"))), "\n").alias("captions"))
+    heads = captions.join(paragraphs(boxes, grid), "table_id", "full").select("table_id", F.concat_ws("\n", "captions", "head").alias("head"))
+    whole = tables.join(heads, "table_id", "full")
     whole = cut(whole.select("table_id", F.concat_ws("\n\n", "head", "html").alias("html")), "html")
     judged = render.health(whole).select("table_id", "broken", "health")
     return render.documents_markdown(whole).join(judged, "table_id")

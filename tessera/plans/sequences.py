@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import labels
 from tessera.functions import text as T
 from tessera.operators import assign, sequences
 from tessera.sources import incremental
 from tessera.sources.derived import prelude
 
-from .oracles import BOTH
+from .oracles import BOTH, iou
 
 
 def _classes(cells):
@@ -37,6 +38,18 @@ def _captions(free):
     return free.where(T.is_caption(F.col("text"))).select("table_id", "free_id", F.trim("text").alias("caption"))
 
 
+def _once(boundaries, boxes):
+    return assign.nearest_once(boundaries.withColumnRenamed("boundary", "target"), boxes)
+
+
+def _best(detected, boxes, cells):
+    """Tables by the bounds of their boxes, against the cells of the second table of each page."""
+    bounds = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")]
+    found = detected.join(boxes.groupBy("table_id").agg(F.count("*").alias("n_cells"), *bounds), "table_id")
+    reference = cells.where("table_id % 4 = 1").groupBy(F.floor(F.col("table_id") / 4).cast("bigint").alias("page_id")).agg(*bounds)
+    return assign.best_tables(found, reference)
+
+
 def _kept(free):
     """Text that is left after clean-up: neither blank nor garbage."""
     return free.where(~T.blank(F.col("text"))).join(_garbage(free).where("NOT garbage"), ["table_id", "free_id"], "left_semi").select("table_id", "free_id", "text")
@@ -68,6 +81,8 @@ DOUBLES = """ordered AS (SELECT *, row_number() OVER (PARTITION BY table_id, axi
   UNION ALL SELECT o.table_id, o.axis, o.k, CASE WHEN o.coord-f.coord < 5 THEN f.grp ELSE f.grp+1 END, CASE WHEN o.coord-f.coord < 5 AND o.length <= f.length THEN f.rule_id ELSE o.rule_id END,
    CASE WHEN o.coord-f.coord < 5 AND o.length <= f.length THEN f.coord ELSE o.coord END, CASE WHEN o.coord-f.coord < 5 AND o.length <= f.length THEN f.length ELSE o.length END
   FROM fold f JOIN ordered o ON o.table_id = f.table_id AND o.axis = f.axis AND o.k = f.k+1)"""
+#: RE2 looks not ahead: heads in front without a number are those followed by another head.
+STICKY = f"""bared AS (SELECT table_id, free_id, regexp_replace({BARE.format('text')}, '^(?:{labels.EXAMPLE})+(({labels.EXAMPLE})[0-9])', '\\1') AS t FROM v_free), united AS (SELECT *, regexp_extract_all(t, '{labels.UNIT}') AS us FROM bared), sticky AS (SELECT *, len(us) >= 2 AND array_to_string(us, '') = t AS is_sticky FROM united)"""
 SUBSTANCE = f"own AS (SELECT table_id, col_start AS col, max(CASE WHEN NOT {FRAGMENT} THEN 1 ELSE 0 END) AS n FROM (SELECT *, {BARE.format('text')} AS bare FROM v_cells) q GROUP BY ALL)"
 
 #: Name: (operator, relations it reads, tail of the SQL after the relations).
@@ -105,6 +120,13 @@ TABLE = {
     "clean_text_kept": (_kept, ("v_free",), f", {GARBAGE} SELECT table_id, free_id, text FROM garbled WHERE trim(text) <> '' AND NOT garbage"),
     "substring_anti_join": (assign.not_absorbed, ("v_free", "v_cells"), f""" SELECT table_id, free_id, text FROM v_free f WHERE {BARE.format('text')} <> '' AND ({CAPTION} OR NOT EXISTS (SELECT 1 FROM v_cells c WHERE c.table_id = f.table_id AND contains({BARE.format('c.text')}, {BARE.format('f.text')})))"""),
     "nearest_empty_header": (assign.nearest_empty_header, BOTH[::-1], " SELECT table_id, box_id, cell_id FROM (SELECT b.table_id, b.box_id, c.cell_id, row_number() OVER (PARTITION BY b.table_id, b.box_id ORDER BY abs((c.x1+c.x2)/2-(b.x1+b.x2)/2), c.cell_id) AS k FROM v_boxes b JOIN v_cells c ON c.table_id = b.table_id AND c.row_start <= 1 AND trim(c.text) = '') q WHERE k = 1"),
+    "sticky_labels": (lambda f: f.select("table_id", "free_id", F.posexplode(labels.sticky_parts(F.col("text"))).alias("k", "label")), ("v_free",), f", {STICKY} SELECT table_id, free_id, CAST(k-1 AS INT) AS k, regexp_extract(us[k], '{labels.EXAMPLE}') || ' ' || regexp_extract(us[k], '[0-9]+') AS label FROM (SELECT *, unnest(range(1, len(us)+1)) AS k FROM sticky WHERE is_sticky) q"),
+    "sticky_last": (lambda f: assign.in_turn(f, "free_id").select("table_id", "free_id", "turn"), ("v_free",), f", {STICKY} SELECT table_id, free_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY is_sticky, free_id) AS INT) AS turn FROM sticky"),
+    "nearest_once": (_once, ("v_boundaries", "v_boxes"), """, ys AS (SELECT table_id, list({'i': box_id, 'c': (y1+y2)/2} ORDER BY box_id) AS bs FROM v_boxes GROUP BY 1), ts AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY boundary) AS n FROM v_boundaries),
+ fold(table_id, n, target, box_id, used) AS (SELECT DISTINCT t.table_id, 0::BIGINT, NULL::INT, NULL::INT, []::INT[] FROM ts t JOIN ys USING (table_id)
+  UNION ALL SELECT table_id, n, boundary, CASE WHEN best.d <= 36 THEN best.i END, CASE WHEN best.d <= 36 THEN list_append(used, best.i) ELSE used END FROM (SELECT t.table_id, t.n, t.boundary, f.used, list_sort(list_transform(list_filter(bs, lambda b: NOT list_contains(f.used, b.i)), lambda b: {'d': abs(b.c-t.y), 'i': b.i}))[1] AS best FROM fold f JOIN ts t ON t.table_id = f.table_id AND t.n = f.n+1 JOIN ys ON ys.table_id = t.table_id) q)
+ SELECT table_id, target, box_id FROM fold WHERE box_id IS NOT NULL"""),
+    "best_table": (_best, ("v_detected", "v_boxes", "v_cells"), f", f AS (SELECT d.page_id, d.table_id, d.confidence, count(*) AS n_cells, min(b.x1) AS x1, min(b.y1) AS y1, max(b.x2) AS x2, max(b.y2) AS y2 FROM v_detected d JOIN v_boxes b ON b.table_id = d.table_id GROUP BY ALL), r AS (SELECT CAST(floor(table_id/4) AS BIGINT) AS page_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM v_cells WHERE table_id % 4 = 1 GROUP BY 1) SELECT page_id, table_id FROM (SELECT f.page_id, f.table_id, row_number() OVER (PARTITION BY f.page_id ORDER BY {iou('f', 'r')} DESC, confidence DESC, n_cells DESC, f.table_id) AS k FROM f JOIN r ON r.page_id = f.page_id) q WHERE k = 1"),
     "prefix_width": (_widths, ("part",), f", w AS (SELECT p_partkey, list_transform(range(0, len(ws)+1), lambda k: list_sum(ws[1:k])) AS sums FROM (SELECT p_partkey, {WIDTHS} AS ws FROM part) q), s AS (SELECT p_partkey, list_transform(sums, lambda x: coalesce(x, 0.0)) AS sums FROM w) SELECT p_partkey, round(sums[-1], 6) AS width, CAST(list_sort(list_transform(range(1, len(sums)+1), lambda k: {{'d': round(abs(sums[k]-0.37*sums[-1]), 9), 'k': k-1}}))[1].k AS BIGINT) AS cut FROM s"),
     "cjk_join": (_joined, ("part",), " SELECT p_partkey, p_brand || ' (' || p_type || ')' AS a, p_brand || '(' || p_name AS b FROM part"),
     "archive_map": (incremental.sizes_by_status, ("v_archive",), " SELECT status, count(*) AS items, sum(size) AS total, min(name) AS first FROM v_archive GROUP BY status"),

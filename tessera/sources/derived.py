@@ -17,7 +17,7 @@ _KEYED = """
 
 #: By the number of a table: every fifth has no conflicting cells, every fourth lacks a column, every
 #: seventh some rows, every ninth nearly all cells; a column is a seam (2 of 6) or narrow (3 of 6), columns are
-#: far apart (5 of 13), labels stand in the first row or column (7, 8 of 12), a caption inside (9 of 10).
+#: far apart (5 of 13) or hold codes and amounts (3 of 11), labels stand in the first row or column (7, 8 of 12), a caption inside (9 of 10).
 CELLS = f"""
 SELECT table_id, cell_id, row_start, row_end, col_start, col_end,
        CAST(col_start*100 + l_partkey % 7 AS DOUBLE) AS x1, CAST(row_start*40 + l_partkey % 3 AS DOUBLE) AS y1,
@@ -27,6 +27,7 @@ SELECT table_id, cell_id, row_start, row_end, col_start, col_end,
        CASE WHEN row_start = 0 AND table_id % 12 = 7 THEN concat('实施例', CAST(l_linenumber AS VARCHAR(9)))
             WHEN col_start = 0 AND table_id % 12 = 8 THEN concat('实施例', CAST(row_start+1 AS VARCHAR(9)))
             WHEN col_start = 0 AND row_start = 8 AND table_id % 10 = 9 THEN '[表1-2]'
+            WHEN table_id % 11 = 3 AND col_start IN (1, 5) THEN CASE (row_start + l_suppkey) % 3 WHEN 0 THEN 'NMP-2' WHEN 1 THEN '( 40.5)' ELSE '' END
             WHEN (table_id*7 + col_start) % 11 = 0 OR (table_id % 6 = 3 AND col_start = 4) THEN ''
             ELSE CASE q % 10 WHEN 0 THEN '-' WHEN 1 THEN '1' WHEN 2 THEN '' WHEN 3 THEN concat(CAST(q AS VARCHAR(9)),'A')
                    WHEN 4 THEN l_returnflag ELSE CAST(q AS VARCHAR(9)) END END AS text
@@ -79,7 +80,7 @@ FROM ({_KEYED.format(key="rule_id", more="CAST(l_orderkey % 16 AS INT) AS row_at
 
 #: Text outside all cells: captions, pieces of cell text, other text, blanks.
 FREE = f"""
-SELECT table_id, free_id, CASE q % 4 WHEN 0 THEN concat('[表', CAST(q AS VARCHAR(9)), ']') WHEN 1 THEN CAST(q AS VARCHAR(9)) WHEN 2 THEN concat(l_returnflag, ' ', l_linestatus) ELSE ' ' END AS text,
+SELECT table_id, free_id, CASE q % 4 WHEN 0 THEN concat('[表', CAST(q AS VARCHAR(9)), ']') WHEN 1 THEN CAST(q AS VARCHAR(9)) WHEN 2 THEN CASE WHEN table_id % 4 = 0 THEN concat('实施例 实施例', CAST(q AS VARCHAR(9)), ' 比較例', CAST(q+1 AS VARCHAR(9))) WHEN table_id % 4 = 2 THEN concat(CAST(q AS VARCHAR(9)), '实施例', CAST(q+1 AS VARCHAR(9)), ' 实施例') ELSE concat(l_returnflag, ' ', l_linestatus) END ELSE ' ' END AS text,
        CAST(q AS DOUBLE)/50 AS score, CAST(l_partkey % 40 AS DOUBLE)/1000 AS ink
 FROM ({_KEYED.format(key="free_id", more="")}) s"""
 

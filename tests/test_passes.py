@@ -157,3 +157,40 @@ def test_chains_give_legal_grids(tables):
         rows, cols = {y for y, _ in there}, {x for _, x in there}
         assert len(there) == len(rows) * len(cols) and rows == set(range(len(rows))) and cols == set(range(len(cols)))
     assert set(places) == {t for t, (c, _) in held.items() if any(x["text"].strip() for x in c)}
+
+
+CELL = "table_id bigint, cell_id int, row_start int, row_end int, col_start int, col_end int, x1 double, y1 double, x2 double, y2 double, text string"
+
+
+def test_rows_of_labels_are_split(spark):
+    rows = [(1, 1, 0, 1, 0, 0, 0.0, 0.0, 10.0, 40.0, "实施例1\n实施例2"), (1, 2, 0, 1, 1, 1, 10.0, 0.0, 20.0, 40.0, "a\nb"), (1, 3, 2, 2, 0, 0, 0.0, 40.0, 10.0, 60.0, "[表1]")]
+    got = sorted(tuple(r) for r in passes.captions_stripped(passes.label_rows_split(spark.createDataFrame(rows, CELL))).collect())
+    assert got == sorted([(1, 1, 0, 0, 0, 0, 0.0, 0.0, 10.0, 20.0, "实施例1"), (1, 4, 1, 1, 0, 0, 0.0, 20.0, 10.0, 40.0, "实施例2"), rows[1], (*rows[2][:-1], "")])
+
+
+def test_cells_with_a_box_for_each_row_are_split(tables):
+    cells, boxes, held = tables
+    got = defaultdict(list)
+    for r in passes.rows_split(cells, boxes).collect():
+        got[r["table_id"]].append(r)
+    split = 0
+    for t, (own, _) in held.items():
+        if not own:
+            continue
+        before, after = {c["cell_id"]: c for c in own}, {c["cell_id"]: c for c in got[t]}
+        assert len(after) == len(got[t]) and before.keys() <= after.keys()
+        extra = [c for k, c in after.items() if k not in before]
+        cut = [k for k in before if before[k]["row_end"] != after[k]["row_end"]]
+        split += len(cut)
+        assert len(extra) == sum(before[k]["row_end"] - before[k]["row_start"] for k in cut)
+        assert all(after[k]["row_start"] == after[k]["row_end"] for k in cut)
+    assert split
+
+
+def test_escalated_tables_have_fewer_conflicts(tables):
+    from tessera.operators.grid import conflict_ratio
+
+    cells, boxes, _ = tables
+    ratio = lambda c: {r["table_id"]: r["conflict_ratio"] for r in conflict_ratio(c).collect()}
+    before, after = ratio(cells), ratio(passes.refined(cells, boxes))
+    assert before.keys() == after.keys() and sum(after.values()) < sum(before.values())
