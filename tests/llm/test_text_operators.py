@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -220,6 +221,73 @@ def test_found_identifiers_make_patterns(spark):
     assert got[301] == "lost near [EMAIL] or [EMAIL]" and got[302] == rows[-1][1]
 
 
+def plain_discovery(rows):
+    """Kinds of instances after the rounds, by dictionaries."""
+    kinds, n = {}, {}
+    for kind, instance, patterns in rows:
+        for p in patterns:
+            kinds.setdefault((p, instance), set()).update({kind} - {None})
+    for p, _ in kinds:
+        n[p] = n.get(p, 0) + 1
+    loose = [(p, i) for (p, i), k in kinds.items() if not k and n[p] >= PII.LEAST_SEEDS]
+    found = {}
+    for _ in range(PII.ROUNDS):
+        total, support = {}, {}
+        for (p, _), own in kinds.items():
+            for k in own:
+                total[p, k], support[p, k] = total.get((p, k), 0.0) + 1, support.get((p, k), 0) + 1
+        for p, i in loose:
+            for k in PII.KINDS:
+                if (k, i) in found:
+                    total[p, k] = total.get((p, k), 0.0) + found[k, i]
+                    support[p, k] = support.get((p, k), 0) + (found[k, i] >= PII.LEAST_INSTANCE)
+        sure = {pk: t / (n[pk[0]] + PII.DAMPING) for pk, t in total.items() if n[pk[0]] >= PII.LEAST_SEEDS and support[pk] >= PII.LEAST_SEEDS and t / (n[pk[0]] + PII.DAMPING) >= PII.LEAST_PATTERN}
+        votes = {}
+        for p, i in loose:
+            for k in PII.KINDS:
+                if (p, k) in sure:
+                    votes[k, i] = votes.get((k, i), 0.0) + math.log(1.0001 - sure[p, k])
+        found = {ki: 1 - math.exp(v) for ki, v in votes.items()}
+    best = {}
+    for (k, i), score in found.items():
+        if score >= PII.LEAST_INSTANCE:
+            best[i] = max(best.get(i, (0, 0, "")), (score, -PII.KINDS.index(k), k))
+    return {i: k for i, (_, _, k) in best.items()}
+
+
+def test_discovery_equals_plain_iteration(spark):
+    rng, met = random.Random(4), set()
+    for _ in range(4):
+        rows = []
+        for k in range(400):
+            group = rng.randrange(8)
+            kind = rng.choice(PII.KINDS[:3]) if rng.random() < (0.9, 0.75, 0.5, 0.1, 0, 0, 0.95, 0.3)[group] else None
+            rows.append((kind and PII.KINDS[group % 3], f"i{group}-{rng.randrange(60)}" if kind is None else f"s{k}", [f"p{group}", f"p{group}-{rng.randrange(3)}", f"q{rng.randrange(12)}"][: rng.randint(1, 3)]))
+        observed = spark.createDataFrame([("t", kind, k, k + 1, i, p) for k, (kind, i, p) in enumerate(rows)], PII.OBSERVED)
+        want = plain_discovery(rows)
+        got = {(r["start"], r["kind"]) for r in PII.discover(observed).collect()}
+        assert got == {(k, want[i]) for k, (kind, i, _) in enumerate(rows) if kind is None and i in want}
+        met |= set(want.values())
+    assert len(met) > 1
+
+
+def test_secrets_and_shapes(spark):
+    rows = [(k, f'{w} token = "{(k * 7919 + 10**9) ** 4:040x}" end') for k, w in enumerate(["one", "two", "three", "four", "five", "six", "seven"])]
+    rows += [(20, f'other note = "{(5 * 104729 + 10**9) ** 4:040x}" here'), (21, "7536784127813051 4111111111111111 lies behind"), (22, "4111 1111 1111 1111, 5500000000000004, 4012888888881881, 378282246310005 1"), (23, "api_key: abcdefghijklmnopqr")]
+    rows += [(30 + k, f"card {n} of it") for k, n in enumerate((5500000000000004, 4012888888881881, 5105105105105100, 4222222222222220, 6011111111111117, 4111111111111129, 4111111111111137))]
+    got = {r["doc_id"]: r for r in PII.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[k]["spans"].startswith("secret:") and got[k]["n_found"] == 1 for k in range(7))
+    assert got[20]["spans"].startswith("secret:14:") and got[23]["spans"] == "secret:9:27"
+    assert got[21]["n_card"] == 0 and got[21]["spans"] == "card:17:33"  # its shape and check digit are those of cards
+    assert [PII.shape(t) for t in ("123", "4111111111111111", "4111111111111112", "1.2.3.255", "1.2.3.256", "a1b2c3d4e5f60718", "AB-1001", "a" * 3 + "-1")] == ["d3", "d16+", "d16", "q.q.q.q", "q.q.q.n", "h16", "A-d4", "a-d1"]
+
+
+@pytest.mark.parametrize("text, start, end, left, right", [("one, two THREE: 123 four five", 16, 19, "two three", "four five"), ("x" * 200 + "=12345 y", 201, 206, "x" * 79 + "=", "y"), ("12345", 0, 5, "", ""), ("a 1234b c", 2, 6, "a", "b c")])
+def test_contexts(text, start, end, left, right):
+    words = PII.Words(text)
+    assert (words.left(start, 2), words.right(end, 2)) == (left, right)
+
+
 def test_redaction(letters, docs, no_docs):
     got = {r["doc_id"]: r["text"] for r in PII.redact(letters).collect()}
     assert got[0] == "please write to reach me at [EMAIL] today" and got[43] == "card [CARD] and [IP]" and got[41] is None
