@@ -40,8 +40,9 @@ SEED = 9_176
 #: Keys for which both ways of merging are held against each other; encoding has no such bound.
 VARIANTS = 2
 #: Words, and words with given candidates skipped, that a worker remembers.
-KEPT_WORDS = 1 << 18
-#: Words that come so often in a batch are remembered.
+KEPT_WORDS = 1 << 17
+#: Rows that are encoded at a time; words that come so often among them are remembered.
+SLICE_ROWS = 256
 LEAST_SEEN = 3
 #: More than the candidates that a word of ``BLOCK_LENGTH`` can take up.
 TAKES = 1 << 12
@@ -409,8 +410,8 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(model_path, dropout, seed)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(lo, SLICE_ROWS)
                 keys, texts = batch.column(key).to_pylist(), batch.column(text).to_pylist()
                 ids = codec.encode_all(texts, [str(k) for k in keys])
                 good = [codec.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
