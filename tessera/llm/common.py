@@ -138,6 +138,18 @@ def fold_value(doc_id: int, parts: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % parts
 
 
+def id_text(column: str = "doc_id"):
+    """An id on its way to Python, as text: pandas would make floats of whole numbers beside nulls."""
+    return F.col(column).cast("bigint").cast("string").alias("doc_id")
+
+
+def id_values(texts):
+    """The ids back, as a pandas array of whole numbers and nulls."""
+    import pandas as pd
+
+    return pd.array([None if t is None else int(t) for t in texts], dtype="Int64")
+
+
 def words_of(text: str) -> list[str]:
     """Words of a text with A-Z lower-cased."""
     return WORD_RE.findall(text.translate(ASCII_LOWER))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, ship, tidy
+from .common import give_back, id_text, id_values, ship, tidy
 
 CHARS_PER_EDIT = 10
 #: Items of this length are passages; shorter ones are searched for as well.
@@ -167,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, edits``: a row for each item that a document quotes."""
     spark, out = docs.sparkSession, None
     ship(docs.sparkSession)
-    texts = docs.where("text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.where("text IS NOT NULL AND text <> ''").select(id_text(), F.col("text").cast("string").alias("text"))
     for items in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(items)
 
@@ -175,7 +175,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             matcher = Matcher(shared.value)
             for batch in batches:
                 rows = [(d, i, e) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, e in matcher.match(normalise(t))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits"]).astype({"doc_id": "Int64", "item_id": "int64", "edits": "int64"})
+                ids, items, edits = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pd.DataFrame({"doc_id": id_values(ids), "item_id": pd.array(items, dtype="int64"), "edits": pd.array(edits, dtype="int64")})
 
         found = texts.mapInPandas(tidy(run), "doc_id bigint, item_id bigint, edits bigint")
         out = found if out is None else out.unionByName(found)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, give_back, ship, tidy
+from .common import fold_of, give_back, id_text, id_values, ship, tidy
 
 #: Length of a hypervector and the seed of the letter vectors.
 DIMENSIONS = 1024
@@ -200,10 +200,9 @@ def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, key:
         store = GramStore()
         for batch in batches:
             langs, scores, _ = classify(batch["text"], languages, prototypes, store)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores})
+            yield pd.DataFrame({"doc_id": id_values(batch["doc_id"]), "lang_pred": langs, "score": scores})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(tidy(run), f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(id_text(key), F.col(text).cast("string").alias("text")).mapInPandas(tidy(run), "doc_id bigint, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, languages: list[str], prototypes: np.ndarray, into: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_keys, discard, ship, stage, tidy
+from .common import by_keys, discard, id_text, id_values, ship, stage, tidy
 from .components import components
 
 SHINGLE = 5
@@ -127,13 +127,15 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             low = minima(s, xors, factors)
             rows.append((doc_id, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), bands(low).view(np.int64), *pack(low).view(np.int64).tolist()))
-        frame = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands", *(f"s{k}" for k in range(LONGS))])
-        yield frame.astype({"doc_id": "Int64", "n_shingles": "int64"} | {f"s{k}": "Int64" for k in range(LONGS)})
+        names = ["n_shingles", "set_key", "bands", *(f"s{k}" for k in range(LONGS))]
+        columns = dict(zip(["doc_id", *names], zip(*rows), strict=True)) if rows else {n: [] for n in ["doc_id", *names]}
+        whole = {f"s{k}": pd.array(columns[f"s{k}"], dtype="Int64") for k in range(LONGS)}
+        yield pd.DataFrame({"doc_id": id_values(columns["doc_id"]), "n_shingles": pd.array(columns["n_shingles"], dtype="int64"), "set_key": pd.Series(columns["set_key"], dtype=object), "bands": pd.Series(columns["bands"], dtype=object), **whole})
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Set size, set digest, band keys and packed signature of every document."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(tidy(_signatures), SIGNATURE)
+    return docs.select(id_text(), F.col("text").cast("string").alias("text")).mapInPandas(tidy(_signatures), SIGNATURE)
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,9 @@ histogram come from all labelled rows outside the held-out fold.
 
 Defined results: null and empty texts are scored as texts without words; without usable
 labels every score is 0.5; labels other than 0 and 1 and null labels teach nothing.
-Neither labels nor lang, source or ids enter a score.
+Neither labels nor lang, source or ids enter a score; repeated rows and equal texts score alike,
+very long texts are measured whole. Sums are of floating-point numbers, so scores may differ in
+their last digits with the way rows are dealt to partitions.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, ship, stage
+from .common import fold_of, id_text, id_values, ship, stage, tidy
 
 FEATURES = 256
 WIDTH = 4.0
@@ -93,7 +95,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     measure = Statistics()
     for batch in batches:
         if len(batch):
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [measure(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": id_values(batch["doc_id"]), "x": [measure(t) for t in batch["text"]]})
 
 
 def summed(rows: DataFrame, partial, width: int) -> np.ndarray:
@@ -197,8 +199,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
     calibration on the fold after it."""
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = stage(texts.mapInPandas(_measure, "doc_id bigint, x array<double>"), "statistics", compact=False)
+    texts = docs.select(id_text(), F.col("text").cast("string").alias("text"))
+    measured = stage(texts.mapInPandas(tidy(_measure), "doc_id bigint, x array<double>"), "statistics", compact=False)
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(fold_of("doc_id", parts) != held)
     usable = usable.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
     training = stage(measured.join(usable, "doc_id").select("x", "quality", fold_of("doc_id", parts).alias("fold")), "training")
@@ -208,7 +210,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             score = model.score(np.stack(batch["x"].to_numpy())) if len(batch) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score})
+            yield pd.DataFrame({"doc_id": id_values(batch["doc_id"]), "score": score})
 
-    scored = measured.mapInPandas(run, "doc_id bigint, score double")
+    scored = measured.select(id_text(), "x").mapInPandas(run, "doc_id bigint, score double")
     return scored.select("doc_id", F.coalesce(fold_of("doc_id", parts) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))

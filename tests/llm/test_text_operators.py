@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate as D
 from tessera.llm import fingerprints as P
 from tessera.llm import language_id as L
+from tessera.llm import near_dedup as N
 from tessera.llm import personal_data as PII
 from tessera.llm import quality as Q
 
@@ -136,6 +137,13 @@ def test_short_items_are_found(spark):
     assert {r["doc_id"] for r in D.decontaminate(docs, bench).collect()} == {1, 3}
 
 
+def test_quotations_in_very_long_documents(spark):
+    item = "a passage of the benchmark that stands somewhere deep inside a very long document"
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, long + " " + item.replace("deep", "dee") + " " + long), (2, long), (3, "x" * 300_000)], "doc_id bigint, text string")
+    assert [tuple(r) for r in D.contaminated(docs, spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()] == [(1, 5, 1)]
+
+
 def test_decontamination_of_empty_tables(docs, no_docs, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.contaminated(docs, none).collect() == [] and D.contaminated(no_docs, none).collect() == []
@@ -320,9 +328,44 @@ def test_block_bundles_equal_single_ones():
         assert (row == (n[:, None] * L.gram_vectors(g).astype(np.int64)).sum(axis=0)).all()
 
 
+def test_large_ids_stay_exact_beside_nulls(spark):
+    ids = [2**62 + 1, -(2**63), None, 2**53 + 1]
+    frame = spark.createDataFrame([(k, "the river bends near old mill and stone", "en") for k in ids], "doc_id bigint, text string, lang string").coalesce(1)
+    bench = spark.createDataFrame([(1, "the river bends near old mill")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(2**62 + 1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for got in (L.language_id(frame), Q.quality_scores(frame, labels), D.contaminated(frame, bench), N.near_duplicates(frame)):
+        assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted(ids, key=repr)
+
+
 # ---- quality
 
 
+def test_random_features_approximate_the_kernel():
+    z = np.random.default_rng(2).normal(size=(40, len(Q.STATISTICS)))
+    phi = Q.random_features(z)[:, :-1]
+    exact = np.exp(-((z[:, None] - z[None]) ** 2).sum(axis=2) / (2 * Q.WIDTH**2))
+    assert np.abs(phi @ phi.T - exact).max() < 0.3 and np.abs(phi @ phi.T - exact).mean() < 0.06
+
+
+def test_partition_sums_give_plain_ridge(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(300, len(Q.STATISTICS))), rng.integers(0, 2, 300)
+    frame = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y, strict=True)], "x array<double>, quality double").repartition(7)
+    model = Q.fit(frame, frame.where("false"))
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    z = Q.random_features(Q.standardised(x, mean, scale))
+    beta = np.linalg.solve(z.T @ z / 300 + Q.RIDGE * np.eye(z.shape[1]), z.T @ y / 300)
+    assert np.allclose(model.beta, beta, atol=1e-6)
+    level = Q.isotonic(model.at, model.level, np.ones(len(model.at)))
+    assert (np.diff(model.level) >= -1e-12).all() and np.allclose(level, model.level)
+
+
+def test_quality_of_repeated_rows_and_clashing_columns(spark, docs):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 19)], "doc_id bigint, quality int, toxic int")
+    rows = Q.quality_scores(docs, labels).collect()
+    assert len(rows) == docs.count() and len({r["score"] for r in rows if r["doc_id"] in (1, 2)}) == 1
+
+
 def test_quality_is_learned(spark, docs, no_docs):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["the", "river", "stone", "walks", "green", "under"]) for _ in range(40)) + "."
