@@ -194,3 +194,27 @@ def test_escalated_tables_have_fewer_conflicts(tables):
     ratio = lambda c: {r["table_id"]: r["conflict_ratio"] for r in conflict_ratio(c).collect()}
     before, after = ratio(cells), ratio(passes.refined(cells, boxes))
     assert before.keys() == after.keys() and sum(after.values()) < sum(before.values())
+
+
+def test_extra_lines_join_or_replace(spark, sf_dir):
+    from tessera.operators.sequences import merged_rules
+
+    rules = view(spark, sf_dir, "v_rules")
+    groups = defaultdict(list)
+    for r in rules.collect():
+        groups[r["table_id"], r["axis"]].append(r)
+    want = {}
+    for key, own in groups.items():
+        kept = sorted((r for r in own if r["origin"] == "primary"), key=lambda r: r["rule_id"])
+        for s in sorted((r for r in own if r["origin"] == "extra" and r["length"] >= 150), key=lambda r: r["rule_id"]):
+            near = next((k for k, p in enumerate(kept) if abs(s["coord"] - p["coord"]) <= 6), None)
+            if near is None:
+                kept.append(s)
+            elif s["length"] > kept[near]["length"]:
+                kept[near] = s
+        want[key] = sorted(r["rule_id"] for r in kept)
+    got = defaultdict(list)
+    for r in merged_rules(rules).collect():
+        got[r["table_id"], r["axis"]].append(r["rule_id"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    assert any(len(want[k]) != sum(r["origin"] == "primary" for r in groups[k]) for k in want)
