@@ -129,7 +129,7 @@ TABLE = {
     "best_table": (_best, ("v_detected", "v_boxes", "v_cells"), f", f AS (SELECT d.page_id, d.table_id, d.confidence, count(*) AS n_cells, min(b.x1) AS x1, min(b.y1) AS y1, max(b.x2) AS x2, max(b.y2) AS y2 FROM v_detected d JOIN v_boxes b ON b.table_id = d.table_id GROUP BY ALL), r AS (SELECT CAST(floor(table_id/4) AS BIGINT) AS page_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM v_cells WHERE table_id % 4 = 1 GROUP BY 1) SELECT page_id, table_id FROM (SELECT f.page_id, f.table_id, row_number() OVER (PARTITION BY f.page_id ORDER BY {iou('f', 'r')} DESC, confidence DESC, n_cells DESC, f.table_id) AS k FROM f JOIN r ON r.page_id = f.page_id) q WHERE k = 1"),
     "prefix_width": (_widths, ("part",), f", w AS (SELECT p_partkey, list_transform(range(0, len(ws)+1), lambda k: list_sum(ws[1:k])) AS sums FROM (SELECT p_partkey, {WIDTHS} AS ws FROM part) q), s AS (SELECT p_partkey, list_transform(sums, lambda x: coalesce(x, 0.0)) AS sums FROM w) SELECT p_partkey, round(sums[-1], 6) AS width, CAST(list_sort(list_transform(range(1, len(sums)+1), lambda k: {{'d': round(abs(sums[k]-0.37*sums[-1]), 9), 'k': k-1}}))[1].k AS BIGINT) AS cut FROM s"),
     "cjk_join": (_joined, ("part",), " SELECT p_partkey, p_brand || ' (' || p_type || ')' AS a, p_brand || '(' || p_name AS b FROM part"),
-    "archive_map": (incremental.sizes_by_status, ("v_archive",), " SELECT status, count(*) AS items, sum(size) AS total, min(name) AS first FROM v_archive GROUP BY status"),
+    "archive_map": (incremental.sizes_by_status, ("v_archive",), " SELECT status, count(*) AS items, CAST(sum(size) AS BIGINT) AS total, min(name) AS first FROM v_archive GROUP BY status"),
     "archive_json": (incremental.json_round_trip, ("v_archive",), " SELECT * FROM v_archive"),
     "iso_date": (lambda o: o.select("o_orderkey", incremental.iso(F.col("o_orderdate")).alias("stamp")), ("orders",), " SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS stamp FROM orders"),
 }

@@ -49,7 +49,17 @@ def test_assignment_falls_through_its_stages(spark):
         BOX,
     )
     got = {(r["table_id"], r["box_id"]): (r["cell_id"], r["method"]) for r in assign.assigned(boxes, cells).collect()}
-    assert got == {(1, 1): (2, "centre"), (1, 2): (1, "overlap"), (1, 3): (3, "nearest"), (1, 4): (None, "free"), (9, 1): (None, "free")}
+    assert got == {(1, 1): (2, "centre"), (1, 2): (1, "overlap"), (1, 3): (1, "nearest"), (1, 4): (None, "free"), (9, 1): (None, "free")}
+
+
+def test_cells_with_text_count_as_nearer_in_turn(spark):
+    """A cell that has text by then, and is above the box, counts a fourth of the squared distance."""
+    cells = spark.createDataFrame([(1, 1, 0, 0, 0, 0, 0.0, 0.0, 100.0, 40.0, ""), (1, 3, 1, 1, 0, 0, 0.0, 300.0, 100.0, 340.0, "")], CELL)
+    rows = [(1, 2, 10.0, 10.0, 20.0, 20.0, 1.0, "in the first"), (1, 1, 10.0, 200.0, 20.0, 210.0, 1.0, "before it"), (1, 3, 10.0, 200.0, 20.0, 210.0, 1.0, "after it")]
+    boxes = spark.createDataFrame(rows, BOX)
+    assert {r["box_id"]: (r["cell_id"], r["method"]) for r in assign.assigned(boxes, cells).collect()} == {1: (3, "nearest"), 2: (1, "centre"), 3: (3, "nearest")}
+    assert {r["box_id"]: r["cell_id"] for r in assign.assigned(boxes.where("box_id > 1"), cells).collect()} == {2: 1, 3: 1}
+    assert {r["box_id"]: r["cell_id"] for r in assign.by_distance(boxes, cells).collect()} == {1: 3, 2: 1, 3: 3}
 
 
 def test_reading_order(spark):
