@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import area, centre, holds_centre, ioa, iou
 from tessera.functions.labels import is_sticky
 from tessera.functions.text import is_caption, no_spaces
+from tessera.sources.staging import cut
 
 #: Height of the bands on which rectangles of one table meet; wider tables take more bands.
 BAND = 160.0
@@ -116,8 +117,9 @@ def by_weighted_distance(rest: DataFrame, taken: DataFrame, cells: DataFrame) ->
 
 
 def assigned(boxes: DataFrame, cells: DataFrame) -> DataFrame:
-    """Every box with its cell and the method: centre, overlap, nearest, or free text without a cell."""
-    both = in_turn(boxes).join(matched(boxes, cells), KEY, "left")
+    """Every box with its cell and the method: centre, overlap, nearest, or free text without a cell. What
+    the one join of boxes and cells found is written, since three steps go on from it."""
+    both = cut(in_turn(boxes).join(matched(boxes, cells), KEY, "left"), "matched")
     met = F.col("centre").isNotNull() | F.col("overlap").isNotNull()
     placed, rest = both.where(met), both.where(~met)
     taken = placed.select("table_id", "turn", F.coalesce("centre", "overlap").alias("cell_id"))
