@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import re
 import shutil
@@ -49,6 +50,17 @@ def ship(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Batches of so many rows for what is run meanwhile: for narrow rows, of which many fit."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def give_back() -> None:
     """Hand memory that this Python worker has freed back to the system. Workers live on between
     tasks, and what their allocators keep counts against the executor."""
