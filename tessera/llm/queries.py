@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from .collocations import COLLOCATIONS_SQL, collocations
 from .common import table
 from .decontaminate import contaminated
 from .fingerprints import edited_fingerprints
@@ -15,6 +16,8 @@ from .piece_codec import encode_documents
 from .quality import quality_scores
 from .sharding import SHARDS, place, placement_sql
 from .token_files import token_file_digests
+from .toxicity import toxicity
+from .vector_codes import codes_sql, vector_codes
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,6 +84,21 @@ def op10_language_id(spark, sf_dir):
     return language_id(documents(spark, sf_dir, "lang"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    """Code and error of every usable vector."""
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark, sf_dir):
+    """The first phrases of each language."""
+    return collocations(documents(spark, sf_dir, "lang"))
+
+
+def op13_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark, sf_dir):
     """The corpus pipeline over ``documents``."""
     import corpus_pipeline
@@ -101,6 +119,9 @@ QUERIES = {
         op8_decontamination,
         op9_sharding,
         op10_language_id,
+        op11_vector_codes,
+        op12_collocations,
+        op13_toxicity,
         pipeline,
     )
 }
@@ -120,7 +141,7 @@ reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JO
 roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(root, doc_id)) AS kept
 FROM sets LEFT JOIN roots ON roots.x = sets.doc_id"""
-ORACLES = {"op5_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_sharding": placement_sql(list(SHARDS))}
+ORACLES = {"op5_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_sharding": placement_sql(list(SHARDS)), "op11_vector_codes": codes_sql(), "op12_collocations": COLLOCATIONS_SQL}
 
 
 def queries():

@@ -1,16 +1,18 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-1. Words of all documents are counted, those of labelled ones by label. The ``CANDIDATES`` words that
-   tell the labels apart best are looked at again: of each, the distinct windows (the word with its
-   neighbours) by label, since copies of a document repeat its windows and so cannot make a word telling.
-   Words whose windows lie ``LEAST_Z`` standard deviations off the labels' share are the vocabulary.
-2. A document is the vector of its words of the vocabulary, (1 + log tf) * idf, with document
-   frequencies over all documents, of length 1.
+1. Terms are words and, of longer words, their first ``STEM`` letters. Those of all documents are counted,
+   those of labelled ones by label. The ``CANDIDATES`` terms that tell the labels apart best are looked at
+   again: of each, the distinct windows (the term with the words beside it) by label, since copies of a document
+   repeat its windows and so cannot make a term telling. Terms whose windows lie ``LEAST_Z`` standard
+   deviations off the labels' share are the vocabulary.
+2. A document with a telling term is the vector of its terms of the vocabulary and of one term that all its
+   words share, so that the same insult weighs less in a long document: (1 + log tf) * idf, with
+   document frequencies over all documents, of length 1.
 3. Examples go into an inverted index: postings by word, in blocks of ``BLOCK`` examples, with the
    largest weight of each block. Blocks are visited by the bound that these maxima give, until none
    can hold a nearer example than the ``NEIGHBOURS`` found: the neighbours are exact.
 4. Neighbours vote with the inverse of their distance. Votes become scores by isotonic regression on a
-   fold of labelled documents that are no examples; documents without a word of the vocabulary, or
+   fold of labelled documents that are no examples; documents without a term of the vocabulary, or
    without a neighbour, get the rate of their like in that fold.
 
 The index is broadcast and bounded: at most ``EXAMPLES`` examples are taken, half of each label as far as there
@@ -53,6 +55,7 @@ COUNTED_WORDS = 200_000
 REMEMBERED = 50_000
 GRID = 1e9
 EVIDENCE = 5
+STEM = 5
 WORD_RE = re.compile(r"[^\W\d_]+")
 
 
@@ -61,8 +64,13 @@ def words_of(text: str | None) -> list[str]:
     return WORD_RE.findall(text.lower()) if text else []
 
 
+def terms_of(word: str) -> tuple[str, ...]:
+    """A word and its stem, which ends in a hyphen."""
+    return (word, word[:STEM] + "-") if len(word) > STEM else (word,)
+
+
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents that hold each word: all, toxic and clean ones."""
+    """Documents that hold each term: all, toxic and clean ones."""
     held: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
 
     def record() -> pd.DataFrame:
@@ -73,7 +81,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for text, label in zip(batch["text"], batch["toxic"].to_numpy(np.float64, na_value=np.nan), strict=True):
-            for word in set(words_of(text)):
+            words = set(words_of(text))
+            for word in (*words, *{w[:STEM] + "-" for w in words if len(w) > STEM}):
                 row = held[word]
                 row[0] += 1
                 if label == 1:
@@ -92,7 +101,7 @@ def deviation(toxic, clean, share: float):
 
 
 def vocabulary(labelled: DataFrame, counts: DataFrame) -> dict[str, int]:
-    """The telling words and the number of documents that hold each; at most ``VOCABULARY``."""
+    """The telling terms and the number of documents that hold each; at most ``VOCABULARY``."""
     share = labelled.agg(F.avg("toxic")).first()[0]
     if share is None or not 0 < share < 1:
         return {}
@@ -106,7 +115,7 @@ def vocabulary(labelled: DataFrame, counts: DataFrame) -> dict[str, int]:
             out = []
             for text, label in zip(batch["text"], batch["toxic"], strict=True):
                 words = ["", *words_of(text), ""]
-                out.extend({(w, f"{words[k - 1]} {words[k + 1]}", int(label)) for k, w in enumerate(words) if w in wanted})
+                out.extend({(t, f"{words[k - 1]} {words[k + 1]}", int(label)) for k, w in enumerate(words) for t in terms_of(w) if t in wanted})
             yield pd.DataFrame(np.array(out, object).reshape(-1, 3), columns=["word", "around", "toxic"]).astype({"toxic": "int32"})
 
     seen = labelled.select("text", "toxic").mapInPandas(tidy(windows), "word string, around string, toxic int").distinct()
@@ -121,14 +130,24 @@ def vocabulary(labelled: DataFrame, counts: DataFrame) -> dict[str, int]:
 
 
 def _vectors(words: dict[str, int]):
-    """The places of a document's words in the vocabulary and how often each comes."""
+    """The places of a document's terms in the vocabulary and how often each comes; if there are any,
+    the place after the vocabulary has the number of its words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = words.get
+        telling: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             terms, counts = [], []
             for text in batch["text"]:
-                found = sorted(Counter(k for k in map(get, words_of(text)) if k is not None).items())
+                row = words_of(text)
+                places = []
+                for word in row:
+                    if (held := telling.get(word)) is None:
+                        held = tuple(words[t] for t in terms_of(word) if t in words)
+                        if len(telling) < COUNTED_WORDS:
+                            telling[word] = held
+                    places += held
+                found = sorted(Counter(places).items())
+                found += [(len(words), len(row))] if found else []
                 terms.append([k for k, _ in found])
                 counts.append([n for _, n in found])
             yield pd.DataFrame({"doc_id": id_values(batch["doc_id"]), "toxic": batch["toxic"], "terms": terms, "counts": counts}).astype({"toxic": "Int32"})
@@ -219,7 +238,7 @@ def taken(rows: DataFrame, toxic: int) -> list:
 
 def fit(words: dict[str, int], n_docs: int, vectors: DataFrame, apart: DataFrame) -> Model:
     """Model of the labelled ``vectors(doc_id, toxic, terms, counts)``, calibrated on those ``apart``."""
-    idf = np.log((1 + n_docs) / (1 + np.array(list(words.values()), np.float64))) + 1
+    idf = np.log((1 + n_docs) / (1 + np.array([*words.values(), n_docs], np.float64))) + 1
     telling = vectors.where(F.size("terms") > 0)
     rows = sorted((r for y in (0, 1) for r in taken(telling, y)), key=lambda r: (r["terms"], r["counts"], r["toxic"], r["doc_id"]))
     of_label = {r["toxic"]: r["count"] for r in telling.groupBy("toxic").count().collect()}

@@ -65,7 +65,7 @@ def as_floats(numbers: np.ndarray) -> np.ndarray:
     """Numbers for bounds; what is beyond floating point is infinite, and then bounds rule nothing out."""
     if numbers.dtype != object:
         return numbers.astype(np.float64)
-    near = lambda x: float(x) if abs(x) < 1 << 1000 else math.copysign(math.inf, x)
+    near = lambda x: float(x) if abs(x) < 1 << 1000 else (-math.inf if x < 0 else math.inf)
     return np.array([near(x) for x in numbers.ravel()], np.float64).reshape(numbers.shape)
 
 
