@@ -1,6 +1,6 @@
 """Labelled pages: page source and the main text that a reader marked in it.
 
-Four small pages written by hand, and :func:`composed` ones: layouts drawn by a seed, with and
+Small pages written by hand, and :func:`composed` ones: layouts drawn by a seed, with and
 without telling names and elements, of menus, notices, adverts, forms, share bars, lists of links,
 comments of readers and footers around and inside articles of made-up words.
 """
@@ -51,10 +51,30 @@ Choose a place out of the wind, with morning sun and water close by.""",
 Work begins in June. The eastern part stays open to small boats throughout.
 It is a good plan, said the harbour master.""",
     ),
+    # pages of a few words, and of nothing but furniture
+    ("<p>Closed today", "Closed today"),
+    ("Under construction", "Under construction"),
+    ("<body><nav><a href=1>Home</a> <a href=2>Archive</a></nav></body>", ""),
+    ("<nav>Home Archive Contact</nav>", ""),
+    ("<nav>Rooms Prices Booking</nav><!-- no text yet -->", ""),
+    ("<nav><p>Week Month Year</p></nav>", ""),
+    ("<body><nav>Up Down</nav><nav>First Last</nav></body>", ""),
+    ("<nav>Maps and plans</nav><p>The path is closed.</p>", "The path is closed."),
+    ("<body><div class=banner>Sale ends Sunday</div><footer>All rights reserved</footer></body>", ""),
+    ("<div class=advert>Order now</div>The office is closed on Monday.", "The office is closed on Monday."),
+    ("<article><h1>Bread</h1><p>Flour, water and salt.</p><form><label>Mail</label><button>Send</button></form><p>Bake for an hour.</p></article>", "Bread\nFlour, water and salt.\nBake for an hour."),
+    ("<main><h1>Notice</h1><form action=q>Search</form><p>The pool opens in May.</p></main><footer>Imprint</footer>", "Notice\nThe pool opens in May."),
+    (
+        "<div class=k1><a href=1>Start</a> <a href=2>Shop</a></div><div class=k2><p>The mill was sold in the autumn to a couple from the coast who want to grind again.</p></div><div class=k3><h3>Comments</h3><p>Eva: We wish them well.</p><p>Tom: So good to hear it turning again.</p></div>",
+        "The mill was sold in the autumn to a couple from the coast who want to grind again.",
+    ),
+    (
+        "<div><p>Both boats were back before the storm, and nobody was hurt.</p></div><div><h4>2 comments</h4><p>Lee: Thank heavens.</p><p>Kim: That was close, I saw them from the pier.</p></div>",
+        "Both boats were back before the storm, and nobody was hurt.",
+    ),
 ]
 
 SYLLABLES = "ka lo mi ren tos ul va shi no pe dra len ost im gu fa ber sel on ty".split()
-NEUTRAL = ["c1", "c2", "x-row", "block", "box", "w12", "col", "m-2", "unit", "el"]
 #: Names that tell, by what they stand around; the last are names of content that only look telling.
 TELLING = {
     "menu": ["nav", "menu", "navbar", "top-menu", "breadcrumb", "main-navigation"],
@@ -76,6 +96,8 @@ FORMS = ["Subscribe to our newsletter", "Sign up for free", "Your e-mail address
 SHARES = ["Share", "Tweet", "Mail", "Print", "Follow us", "Copy link"]
 FOOTERS = ["Copyright 2021, all rights reserved.", "Imprint | Privacy | Terms", "Contact | Privacy policy", "Terms of use", "Powered by the press office"]
 HEADS = ["Comments", "3 comments", "Discussion", "Leave a reply", "Reader comments", "What readers say"]
+#: Headlines of articles about what elsewhere is furniture.
+TOPICS = ["Comments on the {}", "Discussion of the {}", "What readers say about {}", "The most read {}", "Search for the {}", "Cookies and {}", "More stories from {}", "Why we {} and share", "Home of the {}", "News from {}"]
 RELATED = ["Related", "Read more", "Most read", "You may also like", "More stories"]
 
 
@@ -91,7 +113,7 @@ def composed(seed: int) -> tuple[str, str]:
         return words[0].capitalize() + " " + " ".join(words[1:]) + rng.choice(("." * 9) + "?")
 
     def named(kind: str, always: bool = False) -> str:
-        name = rng.choice(TELLING[kind]) if telling or always else rng.choice(NEUTRAL)
+        name = rng.choice(TELLING[kind]) if telling or always else rng.choice(("{}", "{}-{}", "{}{}")).format(word(), rng.randint(1, 99))
         return f' {rng.choice(("class", "class", "id"))}="{name}"' if telling or always or rng.random() < 0.7 else ""
 
     def links(texts: list[str]) -> str:
@@ -117,7 +139,11 @@ def composed(seed: int) -> tuple[str, str]:
 
     def furniture(kind: str) -> str:
         if kind == "ad":
-            return wrapped("ad", rng.choice(("<p>{}</p>", "{}")).format(rng.choice((rng.choice(ADS), f"{rng.choice(ADS)} {sentence(3, 7)}", " ".join(sentence(5, 14) for _ in range(rng.randint(1, 2))) if telling else rng.choice(ADS)))), ("div", "aside", "section"))
+            if rng.random() < (0.5 if telling else 0.2):  # of whole sentences, which only their place and names give away
+                inner = "".join(f"<p>{sentence(5, 14)} {sentence(5, 14) if rng.random() < 0.5 else ''}</p>" for _ in range(rng.randint(1, 3)))
+            else:
+                inner = rng.choice(("<p>{}</p>", "{}")).format(rng.choice((rng.choice(ADS), f"{rng.choice(ADS)} {sentence(3, 7)}")))
+            return wrapped("ad", inner, ("div", "aside", "section"))
         if kind == "share":
             return wrapped("share", links(rng.sample(SHARES, 3)), ("div", "ul", "nav"))
         if kind == "form":
@@ -130,8 +156,9 @@ def composed(seed: int) -> tuple[str, str]:
         return wrapped("comments", f"<h{rng.randint(2, 4)}>{rng.choice(HEADS)}</h3>" + "".join(f"<p>{x}</p>" for x in people), ("section", "div", "aside"))
 
     def body() -> str:
-        parts = [block(sentence(3, 9).rstrip(".?"), "h1")] if rng.random() < 0.85 else []
-        for _ in range(rng.randint(2, 9)):
+        headline = rng.choice(TOPICS).format(f"{word()} {word()}") if rng.random() < 0.2 else sentence(3, 9).rstrip(".?")
+        parts = [block(headline, rng.choice(("h1", "h1", "h2")))] if rng.random() < 0.85 else []
+        for _ in range(rng.randint(1, 3) if rng.random() < 0.25 else rng.randint(2, 9)):
             k = rng.random()
             if k < 0.05:
                 parts.append(block(word().capitalize() + "."))
@@ -141,7 +168,17 @@ def composed(seed: int) -> tuple[str, str]:
                 parts.append(block(sentence(2, 6).rstrip(".?"), "h2"))
             elif k < 0.78:
                 parts.append("<ul>" + "".join(block(f"{word()} {word()}" if rng.random() < 0.5 else sentence(3, 7), "li") for _ in range(rng.randint(2, 4))) + "</ul>")
+            elif k < 0.81:  # an article may be a list of links
+                titles = [" ".join(word() for _ in range(rng.randint(2, 5))).capitalize() for _ in range(rng.randint(3, 8))]
+                if rng.random() < 0.4:
+                    parts.append(block(word().capitalize(), "h2"))
+                main.extend(titles)
+                parts.append("<ul>" + "".join(f'<li><a href="/{x}">{t}</a></li>' for x, t in enumerate(titles)) + "</ul>")
             elif k < 0.84:
+                cells = [[f"{word()} {word()}" if rng.random() < 0.3 else word().capitalize(), str(rng.randint(1, 999))] for _ in range(rng.randint(2, 5))]
+                main.extend(c for row in cells for c in row)
+                parts.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>" for row in cells) + "</table>")
+            elif k < 0.86:
                 parts.append(block(sentence(5, 14), "blockquote"))
             elif k < 0.90:
                 parts.append(f"<div{named('inset', True)}>{block(sentence(3, 8))}</div>")
@@ -151,8 +188,8 @@ def composed(seed: int) -> tuple[str, str]:
 
     top = wrapped("header", f'<a href="/">{word().capitalize()} {word()}</a>' + (wrapped("menu", links(rng.sample(MENU, rng.randint(3, 7)) if rng.random() < 0.7 else [word() for _ in range(rng.randint(2, 5))]), ("nav", "nav", "div", "ul"))), ("header", "div"))
     before = "".join(furniture(k) for k in ("notice", "ad", "list") if rng.random() < 0.4)
-    text = body()
-    tag = rng.choice(("article", "article", "main", "div", "section", ""))
+    text = body() if rng.random() < 0.96 else ""  # a page may hold no article
+    tag = rng.choice(("article", "article", "main", "div", "div", "div", "section", ""))
     text = f"<{tag}{named('body') if tag == 'div' else ''}>{text}</{tag}>" if tag else text
     after = "".join(furniture(k) for k in ("share", "comments", "list", "form", "ad") if rng.random() < 0.5)
     said = rng.choice((rng.choice(FOOTERS), f"{rng.choice(FOOTERS)} {sentence(4, 16)}", f"© {word()}.example.org · " + " ".join(sentence() for _ in range(rng.randint(1, 3)))))

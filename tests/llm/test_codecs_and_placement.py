@@ -1,4 +1,7 @@
+import html
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +14,8 @@ from tessera.llm import sharding as S
 from tessera.llm import token_files as F
 from tessera.llm.labelled_pages import PAGES, composed
 
+from .hand_pages import PAGES as HAND_PAGES
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -262,3 +267,39 @@ def test_extract(spark):
 def test_odd_pages_take_linear_time():
     for page in ('<a "' * 25_000, "<" * 100_000, "<p>" * 30_000, "<div>" * 30_000 + "x" + "</p>" * 30_000, "<!--" * 30_000):
         H.main_text(page)
+
+
+MARKED_RE = re.compile(r"<(\w+) main([^>]*)>(.*?)</\1>", re.S)
+
+
+def test_pages_written_by_hand_keep_their_articles():
+    """Pages not made by the generator: articles about comments, cookies, search and sport, and lists of links."""
+    lines = lost = extra = 0
+    for marked in HAND_PAGES:
+        want = [" ".join(html.unescape(re.sub("<[^>]+>", "", m[3])).split()) for m in MARKED_RE.finditer(marked)]
+        got = H.main_text(re.sub(" main(?=[ >])", "", marked)).split("\n")
+        lines += len(want)
+        lost += sum((Counter(want) - Counter(got)).values())
+        extra += sum((Counter(got) - Counter(want)).values())
+    assert len(HAND_PAGES) >= 40 and lost <= 0.01 * lines and extra <= 0.02 * lines
+
+
+@pytest.mark.parametrize("headline", ["Comments on the budget", "What readers say about the harbour", "Leave a reply to the king", "3 comments on tax", "Discussion of the harbour wall", "Reader of the year", "More stories from the valley", "The most read book of the year", "You may also like winter", "Harbour wall plan", "Archive of the lost comments"])
+@pytest.mark.parametrize("layout", ["<div><h2>{}</h2>{}</div>", "<article><h1>{}</h1>{}</article>", '<div class="c9"><h1>{}</h1>{}</div>'])
+def test_headlines_never_empty_an_article(headline, layout):
+    lines = ["The committee met four times in the spring and agreed on a plan.", "Work begins in June and ends before the first storms.", "The eastern part stays open to small boats throughout."]
+    page = '<html><body><nav><a href="/">Home</a> <a href="/n">News</a></nav>' + layout.format(headline, "".join(f"<p>{x}</p>" for x in lines)) + "<footer>Copyright 2021, all rights reserved.</footer></body></html>"
+    assert H.main_text(page).split("\n") == [headline, *lines]
+
+
+def test_wording_is_a_hint_only():
+    """A long block's words are no features, and no hint turns a plain long block."""
+    model = H.default_model()
+    _, blocks = H.parsed("<article><h1>A headline</h1><h2>Comments</h2><p>" + "advertisement subscribe cookies " * 4 + "</p></article>")
+    assert not [f for f in blocks[-1].features() if f.startswith(("word", "label"))] and blocks[-1].hints() == ["label comments"]
+    assert model.odds(blocks)[-1] > 0
+
+
+def test_extract_keeps_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "<p>x y</p>", "m", "r")], "page_id bigint, html string, __main string, `row` string")
+    assert H.extract(pages).collect()[0].asDict() == {"page_id": 1, "html": "<p>x y</p>", "__main": "m", "row": "r", "text": "x y", "n_chars": 3}
