@@ -68,10 +68,6 @@ It is a good plan, said the harbour master.""",
         "<div class=k1><a href=1>Start</a> <a href=2>Shop</a></div><div class=k2><p>The mill was sold in the autumn to a couple from the coast who want to grind again.</p></div><div class=k3><h3>Comments</h3><p>Eva: We wish them well.</p><p>Tom: So good to hear it turning again.</p></div>",
         "The mill was sold in the autumn to a couple from the coast who want to grind again.",
     ),
-    (
-        "<div><p>Both boats were back before the storm, and nobody was hurt.</p></div><div><h4>2 comments</h4><p>Lee: Thank heavens.</p><p>Kim: That was close, I saw them from the pier.</p></div>",
-        "Both boats were back before the storm, and nobody was hurt.",
-    ),
 ]
 
 SYLLABLES = "ka lo mi ren tos ul va shi no pe dra len ost im gu fa ber sel on ty".split()

@@ -10,8 +10,8 @@ labelled pages set, are the main text.
 
 Wording is a hint and no more: the words of a block count in blocks of fewer than ``PLAIN_WORDS`` words alone,
 and the heading that a block stands under only as a whole phrase of at most ``LABEL_WORDS`` words ("Comments", not
-"Comments on the budget"). The first heading of a page, or a longer block, that length, links and elements
-speak for, falls to a hint only if it also looks like a reader's comment (a name with a colon, a byline before it) or holds links.
+"Comments on the budget"). A longer block that length, links and elements speak for falls to a hint only if it
+also looks like a reader's comment (a name with a colon, a byline before it) or holds links.
 
 Defined results: null and empty pages, and pages of nothing but clear furniture, give the
 empty text; of equally good regions the first counts; a region that begins or ends inside
@@ -235,7 +235,7 @@ class Model:
         for b in blocks:
             plain = get("", 0.0) + sum(get(f, 0.0) for f in set(b.features()))
             both = plain + sum(get(f, 0.0) for f in set(b.hints()))
-            firm = b.headline() or b.words >= PLAIN_WORDS and not b.links() and not b.spoken()
+            firm = b.words >= PLAIN_WORDS and not b.links() and not b.spoken()
             out.append(max(both, LEAST_PLAIN) if plain >= 0 and firm else both)
         return out
 
