@@ -10,7 +10,7 @@ from tessera.operators import assign, clusters, decisions, grid, render, strateg
 from tessera.sources import incremental
 from tessera.sources.derived import view
 
-from . import repairs, sequences
+from . import lined, repairs, sequences
 from .oracles import SQL
 
 
@@ -118,7 +118,7 @@ QUERIES = {
 }
 
 
-QUERIES |= {name: over(operator, *relations) for name, (operator, relations) in (sequences.QUERIES | repairs.QUERIES).items()}
+QUERIES |= {name: over(operator, *relations) for name, (operator, relations) in (sequences.QUERIES | repairs.QUERIES | lined.QUERIES).items()}
 
 
 def queries():
@@ -128,4 +128,4 @@ def queries():
 
 def oracle_sql():
     """DuckDB SQL by query name."""
-    return SQL | sequences.SQL | repairs.SQL
+    return SQL | sequences.SQL | repairs.SQL | lined.SQL

@@ -48,6 +48,23 @@ SELECT table_id, box_id, CAST(bx AS DOUBLE) AS x1, CAST(byy AS DOUBLE) AS y1,
 FROM ({_KEYED.format(key="box_id", more="""(l_linenumber-1)*100 + (l_suppkey*7) % 60 AS bx, (l_orderkey % 16)*40 + l_suppkey % 20 AS byy,""")}) s
 WHERE NOT (table_id % 7 = 6 AND l_orderkey % 16 BETWEEN 6 AND 8)"""
 
+#: Boxes, of which every eleventh lies over several columns: labels with numbers and codes, repeated units, codes
+#: with amounts, marks in pairs, headers.
+MIXED = """
+SELECT table_id, box_id, CASE WHEN box_id % 11 = 5 THEN x1 - 30 ELSE x1 END AS x1, y1,
+       CASE WHEN box_id % 11 = 5 THEN x1 + 120 + (box_id*37 + table_id*13) % 170 ELSE x2 END AS x2, CASE WHEN box_id % 11 = 5 THEN y1 + 22 ELSE y2 END AS y2, score,
+       CASE WHEN box_id % 11 <> 5 THEN text ELSE CASE (box_id + table_id) % 9
+         WHEN 0 THEN concat('比較例', CAST(100 + box_id % 400 AS VARCHAR(9)), 'Bk-', CAST(box_id % 9 AS VARCHAR(9)))
+         WHEN 1 THEN concat('实施例 ', CAST(table_id % 9 + 1 AS VARCHAR(9)), CAST(10 + box_id % 80 AS VARCHAR(9)))
+         WHEN 2 THEN concat('NMP-', CAST(box_id AS VARCHAR(9)), ' (', CAST(box_id % 90 AS VARCHAR(9)), ') CHX')
+         WHEN 3 THEN concat('种类', CAST(box_id % 9 AS VARCHAR(9)), '种类', CAST(box_id % 7 AS VARCHAR(9)))
+         WHEN 4 THEN concat('[', text, ' ', text, ']')
+         WHEN 5 THEN concat(text, ' ', CAST(table_id % 1000 AS VARCHAR(9)), '.', CAST(box_id % 100 AS VARCHAR(9)))
+         WHEN 6 THEN '聚合物的分子量'
+         WHEN 7 THEN concat('比较例', CAST(box_id % 100 AS VARCHAR(9)), 'Bk')
+         ELSE concat(text, text, ' ', text) END END AS text
+FROM v_boxes"""
+
 #: Every row and column of a table's own range, whether or not a cell begins there.
 ATOMS = """
 SELECT table_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, CAST(c*100 AS DOUBLE) AS x1, CAST(r*40 AS DOUBLE) AS y1,
@@ -78,6 +95,10 @@ SELECT table_id, rule_id, CASE WHEN l_partkey % 2 = 0 THEN 'h' ELSE 'v' END AS a
        CAST(CASE WHEN l_partkey % 2 = 0 THEN (1+q % 3)*100 ELSE (1+q % 4)*40 END AS DOUBLE) AS length
 FROM ({_KEYED.format(key="rule_id", more="CAST(l_orderkey % 16 AS INT) AS row_at, CAST(l_linenumber-1 AS INT) AS col_at,")}) s"""
 
+#: Ruling lines, of which every third table has few upright ones, and boxes that leave the ends of columns blank.
+SPARSE = "SELECT * FROM v_rules WHERE axis = 'h' OR table_id % 3 <> 0 OR ((coord < 220 - (table_id % 2) * 100 OR coord >= 600) AND coord - floor(coord/100)*100 < 3)"
+NARROW = "SELECT table_id, box_id, x1, y1, CASE WHEN table_id % 3 = 0 THEN least(x2, floor(x1/100)*100 + 88) ELSE x2 END AS x2, y2, score, text FROM v_boxes WHERE x1 - floor(x1/100)*100 < 88"
+
 #: Text outside all cells: captions, pieces of cell text, other text, blanks.
 FREE = f"""
 SELECT table_id, free_id, CASE q % 4 WHEN 0 THEN concat('[表', CAST(q AS VARCHAR(9)), ']') WHEN 1 THEN CAST(q AS VARCHAR(9)) WHEN 2 THEN CASE WHEN table_id % 4 = 0 THEN concat('实施例 实施例', CAST(q AS VARCHAR(9)), ' 比較例', CAST(q+1 AS VARCHAR(9))) WHEN table_id % 4 = 2 THEN concat(CAST(q AS VARCHAR(9)), '实施例', CAST(q+1 AS VARCHAR(9)), ' 实施例') ELSE concat(l_returnflag, ' ', l_linestatus) END ELSE ' ' END AS text,
@@ -105,8 +126,11 @@ FROM v_boxes""".replace("@numbers", _NUMBERS).replace("@corners", _CORNERS).repl
 VIEWS = {
     "v_cells": (CELLS, ("lineitem",)),
     "v_boxes": (BOXES, ("lineitem",)),
+    "v_mixed": (MIXED, ("v_boxes",)),
     "v_atoms": (ATOMS, ("v_cells",)),
     "v_rules": (RULES, ("lineitem",)),
+    "v_sparse": (SPARSE, ("v_rules",)),
+    "v_narrow": (NARROW, ("v_boxes",)),
     "v_free": (FREE, ("lineitem",)),
     "v_detected": (DETECTED, ("v_boxes",)),
     "v_ocr": (OCR_LINES, ("v_boxes",)),
