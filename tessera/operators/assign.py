@@ -185,8 +185,15 @@ def coverage(boxes: DataFrame, cells: DataFrame) -> DataFrame:
 
 def rows_of_boxes(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """Text of each cell in reading order: boxes sorted by (y1, x1) form lines around the running
-    mean of y1, within 8 px; boxes of a line are joined by a blank, lines by a line break."""
-    placed = combined(boxes, cells).join(boxes, KEY)
+    mean of y1, within 8 px; boxes of a line are joined by a blank, lines by a line break. Pieces of
+    boxes, with ``piece`` and ``target``, go to their target if they have one."""
+    if "target" in boxes.columns:
+        boxes = boxes.withColumn("box_id", F.struct("box_id", "piece"))
+        loose = boxes.where("target IS NULL")
+        placed = combined(loose, cells).join(loose, KEY).select("table_id", "cell_id", "y1", "x1", "box_id", "text")
+        placed = placed.unionByName(boxes.where("target IS NOT NULL").select("table_id", F.col("target").alias("cell_id"), "y1", "x1", "box_id", "text"))
+    else:
+        placed = combined(boxes, cells).join(boxes, KEY)
     items = F.array_sort(F.collect_list(F.struct(F.col("y1").alias("y"), F.col("x1").alias("x"), "box_id", F.trim("text").alias("text"))))
     start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit("").alias("out"))
 

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import area, intersection, iou
 from tessera.functions.labels import are_labels
 from tessera.functions.text import blank, is_caption, is_fragment, is_row_index
-from tessera.sources.staging import cut
+from tessera.sources.staging import cut, dropped
 
 from .assign import banded
 from .decisions import escalated
-from .grid import amounts_merged, dash_applied, rows_unmerged
+from .grid import amounts_merged, conflict_ratio, dash_applied, rows_unmerged
+from .lines import fused_cells
 from .sequences import full_separators
 
 Pass = Callable[[DataFrame, DataFrame], DataFrame]
@@ -102,8 +103,12 @@ def without_fragments(cells: DataFrame) -> DataFrame:
 def deduped(cells: DataFrame) -> DataFrame:
     """Cells without duplicates, containers and contained fragments, in this order. Every step pairs
     what the one before left, which is written so that it is made once."""
+    old: list[str] = []
     for step in (one_per_rectangle, without_overlaps, without_containers):
-        cells = cut(step(cells), step.__name__)
+        new: list[str] = []
+        cells = cut(step(cells), step.__name__, new)
+        dropped(cells.sparkSession, old)
+        old = new
     return without_fragments(cells).drop("order")
 
 
@@ -327,16 +332,57 @@ RENDER: list[tuple[str, Pass]] = [
 ]
 
 
-def refined(cells: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Cells after the light chain, or after the aggressive one in tables whose cells conflict."""
-    flags = cut(escalated(cells), "escalated")
-    both = cells.join(flags, "table_id")
-    light = applied(LIGHT, both.where("NOT escalate").drop("escalate"), boxes)
-    return light.unionByName(applied(AGGRESSIVE, both.where("escalate").drop("escalate"), boxes))
+def better_of(first: DataFrame, second: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of two grids of each table the first, unless the second measures lower: what a pass did is undone where it made
+    things worse. ``measure`` gives ``table_id, value``; tables that only one of them has come from it."""
+    a, b = measure(first).withColumnRenamed("value", "before"), measure(second).withColumnRenamed("value", "after")
+    won = cut(b.join(a, "table_id", "left").where(F.col("before").isNull() | (F.col("after") < F.col("before"))).select("table_id"), "won")
+    return first.join(won, "table_id", "left_anti").unionByName(second.join(won, "table_id", "left_semi"))
+
+
+def conflict(cells: DataFrame) -> DataFrame:
+    """``table_id, value``: the share of conflicting positions, as a measure for :func:`better_of`."""
+    return conflict_ratio(cells).select("table_id", F.col("conflict_ratio").alias("value"))
+
+
+# Fixed value: the words of a header that has headers of its own below it.
+PARENT_HEADER = r"单体[ \t\n]*[\[［]"
+
+
+def with_header_tree(cells: DataFrame) -> DataFrame:
+    """``table_id`` of tables with a header over several columns, at least three unless it says so, under which two
+    cells or more of the next row cover half of its columns."""
+    span = F.col("col_end") - F.col("col_start") + 1
+    wide = cells.where((span >= 3) | (F.col("text").rlike(PARENT_HEADER) & (span >= 2)))
+    p = wide.select("table_id", (F.col("row_end") + 1).alias("row"), "cell_id", F.col("col_start").alias("lo"), F.col("col_end").alias("hi"))
+    k = cells.select("table_id", F.col("row_start").alias("row"), "col_start", "col_end")
+    kids = p.join(k, ["table_id", "row"]).where((F.col("col_end") >= F.col("lo")) & (F.col("col_start") <= F.col("hi")))
+    inside = F.sequence(F.greatest("col_start", "lo"), F.least("col_end", "hi"))
+    found = kids.groupBy("table_id", "cell_id", "lo", "hi").agg(F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list(inside)))).alias("covered"))
+    enough = F.greatest(F.lit(2), F.floor((F.col("hi") - F.col("lo") + 1) * 0.5 + 0.5))
+    return found.where((F.col("n") >= 2) & (F.col("covered") >= enough)).select("table_id").distinct()
+
+
+def refined(cells: DataFrame, boxes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Cells after the light chain. Where they still conflict, and have no tree of headers to lose, the aggressive
+    chain is tried on the cells as found, fused with ruling lines if there are any; its grid is taken if it has
+    fewer conflicts."""
+    light = applied(LIGHT, cells, boxes)
+    hard = cut(escalated(light).where("escalate").select("table_id").join(with_header_tree(light), "table_id", "left_anti"), "escalated")
+    again = applied(AGGRESSIVE, cells.join(hard, "table_id", "left_semi"), boxes)
+    if rules is not None:
+        made = fused_cells(again, rules)
+        lost = [F.lit("" if c == "text" else None).cast(cells.schema[c].dataType).alias(c) for c in cells.columns if c not in made.columns]
+        again = cut(made.select(*made.columns, *lost).select(*cells.columns), "fused")
+    return better_of(light, again, conflict)
 
 
 def applied(chain: list[tuple[str, Pass]], cells: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Cells after all passes of a chain; what each leaves is written for the next."""
+    """Cells after all passes of a chain; what each leaves is written for the next and then deleted."""
+    old: list[str] = []
     for name, one in chain:
-        cells = cut(one(cells, boxes), name)
+        new: list[str] = []
+        cells = cut(one(cells, boxes), name, new)
+        dropped(cells.sparkSession, old)
+        old = new
     return cells

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import blank, html_escaped, is_caption, normalised
-from tessera.operators import assign, passes, render
+from tessera.operators import assign, passes, render, splitting
 from tessera.sources import incremental, ocr
 from tessera.sources.staging import cut
 
@@ -20,8 +20,9 @@ def cleaned(boxes: DataFrame) -> DataFrame:
 
 
 def filled(cells: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Cells with the text of the boxes assigned to them, in reading order."""
-    texts = assign.rows_of_boxes(boxes, cells)
+    """Cells with the text of the boxes assigned to them, in reading order; boxes over several columns
+    are cut into pieces first."""
+    texts = assign.rows_of_boxes(cut(splitting.split_boxes(boxes, cells), "pieces"), cells)
     return cells.drop("text").join(texts, ["table_id", "cell_id"], "left").withColumn("text", F.coalesce("text", F.lit(""))).select(*cells.columns)
 
 
@@ -34,11 +35,11 @@ def paragraphs(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     return lines.groupBy("table_id").agg(F.array_join(F.transform(ordered, lambda p: p["p"]), "\n").alias("head"))
 
 
-def extracted(cells: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``table_id, html, md, broken, health`` of every table with text: its grid refined, filled and
-    rendered, with the text outside it in front."""
+def extracted(cells: DataFrame, boxes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """``table_id, html, md, broken, health`` of every table with text: its grid refined, with the help of ruling
+    lines if there are any, filled and rendered, with the text outside it in front."""
     boxes = cut(cleaned(boxes), "boxes")
-    grid = cut(filled(passes.refined(cells, boxes), boxes), "filled")
+    grid = cut(filled(passes.refined(cells, boxes, rules), boxes), "filled")
     whole_grid = passes.applied([*passes.FILLED, *passes.RENDER], grid, boxes)
     tables = render.html_tables(whole_grid)
     captions = grid.where(is_caption(F.col("text"))).groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_start", "col_start", "cell_id", "text"))), lambda c: F.concat(F.lit("<p>"), html_escaped(F.trim(c["text"])), F.lit("</p>"))), "\n").alias("captions"))

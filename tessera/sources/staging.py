@@ -20,9 +20,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(rows: DataFrame, tag: str) -> DataFrame:
-    """``rows`` written as Parquet in the shared folder and read back."""
+def cut(rows: DataFrame, tag: str, paths: list[str] | None = None) -> DataFrame:
+    """``rows`` written as Parquet in the shared folder and read back. The path is added to ``paths``, for
+    :func:`dropped`."""
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
     rows.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that no pending result reads any more."""
+    for path in paths:
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    paths.clear()

@@ -218,3 +218,59 @@ def test_extra_lines_join_or_replace(spark, sf_dir):
         got[r["table_id"], r["axis"]].append(r["rule_id"])
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
     assert any(len(want[k]) != sum(r["origin"] == "primary" for r in groups[k]) for k in want)
+
+
+def plain_tree(cells):
+    for p in cells:
+        span = p["col_end"] - p["col_start"] + 1
+        if not (span >= 3 or (span >= 2 and re.search(r"单体\s*[\[［]", p["text"]))):
+            continue
+        kids = [k for k in cells if k["row_start"] == p["row_end"] + 1 and k["col_end"] >= p["col_start"] and k["col_start"] <= p["col_end"]]
+        under = {c for k in kids for c in range(k["col_start"], k["col_end"] + 1) if p["col_start"] <= c <= p["col_end"]}
+        if len(kids) >= 2 and len(under) >= max(2, int(0.5 * span + 0.5)):
+            return True
+    return False
+
+
+def plain_conflict(cells):
+    places = defaultdict(int)
+    for c in cells:
+        for r in range(c["row_start"], c["row_end"] + 1):
+            for k in range(c["col_start"], c["col_end"] + 1):
+                places[r, k] += 1
+    return 1 - len(places) / sum(places.values())
+
+
+def test_refined_decides_on_the_light_grid(tables):
+    """Each table has its light grid, or the aggressive one where the light one conflicts and the other does less."""
+    cells, boxes, _ = tables
+    grids = [defaultdict(list) for _ in range(3)]
+    frames = (passes.applied(passes.LIGHT, cells, boxes), passes.applied(passes.AGGRESSIVE, cells, boxes), passes.refined(cells, boxes))
+    for grid, frame in zip(grids, frames, strict=True):
+        for r in frame.collect():
+            grid[r["table_id"]].append(r.asDict())
+    light, hard, got = grids
+    taken = 0
+    key = lambda c: (c["cell_id"], repr(sorted(c.items(), key=lambda x: x[0])))
+    for t in light:
+        ratio = plain_conflict(light[t])
+        again = ratio > 0.02 and not plain_tree(light[t]) and plain_conflict(hard[t]) < ratio
+        assert sorted(got[t], key=key) == sorted(hard[t] if again else light[t], key=key)
+        taken += again
+    assert got.keys() == light.keys() and 0 < taken < len(light)
+
+
+def test_header_trees(tables):
+    cells, _, _ = tables
+    by = defaultdict(list)
+    for r in cells.collect():
+        by[r["table_id"]].append(r.asDict())
+    assert {r["table_id"] for r in passes.with_header_tree(cells).collect()} == {t for t, c in by.items() if plain_tree(c)}
+
+
+def test_worse_grids_are_undone(spark):
+    row = "table_id bigint, value double"
+    first = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 0.5), (5, 0.1)], row)
+    second = spark.createDataFrame([(1, 0.4), (2, 0.6), (3, 0.5), (4, 0.9)], row)
+    got = {(r["table_id"], r["value"]) for r in passes.better_of(first, second, lambda c: c).collect()}
+    assert got == {(1, 0.4), (2, 0.5), (3, 0.5), (4, 0.9), (5, 0.1)}
