@@ -10,7 +10,9 @@ two steps: a pattern scores the mean score of its distinct instances, damped for
 patterns with little support; a candidate scores one minus the product of (1 - score) over
 its confident patterns. Seeds and what was found so far support patterns alike, so a
 pattern may become confident in any round. After ``ROUNDS`` rounds, all occurrences of a
-candidate that was found become spans of its kind. Base spans always stay.
+candidate that was found become spans: of its kind if some seed of that kind has its shape, else of the
+kind ``id``, so that a staff number found where addresses stand is not called an address. Base spans
+always stay.
 
 Defined results: null and empty texts have no span; equal texts have equal base spans; a
 candidate that two kinds claim goes to the higher score, then to the kind listed first.
@@ -33,9 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import by_keys, ship, stage, tidy
 
-#: Kinds with a base pattern, and all kinds in the order of spans.
+#: Kinds with a base pattern, kinds that have seeds, and the kind of what is found but looks like no seed.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
+OTHER = "id"
 ROUNDS = 4
 #: Fewer distinct seeds, or instances found, than this make no pattern; DAMPING counts as so many instances without score.
 LEAST_SEEDS = 5
@@ -242,14 +245,29 @@ def discover(observed: DataFrame) -> DataFrame:
     return new.select("text_key", "kind", "start", "end")
 
 
+def shape_of(patterns: str = "patterns"):
+    """The shape among an identifier's patterns."""
+    return F.get(F.filter(patterns, lambda p: p.startswith("s ")), 0)
+
+
+def kinds_by_shape(found: DataFrame, observed: DataFrame, paths: list[str]) -> DataFrame:
+    """``found(text_key, kind, start, end)`` with ``OTHER`` for the kinds of which no seed has the shape."""
+    known = stage(observed.where("kind IS NOT NULL").select("kind", shape_of().alias("shape")).distinct(), "shapes", paths)
+    places = observed.where("kind IS NULL").select("text_key", "start", "end", shape_of().alias("shape"))
+    looks = found.join(places, ["text_key", "start", "end"])
+    marked = by_keys(looks, known.withColumn("seen", F.lit(True)), ["kind", "shape"], "left")
+    return marked.select("text_key", F.when(F.col("seen"), F.col("kind")).otherwise(OTHER).alias("kind"), "start", "end")
+
+
 def all_spans(docs: DataFrame, paths: list[str]) -> DataFrame:
-    """``__key, __spans`` with an array of ``place, start, end, kind, base`` for each distinct text that
+    """``__key, __spans`` with an array of ``place, start, end, kind, base, seed`` for each distinct text that
     has any; staged."""
     observed = stage(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(tidy(_observe), OBSERVED), "observed", paths, compact=False)
-    seeds = observed.where("kind IS NOT NULL").select("text_key", "kind", "start", "end", F.col("kind").isin(*BASE_KINDS).alias("base"))
-    spans = seeds.unionByName(discover(observed).withColumn("base", F.lit(False))).distinct()
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("place")
-    grouped = spans.groupBy(F.col("text_key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct(place, "start", "end", "kind", "base"))).alias("__spans"))
+    seeds = observed.where("kind IS NOT NULL").select("text_key", "kind", "start", "end", F.col("kind").isin(*BASE_KINDS).alias("base"), F.lit(True).alias("seed"))
+    found = kinds_by_shape(discover(observed), observed, paths)
+    spans = seeds.unionByName(found.withColumns({"base": F.lit(False), "seed": F.lit(False)})).distinct()
+    place = F.array_position(F.array(*map(F.lit, (*KINDS, OTHER))), F.col("kind")).alias("place")
+    grouped = spans.groupBy(F.col("text_key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct(place, "start", "end", "kind", "base", "seed"))).alias("__spans"))
     return stage(grouped, "spans", paths)
 
 
@@ -258,25 +276,26 @@ def text_key(column: str = "text"):
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """One row per document: base counts, digest of the base spans, all spans as text, and
-    the number of spans besides the base ones."""
+    """One row per document: base counts, digest of the base spans, all spans as text, the number of
+    values given to names of secrets, which are seeds, and of spans that patterns found."""
     ship(docs.sparkSession)
     keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("__key"))
-    joined = by_keys(keys, all_spans(docs, []), ["__key"], "left").withColumn("spans", F.coalesce("__spans", F.array().cast("array<struct<place:bigint,start:int,end:int,kind:string,base:boolean>>")))
+    joined = by_keys(keys, all_spans(docs, []), ["__key"], "left").withColumn("spans", F.coalesce("__spans", F.array().cast("array<struct<place:bigint,start:int,end:int,kind:string,base:boolean,seed:boolean>>")))
     own = F.filter("spans", lambda s: s["base"])
     as_text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def count(kind: str):
         return F.size(F.filter(own, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-    return joined.select("doc_id", *map(count, BASE_KINDS), F.sha2(as_text(own), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_found"))
+    return joined.select("doc_id", *map(count, BASE_KINDS), F.sha2(as_text(own), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["seed"] & ~s["base"])).cast("bigint").alias("n_secret"), F.size(F.filter("spans", lambda s: ~s["seed"])).cast("bigint").alias("n_found"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in the text replaced by its kind in brackets, n_chars made anew."""
+    """``docs`` with every span in the text replaced by its kind in brackets, n_chars made anew; all other
+    columns stay, whatever their names."""
     ship(docs.sparkSession)
-    columns = docs.columns
-    joined = by_keys(docs.withColumn("__key", text_key()), all_spans(docs, []), ["__key"], "left")
+    rows = docs.select(text_key().alias("__key"), F.col("text").cast("string").alias("__text"), F.struct(*docs.columns).alias("__row"))
+    joined = by_keys(rows, all_spans(docs, []), ["__key"], "left")
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -292,7 +311,9 @@ def redact(docs: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    touched = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text").cast("string")).otherwise(masked.asNondeterministic()(F.when(F.col("__spans").isNotNull(), F.col("text").cast("string")), "__spans")))
-    if "n_chars" in columns:
-        touched = touched.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return touched.select(*columns)
+    any_ = F.col("__spans").isNotNull()
+    touched = joined.withColumn("__text", F.when(any_, masked.asNondeterministic()(F.when(any_, F.col("__text")), "__spans")).otherwise(F.col("__text")))
+    new = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(any_, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))
+    return touched.select(*(new[c].alias(c) if c in new else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
