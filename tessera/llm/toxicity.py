@@ -9,8 +9,8 @@
    words share, so that the same insult weighs less in a long document: (1 + log tf) * idf, with
    document frequencies over all documents, of length 1.
 3. Examples go into an inverted index: postings by word, in blocks of ``BLOCK`` examples, with the
-   largest weight of each block. Blocks are visited by the bound that these maxima give, until none
-   can hold a nearer example than the ``NEIGHBOURS`` found: the neighbours are exact.
+   largest weight of each block. The blocks of the highest bounds that these maxima give show how near
+   ``NEIGHBOURS`` examples are, and only blocks that may hold nearer ones are added up: the neighbours are exact.
 4. Neighbours vote with the inverse of their distance. Votes become scores by isotonic regression on a
    fold of labelled documents that are no examples; documents without a term of the vocabulary, or
    without a neighbour, get the rate of their like in that fold.
@@ -46,6 +46,8 @@ LEAST_WINDOWS, LEAST_Z = 5, 6.0
 EXAMPLES = 16_384
 NEIGHBOURS = 16
 BLOCK = 32
+#: Blocks that are looked at first.
+SEED_BLOCKS = 4
 BINS = 64
 CUTOFF = 0.5
 #: Added to a distance before it is inverted.
@@ -167,38 +169,50 @@ class BlockMaxIndex:
                 held[t].append((k, w))
         self.at = [np.array([k for k, _ in p], np.int32) for p in held]
         self.weight = [np.array([w for _, w in p], np.float64) for p in held]
+        self.block = [at // BLOCK for at in self.at]
         #: of each word the first posting of every block, and the blocks' largest weights
         self.cut = [np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK).astype(np.int32) for at in self.at]
         self.most = np.zeros((len(idf), self.blocks))
         for t, (at, weight) in enumerate(zip(self.at, self.weight, strict=True)):
-            np.maximum.at(self.most[t], at // BLOCK, weight)
+            np.maximum.at(self.most[t], self.block[t], weight)
         self.visited = 0
 
     def weights(self, terms, counts) -> np.ndarray:
         w = (1 + np.log(np.asarray(counts, np.float64))) * self.idf[np.asarray(terms, np.int64)]
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
+    def nearness(self, terms, weights: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Cosines, in units of ``1 / GRID``, of the examples in the blocks that are alive."""
+        sums = np.zeros(self.size)
+        few = np.flatnonzero(alive) if alive.sum() <= SEED_BLOCKS else None
+        for t, w in zip(terms, weights, strict=True):
+            if few is not None:
+                for b in few:
+                    lo, hi = self.cut[t][b], self.cut[t][b + 1]
+                    sums[self.at[t][lo:hi]] += w * self.weight[t][lo:hi]
+            else:
+                held = alive[self.block[t]]
+                sums[self.at[t][held]] += w * self.weight[t][held]
+        return np.rint(sums * GRID).astype(np.int64)
+
     def search(self, terms, counts, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
-        """The ``k`` nearest examples with a positive cosine and their cosines, nearest first."""
+        """The ``k`` nearest examples with a positive cosine and their cosines, nearest first. The blocks of
+        the highest bounds give a cosine that ``k`` examples reach; then all blocks that may hold a nearer one
+        are looked at."""
         if not len(terms) or not self.size:
             return []
         q = self.weights(terms, counts)
         bound = np.ceil(q @ self.most[np.asarray(terms)] * GRID - 1e-3).astype(np.int64)
-        best: list[tuple[int, int]] = []
-        for b in np.lexsort((np.arange(self.blocks), -bound)):
-            if bound[b] <= 0 or len(best) == k and -best[-1][0] > bound[b]:
-                break
-            if len(best) == k and -best[-1][0] == bound[b] and best[-1][1] < b * BLOCK:
-                continue
-            self.visited += 1
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms, q, strict=True):
-                lo, hi = self.cut[t][b], self.cut[t][b + 1]
-                if lo < hi:
-                    sums[self.at[t][lo:hi] - b * BLOCK] += w * self.weight[t][lo:hi]
-            near = np.rint(sums * GRID).astype(np.int64)
-            best = sorted([*best, *((-int(near[x]), int(b) * BLOCK + int(x)) for x in np.flatnonzero(near > 0))])[:k]
-        return [(x, -d / GRID) for d, x in best]
+        alive = np.zeros(self.blocks, bool)
+        alive[np.argsort(-bound, kind="stable")[:SEED_BLOCKS]] = True
+        near = self.nearness(terms, q, alive)
+        reached = np.partition(near, -k)[-k] if self.size > k else 0
+        alive = bound >= max(reached, 1)
+        self.visited += int(alive.sum())
+        near = self.nearness(terms, q, alive)
+        found = np.flatnonzero(near >= max(reached, 1))
+        found = found[np.lexsort((found, -near[found]))][:k]
+        return [(int(x), int(near[x]) / GRID) for x in found]
 
 
 class Model:
