@@ -3,8 +3,8 @@
 1. Terms are words and, of longer words, their first ``STEM`` letters. Those of all documents are counted,
    those of labelled ones by label. The ``CANDIDATES`` terms that tell the labels apart best are looked at
    again: of each, the distinct windows (the term with the words beside it) by label, since copies of a document
-   repeat its windows and so cannot make a term telling. Terms whose windows lie ``LEAST_Z`` standard
-   deviations off the labels' share are the vocabulary.
+   repeat its windows and so cannot make a term telling. Terms whose windows are toxic at ``LEAST_ODDS`` times
+   the usual odds, and ``LEAST_Z`` standard deviations above the usual share, are the vocabulary.
 2. A document with a telling term is the vector of its terms of the vocabulary and of one term that all its
    words share, so that the same insult weighs less in a long document: (1 + log tf) * idf, with
    document frequencies over all documents, of length 1.
@@ -42,6 +42,8 @@ from .quality import isotonic
 
 CANDIDATES, VOCABULARY = 4_096, 2_048
 LEAST_WINDOWS, LEAST_Z = 5, 6.0
+#: Odds of a toxic label with a telling term, in odds of one anywhere: common words are off by chance of who wrote much.
+LEAST_ODDS = 4.0
 #: Labelled documents that are examples at most, a documented bound of the fit.
 EXAMPLES = 16_384
 NEIGHBOURS = 16
@@ -107,8 +109,9 @@ def vocabulary(labelled: DataFrame, counts: DataFrame) -> dict[str, int]:
     share = labelled.agg(F.avg("toxic")).first()[0]
     if share is None or not 0 < share < 1:
         return {}
-    z = F.abs(deviation(F.col("toxic"), F.col("clean"), share))
-    first = counts.where(F.col("toxic") + F.col("clean") > 0).orderBy(z.desc(), "word").limit(CANDIDATES).select("word", "n").collect()
+    odds = LEAST_ODDS * share / (1 - share)
+    z = deviation(F.col("toxic"), F.col("clean"), share)
+    first = counts.where((F.col("toxic") > 0) & (F.col("toxic") >= odds * F.col("clean"))).orderBy(z.desc(), "word").limit(CANDIDATES).select("word", "n").collect()
     frequency = {r["word"]: r["n"] for r in first}
     wanted = frozenset(frequency)
 
@@ -125,8 +128,8 @@ def vocabulary(labelled: DataFrame, counts: DataFrame) -> dict[str, int]:
     out = []
     for r in tally:
         n = r["toxic"] + r["clean"]
-        off = abs(r["toxic"] - n * share) / np.sqrt(n * share * (1 - share))
-        if n >= LEAST_WINDOWS and off >= LEAST_Z:
+        off = (r["toxic"] - n * share) / np.sqrt(n * share * (1 - share))
+        if n >= LEAST_WINDOWS and off >= LEAST_Z and r["toxic"] >= odds * r["clean"]:
             out.append((-off, r["word"]))
     return {w: frequency[w] for _, w in sorted(out)[:VOCABULARY]}
 
