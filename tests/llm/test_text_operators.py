@@ -349,6 +349,51 @@ def test_redaction(letters, docs, no_docs):
 # ---- language
 
 
+def test_prototypes_and_cosines_from_the_definition(spark):
+    """Bind, bundle and compare by loops over single trigrams."""
+    texts = [(0, "Das ist ein Haus, und das ist gut so", "de"), (1, "the house is old and the road is long", "en"), (4, "und so ist es", "de"), (5, None, "en"), (3, "a road and a house", None), (8, "ÄÖ 漢字 x", "en")]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string, lang string").repartition(3)
+    vectors, classes = L.letter_vectors(), L.letter_classes()
+
+    def bundle(text):
+        row = [0]
+        for ch in (text or "") + " ":
+            c = int(classes[ord(ch)])
+            if c or row[-1]:
+                row.append(c)
+        total = np.zeros(L.DIMENSIONS)
+        for a, b, c in zip(row, row[1:], row[2:], strict=False):
+            total += vectors[0][a].astype(int) * vectors[1][b] * vectors[2][c]
+        return total
+
+    languages, prototypes = L.train_prototypes(frame)
+    assert languages == ["de", "en"]
+    for lang, row in zip(languages, prototypes, strict=True):
+        want = sum(bundle(t) for _, t, l in texts if l == lang and t)
+        assert np.allclose(row, want / np.linalg.norm(want))
+    for r in L.identify(frame, languages, prototypes).collect():
+        text = dict((i, t) for i, t, _ in texts)[r["doc_id"]]
+        if text is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosines = prototypes @ bundle(text) / np.linalg.norm(bundle(text))
+        assert r["lang_pred"] == languages[int(cosines.argmax())] and abs(r["score"] - max(0.0, cosines.max())) < 1e-6
+
+
+def test_strengths_of_short_and_repeated_texts(spark):
+    """The variance falls with the number of trigrams, of which repeated ones count less."""
+    rng = random.Random(2)
+    words = [("en", w) for w in ("the house of the long road and stone").split()] + [("de", w) for w in ("das haus der langen strasse und stein").split()]
+    rows = [(k, " ".join(rng.choice([w for l, w in words if l == lang]) for _ in range(rng.choice([2, 5, 20, 80]))), lang) for k in range(300) for lang in ("en", "de")]
+    frame = spark.createDataFrame([(k, t, l) for k, (_, t, l) in enumerate(rows)], "doc_id bigint, text string, lang string").repartition(3)
+    languages, prototypes = L.train_prototypes(frame)
+    usual = L.usual_strengths(frame, languages, prototypes)
+    assert set(usual) == {"de", "en"} and all(m > 1 and a >= 0 and b >= L.LEAST_VARIANCE for m, a, b in usual.values())
+    found = {r["text"]: r["f"] for r in L.with_language(spark.createDataFrame([("house",), ("house " * 500,), ("",), (None,)], "text string"), languages, prototypes, "f").collect()}
+    assert found["house " * 500]["n_grams"] < 2 * found["house"]["n_grams"] and found[""]["lang_pred"] == "und" and found[None]["strength"] == 0.0
+    assert L.usual_strengths(frame.where("false"), languages, prototypes) == {}
+
+
 def test_languages_are_told_apart(spark, docs, no_docs):
     rng = random.Random(5)
     parts = {"aa": ["ba", "mo", "ki", "lu"], "bb": ["sch", "ung", "eit", "ver"], "cc": ["eau", "oui", "ent", "aux"]}
