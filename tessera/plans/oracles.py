@@ -28,6 +28,11 @@ COMBINED = "combined AS (SELECT *, 'centre' AS method FROM by_centre UNION ALL S
 BOTH = ("v_cells", "v_boxes")
 
 
+def bands(view: str, name: str) -> str:
+    """A relation with a row for each band of y that a rectangle touches, so that pairs meet on equality."""
+    return f"{name} AS MATERIALIZED (SELECT *, unnest(range(CAST(floor(y1/160) AS BIGINT), CAST(floor(greatest(y1, y2)/160) AS BIGINT)+1)) AS band FROM {view})"
+
+
 def assigning(tail: str) -> str:
     return f"{prelude(*BOTH)}, {BY_CENTRE}, {BY_OVERLAP}, {COMBINED} {tail}"
 
@@ -83,11 +88,12 @@ SQL = {
     "assign_ioa": f"{prelude(*BOTH)}, {BY_OVERLAP} SELECT * FROM by_overlap",
     "assign_combined": assigning("SELECT * FROM combined"),
     "assign_text": assigning(f", {NEAREST}, found AS (SELECT * FROM combined UNION ALL SELECT *, 'nearest' FROM nearest) SELECT b.table_id, b.box_id, f.cell_id, coalesce(f.method, 'free') AS method FROM v_boxes b LEFT JOIN found f ON f.table_id = b.table_id AND f.box_id = b.box_id"),
-    "free_text": assigning("SELECT table_id, box_id, text FROM v_boxes b WHERE NOT EXISTS (SELECT 1 FROM combined k WHERE k.table_id = b.table_id AND k.box_id = b.box_id)"),
+    "free_text": f"""{prelude(*BOTH, kept=True)}, {bands('v_boxes', 'bb')}, {bands('v_cells', 'bc')}, hits AS MATERIALIZED (SELECT DISTINCT b.table_id, b.box_id FROM bb b JOIN bc c ON b.table_id = c.table_id AND b.band = c.band AND ({CENTRE} OR {common('b', 'c')} > 0))
+ SELECT b.table_id, b.box_id, b.text FROM v_boxes b LEFT JOIN hits h ON h.table_id = b.table_id AND h.box_id = b.box_id WHERE h.box_id IS NULL""",
     "coverage_score": f"{prelude(*BOTH)}, {BY_CENTRE} SELECT t.table_id, n_boxes, coalesce(hits, 0)*1.0/n_boxes AS coverage FROM (SELECT table_id, count(*) AS n_boxes FROM v_boxes GROUP BY 1) t LEFT JOIN (SELECT table_id, count(*) AS hits FROM by_centre GROUP BY 1) h ON h.table_id = t.table_id",
     "conflict_ratio": over_cells(f", {POSITIONS} SELECT table_id, count(*) AS covered, 1 - count(DISTINCT r*100000+c)*1.0/count(*) AS conflict_ratio FROM positions GROUP BY table_id"),
     "dedupe_logic_key": over_cells(f"SELECT table_id, cell_id, row_start, row_end, col_start, col_end FROM (SELECT c.*, row_number() OVER (PARTITION BY table_id, row_start, row_end, col_start, col_end ORDER BY {area('c')} DESC, cell_id) AS k FROM v_cells c) q WHERE k = 1"),
-    "dedupe_iou_pairs": over_cells(f"SELECT a.table_id, a.cell_id AS cell_a, b.cell_id AS cell_b, CASE WHEN {area('a')} >= {area('b')} THEN b.cell_id ELSE a.cell_id END AS dropped FROM v_cells a JOIN v_cells b ON a.table_id = b.table_id AND a.cell_id < b.cell_id AND {iou('a', 'b')} >= 0.85"),
+    "dedupe_iou_pairs": f"{prelude('v_cells', kept=True)}, {bands('v_cells', 'bc')} SELECT DISTINCT a.table_id, a.cell_id AS cell_a, b.cell_id AS cell_b, CASE WHEN {area('a')} >= {area('b')} THEN b.cell_id ELSE a.cell_id END AS dropped FROM bc a JOIN bc b ON a.table_id = b.table_id AND a.band = b.band AND a.cell_id < b.cell_id WHERE {iou('a', 'b')} >= 0.85",
     "container_suppress": over_cells(f"SELECT table_id, cell_id, count(*) AS children FROM (SELECT a.table_id, a.cell_id, {area('a')} AS own, {area('b')} AS part FROM v_cells a JOIN v_cells b ON a.table_id = b.table_id AND a.cell_id <> b.cell_id AND {area('b')} > 0 AND {common('a', 'b')}/{area('b')} >= 0.90 AND {area('b')} < {area('a')}*0.95) q GROUP BY table_id, cell_id, own HAVING count(*) >= 2 AND sum(part) >= 0.55*own"),
     "union_bbox": over_cells("SELECT table_id, min(x1)-4 AS x1, min(y1)-4 AS y1, max(x2)+4 AS x2, max(y2)+4 AS y2 FROM v_cells GROUP BY table_id"),
     "derive_seps": over_cells("SELECT table_id, 'row' AS axis, row_start AS idx, median(y1) AS coord FROM v_cells GROUP BY ALL UNION ALL SELECT table_id, 'col', col_start, median(x1) FROM v_cells GROUP BY ALL"),
@@ -132,7 +138,7 @@ SQL = {
   SELECT p.table_id, p.cell_id, p.n, CASE WHEN abs(p.y1-f.total/f.m) < 8 THEN f.total+p.y1 ELSE p.y1 END, CASE WHEN abs(p.y1-f.total/f.m) < 8 THEN f.m+1 ELSE 1 END,
    CASE WHEN f.txt = '' THEN p.text ELSE f.txt || CASE WHEN abs(p.y1-f.total/f.m) < 8 THEN ' ' ELSE chr(10) END || p.text END FROM fold f JOIN placed p ON p.table_id = f.table_id AND p.cell_id = f.cell_id AND p.n = f.n+1)
  SELECT table_id, cell_id, arg_max(txt, n) AS text FROM fold GROUP BY ALL"""),
-    "nms_edges": over_boxes(NMS_EDGES),
+    "nms_edges": f"{prelude('v_boxes', kept=True)}, {bands('v_boxes', 'bb')} " + NMS_EDGES.replace("SELECT a.", "SELECT DISTINCT a.", 1).replace("FROM v_boxes a JOIN v_boxes b ON a.table_id = b.table_id AND", "FROM bb a JOIN bb b ON a.table_id = b.table_id AND a.band = b.band AND"),
     "nms_greedy": over_boxes(f""", edges AS ({NMS_EDGES}), ordered AS (SELECT e.*, row_number() OVER (PARTITION BY e.table_id ORDER BY a.score DESC, {area('a')} DESC, keeper, dropped) AS n FROM edges e JOIN v_boxes a ON a.table_id = e.table_id AND a.box_id = e.keeper),
  fold(table_id, n, gone) AS (SELECT DISTINCT table_id, 0::BIGINT, []::INT[] FROM ordered UNION ALL SELECT o.table_id, o.n, CASE WHEN list_contains(f.gone, o.keeper) OR list_contains(f.gone, o.dropped) THEN f.gone ELSE list_append(f.gone, o.dropped) END FROM fold f JOIN ordered o ON o.table_id = f.table_id AND o.n = f.n+1),
  lost AS (SELECT table_id, arg_max(gone, n) AS gone FROM fold GROUP BY 1) SELECT b.* FROM v_boxes b LEFT JOIN lost l ON l.table_id = b.table_id WHERE gone IS NULL OR NOT list_contains(gone, b.box_id)"""),

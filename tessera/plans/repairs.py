@@ -96,7 +96,7 @@ TABLE = {
     "rescale_boxes": (lambda b: ocr.rescaled(b, 1.5, 0.75), (BOXES,), " SELECT table_id, box_id, x1*1.5 AS x1, y1*0.75 AS y1, x2*1.5 AS x2, y2*0.75 AS y2, score, text FROM v_boxes"),
     "ocr_artifacts": (_files, (BOXES,), None),
     "page_markdown": (lambda p: render.documents_markdown(p).select("page_id", "md"), ("pages",), None),
-    "page_blocks": (lambda p: render.page_blocks(p).where("kind = 'h1'").select("page_id", F.col("text").alias("heading")), ("pages",), """ SELECT page_id, trim(replace(replace(replace(unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS heading FROM pages"""),
+    "page_blocks": (render.page_blocks, ("pages",), None),
     "norm_text": (lambda d: d.select("doc_id", F.md5(T.normalised(F.col("text")).cast("binary")).alias("digest")), ("documents",), None),
 }
 QUERIES = {name: (operator, relations) for name, (operator, relations, _) in TABLE.items()}

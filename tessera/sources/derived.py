@@ -153,8 +153,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
-def prelude(*names: str) -> str:
-    """The derived relations as common table expressions, for DuckDB."""
+def prelude(*names: str, kept: bool = False) -> str:
+    """The derived relations as common table expressions, for DuckDB; ``kept`` makes each of them once."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -165,4 +165,5 @@ def prelude(*names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({VIEWS[n][0]})" for n in order)
+    how = "AS MATERIALIZED" if kept else "AS"
+    return "WITH RECURSIVE " + ", ".join(f"{n} {how} ({VIEWS[n][0]})" for n in order)

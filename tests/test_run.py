@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tessera.operators import render
 from tessera.plans import run
 from tessera.sources import incremental
 from tessera.sources.derived import view
@@ -35,3 +36,20 @@ def test_every_table_with_text_is_rendered(spark, sf_dir):
     assert all(r["md"] and r["html"] for r in got)
     held = {r["table_id"]: r["n"] for r in few("v_boxes").groupBy("table_id").agg(F.count("*").alias("n")).collect()}
     assert all(0 < r["html"].count("<td") + r["html"].count("<p>") for r in got) and len(held) == len(got)
+
+
+def test_page_blocks_are_whole(spark, sf_dir):
+    """All kinds, in order, on a small page; over the table, a block for each heading, paragraph and table that begins."""
+    import re
+    from collections import Counter
+
+    page = "<body><h1>A &amp; b</h1><p>one <b>two</b></p><table><tr><td>x</td></tr></table><h3> c </h3><p></p>"
+    small = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "bare")], "page_id bigint, html string")
+    got = sorted(map(tuple, render.page_blocks(small).collect()))
+    assert got == [(1, 0, "h1", "A & b"), (1, 1, "p", "onetwo"), (1, 2, "table", "<table><tr><td>x</td></tr></table>"), (1, 3, "h3", "c"), (1, 4, "p", "")]
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    blocks = Counter((r["page_id"], r["kind"]) for r in render.page_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect())
+    for k, source in pages.items():
+        body = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", source or "")
+        want = Counter(t.lower() for t in re.findall(r"(?i)<(h[1-6]|p|table)[\s>]", body))
+        assert want == Counter({kind: n for (page_id, kind), n in blocks.items() if page_id == k})
