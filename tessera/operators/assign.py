@@ -99,18 +99,23 @@ def by_weighted_distance(rest: DataFrame, taken: DataFrame, cells: DataFrame) ->
     inside = rest.withColumns({"cx": x, "cy": y}).join(tables.select("table_id", "l", "t", "r", "b"), "table_id")
     inside = inside.where(F.col("cx").between(F.col("l"), F.col("r")) & F.col("cy").between(F.col("t"), F.col("b")))
     lists = inside.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("turn", "box_id", "cx", "cy"))).alias("boxes")).join(tables.select("table_id", "cells"), "table_id")
-    begin = F.struct(F.array().cast("array<int>").alias("filled"), F.array().cast("array<struct<box_id:int,cell_id:int>>").alias("out"))
+    # a flag for each cell, by its place, says whether a box before has filled it
+    begin = F.struct(F.transform("cells", lambda c: F.lit(False)).alias("filled"), F.array().cast("array<struct<box_id:int,cell_id:int>>").alias("out"))
 
     def step(acc, b):
-        def far(c):
+        def far(c, k):
             dx = F.greatest(F.lit(0.0), c["x1"] - b["cx"], b["cx"] - c["x2"])
             dy = F.greatest(F.lit(0.0), c["y1"] - b["cy"], b["cy"] - c["y2"])
-            has_text = F.coalesce(c["since"] < b["turn"], F.lit(False)) | F.array_contains(acc["filled"], c["cell_id"])
+            has_text = F.coalesce(c["since"] < b["turn"], F.lit(False)) | F.get(acc["filled"], k)
             weight = F.when(has_text & b["cx"].between(c["x1"], c["x2"]), 0.25).when(has_text, 0.85).otherwise(1.0)
-            return F.struct(((dx * dx + dy * dy) * weight).alias("d"), c["cell_id"].alias("cell_id"))
+            return F.struct(((dx * dx + dy * dy) * weight).alias("d"), c["cell_id"].alias("cell_id"), k.alias("k"))
 
-        best = F.array_min(F.transform(F.col("cells"), far))["cell_id"]
-        return F.struct(F.array_append(acc["filled"], best).alias("filled"), F.array_append(acc["out"], F.struct(b["box_id"].alias("box_id"), best.alias("cell_id"))).alias("out"))
+        def taken(best):
+            filled = F.transform(acc["filled"], lambda f, k: f | (k == best["k"]))
+            return F.struct(filled.alias("filled"), F.array_append(acc["out"], F.struct(b["box_id"].alias("box_id"), best["cell_id"].alias("cell_id"))).alias("out"))
+
+        # bound as the one element of an array, so that the nearest cell is looked for once
+        return F.get(F.transform(F.array(F.array_min(F.transform(F.col("cells"), far))), taken), 0)
 
     folded = lists.select("table_id", F.explode(F.aggregate("boxes", begin, step, lambda acc: acc["out"])).alias("o"))
     return folded.select("table_id", "o.box_id", "o.cell_id")

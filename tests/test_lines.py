@@ -6,7 +6,7 @@ from statistics import median
 
 import pytest
 
-from tessera.operators import lines, splitting
+from tessera.operators import lines, spans, splitting
 from tessera.sources.derived import view
 
 
@@ -303,6 +303,81 @@ def test_corridors(spark, sf_dir, given):
     assert found >= 3
 
 
+# ---- spans
+
+
+def plain_row_spans(cells, boxes, rules):
+    seps = plain_seps(cells, "row")
+    hs = plain_separators(rules, "h")
+    n = len(seps) - 1
+    if n < 2 or not hs:
+        return set()
+    example = "合成例|实施例|実施例|比較例|比较例|对照例|参考例"
+    rows = [r for r in range(n) for b in boxes if re.search(example, b["text"] or "") and seps[r] <= (b["y1"] + b["y2"]) / 2 < seps[r + 1]]
+    named = [c["row_start"] for c in sorted(cells, key=lambda c: c["cell_id"]) if re.search(example, c["text"])]
+    body = min(rows) if rows else named[0] if named else min(3, n)
+    heights = [b["y2"] - b["y1"] for b in boxes if b["y2"] - b["y1"] > 1e-3]
+    half = max(3.0, 0.2 * (median(heights) if heights else 12.0))
+    done, pairs = set(), set()
+    for at in range(min(body - 1, 3, n - 1) - 1, -1, -1):
+        y, rows_of = seps[at + 1], defaultdict(list)
+        for c in cells:
+            if c["row_start"] == c["row_end"] and c["row_start"] in (at, at + 1):
+                rows_of[c["row_start"], c["col_start"], c["col_end"]].append(c)
+        for (r, *key), us in list(rows_of.items()):
+            ls = rows_of.get((at + 1, *key), [])
+            if r != at or len(us) != 1 or len(ls) != 1 or us[0]["cell_id"] in done or ls[0]["cell_id"] in done:
+                continue
+            u, lo = us[0], ls[0]
+            xa, xb = min(u["x1"], lo["x1"]), max(u["x2"], lo["x2"])
+            points, drawn = sorted(s for h in hs if abs(h["coord"] - y) <= 4 for s in h["spans"]), 0.0
+            reach = xa
+            for a, b in points:
+                drawn += max(0.0, min(b, xb) - max(a, reach))
+                reach = max(reach, min(b, xb))
+            drawn /= xb - xa
+            said = [re.sub(r"\s", "", " ".join(b["text"] for b in sorted(boxes, key=lambda b: b["box_id"]) if c["x1"] <= (b["x1"] + b["x2"]) / 2 <= c["x2"] and c["y1"] <= (b["y1"] + b["y2"]) / 2 <= c["y2"])) for c in (u, lo)]
+            tail = r"(衍生物|化合物|单体|封端剂|硅烷|当量|比率|低聚物|\)|）)$"
+            wraps = (min(u["x2"], lo["x2"]) - max(u["x1"], lo["x1"])) / min(max(u["x2"] - u["x1"], 1.0), max(lo["x2"] - lo["x1"], 1.0)) >= 0.75
+            short = wraps and all(3 <= len(t) <= 4 and re.search(CJK, t) and not re.search(tail, t) for t in said)
+            fragment = any(len(t) <= 2 for t in said)
+            crosses = any(xa <= (b["x1"] + b["x2"]) / 2 <= xb and b["y1"] < y - half and b["y2"] > y + half for b in boxes)
+            both = wraps and not fragment and all(len(t) >= 5 and re.search(CJK, t) and (len(t) >= 12 or re.search(tail, t)) and not re.search(r"单体[\[［]|聚合物", t) for t in said)
+            if short or (drawn < 0.4 and (fragment or crosses or both)):
+                done |= {u["cell_id"], lo["cell_id"]}
+                pairs.add((u["cell_id"], lo["cell_id"]))
+    return pairs
+
+
+def test_row_spans(spark, sf_dir, given):
+    frames = [view(spark, sf_dir, n) for n in ("v_cells", "v_boxes", "v_sparse")]
+    got, after = by_table(spans.row_span_pairs(*frames)), by_table(spans.row_spans_repaired(*frames))
+    n = 0
+    for t, cells in given["v_cells"].items():
+        want = plain_row_spans(cells, given["v_boxes"].get(t, []), given["v_sparse"].get(t, []))
+        assert {(r["cell_id"], r["lower"]) for r in got.get(t, [])} == want
+        by_id = {c["cell_id"]: c for c in cells}
+        assert {r["cell_id"] for r in after[t]} == set(by_id) - {lo for _, lo in want}
+        for r in after[t]:
+            both = [by_id[r["cell_id"]], *(by_id[lo] for u, lo in want if u == r["cell_id"])]
+            assert (r["row_end"], r["x1"], r["y1"], r["x2"], r["y2"]) == (max(c["row_end"] for c in both), *(f(c[k] for c in both) for k, f in (("x1", min), ("y1", min), ("x2", max), ("y2", max))))
+        n += len(want)
+    assert n > 20
+
+
+def test_wrapped_headers_become_one(spark):
+    """Whole headers that wrap without a line between them, a short word under a line, parents that stay apart, and a
+    cell that merges once, with the one nearer to the body."""
+    names = "table_id bigint, cell_id int, row_start int, row_end int, col_start int, col_end int, x1 double, y1 double, x2 double, y2 double, text string"
+    rows = [["多官能丙烯酸化合物", "树脂甲", "聚合物的组成和单体", "a"], ["乙烯基硅烷化合物", "树脂乙", "单体[摩尔比]的比率", ""], ["当量", "长的表头文字化合物", "x", ""], ["实施例1", "1", "2", "3"]]
+    cells = [(1, r * 4 + c, r, r, c, c, 100.0 * c, 40.0 * r, 100.0 * c + 100, 40.0 * r + 40, "") for r in range(4) for c in range(4)]
+    boxes = [(1, r * 4 + c, 100.0 * c + 10, 40.0 * r + 10, 100.0 * c + 90, 40.0 * r + 30, t) for r, row in enumerate(rows) for c, t in enumerate(row) if t]
+    lines_ = [(1, k, "h", 40.0 * r, 100.0 * c, 100.0 * c + 100, 100.0) for k, (r, c) in enumerate([(0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (3, 0), (3, 1), (4, 0)])]
+    frame = [spark.createDataFrame(cells, names), spark.createDataFrame(boxes, "table_id bigint, box_id int, x1 double, y1 double, x2 double, y2 double, text string"), spark.createDataFrame(lines_, "table_id bigint, rule_id int, axis string, coord double, lo double, hi double, length double")]
+    got = sorted((r["cell_id"], r["lower"]) for r in spans.row_span_pairs(*frame).collect())
+    assert got == [(1, 5), (4, 8), (6, 10), (7, 11)]  # columns 0 and 3: rows 1 and 2 first, so row 0 stays
+
+
 # ---- cut boxes
 
 HEAD = "实[施試]例|実[施試]例|比較例|比较例|合成例|对照例|参考例"
