@@ -41,7 +41,9 @@ def merged_intervals(boxes: DataFrame, lo: str = "x1", hi: str = "x2", gap: floa
 
 def snapped(boxes: DataFrame, boundaries: DataFrame, tolerance: float = 15.0) -> DataFrame:
     """The nearest boundary within the tolerance of each box's upper edge, the lower of equals."""
-    pairs = boxes.alias("b").join(boundaries.alias("s"), (F.col("b.table_id") == F.col("s.table_id")) & (F.abs(F.col("b.y1") - F.col("s.y")) <= tolerance))
+    size = max(160.0, 2 * tolerance)
+    near = boundaries.withColumn("band", F.explode(F.sequence(F.floor((F.col("y") - tolerance) / size), F.floor((F.col("y") + tolerance) / size)))).alias("s")
+    pairs = boxes.withColumn("band", F.floor(F.col("y1") / size)).alias("b").join(near, (F.col("b.table_id") == F.col("s.table_id")) & (F.col("b.band") == F.col("s.band")) & (F.abs(F.col("b.y1") - F.col("s.y")) <= tolerance))
     return pairs.groupBy("b.table_id", "b.box_id").agg(F.min_by("s.boundary", F.struct(F.abs(F.col("b.y1") - F.col("s.y")), F.col("s.boundary"))).alias("boundary"))
 
 

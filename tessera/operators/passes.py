@@ -206,11 +206,16 @@ def text_compressed(cells: DataFrame) -> DataFrame:
     return joined.where(alive).select(*(new[c].alias(c) if c in new else F.col(c) for c in cells.columns))
 
 
+def _by_row(cells: DataFrame) -> DataFrame:
+    """A row for each row of the grid that a cell covers, so that cells meet on table and row."""
+    return cells.withColumn("row", F.explode(F.sequence("row_start", "row_end")))
+
+
 def clipped_spans(cells: DataFrame) -> DataFrame:
     """A span over columns ends before the next cell that begins to its right in a row it covers: logical
     overlaps of neighbours are cut, texts stay."""
-    p, k = cells.where("col_end > col_start").alias("p"), cells.alias("k")
-    inside = (F.col("k.table_id") == F.col("p.table_id")) & F.col("k.row_start").between(F.col("p.row_start"), F.col("p.row_end")) & (F.col("k.col_start") > F.col("p.col_start")) & (F.col("k.col_start") <= F.col("p.col_end"))
+    p, k = _by_row(cells.where("col_end > col_start")).alias("p"), cells.alias("k")
+    inside = (F.col("k.table_id") == F.col("p.table_id")) & (F.col("k.row_start") == F.col("p.row")) & (F.col("k.col_start") > F.col("p.col_start")) & (F.col("k.col_start") <= F.col("p.col_end"))
     cuts = p.join(k, inside).groupBy("p.table_id", "p.cell_id").agg((F.min("k.col_start") - 1).alias("cut"))
     return cells.join(cuts, CELL, "left").select(*(F.coalesce("cut", c).alias(c) if c == "col_end" else F.col(c) for c in cells.columns))
 
@@ -230,13 +235,13 @@ def with_blanks(cells: DataFrame) -> DataFrame:
 def _right_children(cells: DataFrame) -> DataFrame:
     """``p`` over several rows and ``k`` in the same rows that lies to its right on the page though their
     columns overlap: smaller in the grid, and no sliver in a corner."""
-    p, k = cells.where("row_end > row_start").alias("p"), cells.alias("k")
+    p, k = _by_row(cells.where("row_end > row_start")).alias("p"), cells.alias("k")
     span = lambda t, a: F.col(f"{t}.{a}_end") - F.col(f"{t}.{a}_start") + 1
     width, high = F.greatest(F.col("p.x2") - F.col("p.x1"), F.lit(1.0)), F.greatest(F.col("p.y2") - F.col("p.y1"), F.lit(1.0))
     own_width, own_high = F.greatest(F.col("k.x2") - F.col("k.x1"), F.lit(0.0)), F.greatest(F.col("k.y2") - F.col("k.y1"), F.lit(0.0))
     sliver = (own_width < F.greatest(F.lit(12.0), 0.20 * width)) & (own_high < 0.50 * high)
     right = (F.col("k.x1") >= F.col("p.x2") - F.greatest(F.lit(8.0), 0.15 * width)) | ((F.col("k.x1") + F.col("k.x2")) / 2 >= F.col("p.x2")) | (F.col("k.x1") >= F.col("p.x1") + 0.35 * width)
-    rows = (F.col("k.row_start") >= F.col("p.row_start")) & (F.col("k.row_end") <= F.col("p.row_end"))
+    rows = (F.col("k.row_start") == F.col("p.row")) & (F.col("k.row_end") <= F.col("p.row_end"))
     cols = (F.col("k.col_end") >= F.col("p.col_start")) & (F.col("k.col_start") <= F.col("p.col_end"))
     smaller = span("k", "row") * span("k", "col") < span("p", "row") * span("p", "col")
     return p.join(k, (F.col("k.table_id") == F.col("p.table_id")) & (F.col("k.cell_id") != F.col("p.cell_id")) & rows & cols & smaller & ~sliver & right)

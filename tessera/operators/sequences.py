@@ -156,9 +156,11 @@ def confident_tables(tables: DataFrame, least: float) -> DataFrame:
 
 def crossings(rules: DataFrame, reach: float = 4.0) -> DataFrame:
     """Number of upright lines that each level line meets, within ``reach`` at either end."""
-    h, v = rules.where("axis = 'h'").alias("h"), rules.where("axis = 'v'").alias("v")
+    bands = F.sequence(F.floor((F.col("lo") - reach) / 160.0), F.floor((F.greatest("lo", "hi") + reach) / 160.0))
+    h = rules.where("axis = 'h'").withColumn("band", F.floor(F.col("coord") / 160.0)).alias("h")
+    v = rules.where("axis = 'v'").withColumn("band", F.explode(bands)).alias("v")
     over = F.least(F.col("v.hi"), F.col("h.coord") + reach) - F.greatest(F.col("v.lo"), F.col("h.coord") - reach)
-    meet = (F.col("h.table_id") == F.col("v.table_id")) & F.col("v.coord").between(F.col("h.lo") - reach, F.col("h.hi") + reach) & (over / (2 * reach) >= 0.01)
+    meet = (F.col("h.table_id") == F.col("v.table_id")) & (F.col("h.band") == F.col("v.band")) & F.col("v.coord").between(F.col("h.lo") - reach, F.col("h.hi") + reach) & (over / (2 * reach) >= 0.01)
     return h.join(v, meet).groupBy("h.table_id", "h.rule_id").agg(F.count("*").alias("met"))
 
 
