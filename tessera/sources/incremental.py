@@ -68,12 +68,17 @@ def iso(stamp):
 RECORD = "struct<name:string,status:string,size:bigint,mtime_ns:bigint,error:string,updated_at:string>"
 
 
-def archive_json(archive: DataFrame) -> DataFrame:
-    """The archive as one JSON document in ``value``: version, time and the records by name, in order.
-    One run's archive is a driver-sized document by its nature; tables are kept as Parquet."""
+#: Records of one archive document at most, about.
+DOCUMENT_RECORDS = 100_000
+
+
+def archive_json(archive: DataFrame, parts: int = 1) -> DataFrame:
+    """The archive as JSON documents in ``value``: version, time and the records by name, in order; one document,
+    or ``parts`` of them by a hash of the name."""
     record = F.struct(*archive.columns)
     items = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", record.alias("record")))))
-    return archive.agg(items.alias("items")).select(F.to_json(F.struct(F.lit(1).alias("version"), iso(F.current_timestamp()).alias("updated_at"), "items")).alias("value"))
+    grouped = archive.groupBy(F.pmod(F.xxhash64("name"), F.lit(parts)).alias("part")) if parts > 1 else archive
+    return grouped.agg(items.alias("items")).select(F.to_json(F.struct(F.lit(1).alias("version"), iso(F.current_timestamp()).alias("updated_at"), "items")).alias("value"))
 
 
 def archive_rows(documents: DataFrame) -> DataFrame:
@@ -87,13 +92,14 @@ def archive_rows(documents: DataFrame) -> DataFrame:
     return rows.select("r.*").where("name IS NOT NULL")
 
 
-def write_archive(archive: DataFrame, path: str) -> None:
-    """Overwrite the archive document at a path."""
-    archive_json(archive).write.mode("overwrite").text(path)
+def write_archive(archive: DataFrame, path: str, records: int = DOCUMENT_RECORDS) -> None:
+    """Overwrite the archive at a path: a file for each document of about ``records`` records."""
+    parts = max(1, -(-archive.count() // records))
+    archive_json(archive, parts).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archive document at a path; a missing or broken one has none."""
+    """Records of the archive documents at a path; missing or broken ones have none."""
     try:
         return archive_rows(spark.read.text(path, wholetext=True))
     except AnalysisException:

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import cut
+from .staging import arrow_uri, cut
 
 
 class Client(Protocol):
@@ -195,11 +195,12 @@ def write_outputs(results: DataFrame, folder: str) -> DataFrame:
     spark = results.sparkSession
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     root_uri = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
+    root_uri = arrow_uri(root_uri)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        files, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", root_uri))
+        files, root = fs.FileSystem.from_uri(root_uri)
         files.create_dir(root, recursive=True)
         for batch in batches:
             paths = []

@@ -20,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def arrow_uri(uri: str) -> str:
+    """A folder's address as Arrow's file systems spell it: no empty host for local files, one scheme for S3."""
+    return re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", uri))
+
+
 def cut(rows: DataFrame, tag: str, paths: list[str] | None = None) -> DataFrame:
     """``rows`` written as Parquet in the shared folder and read back. The path is added to ``paths``, for
     :func:`dropped`."""

@@ -53,3 +53,22 @@ def test_page_blocks_are_whole(spark, sf_dir):
         body = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", source or "")
         want = Counter(t.lower() for t in re.findall(r"(?i)<(h[1-6]|p|table)[\s>]", body))
         assert want == Counter({kind: n for (page_id, kind), n in blocks.items() if page_id == k})
+
+
+def test_large_archives_are_several_documents(spark, tmp_path):
+    records = spark.range(1000).selectExpr("concat('img_', id) AS name", "IF(id % 3 = 0, 'failed', 'success') AS status", "id AS size", "id * 7 AS mtime_ns")
+    path = str(tmp_path / "archive")
+    incremental.write_archive(records, path, records=90)
+    assert spark.read.text(path, wholetext=True).count() == 12
+    got = incremental.read_archive(spark, path).select(*records.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, records.collect()))
+    incremental.write_archive(records.where("size < 5"), path)
+    assert spark.read.text(path, wholetext=True).count() == 1 and incremental.read_archive(spark, path).count() == 5
+    incremental.write_archive(records.where("false"), path)
+    assert incremental.read_archive(spark, path).count() == 0
+
+
+def test_addresses_as_arrow_spells_them():
+    from tessera.sources.staging import arrow_uri
+
+    assert [arrow_uri(u) for u in ("file:/a/b", "file:///a", "s3a://b/k", "s3n://b", "s3://b", "hdfs://h:1/x")] == ["file:///a/b", "file:///a", "s3://b/k", "s3://b", "s3://b", "hdfs://h:1/x"]
