@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import arrow_uri
+
 from .common import new_path, qualified, ship, stage, tidy
 
 MAGIC = b"TSR8B\x02\0\0"
@@ -276,7 +278,7 @@ def open_folder(uri: str):
     """File system and path of a folder that all executors share."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 MANIFEST = "bucket int, part int, path string, n_docs bigint, n_ids bigint"
