@@ -20,6 +20,7 @@ from .assign import banded
 from .decisions import escalated
 from .grid import amounts_merged, conflict_ratio, dash_applied, rows_unmerged
 from .lines import fused_cells
+from .placement import overlaps_resolved
 from .sequences import full_separators
 
 Pass = Callable[[DataFrame, DataFrame], DataFrame]
@@ -331,6 +332,7 @@ FILLED: list[tuple[str, Pass]] = [
 ]
 RENDER: list[tuple[str, Pass]] = [
     ("clipped_spans", lambda cells, boxes: clipped_spans(cells)),
+    ("overlaps_resolved", lambda cells, boxes: overlaps_resolved(cells)),
     ("compressed_grid", lambda cells, boxes: compressed_grid(cells)),
     ("text_compressed", lambda cells, boxes: text_compressed(cells)),
     ("with_blanks", lambda cells, boxes: with_blanks(cells)),

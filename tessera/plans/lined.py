@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.operators import lines, spans, splitting
+from tessera.operators import lines, placement, spans, splitting
 from tessera.sources.derived import prelude
 
 SEPARATORS = f"""near AS (SELECT *, CASE WHEN coord - lag(coord) OVER (PARTITION BY table_id, axis ORDER BY coord, rule_id) > {lines.GAP} THEN 1 ELSE 0 END AS fresh FROM v_rules),
@@ -47,6 +47,7 @@ TABLE = {
     "evidence_merge": (lines.evidence_merged, ("v_cells", "v_boxes", "v_rules"), None),
     "column_corridors": (lines.corridors, ("v_sparse", "v_narrow"), None),
     "repair_row_spans": (spans.row_spans_repaired, ("v_cells", "v_boxes", "v_sparse"), None),
+    "resolve_overlaps": (placement.overlaps_resolved, ("v_cells",), None),
     "split_boxes": (splitting.split_boxes, ("v_mixed", "v_cells"), None),
     "assign_pieces": (splitting.assigned_pieces, ("v_mixed", "v_cells"), None),
 }

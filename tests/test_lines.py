@@ -6,7 +6,7 @@ from statistics import median
 
 import pytest
 
-from tessera.operators import lines, spans, splitting
+from tessera.operators import lines, placement, spans, splitting
 from tessera.sources.derived import view
 
 
@@ -378,6 +378,61 @@ def test_wrapped_headers_become_one(spark):
     assert got == [(1, 5), (4, 8), (6, 10), (7, 11)]  # columns 0 and 3: rows 1 and 2 first, so row 0 stays
 
 
+# ---- places
+
+
+def is_frag(text):
+    t = re.sub(r"\s+", "", text)
+    if re.fullmatch(r"[A-Za-z][+＋]?|[A-Z]{2,3}|[A-Za-z]\d{1,2}", t):
+        return False
+    return not t or (len(t) <= 2 and not re.fullmatch("[一-鿿]{2}", t)) or bool(re.fullmatch("[0-9一二三四五六七八九十]+", t))
+
+
+def plain_placed(cells):
+    size = lambda c: (c["re"] - c["rs"] + 1) * (c["ce"] - c["cs"] + 1)
+    grid, out = {}, []
+    rows = [{"id": c["cell_id"], "rs": c["row_start"], "re": c["row_end"], "cs": c["col_start"], "ce": c["col_end"], "text": c["text"] or ""} for c in cells]
+    for c in sorted(rows, key=lambda c: (size(c), c["rs"], c["cs"], c["id"])):
+        at = [(r, k) for r in range(c["rs"], c["re"] + 1) for k in range(c["cs"], c["ce"] + 1)]
+        owners = []
+        for p in at:
+            if p in grid and not any(grid[p] is o for o in owners):
+                owners.append(grid[p])
+        text = c["text"].strip(" ")
+        if text and not is_frag(c["text"]):
+            gone = [o for o in owners if is_frag(o["text"]) and size(o) < size(c)]
+            for p in [p for p, o in grid.items() if any(o is g for g in gone)]:
+                del grid[p]
+            out = [o for o in out if not any(o is g for g in gone)]
+            owners = [o for o in owners if not any(o is g for g in gone)]
+        if owners:
+            if text:
+                prev = owners[0]["text"].strip(" ")
+                owners[0]["text"] = text if not prev else owners[0]["text"] if text in prev else f"{prev} {text}"
+            free = [p for p in at if p not in grid]
+            if not free:
+                continue
+            rs, re_, cs, ce = min(r for r, _ in free), max(r for r, _ in free), min(k for _, k in free), max(k for _, k in free)
+            if (re_ - rs + 1) * (ce - cs + 1) != len(free):
+                continue
+            c, at = dict(c, rs=rs, re=re_, cs=cs, ce=ce, text=""), free
+        out.append(c)
+        grid.update((p, c) for p in at)
+    return {(c["id"], c["rs"], c["re"], c["cs"], c["ce"], c["text"]) for c in out}
+
+
+def test_cells_claim_places(spark, sf_dir, given):
+    got = by_table(placement.overlaps_resolved(view(spark, sf_dir, "v_cells")))
+    changed = 0
+    for t, cells in given["v_cells"].items():
+        want = plain_placed(cells)
+        assert {(r["cell_id"], r["row_start"], r["row_end"], r["col_start"], r["col_end"], r["text"]) for r in got[t]} == want
+        places = [(r, c) for x in got[t] for r in range(x["row_start"], x["row_end"] + 1) for c in range(x["col_start"], x["col_end"] + 1)]
+        assert len(places) == len(set(places))
+        changed += len(want) != len(cells)
+    assert changed > 20
+
+
 # ---- cut boxes
 
 HEAD = "实[施試]例|実[施試]例|比較例|比较例|合成例|对照例|参考例"
