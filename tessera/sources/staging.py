@@ -27,13 +27,22 @@ def arrow_uri(uri: str) -> str:
 
 def cut(rows: DataFrame, tag: str, paths: list[str] | None = None) -> DataFrame:
     """``rows`` written as Parquet in the shared folder and read back. The path is added to ``paths``, for
-    :func:`dropped`."""
+    :func:`dropped`. Rows with a ``table_id`` are written in buckets of it, as many as a shuffle has partitions, so that
+    what reads them meets by table without another shuffle; the catalog's entry is gone again at once."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-    rows.write.parquet(path)
+    key = uuid.uuid4().hex[:12]
+    path = f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}/{tag}-{key}"
     if paths is not None:
         paths.append(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    if "table_id" not in rows.columns:
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    name = f"tessera_{tag}_{key}"
+    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "table_id").option("path", path).format("parquet").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def dropped(spark: SparkSession, paths: list[str]) -> None:
