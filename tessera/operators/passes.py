@@ -273,15 +273,15 @@ def narrow_labels_clipped(cells: DataFrame, ratio: float = 1.35) -> DataFrame:
 def _renumbered(parts: DataFrame, cells: DataFrame) -> DataFrame:
     """``parts`` of cells, of which the first (``k`` = 0) keeps the id and the others get ids above all."""
     top = cells.groupBy("table_id").agg(F.max("cell_id").alias("top"))
-    number = F.row_number().over(Window.partitionBy("table_id").orderBy("k", "cell_id"))
     parts = parts.select(*cells.columns, "k")
-    later = parts.where("k > 0").join(top, "table_id").withColumn("cell_id", (F.col("top") + number).cast(cells.schema["cell_id"].dataType))
-    return parts.where("k = 0").select(*cells.columns).unionByName(later.select(*cells.columns))
+    later = F.count_if(F.col("k") > 0).over(Window.partitionBy("table_id").orderBy("k", "cell_id"))
+    number = F.when(F.col("k") > 0, F.col("top") + later).otherwise(F.col("cell_id")).cast(cells.schema["cell_id"].dataType)
+    return parts.join(top, "table_id").withColumn("new", number).select(*(F.col("new").alias(c) if c == "cell_id" else F.col(c) for c in cells.columns))
 
 
 def rows_split(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     """A cell over several rows that holds one box for each of them becomes a cell for each row."""
-    rows = rows_unmerged(cells, boxes).withColumnRenamed("text", "part")
+    rows = cut(rows_unmerged(cells, boxes), "rows").withColumnRenamed("text", "part")
     height = (F.col("y2") - F.col("y1")) / (F.col("row_end") - F.col("row_start") + 1)
     made = cells.join(rows, CELL).withColumn("k", F.col("row") - F.col("row_start")).withColumn("h", height).withColumn("top", F.col("y1"))
     made = made.withColumns({"row_start": F.col("row"), "row_end": F.col("row"), "y1": F.col("top") + F.col("k") * F.col("h"), "y2": F.col("top") + (F.col("k") + 1) * F.col("h"), "text": F.col("part")})
@@ -374,6 +374,7 @@ def refined(cells: DataFrame, boxes: DataFrame, rules: DataFrame | None = None)
     """Cells after the light chain. Where they still conflict, and have no tree of headers to lose, the aggressive
     chain is tried on the cells as found, fused with ruling lines if there are any; its grid is taken if it has
     fewer conflicts."""
+    cells, boxes = cut(cells, "cells"), cut(boxes, "boxes")
     light = applied(LIGHT, cells, boxes)
     hard = cut(escalated(light).where("escalate").select("table_id").join(with_header_tree(light), "table_id", "left_anti"), "escalated")
     again = applied(AGGRESSIVE, cells.join(hard, "table_id", "left_semi"), boxes)
