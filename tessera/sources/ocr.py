@@ -98,14 +98,16 @@ def text_boxes(lines: DataFrame, column: str = "value") -> DataFrame:
 
     def of_item(item):
         own = _of_pruned(F.coalesce(item["prunedResult"], item["pruned_result"]))
-        return F.when(F.size(own) > 0, own).otherwise(_of_coordinates(item, size("width"), size("height")))
+        # bound as the one element of an array, so that it is made once
+        return F.get(F.transform(F.array(own), lambda o: F.when(F.size(o) > 0, o).otherwise(_of_coordinates(item, size("width"), size("height")))), 0)
 
     def numbered(found, page):
         return F.transform(found, lambda z, k: F.struct(page.alias("page"), k.alias("box_id"), z["text"].alias("text"), z["score"].alias("score"), z["polygon"].alias("polygon")))
 
     items = F.flatten(F.transform("__p.ocrResults", lambda item, k: numbered(of_item(item), k)))
     whole = numbered(_of_pruned(F.coalesce("__p.prunedResult", "__p.pruned_result")), F.lit(0))
-    boxes = parsed.select(*lines.columns, F.explode(F.when(F.size(items) > 0, items).otherwise(whole)).alias("__box"))
+    parsed = parsed.withColumn("__items", items)
+    boxes = parsed.select(*lines.columns, F.explode_outer(F.when(F.size("__items") > 0, F.col("__items")).otherwise(whole)).alias("__box")).where("__box IS NOT NULL")
     corner = lambda f, k: f(F.transform("__box.polygon", lambda p: p[k]))
     return boxes.select(
         *lines.columns, "__box.page", "__box.box_id", F.col("__box.text").alias("text"), F.col("__box.score").alias("score"),
