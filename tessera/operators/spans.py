@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import EXAMPLE_ROW, IDEOGRAPH, no_spaces
+from tessera.sources.staging import cut
 
 from .assign import banded
 from .lines import covered, separators, united
@@ -51,7 +52,8 @@ def row_span_pairs(cells: DataFrame, boxes: DataFrame, rules: DataFrame) -> Data
     one with the cell below: hardly a line is drawn between them, and one of them holds a fragment, a box reaches
     across, or both are whole headers that wrap; short words of three or four ideographs wrap under any line. Taken
     from the body upwards; a cell that was merged does not merge again."""
-    t = _tables(cells, boxes, rules)
+    cells, boxes = cut(cells, "cells"), cut(boxes, "boxes")
+    t = cut(_tables(cells, boxes, rules), "headers")
     single = cells.where("row_start = row_end")
     alone = F.count("*").over(Window.partitionBy("table_id", "row_start", "col_start", "col_end"))
     head = single.withColumn("alone", alone).where("alone = 1").join(t.select("table_id", "last"), "table_id").where(F.col("row_start") <= F.col("last") + 1)
@@ -59,7 +61,7 @@ def row_span_pairs(cells: DataFrame, boxes: DataFrame, rules: DataFrame) -> Data
     c = banded(head, "c", "y1", "y2")
     held = c.join(b, (F.col("b.table_id") == F.col("c.table_id")) & (F.col("b.band") == F.col("c.band")) & F.col("b.cx").between(F.col("c.x1"), F.col("c.x2")) & F.col("b.cy").between(F.col("c.y1"), F.col("c.y2")))
     texts = held.groupBy("c.table_id", "c.cell_id").agg(no_spaces(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b.box_id", "b.text"))), lambda x: x["text"]), " ")).alias("bare"))
-    head = head.join(texts, ["table_id", "cell_id"], "left").withColumn("bare", F.coalesce("bare", F.lit("")))
+    head = cut(head.join(texts, ["table_id", "cell_id"], "left").withColumn("bare", F.coalesce("bare", F.lit(""))), "head")
     u, l = head.alias("u"), head.alias("l")
     same = [F.col(f"u.{k}") == F.col(f"l.{k}") for k in ("table_id", "col_start", "col_end")]
     pairs = u.join(l, [*same, F.col("l.row_start") == F.col("u.row_start") + 1]).join(t.drop("last").withColumnRenamed("table_id", "of"), F.col("of") == F.col("u.table_id"))
@@ -86,7 +88,7 @@ def row_span_pairs(cells: DataFrame, boxes: DataFrame, rules: DataFrame) -> Data
 
 def row_spans_repaired(cells: DataFrame, boxes: DataFrame, rules: DataFrame) -> DataFrame:
     """Cells with the pairs of :func:`row_span_pairs` as one: the upper one takes the rows and the rectangle of both."""
-    pairs = row_span_pairs(cells, boxes, rules)
+    pairs = cut(row_span_pairs(cells, boxes, rules), "pairs")
     below = cells.select("table_id", F.col("cell_id").alias("lower"), F.struct("row_end", "x1", "y1", "x2", "y2").alias("o"))
     grown = cells.join(pairs.join(below, ["table_id", "lower"]), ["table_id", "cell_id"], "left")
     rest = grown.join(pairs.select("table_id", F.col("lower").alias("cell_id")), ["table_id", "cell_id"], "left_anti")
