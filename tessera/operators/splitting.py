@@ -88,7 +88,8 @@ def split_boxes(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """``boxes`` with ``piece`` and ``target``: a box over several columns becomes a row for each piece of its text,
     with the part of the box that lies in its column; all others are piece 0 as they are. Pieces cut by
     width have their column's cell as target, those of labels none."""
-    over = boxes.join(columns_of(boxes, cells), KEY).withColumn("width", F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0))).withColumn("n", F.size("slots"))
+    found = cut(columns_of(boxes, cells), "slots")
+    over = boxes.join(found, KEY).withColumn("width", F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0))).withColumn("n", F.size("slots"))
     over = over.withColumn("shares", F.transform(F.slice("slots", 1, F.col("n") - 1), lambda s: (s["x2"] - F.col("x1")) / F.col("width")))
     given = row_label_parts(F.col("text"), F.col("n"), F.get("shares", F.lit(0)))
     over = over.withColumn("given", given)
@@ -116,7 +117,7 @@ def split_boxes(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     names = [c for c in boxes.columns if c not in (*KEY, "x1", "x2", "text")]
     cut_up = over.select(*KEY, *names, F.explode_outer("pieces").alias("p"))
     cut_up = cut_up.select(*(F.col(f"p.{c}").alias(c) if c in ("x1", "x2", "text") else F.col(c) for c in boxes.columns), "p.piece", "p.target")
-    rest = boxes.join(over.select(*KEY), KEY, "left_anti").select(*boxes.columns, F.lit(0).alias("piece"), F.lit(None).cast("int").alias("target"))
+    rest = boxes.join(found.select(*KEY), KEY, "left_anti").select(*boxes.columns, F.lit(0).alias("piece"), F.lit(None).cast("int").alias("target"))
     return rest.unionByName(cut_up)
 
 
