@@ -213,26 +213,25 @@ def fusion_owner(atoms: DataFrame, cells: DataFrame, least: float = 0.35) -> Dat
 
 def atom_components(owned: DataFrame) -> DataFrame:
     """Connected groups of neighbouring atoms with the same owner; ``component_r`` and ``component_c`` are
-    the first place of a group by row, then column. A table's atoms are few, so a table is one group."""
-    import pandas as pd
-
-    def grouped(table: pd.DataFrame) -> pd.DataFrame:
-        owner = {(r, c): o for r, c, o in zip(table["r"], table["c"], table["cell_id"], strict=True)}
-        root: dict[tuple[int, int], int] = {}
-        for start in sorted(owner):
-            if start in root:
-                continue
-            label, todo = start, [start]
-            root[start] = label
-            while todo:
-                r, c = todo.pop()
-                for near in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
-                    if near not in root and owner.get(near, -1) == owner[r, c]:
-                        root[near] = label
-                        todo.append(near)
-        return pd.DataFrame([(table["table_id"].iloc[0], *place, *first) for place, first in root.items()], columns=["table_id", "r", "c", "component_r", "component_c"])
-
-    return owned.select("table_id", "r", "c", "cell_id").groupBy("table_id").applyInPandas(grouped, "table_id bigint, r int, c int, component_r int, component_c int")
+    the first place of a group by row, then column. Atoms are numbered by row, then column, so that the lowest number
+    that a group hangs together with is that place; a table's numbers and pairs are one row."""
+    from .lines import labels
+
+    order = Window.partitionBy("table_id").orderBy("r", "c")
+    atoms = owned.select("table_id", "r", "c", "cell_id", (F.row_number().over(order) - 1).alias("k"))
+    fields = F.struct("k", "r", "c", "cell_id")
+    right = F.lead(fields).over(order)
+    below = F.lead(fields).over(Window.partitionBy("table_id", "c").orderBy("r"))
+    pair = lambda to, hit: F.when(hit & (to["cell_id"] == F.col("cell_id")), F.struct(F.col("k").alias("a"), to["k"].alias("b")))
+    atoms = atoms.withColumns({"right": right, "below": below})
+    across = pair(F.col("right"), (F.col("right.r") == F.col("r")) & (F.col("right.c") == F.col("c") + 1))
+    down = pair(F.col("below"), F.col("below.r") == F.col("r") + 1)
+    listed = F.array_sort(F.collect_list(F.struct("k", "r", "c"))).alias("atoms")
+    tables = atoms.groupBy("table_id").agg(listed, F.concat(F.collect_list(across), F.collect_list(down)).alias("pairs"))
+    made = tables.select("table_id", "atoms", labels(F.size("atoms"), F.col("pairs")).alias("labels"))
+    rows = made.select("table_id", "atoms", F.explode(F.arrays_zip("atoms", "labels")).alias("a"))
+    first = F.get("atoms", F.col("a.labels"))
+    return rows.select("table_id", "a.atoms.r", "a.atoms.c", first["r"].alias("component_r"), first["c"].alias("component_c"))
 
 
 def weak_boundaries(boundaries: DataFrame, boxes: DataFrame, strip: float = 6.0) -> DataFrame:

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import no_spaces
+from tessera.sources.staging import cut
 
 from .assign import by_centre
 from .grid import fusion_owner
@@ -118,14 +120,27 @@ def _confidence(hs: Column, vs: Column) -> Column:
 
 
 def labels(n: Column, joined: Column) -> Column:
-    """Of ``n`` atoms the smallest that each hangs together with, by pairs ``a, b``: pairs are taken in turn, and
-    one that joins two groups gives the later group the earlier one's label."""
+    """Of ``n`` atoms the smallest that each hangs together with, by pairs ``a, b``: all tables of an Arrow batch at once,
+    by lowering the labels of a pair's atoms to the lower one, and each to its label's label, until none changes."""
 
-    def step(acc, p):
-        a, b = F.get(acc, p["a"]), F.get(acc, p["b"])
-        return F.when(a == b, acc).otherwise(F.transform(acc, lambda l: F.when(l == F.greatest(a, b), F.least(a, b)).otherwise(l)))
+    def lowest(n: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        import numpy as np
 
-    return F.aggregate(joined, F.sequence(F.lit(0), n - 1), step)
+        size = np.maximum(n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        shift = np.repeat(begin[:-1], a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a, b = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + shift for x in (a, b))
+        label, old = np.arange(begin[-1]), None
+        while old is None or (label != old).any():
+            old, low = label, np.minimum(label[a], label[b])
+            label = label.copy()
+            np.minimum.at(label, old[a], low)
+            np.minimum.at(label, old[b], low)
+            label = label[label]
+        return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(label - np.repeat(begin[:-1], size), pa.int32()))
+
+    # declared so that it is not moved into what explodes it
+    return F.arrow_udf(lowest, "array<int>").asNondeterministic()(n, F.transform(joined, lambda p: p["a"]), F.transform(joined, lambda p: p["b"]))
 
 
 def _pairs(rows: Column, cols: Column, across: Callable, down: Callable) -> Column:
@@ -173,8 +188,8 @@ def line_labels(grids: DataFrame, cover: float = COVER) -> DataFrame:
     across = lambda r, c: covered(F.get("vs", c + 1)["spans"], F.get("ys", r), F.get("ys", r + 1)) < cover
     down = lambda r, c: covered(F.get("hs", r + 1)["spans"], F.get("xs", c), F.get("xs", c + 1)) < cover
     g = g.withColumns({"rows": F.size("ys") - 1, "cols": F.size("xs") - 1})
-    made = labels(F.col("rows") * F.col("cols"), _pairs(F.col("rows"), F.col("cols"), across, down))
-    return g.withColumn("labels", F.when((F.col("rows") > 0) & (F.col("cols") > 0), made))
+    g = g.withColumn("pairs", _pairs(F.col("rows"), F.col("cols"), across, down)).withColumn("made", labels(F.col("rows") * F.col("cols"), F.col("pairs")))
+    return g.withColumn("labels", F.when((F.col("rows") > 0) & (F.col("cols") > 0), F.col("made"))).drop("made", "pairs")
 
 
 def line_cells(rules: DataFrame, cover: float = COVER) -> DataFrame:
@@ -249,22 +264,24 @@ def fused_cells(cells: DataFrame, rules: DataFrame, least_confidence: float = 0.
     of the same structure cell (the one that covers the largest share of each, a third or more) become one, down
     the page also those of the same cell between lines, unless a strong separator covers ``cover`` of
     their edge. Tables without lines, of little confidence, or that gain nothing stay as they are."""
+    cells = cut(cells, "cells")
     axes = full_separators(cells).groupBy("table_id").agg(*(F.max(F.when(F.col("axis") == a, F.col("seps"))).alias(f"{a}_seps") for a in ("row", "col")))
     size = cells.groupBy("table_id").agg((F.max("row_end") + 1).alias("found_rows"), (F.max("col_end") + 1).alias("found_cols"))
-    lined = line_labels(line_grids(rules))
-    t = lined.select("table_id", "hs", "vs", "x1", "y1", "x2", "y2", "confidence", (F.col("cols") >= 2).alias("lined")).join(axes, "table_id").join(size, "table_id")
+    lined = line_labels(line_grids(rules)).withColumn("between", F.struct("xs", "ys", "labels"))
+    t = lined.select("table_id", "hs", "vs", "x1", "y1", "x2", "y2", "confidence", "between", (F.col("cols") >= 2).alias("lined")).join(axes, "table_id").join(size, "table_id")
     plain = lambda c: F.transform(c, lambda v: F.struct(v.alias("coord"), F.lit(0.0).alias("length"), F.array().cast("array<struct<lo:double,hi:double>>").alias("spans")))
     t = t.withColumn("hs", F.when(F.size("hs") >= F.greatest(F.size("row_seps"), F.lit(3)), F.col("hs")).otherwise(plain("row_seps")))
     t = t.withColumn("vs", F.when(F.size("vs") >= F.size("col_seps"), F.col("vs")).otherwise(plain("col_seps")))
     t = t.withColumns({"xs": _coords("vs"), "ys": _coords("hs")}).withColumns({"rows": F.size("ys") - 1, "cols": F.size("xs") - 1})
     gains = (F.col("cols") >= F.col("found_cols") + more_cols) | (F.col("rows") >= F.col("found_rows"))
     t = t.withColumn("fits", F.col("lined") & (F.col("rows") >= 1) & (F.col("cols") >= 2) & (F.col("confidence") >= least_confidence) & gains)
+    t = cut(t.where("fits").drop("row_seps", "col_seps"), "fits")
 
     place = F.posexplode_outer(F.when(F.col("fits"), F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1))).alias("place", "p")
     atoms = t.select("table_id", "xs", "ys", "cols", place).where("place IS NOT NULL").withColumns({"r": F.floor(F.col("p") / F.col("cols")).cast("int"), "c": (F.col("p") % F.col("cols")).cast("int")})
     atoms = atoms.select("table_id", "place", "r", "c", F.get("xs", F.col("c")).alias("x1"), F.get("ys", F.col("r")).alias("y1"), F.get("xs", F.col("c") + 1).alias("x2"), F.get("ys", F.col("r") + 1).alias("y2"))
     owner = fusion_owner(atoms, cells).select("table_id", "r", "c", F.col("cell_id").alias("owner"))
-    between = by_centre(atoms.withColumnRenamed("place", "box_id"), cells_of(lined)).select("table_id", F.col("box_id").alias("place"), F.col("cell_id").alias("line_owner"))
+    between = by_centre(atoms.withColumnRenamed("place", "box_id"), cells_of(t.select("table_id", "between.*"))).select("table_id", F.col("box_id").alias("place"), F.col("cell_id").alias("line_owner"))
     owned = atoms.select("table_id", "place", "r", "c").join(owner, ["table_id", "r", "c"], "left").join(between, ["table_id", "place"], "left")
     lists = owned.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "owner", "line_owner"))), lambda a: F.struct(a["owner"].alias("owner"), a["line_owner"].alias("line_owner"))).alias("owners"))
     t = t.join(lists, "table_id")
@@ -280,8 +297,8 @@ def fused_cells(cells: DataFrame, rules: DataFrame, least_confidence: float = 0.
         parted = strong(F.get("hs", r + 1), F.col("x2") - F.col("x1"), F.get("xs", c), F.get("xs", c + 1))
         return (same(own(r, c)["owner"], own(r + 1, c)["owner"]) | same(own(r, c)["line_owner"], own(r + 1, c)["line_owner"])) & ~parted
 
-    t = t.withColumn("labels", labels(F.col("rows") * F.col("cols"), _pairs(F.col("rows"), F.col("cols"), across, down)))
-    made = cells_of(t.select("table_id", "xs", "ys", "labels"))
+    t = t.withColumn("pairs", _pairs(F.col("rows"), F.col("cols"), across, down)).withColumn("labels", labels(F.col("rows") * F.col("cols"), F.col("pairs")))
+    made = cut(cells_of(t.select("table_id", "xs", "ys", "labels")), "made")
     rest = cells.select(*made.columns).join(made.select("table_id").distinct(), "table_id", "left_anti")
     return made.unionByName(rest)
 
@@ -294,6 +311,10 @@ def evidence(cells: DataFrame, boxes: DataFrame, rules: DataFrame, near: float =
     or column before them. A boundary falls if a box reaches across it and no line of ``least`` of the table lies
     at it; an upright one also if a column beside it, not the outermost, holds no box, or if all that one of its
     columns holds is fragments in the header while the other has text in the body."""
+    return _evidence(cut(cells, "cells"), boxes, rules, near, least)
+
+
+def _evidence(cells: DataFrame, boxes: DataFrame, rules: DataFrame, near: float = 6.0, least: float = 0.30) -> DataFrame:
     seps = full_separators(cells).groupBy("table_id").agg(*(F.max(F.when(F.col("axis") == a, F.col("seps"))).alias(f"{a}_seps") for a in ("row", "col")))
     bounds = cells.groupBy("table_id").agg(F.min("x1").alias("l"), F.min("y1").alias("t"), F.max("x2").alias("r"), F.max("y2").alias("b"))
     g = line_grids(rules).select("table_id", "hs", "vs", F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0)).alias("width"), F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0)).alias("height"))
@@ -323,15 +344,16 @@ def evidence(cells: DataFrame, boxes: DataFrame, rules: DataFrame, near: float =
         tails = (~line | weak) & ((thin(left) & deep(right)) | (thin(right) & deep(left)))
         return ghost | (crossed & ~line) | tails
 
-    rows_out = t.select("table_id", F.lit("row").alias("axis"), F.explode_outer(F.filter(inner("row_seps"), falls_row)).alias("boundary"))
-    cols_out = t.select("table_id", F.lit("col").alias("axis"), F.explode_outer(F.filter(inner("col_seps"), falls_col)).alias("boundary"))
-    return rows_out.unionByName(cols_out).where("boundary IS NOT NULL")
+    fallen = lambda axis, falls: F.transform(F.filter(inner(f"{axis}_seps"), falls), lambda k: F.struct(F.lit(axis).alias("axis"), k.alias("boundary")))
+    out = t.select("table_id", F.explode_outer(F.concat(fallen("row", falls_row), fallen("col", falls_col))).alias("f"))
+    return out.where("f IS NOT NULL").select("table_id", "f.axis", "f.boundary")
 
 
 def evidence_merged(cells: DataFrame, boxes: DataFrame, rules: DataFrame) -> DataFrame:
     """Cells on the rows and columns that are left when the boundaries of :func:`evidence` fall; an index moves
     down by the number of fallen boundaries before it."""
-    fallen = evidence(cells, boxes, rules).groupBy("table_id").agg(*(F.collect_set(F.when(F.col("axis") == a, F.col("boundary"))).alias(f"{a}_fallen") for a in ("row", "col")))
+    cells = cut(cells, "cells")
+    fallen = _evidence(cells, boxes, rules).groupBy("table_id").agg(*(F.collect_set(F.when(F.col("axis") == a, F.col("boundary"))).alias(f"{a}_fallen") for a in ("row", "col")))
     joined = cells.join(fallen, "table_id", "left")
 
     def moved(name: str) -> Column:
