@@ -263,8 +263,20 @@ def page_markdown(page: str | None) -> str:
     return "\n".join(parser.text) + "\n" if parser.text else ""
 
 
+#: Pages in a batch that a Python worker gets.
+BATCH_PAGES = 128
+
+
+def _few_at_a_time(pages: DataFrame) -> None:
+    """Let no batch hold more than ``BATCH_PAGES`` pages: a Python worker's memory follows the batch."""
+    spark, name = pages.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_PAGES:
+        spark.conf.set(name, str(BATCH_PAGES))
+
+
 def documents_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``md`` made from whole pages."""
+    _few_at_a_time(pages)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -276,6 +288,7 @@ def documents_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def page_blocks(pages: DataFrame) -> DataFrame:
     """``page_id, seq, kind, text`` of every heading, paragraph and table, in order."""
+    _few_at_a_time(pages)
 
     @F.pandas_udf("array<struct<kind:string,text:string>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
