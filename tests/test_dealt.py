@@ -1,7 +1,10 @@
 """Relations are dealt by table once; what is written on the way keeps that."""
 
+from fractions import Fraction
+
 import pytest
 
+from tessera.operators import render
 from tessera.plans import catalog
 from tessera.sources.derived import view
 from tessera.sources.staging import cut
@@ -29,3 +32,23 @@ def test_written_rows_meet_by_table(spark, sf_dir, without_broadcasts):
     sums = cells.groupBy("table_id", "row_start").count()
     assert exchanges(cells.join(sums, ["table_id", "row_start"])) == 0
     assert cells.count() == view(spark, sf_dir, "v_cells").count()
+
+
+def test_confidence_is_the_exact_mean(spark, sf_dir):
+    exact: dict[int, list[Fraction]] = {}
+    for r in view(spark, sf_dir, "v_boxes").select("table_id", "score").collect():
+        exact.setdefault(r["table_id"], []).append(Fraction(round(r["score"] * 1000), 1000))
+    for r in view(spark, sf_dir, "v_detected").collect():
+        scores = exact[r["table_id"]]
+        assert r["confidence"] == float(sum(scores) / len(scores))
+
+
+def test_pages_come_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        render.documents_markdown(spark.createDataFrame([(1, "<p>a</p>")], "page_id int, html string"))
+        assert int(spark.conf.get(name)) == render.BATCH_PAGES
+    finally:
+        spark.conf.set(name, before)
