@@ -228,20 +228,16 @@ def with_language(docs: DataFrame, languages: list[str], prototypes: np.ndarray,
     return docs.withColumn(into, predicted.asNondeterministic()(F.col("text").cast("string")))
 
 
-#: Documents with a language that the usual strengths are measured on, at most about so many.
-MEASURED = 20_000
 #: Least variance that a trigram brings.
 LEAST_VARIANCE = 0.1
 
 
-def usual_strengths(docs: DataFrame, languages: list[str], prototypes: np.ndarray, most: int = MEASURED) -> dict[str, tuple[float, float, float]]:
+def usual_strengths(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> dict[str, tuple[float, float, float]]:
     """Of each language the mean strength of its documents, and the variance around it: what documents differ
-    by, and what each trigram adds, so that a text of n trigrams has ``between + single / n``. Measured on
-    documents with a lang, about ``most`` of them by a hash of their ids."""
+    by, and what each trigram adds, so that a text of n trigrams has ``between + single / n``. Measured on all
+    documents with a lang."""
     known = docs.where(F.col("lang").isin(languages) & F.col("doc_id").isNotNull())
-    share = min(1.0, most / max(1, known.count()))
-    taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= F.lit(int(share * (1 << 40)))).select("text", "lang")
-    found = with_language(taken, languages, prototypes, "__found").select("lang", "__found.strength", "__found.n_grams").where("n_grams > 0")
+    found = with_language(known.select("text", "lang"), languages, prototypes, "__found").select("lang", "__found.strength", "__found.n_grams").where("n_grams > 0")
     found = stage(found, "strengths")
     n, one = F.col("n_grams"), F.lit(1.0)
     means = found.groupBy("lang").agg((F.sum(F.col("strength") * F.sqrt(n)) / F.sum(F.sqrt(n))).alias("mean"))

@@ -470,3 +470,12 @@ def test_quality_is_learned(spark, docs, no_docs):
 
 def test_isotonic():
     assert Q.isotonic(np.arange(4), np.array([0.2, 0.1, 0.5, 0.4]), np.array([1.0, 1, 1, 3])).tolist() == pytest.approx([0.15, 0.15, 0.425, 0.425])
+
+
+def test_usual_strengths_rest_on_all_documents(spark):
+    texts = ["the old mill by the river", "ask for me at the door", "boats go north until noon", "mail is late"]
+    rows = [(k, texts[k * k % 7 % 4], "en") for k in range(30_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, prototypes = L.train_prototypes(frame)
+    moved = frame.withColumn("doc_id", F.col("doc_id") + 1_000_003)
+    assert L.usual_strengths(frame, languages, prototypes)["en"] == pytest.approx(L.usual_strengths(moved, languages, prototypes)["en"], rel=1e-9)
