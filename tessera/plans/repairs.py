@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.operators import clusters, passes, render
 from tessera.sources import ocr
 from tessera.sources.derived import prelude
+from tessera.sources.staging import cut
 
 from . import run
 from .oracles import AREA, BOTH, HTML
@@ -16,7 +17,7 @@ CELLS, BOXES = "v_cells", "v_boxes"
 
 
 def _light(cells, boxes):
-    return passes.applied(passes.LIGHT, cells, boxes)
+    return passes.applied(passes.LIGHT, cut(cells, "cells"), cut(boxes, "boxes"))
 
 
 def _rendered(cells, boxes):
