@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.geometry import area, holds_centre, intersection
 from tessera.functions.text import no_spaces
 from tessera.sources.staging import cut
 
-from .assign import by_centre
-from .grid import fusion_owner
-from .sequences import full_separators
+from .assign import banded
+from .sequences import both_axes
 
 #: Lines this close are one; spans this close are one span; how far inside its lines a cell lies.
 GAP, SLACK, INSET = 4.0, 3.0, 1.0
@@ -68,15 +68,18 @@ def _bordered(seps: Column, lo: Column, hi: Column, from_: Column, to: Column) -
     return F.when(F.abs(F.element_at(first, -1)["coord"] - hi) > near, F.concat(first, made(hi))).otherwise(first)
 
 
-def _without_shadows(seps: Column, height: Column) -> Column:
-    """Upright separators without short ones beside those that span half the table."""
-    strong = F.filter(seps, lambda s: s["length"] / height >= HALF)
-    gaps = F.array_sort(F.zip_with(F.slice(seps, 2, F.size(seps) - 1), F.slice(seps, 1, F.size(seps) - 1), lambda b, a: b["coord"] - a["coord"]))
-    n = F.size(gaps)
-    middle = (F.get(gaps, F.floor((n - 1) / 2).cast("int")) + F.get(gaps, F.floor(n / 2).cast("int"))) / 2
+def _without_shadows(tables: DataFrame) -> DataFrame:
+    """Upright separators ``vs`` without short ones beside those that span half the table. What all of them look up is a
+    column of its own, or it would be made again for each."""
+    seps, height = F.col("vs"), F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0))
+    n = F.greatest(F.size(seps) - 1, F.lit(0))
+    gaps = F.array_sort(F.zip_with(F.slice(seps, 2, n), F.slice(seps, 1, n), lambda b, a: b["coord"] - a["coord"]))
+    t = tables.withColumns({"__strong": F.filter(seps, lambda s: s["length"] / height >= HALF), "__gaps": gaps})
+    n = F.size("__gaps")
+    middle = (F.get("__gaps", F.floor((n - 1) / 2).cast("int")) + F.get("__gaps", F.floor(n / 2).cast("int"))) / 2
     near = F.greatest(F.lit(8.0), middle * 0.30)
-    kept = F.filter(seps, lambda s: (s["length"] / height > 0.45) | ~F.exists(strong, lambda t: F.abs(s["coord"] - t["coord"]) < near))
-    return F.when((F.size(seps) >= 3) & (F.size(strong) > 0), kept).otherwise(seps)
+    kept = F.filter(seps, lambda s: (s["length"] / height > 0.45) | ~F.exists("__strong", lambda t: F.abs(s["coord"] - t["coord"]) < near))
+    return t.withColumn("vs", F.when((F.size(seps) >= 3) & (F.size("__strong") > 0), kept).otherwise(seps)).drop("__strong", "__gaps")
 
 
 def line_grids(rules: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
@@ -91,13 +94,15 @@ def line_grids(rules: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     if boxes is not None:
         tables = with_corridors(tables, boxes)
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    tables = tables.withColumn("vs", _without_shadows(F.col("vs"), F.greatest(y2 - y1, F.lit(1.0))))
+    tables = _without_shadows(tables)
     tables = tables.withColumns({"hs": _bordered(F.col("hs"), y1, y2, x1, x2), "vs": _bordered(F.col("vs"), x1, x2, y1, y2)})
-    return tables.withColumn("confidence", _confidence(F.col("hs"), F.col("vs")))
+    return _with_confidence(tables)
 
 
-def _confidence(hs: Column, vs: Column) -> Column:
-    """Share of the crossings of long separators where both are drawn; half lines count as whole ones."""
+def _with_confidence(tables: DataFrame) -> DataFrame:
+    """``confidence``: share of the crossings of long separators where both are drawn; half lines count as whole ones. What
+    every crossing looks up is a column of its own, or it would be made again for each."""
+    hs, vs = F.col("hs"), F.col("vs")
 
     def whole(own: Column, other: Column) -> Column:
         lo, hi = other[0]["coord"], F.element_at(other, -1)["coord"]
@@ -105,66 +110,170 @@ def _confidence(hs: Column, vs: Column) -> Column:
         full = lambda s: F.struct(s["coord"].alias("coord"), size.alias("length"), F.array(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("spans"))
         return F.transform(own, lambda s: F.when(s["length"] / size >= HALF, full(s)).otherwise(s))
 
-    def long(seps: Column) -> Column:
-        longest = F.array_max(F.transform(seps, lambda s: s["length"]))
-        kept = F.filter(seps, lambda s: (longest > 1e-6) & (s["length"] / longest >= 0.45))
-        return F.when(F.size(kept) > 0, kept).otherwise(seps)
-
-    h, v = long(whole(hs, vs)), long(whole(vs, hs))
+    longest = lambda seps: F.array_max(F.transform(seps, lambda s: s["length"]))
+    long = lambda seps, most: F.filter(seps, lambda s: (most > 1e-6) & (s["length"] / most >= 0.45))
+    some = lambda kept, seps: F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(seps))
+    t = tables.withColumns({"__h": whole(hs, vs), "__v": whole(vs, hs)})
+    t = t.withColumns({"__hmost": longest("__h"), "__vmost": longest("__v")})
+    t = t.withColumns({"__hlong": long("__h", F.col("__hmost")), "__vlong": long("__v", F.col("__vmost"))})
+    t = t.withColumns({"__h": some("__hlong", "__h"), "__v": some("__vlong", "__v")})
     drawn = lambda a, b: F.exists(a["spans"], lambda s: b["coord"].between(s["lo"] - SLACK, s["hi"] + SLACK)) & (covered(b["spans"], a["coord"] - SLACK, a["coord"] + SLACK) >= 0.01)
-    hits = F.aggregate(h, F.lit(0), lambda acc, a: acc + F.size(F.filter(v, lambda b: drawn(a, b))))
-    return F.when((F.size(hs) < 2) | (F.size(vs) < 2), 0.0).otherwise(hits / (F.size(h) * F.size(v)))
+    hits = F.aggregate("__h", F.lit(0), lambda acc, a: acc + F.size(F.filter("__v", lambda b: drawn(a, b))))
+    t = t.withColumn("confidence", F.when((F.size(hs) < 2) | (F.size(vs) < 2), 0.0).otherwise(hits / (F.size("__h") * F.size("__v"))))
+    return t.drop("__h", "__v", "__hmost", "__vmost", "__hlong", "__vlong")
 
 
 # ---- atoms that hang together
 
 
-def labels(n: Column, joined: Column) -> Column:
-    """Of ``n`` atoms the smallest that each hangs together with, by pairs ``a, b``: all tables of an Arrow batch at once,
-    by lowering the labels of a pair's atoms to the lower one, and each to its label's label, until none changes."""
+def _lowest() -> Callable:
+    """A function of ``n`` atoms and pairs of ``a`` and ``b`` that gives the smallest atom that each hangs together with: the
+    labels of a pair's atoms fall to the lower one, and each to its label's label, until none changes. Made on the spot,
+    so that workers get it with what calls it."""
 
-    def lowest(n: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+    def lowest(n: int, a, b):
         import numpy as np
 
-        size = np.maximum(n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
-        begin = np.concatenate(([0], np.cumsum(size)))
-        shift = np.repeat(begin[:-1], a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        a, b = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + shift for x in (a, b))
-        label, old = np.arange(begin[-1]), None
+        label, old = np.arange(n), None
         while old is None or (label != old).any():
             old, low = label, np.minimum(label[a], label[b])
             label = label.copy()
             np.minimum.at(label, old[a], low)
             np.minimum.at(label, old[b], low)
             label = label[label]
+        return label
+
+    return lowest
+
+
+def labels(n: Column, joined: Column) -> Column:
+    """Of ``n`` atoms the smallest that each hangs together with, by pairs ``a, b``: all tables of an Arrow batch at once."""
+    settled = _lowest()
+
+    def lowest(n: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        import numpy as np
+
+        size = np.maximum(n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        shift = np.repeat(begin[:-1], a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a, b = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + shift for x in (a, b))
+        label = settled(begin[-1], a, b)
         return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(label - np.repeat(begin[:-1], size), pa.int32()))
 
     # declared so that it is not moved into what explodes it
     return F.arrow_udf(lowest, "array<int>").asNondeterministic()(n, F.transform(joined, lambda p: p["a"]), F.transform(joined, lambda p: p["b"]))
 
 
-def _pairs(rows: Column, cols: Column, across: Callable, down: Callable) -> Column:
-    """Pairs of neighbouring atoms for which ``across(r, c)`` or ``down(r, c)`` holds, of the atom and the one to
-    its right or below it."""
-    place = lambda r, c: (r * cols + c).cast("int")
-    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    right = F.flatten(F.transform(upto(rows), lambda r: F.transform(F.filter(upto(cols - 1), lambda c: across(r, c)), lambda c: pair(place(r, c), place(r, c + 1)))))
-    below = F.flatten(F.transform(upto(rows - 1), lambda r: F.transform(F.filter(upto(cols), lambda c: down(r, c)), lambda c: pair(place(r, c), place(r + 1, c)))))
-    return F.concat(right, below)
+#: Tables whose edges are looked at at once, and what a group of atoms comes to.
+TABLES_AT_ONCE = 256
+RECTANGLES = "array<struct<rs:int,re:int,cs:int,ce:int>>"
+
+
+def rectangles(hs: Column, vs: Column, cover: float, owners: Column | None = None, height: Column | None = None, width: Column | None = None) -> Column:
+    """Groups of atoms between separators, as ranges of rows and columns in order of their first atom: a group that fills
+    its rectangle, and of any other group every atom. Neighbours hang together where the separator between them covers
+    less than ``cover`` of their edge. With ``owners`` (structs ``place, owner, line_owner`` of the atoms that have any) they do where
+    they have the same owner, down the page also the same ``line_owner``, unless a separator that spans ``STRONG`` of the table, ``height``
+    by ``width``, covers ``cover``."""
+
+    lowest = _lowest()
+
+    def seps(x: pa.Array):
+        import numpy as np
+
+        count = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = x.flatten()
+        spans = flat.field("spans")
+        ends = spans.flatten()
+        parts = spans.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = [a.to_numpy(zero_copy_only=False) for a in (flat.field("coord"), flat.field("length"), ends.field("lo"), ends.field("hi"))]
+        return count, parts, np.cumsum(parts) - parts, *values
+
+    def shares(sep, lo, hi, parts, first, los, his):
+        """Share of each edge, from ``lo`` to ``hi``, that its separator's spans cover; an empty edge is covered."""
+        import numpy as np
+
+        n = parts[sep]
+        edge = np.repeat(np.arange(len(sep)), n)
+        span = np.repeat(first[sep] - (np.cumsum(n) - n), n) + np.arange(len(edge))
+        inside = np.maximum(0.0, np.minimum(his[span], hi[edge]) - np.maximum(los[span], lo[edge]))
+        size = hi - lo
+        return np.where(size <= 1e-6, 1.0, np.bincount(edge, inside, len(sep)) / np.where(size <= 1e-6, 1.0, size))
+
+    def made(hs: pa.Array, vs: pa.Array, owned: list[pa.Array]):
+        import numpy as np
+
+        (nh, *h), (nv, *v) = seps(hs), seps(vs)
+        (hparts, hfirst, y, hlength, hlo, hhi), (vparts, vfirst, x, vlength, vlo, vhi) = h, v
+        rows, cols = np.maximum(nh - 1, 0), np.maximum(nv - 1, 0)
+        size, h0, v0 = rows * cols, np.cumsum(nh) - nh, np.cumsum(nv) - nv
+        base = np.cumsum(size) - size
+        table = np.repeat(np.arange(len(size)), size)
+        atom = np.arange(len(table))
+        r, c = np.divmod(atom - base[table], cols[table])
+        right, below = atom[c + 1 < cols[table]], atom[r + 1 < rows[table]]
+        t = table[right]
+        at, sep_right = h0[t] + r[right], v0[t] + c[right] + 1
+        share_right = shares(sep_right, y[at], y[at + 1], vparts, vfirst, vlo, vhi)
+        t = table[below]
+        at, sep_below = v0[t] + c[below], h0[t] + r[below] + 1
+        share_below = shares(sep_below, x[at], x[at + 1], hparts, hfirst, hlo, hhi)
+        next_right, next_below = right + 1, below + cols[table[below]]
+        if not owned:
+            across, down = share_right < cover, share_below < cover
+        else:
+            places, *ids, high, wide = owned
+            n = places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.repeat(base, n) + places.flatten().to_numpy(zero_copy_only=False)
+            high, wide = (np.maximum(z.fill_null(0.0).to_numpy(zero_copy_only=False), 1.0) for z in (high, wide))
+
+            def same(given: pa.Array, a, b):
+                flat = given.flatten()
+                own, known = np.zeros(len(atom), np.int64), np.zeros(len(atom), bool)
+                own[at], known[at] = flat.fill_null(0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+                return known[a] & known[b] & (own[a] == own[b])
+
+            across = same(ids[0], right, next_right) & ~((vlength[sep_right] / high[table[right]] >= STRONG) & (share_right >= cover))
+            down = (same(ids[0], below, next_below) | same(ids[1], below, next_below)) & ~((hlength[sep_below] / wide[table[below]] >= STRONG) & (share_below >= cover))
+        label = lowest(len(atom), np.concatenate((right[across], below[down])), np.concatenate((next_right[across], next_below[down])))
+        top, bottom, left, end = r.copy(), r.copy(), c.copy(), c.copy()
+        np.minimum.at(left, label, c)
+        np.maximum.at(bottom, label, r)
+        np.maximum.at(end, label, c)
+        whole = (np.bincount(label, minlength=len(atom)) == (bottom - top + 1) * (end - left + 1))[label]
+        first = np.flatnonzero(~whole | (label == atom))
+        kept = [np.where(whole, g, o)[first] for g, o in ((top, r), (bottom, r), (left, c), (end, c))]
+        return np.bincount(table[first], minlength=len(size)), kept
+
+    def settled(hs: pa.Array, vs: pa.Array, *owned: pa.Array) -> pa.Array:
+        import numpy as np
+
+        counts, ranges = [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(4)]
+        for k in range(0, len(hs), TABLES_AT_ONCE):
+            hs_, vs_, *owned_ = (a.slice(k, TABLES_AT_ONCE) for a in (hs, vs, *owned))
+            n, kept = made(hs_, vs_, owned_)
+            counts.append(n)
+            for out, values in zip(ranges, kept, strict=True):
+                out.append(values)
+        ends = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        columns = [pa.array(np.concatenate(r), pa.int32()) for r in ranges]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["rs", "re", "cs", "ce"]))
+
+    def of_lines(hs: pa.Array, vs: pa.Array) -> pa.Array:
+        return settled(hs, vs)
+
+    def of_owners(hs: pa.Array, vs: pa.Array, place: pa.Array, owner: pa.Array, line_owner: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
+        return settled(hs, vs, place, owner, line_owner, height, width)
+
+    # declared so that it is not moved into what explodes it
+    if owners is None:
+        return F.arrow_udf(of_lines, RECTANGLES).asNondeterministic()(hs, vs)
+    # a field of an array of structs is the array of that field
+    return F.arrow_udf(of_owners, RECTANGLES).asNondeterministic()(hs, vs, owners["place"], owners["owner"], owners["line_owner"], height, width)
 
 
 def cells_of(grids: DataFrame) -> DataFrame:
-    """Cells of ``grids(table_id, xs, ys, labels)``, none where labels are null: a group of atoms that fills its rectangle is one cell, of any
-    other group every atom. Numbered from 1 by row, then column."""
-    cols = F.size("xs") - 1
-    atoms = grids.select("table_id", "xs", "ys", cols.alias("cols"), F.posexplode_outer("labels").alias("place", "label")).where("place IS NOT NULL")
-    row, col = F.floor(F.col("place") / F.col("cols")).cast("int"), (F.col("place") % F.col("cols")).cast("int")
-    groups = atoms.groupBy("table_id", "label").agg(F.first("xs").alias("xs"), F.first("ys").alias("ys"), F.min(row).alias("rs"), F.max(row).alias("re"), F.min(col).alias("cs"), F.max(col).alias("ce"), F.collect_list(F.struct(row.alias("r"), col.alias("c"))).alias("atoms"))
-    whole = F.array(F.struct("rs", "re", "cs", "ce"))
-    each = F.transform("atoms", lambda a: F.struct(a["r"].alias("rs"), a["r"].alias("re"), a["c"].alias("cs"), a["c"].alias("ce")))
-    fills = F.size("atoms") == (F.col("re") - F.col("rs") + 1) * (F.col("ce") - F.col("cs") + 1)
-    made = groups.select("table_id", "xs", "ys", F.explode_outer(F.when(fills, whole).otherwise(each)).alias("g"))
+    """Cells of ``grids(table_id, xs, ys, groups)``, one for each range of rows and columns; numbered from 1."""
 
     def edges(at: str, lo: str, hi: str) -> tuple[Column, Column]:
         a, b = F.get(at, F.col(f"g.{lo}")), F.get(at, F.col(f"g.{hi}") + 1)
@@ -172,29 +281,23 @@ def cells_of(grids: DataFrame) -> DataFrame:
         return F.when(room, a + INSET).otherwise(a), F.when(room, b - INSET).otherwise(b)
 
     (x1, x2), (y1, y2) = edges("xs", "cs", "ce"), edges("ys", "rs", "re")
-    number = F.row_number().over(Window.partitionBy("table_id").orderBy("row_start", "col_start")).cast("int")
-    out = made.select("table_id", F.col("g.rs").alias("row_start"), F.col("g.re").alias("row_end"), F.col("g.cs").alias("col_start"), F.col("g.ce").alias("col_end"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-    return out.select("table_id", number.alias("cell_id"), "row_start", "row_end", "col_start", "col_end", "x1", "y1", "x2", "y2")
+    made = grids.select("table_id", "xs", "ys", F.posexplode_outer("groups").alias("place", "g")).where("place IS NOT NULL")
+    return made.select("table_id", (F.col("place") + 1).alias("cell_id"), F.col("g.rs").alias("row_start"), F.col("g.re").alias("row_end"), F.col("g.cs").alias("col_start"), F.col("g.ce").alias("col_end"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
 
 
 def _coords(seps: str) -> Column:
     return F.transform(seps, lambda s: s["coord"])
 
 
-def line_labels(grids: DataFrame, cover: float = COVER) -> DataFrame:
-    """:func:`line_grids` with ``xs, ys, labels``: neighbours hang together where the separator between them
+def line_groups(grids: DataFrame, cover: float = COVER) -> DataFrame:
+    """:func:`line_grids` with ``xs, ys, groups``: neighbours hang together where the separator between them
     covers less than ``cover`` of their edge."""
-    g = grids.withColumns({"xs": _coords("vs"), "ys": _coords("hs")})
-    across = lambda r, c: covered(F.get("vs", c + 1)["spans"], F.get("ys", r), F.get("ys", r + 1)) < cover
-    down = lambda r, c: covered(F.get("hs", r + 1)["spans"], F.get("xs", c), F.get("xs", c + 1)) < cover
-    g = g.withColumns({"rows": F.size("ys") - 1, "cols": F.size("xs") - 1})
-    g = g.withColumn("pairs", _pairs(F.col("rows"), F.col("cols"), across, down)).withColumn("made", labels(F.col("rows") * F.col("cols"), F.col("pairs")))
-    return g.withColumn("labels", F.when((F.col("rows") > 0) & (F.col("cols") > 0), F.col("made"))).drop("made", "pairs")
+    return grids.withColumns({"xs": _coords("vs"), "ys": _coords("hs"), "groups": rectangles(F.col("hs"), F.col("vs"), cover)})
 
 
 def line_cells(rules: DataFrame, cover: float = COVER) -> DataFrame:
     """Cells between the ruling lines of every table; where no line parts atoms, they are one cell."""
-    return cells_of(line_labels(line_grids(rules), cover))
+    return cells_of(line_groups(line_grids(rules), cover))
 
 
 # ---- corridors
@@ -258,6 +361,18 @@ def corridors(rules: DataFrame, boxes: DataFrame) -> DataFrame:
 # ---- fusion
 
 
+def owners_of(atoms: DataFrame, cells: DataFrame, least: float = 0.35) -> DataFrame:
+    """``table_id, place, owner, line_owner``: of each atom the cell found that covers the largest share of it, ``least`` or more, and
+    the smallest cell between lines that holds its centre, of equal ones the lowest id; from one join on table and band."""
+    a, c = banded(atoms, "a", "y1", "y2"), banded(cells, "c", "y1", "y2")
+    share = intersection("a", "c") / area("a")
+    owns, holds = F.col("c.found") & (share >= least), ~F.col("c.found") & holds_centre("c", "a")
+    hits = a.join(c, (F.col("a.table_id") == F.col("c.table_id")) & (F.col("a.band") == F.col("c.band")) & (owns | holds))
+    owner = F.max_by(F.when(owns, F.col("c.cell_id")), F.when(owns, F.struct(share, -F.col("c.cell_id"))))
+    line_owner = F.min_by(F.when(holds, F.col("c.cell_id")), F.when(holds, F.struct(area("c"), F.col("c.cell_id"))))
+    return hits.groupBy("a.table_id", "a.place").agg(owner.alias("owner"), line_owner.alias("line_owner"))
+
+
 def fused_cells(cells: DataFrame, rules: DataFrame, least_confidence: float = 0.45, more_cols: int = 1, cover: float = 0.85) -> DataFrame:
     """The grid of the lines with the merges of the structure found: an axis takes the lines' separators if they
     are no fewer than the structure's, else the structure's, which part nothing. Neighbouring atoms
@@ -265,40 +380,26 @@ def fused_cells(cells: DataFrame, rules: DataFrame, least_confidence: float = 0.
     the page also those of the same cell between lines, unless a strong separator covers ``cover`` of
     their edge. Tables without lines, of little confidence, or that gain nothing stay as they are."""
     cells = cut(cells, "cells")
-    axes = full_separators(cells).groupBy("table_id").agg(*(F.max(F.when(F.col("axis") == a, F.col("seps"))).alias(f"{a}_seps") for a in ("row", "col")))
+    axes = both_axes(cells).select("table_id", F.col("rows").alias("row_seps"), F.col("cols").alias("col_seps"))
     size = cells.groupBy("table_id").agg((F.max("row_end") + 1).alias("found_rows"), (F.max("col_end") + 1).alias("found_cols"))
-    lined = line_labels(line_grids(rules)).withColumn("between", F.struct("xs", "ys", "labels"))
-    t = lined.select("table_id", "hs", "vs", "x1", "y1", "x2", "y2", "confidence", "between", (F.col("cols") >= 2).alias("lined")).join(axes, "table_id").join(size, "table_id")
+    lined = line_groups(line_grids(rules)).withColumn("between", F.struct("xs", "ys", "groups"))
+    t = lined.select("table_id", "hs", "vs", "x1", "y1", "x2", "y2", "confidence", "between", (F.size("xs") > 2).alias("lined")).join(axes, "table_id").join(size, "table_id")
     plain = lambda c: F.transform(c, lambda v: F.struct(v.alias("coord"), F.lit(0.0).alias("length"), F.array().cast("array<struct<lo:double,hi:double>>").alias("spans")))
     t = t.withColumn("hs", F.when(F.size("hs") >= F.greatest(F.size("row_seps"), F.lit(3)), F.col("hs")).otherwise(plain("row_seps")))
     t = t.withColumn("vs", F.when(F.size("vs") >= F.size("col_seps"), F.col("vs")).otherwise(plain("col_seps")))
     t = t.withColumns({"xs": _coords("vs"), "ys": _coords("hs")}).withColumns({"rows": F.size("ys") - 1, "cols": F.size("xs") - 1})
     gains = (F.col("cols") >= F.col("found_cols") + more_cols) | (F.col("rows") >= F.col("found_rows"))
-    t = t.withColumn("fits", F.col("lined") & (F.col("rows") >= 1) & (F.col("cols") >= 2) & (F.col("confidence") >= least_confidence) & gains)
-    t = cut(t.where("fits").drop("row_seps", "col_seps"), "fits")
-
-    place = F.posexplode_outer(F.when(F.col("fits"), F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1))).alias("place", "p")
-    atoms = t.select("table_id", "xs", "ys", "cols", place).where("place IS NOT NULL").withColumns({"r": F.floor(F.col("p") / F.col("cols")).cast("int"), "c": (F.col("p") % F.col("cols")).cast("int")})
-    atoms = atoms.select("table_id", "place", "r", "c", F.get("xs", F.col("c")).alias("x1"), F.get("ys", F.col("r")).alias("y1"), F.get("xs", F.col("c") + 1).alias("x2"), F.get("ys", F.col("r") + 1).alias("y2"))
-    owner = fusion_owner(atoms, cells).select("table_id", "r", "c", F.col("cell_id").alias("owner"))
-    between = by_centre(atoms.withColumnRenamed("place", "box_id"), cells_of(t.select("table_id", "between.*"))).select("table_id", F.col("box_id").alias("place"), F.col("cell_id").alias("line_owner"))
-    owned = atoms.select("table_id", "place", "r", "c").join(owner, ["table_id", "r", "c"], "left").join(between, ["table_id", "place"], "left")
-    lists = owned.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "owner", "line_owner"))), lambda a: F.struct(a["owner"].alias("owner"), a["line_owner"].alias("line_owner"))).alias("owners"))
-    t = t.join(lists, "table_id")
-    strong = lambda sep, size, lo, hi: (sep["length"] / F.greatest(size, F.lit(1.0)) >= STRONG) & (covered(sep["spans"], lo, hi) >= cover)
-    own = lambda r, c: F.get("owners", (r * F.col("cols") + c).cast("int"))
-    same = lambda a, b: F.coalesce(a == b, F.lit(False))
-
-    def across(r, c):
-        parted = strong(F.get("vs", c + 1), F.col("y2") - F.col("y1"), F.get("ys", r), F.get("ys", r + 1))
-        return same(own(r, c)["owner"], own(r, c + 1)["owner"]) & ~parted
-
-    def down(r, c):
-        parted = strong(F.get("hs", r + 1), F.col("x2") - F.col("x1"), F.get("xs", c), F.get("xs", c + 1))
-        return (same(own(r, c)["owner"], own(r + 1, c)["owner"]) | same(own(r, c)["line_owner"], own(r + 1, c)["line_owner"])) & ~parted
-
-    t = t.withColumn("pairs", _pairs(F.col("rows"), F.col("cols"), across, down)).withColumn("labels", labels(F.col("rows") * F.col("cols"), F.col("pairs")))
-    made = cut(cells_of(t.select("table_id", "xs", "ys", "labels")), "made")
+    fits = F.col("lined") & (F.col("rows") >= 1) & (F.col("cols") >= 2) & (F.col("confidence") >= least_confidence) & gains
+    t = cut(t.where(fits).drop("row_seps", "col_seps"), "fits")
+
+    atoms = t.select("table_id", "xs", "ys", "cols", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)).alias("place")).withColumns({"r": F.floor(F.col("place") / F.col("cols")).cast("int"), "c": (F.col("place") % F.col("cols")).cast("int")})
+    atoms = atoms.select("table_id", "place", F.get("xs", F.col("c")).alias("x1"), F.get("ys", F.col("r")).alias("y1"), F.get("xs", F.col("c") + 1).alias("x2"), F.get("ys", F.col("r") + 1).alias("y2"))
+    rect = ["table_id", "cell_id", "x1", "y1", "x2", "y2"]
+    both = cells.select(*rect, F.lit(True).alias("found")).unionByName(cells_of(t.select("table_id", "between.*")).select(*rect, F.lit(False).alias("found"))).repartition("table_id")
+    lists = owners_of(atoms, both).groupBy("table_id").agg(F.collect_list(F.struct("place", "owner", "line_owner")).alias("owners"))
+    t = t.join(lists, "table_id", "left")
+    t = t.withColumn("groups", rectangles(F.col("hs"), F.col("vs"), cover, F.col("owners"), F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")))
+    made = cut(cells_of(t.select("table_id", "xs", "ys", "groups")), "made")
     rest = cells.select(*made.columns).join(made.select("table_id").distinct(), "table_id", "left_anti")
     return made.unionByName(rest)
 
@@ -315,7 +416,7 @@ def evidence(cells: DataFrame, boxes: DataFrame, rules: DataFrame, near: float =
 
 
 def _evidence(cells: DataFrame, boxes: DataFrame, rules: DataFrame, near: float = 6.0, least: float = 0.30) -> DataFrame:
-    seps = full_separators(cells).groupBy("table_id").agg(*(F.max(F.when(F.col("axis") == a, F.col("seps"))).alias(f"{a}_seps") for a in ("row", "col")))
+    seps = both_axes(cells).select("table_id", F.col("rows").alias("row_seps"), F.col("cols").alias("col_seps"))
     bounds = cells.groupBy("table_id").agg(F.min("x1").alias("l"), F.min("y1").alias("t"), F.max("x2").alias("r"), F.max("y2").alias("b"))
     g = line_grids(rules).select("table_id", "hs", "vs", F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0)).alias("width"), F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0)).alias("height"))
     bare = no_spaces(F.col("text"))

@@ -5,6 +5,7 @@ from fractions import Fraction
 import pytest
 
 from tessera.operators import render
+from tessera.operators.sequences import both_axes
 from tessera.plans import catalog
 from tessera.sources.derived import view
 from tessera.sources.staging import cut
@@ -52,3 +53,19 @@ def test_pages_come_in_small_batches(spark):
         assert int(spark.conf.get(name)) == render.BATCH_PAGES
     finally:
         spark.conf.set(name, before)
+
+
+def test_line_cells_move_rows_once(spark, sf_dir, without_broadcasts):
+    assert exchanges(catalog.queries()["line_cells"](spark, sf_dir)) == 0
+
+
+def test_edges_of_both_axes_in_one_pass(spark, sf_dir, without_broadcasts):
+    axes = both_axes(view(spark, sf_dir, "v_cells"))
+    plan = axes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and exchanges(axes) == 0
+
+
+def test_boxes_and_cells_are_gone_through_once_each(spark, sf_dir, without_broadcasts):
+    rows = catalog.queries()["row_set_intersection"](spark, sf_dir)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and exchanges(rows) == 0
