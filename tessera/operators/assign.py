@@ -122,9 +122,15 @@ def by_weighted_distance(rest: DataFrame, taken: DataFrame, cells: DataFrame) ->
 
 
 def assigned(boxes: DataFrame, cells: DataFrame) -> DataFrame:
-    """Every box with its cell and the method: centre, overlap, nearest, or free text without a cell. What
-    the one join of boxes and cells found is written, since three steps go on from it."""
-    both = cut(in_turn(boxes).join(matched(boxes, cells), KEY, "left"), "matched")
+    """Every box with its cell and the method: centre, overlap, nearest, or free text without a cell. Places of boxes and
+    cells are written as one table, for which both are dealt at once; what the one join of them found is written too,
+    since three steps go on from it."""
+    rect, none = ["x1", "y1", "x2", "y2"], F.lit(None)
+    own = in_turn(boxes).select(*KEY, none.cast(cells.schema["cell_id"].dataType).alias("cell_id"), "turn", *rect)
+    theirs = cells.select("table_id", none.cast(boxes.schema["box_id"].dataType).alias("box_id"), "cell_id", none.cast("int").alias("turn"), *rect)
+    places = cut(own.unionByName(theirs), "places")
+    boxes, cells = places.where("turn IS NOT NULL").drop("cell_id"), places.where("turn IS NULL").select("table_id", "cell_id", *rect)
+    both = cut(boxes.join(matched(boxes, cells), KEY, "left"), "matched")
     met = F.col("centre").isNotNull() | F.col("overlap").isNotNull()
     placed, rest = both.where(met), both.where(~met)
     taken = placed.select("table_id", "turn", F.coalesce("centre", "overlap").alias("cell_id"))

@@ -161,6 +161,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = text.replace("unnest(generate_series(", "explode(sequence(").replace("{", "{{").replace("}", "}}")
     # the number of a table is a column of ``dealt``, and a line of an order lies in one table
     text = text.replace(f"{_TABLE} AS table_id, ", "").replace(f"PARTITION BY {_TABLE}", "PARTITION BY table_id").replace("PARTITION BY l_orderkey", "PARTITION BY table_id, l_orderkey")
+    # a further column for rows that tie in all others: so all relations of lines read the same columns, and share one exchange
+    text = text.replace("l_extendedprice, l_shipdate)", "l_extendedprice, l_shipdate, l_returnflag)")
     # scores are thousandths, so their mean is exact, and the same in any order of rows
     text = text.replace("avg(score)", "sum(CAST(round(score*1000) AS BIGINT))/(1000*count(*))")
     frames = {}
