@@ -20,6 +20,11 @@ def _light(cells, boxes):
     return passes.applied(passes.LIGHT, cut(cells, "cells"), cut(boxes, "boxes"))
 
 
+def _after_assignment(cells):
+    cells = cut(cells, "cells")
+    return passes.applied(passes.FILLED, cells, cells)
+
+
 def _rendered(cells, boxes):
     grid = passes.applied(passes.RENDER, _light(cells, boxes), boxes)
     return render.html_tables(grid)
@@ -83,7 +88,7 @@ TABLE = {
     "clip_narrow_labels": (passes.narrow_labels_clipped, (CELLS,), f", ones AS (SELECT table_id, median(x2-x1) AS one FROM v_cells WHERE col_start = col_end AND x2-x1 > 1e-6 GROUP BY 1) SELECT {ROOM.format('col_start, CASE WHEN row_start = row_end AND col_start <= 3 AND x2-x1 < one*1.35 THEN col_start ELSE col_end END AS col_end')} FROM v_cells LEFT JOIN ones USING (table_id)"),
     "refine_light": (_light, BOTH, None),
     "refine_escalated": (passes.refined, BOTH, None),
-    "post_assignment": (lambda c: passes.applied(passes.FILLED, c, c), (CELLS,), None),
+    "post_assignment": (_after_assignment, (CELLS,), None),
     "split_rows": (passes.rows_split, BOTH, None),
     "strip_captions": (passes.captions_stripped, (CELLS,), r" SELECT * REPLACE (CASE WHEN regexp_matches(trim(text), '^\[?[ \t]*表[ \t]*[0-9\-ー－]+[ \t]*\]?$') THEN '' ELSE text END AS text) FROM v_cells"),
     "render_chain": (_rendered, BOTH, None),

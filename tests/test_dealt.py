@@ -3,10 +3,11 @@
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import render
 from tessera.operators.sequences import both_axes
-from tessera.plans import catalog
+from tessera.plans import catalog, repairs
 from tessera.sources.derived import view
 from tessera.sources.staging import cut
 
@@ -28,6 +29,20 @@ def test_no_shuffle_above_the_relations(spark, sf_dir, without_broadcasts, name)
     assert exchanges(catalog.queries()[name](spark, sf_dir)) == 0
 
 
+def test_cells_boxes_and_rules_share_an_exchange(spark, sf_dir):
+    ids = [view(spark, sf_dir, name).groupBy("table_id").agg(F.max(key).alias(key), F.max(more)) for name, key, more in (("v_cells", "cell_id", "text"), ("v_boxes", "box_id", "text"), ("v_rules", "rule_id", "coord"))]
+    both = ids[0].join(ids[1], "table_id").join(ids[2], "table_id")
+    both.collect()
+    assert both._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 2
+
+
+def test_a_chain_deals_its_cells_once(spark, sf_dir, monkeypatch):
+    chains = []
+    monkeypatch.setattr(repairs.passes, "applied", lambda chain, cells, boxes: chains.append((cells, boxes)) or cells)
+    repairs.QUERIES["post_assignment"][0](view(spark, sf_dir, "v_cells"))
+    assert all(exchanges(rows) == 0 and "REPARTITION" not in rows._jdf.queryExecution().executedPlan().toString() for rows in chains[0])
+
+
 def test_written_rows_meet_by_table(spark, sf_dir, without_broadcasts):
     cells = cut(view(spark, sf_dir, "v_cells"), "dealt")
     sums = cells.groupBy("table_id", "row_start").count()
