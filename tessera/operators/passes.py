@@ -11,38 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import area, intersection, iou
+from tessera.functions.geometry import area
 from tessera.functions.labels import are_labels
 from tessera.functions.text import blank, is_caption, is_fragment, is_row_index
 from tessera.sources.staging import cut, dropped
 
-from .assign import banded
 from .decisions import escalated
 from .grid import amounts_merged, conflict_ratio, dash_applied, rows_unmerged
 from .lines import fused_cells
+from .overlaps import LOGIC, deduped
 from .placement import overlaps_resolved
 from .sequences import full_separators
 
 Pass = Callable[[DataFrame, DataFrame], DataFrame]
 CELL = ["table_id", "cell_id"]
-LOGIC = ["row_start", "row_end", "col_start", "col_end"]
 INSET = 0.5
 #: Of an axis: its edges in a rectangle.
 EDGES = {"row": ("y1", "y2"), "col": ("x1", "x2")}
 
 
-def _pairs(cells: DataFrame, on: Column) -> DataFrame:
-    a, b = banded(cells, "a", "y1", "y2"), banded(cells, "b", "y1", "y2")
-    near = (F.col("a.table_id") == F.col("b.table_id")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.cell_id") != F.col("b.cell_id"))
-    return a.join(b, near & on)
-
-
-def _without(cells: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Cells that are not in the arrays ``gone`` of their tables."""
-    joined = cells.join(dropped, "table_id", "left")
-    return joined.where(F.col("gone").isNull() | ~F.array_contains("gone", F.col("order"))).drop("gone")
-
-
 def one_per_rectangle(cells: DataFrame) -> DataFrame:
     """Of cells with the same logical rectangle the largest, then the first; ``order`` is the place of
     the first of them."""
@@ -51,68 +38,6 @@ def one_per_rectangle(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"order": first, "__k": F.row_number().over(by_size)}).where("__k = 1").drop("__k")
 
 
-def without_overlaps(cells: DataFrame, least: float = 0.85) -> DataFrame:
-    """Of two cells that overlap almost fully the smaller goes, of equal ones the later. Pairs are taken
-    in order, and a cell that has gone takes none with it."""
-    pairs = _pairs(cells, (F.col("a.order") < F.col("b.order")) & (intersection("a", "b") > 0) & (iou("a", "b") >= least))
-    lists = pairs.select("a.table_id", F.struct(F.col("a.order").alias("i"), F.col("b.order").alias("j"), (area("a") >= area("b")).alias("first")).alias("p")).groupBy("table_id").agg(F.array_sort(F.collect_set("p")).alias("pairs"))
-
-    def step(gone, p):
-        settled = F.array_contains(gone, p["i"]) | F.array_contains(gone, p["j"])
-        return F.when(settled, gone).otherwise(F.array_append(gone, F.when(p["first"], p["j"]).otherwise(p["i"])))
-
-    return _without(cells, lists.select("table_id", F.aggregate("pairs", F.array().cast("array<int>"), step).alias("gone")))
-
-
-def without_containers(cells: DataFrame) -> DataFrame:
-    """A cell goes that two smaller ones or more, each nine tenths inside it, cover by more than half.
-    Cells are taken in order, and those that have gone cover nothing. Tables of one or two cells stay."""
-    inside = (area("b") > 0) & (intersection("a", "b") / area("b") >= 0.90) & (area("b") < area("a") * 0.95)
-    pairs = _pairs(cells, inside).select("a.table_id", F.col("a.order").alias("i"), area("a").alias("own"), F.struct(F.col("b.order").alias("j"), area("b").alias("part")).alias("kid"))
-    kids = pairs.groupBy("table_id", "i", "own").agg(F.array_sort(F.collect_set("kid")).alias("kids"))
-    lists = kids.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("i", "own", "kids"))).alias("parents"))
-    many = cells.groupBy("table_id").agg(F.count("*").alias("n")).where("n >= 3").select("table_id")
-
-    def step(gone, p):
-        left = F.filter(p["kids"], lambda k: ~F.array_contains(gone, k["j"]))
-        covered = F.aggregate(left, F.lit(0.0), lambda acc, k: acc + k["part"])
-        return F.when((F.size(left) >= 2) & (covered >= 0.55 * p["own"]), F.array_append(gone, p["i"])).otherwise(gone)
-
-    return _without(cells, lists.join(many, "table_id", "left_semi").select("table_id", F.aggregate("parents", F.array().cast("array<int>"), step).alias("gone")))
-
-
-def without_fragments(cells: DataFrame) -> DataFrame:
-    """A cell with no more than a fragment of text goes if it lies inside another one, in the grid and, by
-    nine tenths, on the page. Cells are taken in order; those that have gone hold none."""
-    in_grid = (F.col("a.row_start") >= F.col("b.row_start")) & (F.col("a.row_end") <= F.col("b.row_end")) & (F.col("a.col_start") >= F.col("b.col_start")) & (F.col("a.col_end") <= F.col("b.col_end"))
-    equal = F.lit(True)
-    for c in LOGIC:
-        equal = equal & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    on = is_fragment(F.col("a.text")) & (area("a") > 0) & in_grid & ~equal & (intersection("a", "b") / area("a") >= 0.90)
-    pairs = _pairs(cells, on).groupBy("a.table_id", F.col("a.order").alias("j")).agg(F.collect_set("b.order").alias("holders"))
-    flat = cells.where(is_fragment(F.col("text")) & (area() <= 0)).select("table_id", F.col("order").alias("j"), F.array().cast("array<int>").alias("holders"))
-    lists = pairs.unionByName(flat).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("j", "holders"))).alias("small"))
-
-    def step(gone, p):
-        held = (F.size(p["holders"]) == 0) | F.exists(p["holders"], lambda h: ~F.array_contains(gone, h))
-        return F.when(held, F.array_append(gone, p["j"])).otherwise(gone)
-
-    several = cells.groupBy("table_id").agg(F.count("*").alias("n")).where("n >= 2").select("table_id")
-    return _without(cells, lists.join(several, "table_id", "left_semi").select("table_id", F.aggregate("small", F.array().cast("array<int>"), step).alias("gone")))
-
-
-def deduped(cells: DataFrame) -> DataFrame:
-    """Cells without duplicates, containers and contained fragments, in this order. Every step pairs
-    what the one before left, which is written so that it is made once."""
-    old: list[str] = []
-    for step in (one_per_rectangle, without_overlaps, without_containers):
-        new: list[str] = []
-        cells = cut(step(cells), step.__name__, new)
-        dropped(cells.sparkSession, old)
-        old = new
-    return without_fragments(cells).drop("order")
-
-
 def _strips(cells: DataFrame, boxes: DataFrame, axis: str) -> DataFrame:
     """A row for each row or column of a table with its edges and the texts of boxes centred in it."""
     lo, hi = EDGES[axis]
