@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tessera.operators import passes
 from tessera.sources.derived import view
 from tests.test_passes import CELL, plain_dedupe
@@ -40,3 +42,29 @@ def test_deduped_cells_of_any_shape(spark):
         got[r["table_id"]].add(r["cell_id"])
     assert got.pop(60) == {0, 1, 2}
     assert dict(got) == {t: kept for t, c in own.items() if (kept := plain_dedupe(c))} and sum(map(len, got.values())) < len(rows)
+
+
+def test_chains_write_what_is_read_again(spark, sf_dir, monkeypatch):
+    """The aggressive chain goes on from the light grid, and passes that read their cells once get them unwritten."""
+    tags = []
+    write = passes.cut
+    monkeypatch.setattr(passes, "cut", lambda rows, tag, paths=None: tags.append(tag) or write(rows, tag, paths))
+    few = [view(spark, sf_dir, name).where("table_id < 8") for name in ("v_cells", "v_boxes")]
+    passes.refined(*few).count()
+    assert tags.count("ghost_columns") == 1 and "narrow_labels_clipped" not in tags and len(tags) <= 12
+
+
+def test_normalised_text_is_made_once(spark):
+    """Steps that others ask for several times do not multiply in the plan."""
+    from tessera.functions.text import normalised
+
+    made = spark.createDataFrame([("5A",), (None,), ("A+12",), ("ER828",), ("--",), ("111-2",), ("+0",)], "text string").select(normalised(F.col("text")).alias("t"))
+    assert [r["t"] for r in made.collect()] == ["5\nA", None, "12\nA+", "jER828", "-", "iii-2", "0\nA+"]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 12
+
+
+def test_greedy_suppression_pairs_no_boxes(spark, sf_dir):
+    from tessera.operators import assign
+
+    boxes = view(spark, sf_dir, "v_boxes")
+    assert "Join" not in assign.suppressed(boxes)._jdf.queryExecution().executedPlan().toString()
