@@ -363,8 +363,9 @@ def corridors(rules: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def owners_of(atoms: DataFrame, cells: DataFrame, least: float = 0.35) -> DataFrame:
     """``table_id, place, owner, line_owner``: of each atom the cell found that covers the largest share of it, ``least`` or more, and
-    the smallest cell between lines that holds its centre, of equal ones the lowest id; from one join on table and band."""
-    a, c = banded(atoms, "a", "y1", "y2"), banded(cells, "c", "y1", "y2")
+    the smallest cell between lines that holds its centre, of equal ones the lowest id; from one join on table and band. The
+    hint keeps atoms from being broadcast: the optimizer takes what is exploded to be as small as the arrays it came from."""
+    a, c = banded(atoms, "a", "y1", "y2"), banded(cells, "c", "y1", "y2").hint("merge")
     share = intersection("a", "c") / area("a")
     owns, holds = F.col("c.found") & (share >= least), ~F.col("c.found") & holds_centre("c", "a")
     hits = a.join(c, (F.col("a.table_id") == F.col("c.table_id")) & (F.col("a.band") == F.col("c.band")) & (owns | holds))
@@ -378,10 +379,11 @@ def fused_cells(cells: DataFrame, rules: DataFrame, least_confidence: float = 0.
     are no fewer than the structure's, else the structure's, which part nothing. Neighbouring atoms
     of the same structure cell (the one that covers the largest share of each, a third or more) become one, down
     the page also those of the same cell between lines, unless a strong separator covers ``cover`` of
-    their edge. Tables without lines, of little confidence, or that gain nothing stay as they are."""
+    their edge. Tables without lines, of little confidence, or that gain nothing stay as they are. All joins are of sorted
+    tables, as they lie: arrays are much larger than the files that the optimizer goes by, and would fill the driver if broadcast."""
     cells = cut(cells, "cells")
-    axes = both_axes(cells).select("table_id", F.col("rows").alias("row_seps"), F.col("cols").alias("col_seps"))
-    size = cells.groupBy("table_id").agg((F.max("row_end") + 1).alias("found_rows"), (F.max("col_end") + 1).alias("found_cols"))
+    axes = both_axes(cells).select("table_id", F.col("rows").alias("row_seps"), F.col("cols").alias("col_seps")).hint("merge")
+    size = cells.groupBy("table_id").agg((F.max("row_end") + 1).alias("found_rows"), (F.max("col_end") + 1).alias("found_cols")).hint("merge")
     lined = line_groups(line_grids(rules)).withColumn("between", F.struct("xs", "ys", "groups"))
     t = lined.select("table_id", "hs", "vs", "x1", "y1", "x2", "y2", "confidence", "between", (F.size("xs") > 2).alias("lined")).join(axes, "table_id").join(size, "table_id")
     plain = lambda c: F.transform(c, lambda v: F.struct(v.alias("coord"), F.lit(0.0).alias("length"), F.array().cast("array<struct<lo:double,hi:double>>").alias("spans")))
@@ -396,11 +398,11 @@ def fused_cells(cells: DataFrame, rules: DataFrame, least_confidence: float = 0.
     atoms = atoms.select("table_id", "place", F.get("xs", F.col("c")).alias("x1"), F.get("ys", F.col("r")).alias("y1"), F.get("xs", F.col("c") + 1).alias("x2"), F.get("ys", F.col("r") + 1).alias("y2"))
     rect = ["table_id", "cell_id", "x1", "y1", "x2", "y2"]
     both = cells.select(*rect, F.lit(True).alias("found")).unionByName(cells_of(t.select("table_id", "between.*")).select(*rect, F.lit(False).alias("found"))).repartition("table_id")
-    lists = owners_of(atoms, both).groupBy("table_id").agg(F.collect_list(F.struct("place", "owner", "line_owner")).alias("owners"))
+    lists = owners_of(atoms, both).groupBy("table_id").agg(F.collect_list(F.struct("place", "owner", "line_owner")).alias("owners")).hint("merge")
     t = t.join(lists, "table_id", "left")
     t = t.withColumn("groups", rectangles(F.col("hs"), F.col("vs"), cover, F.col("owners"), F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")))
     made = cut(cells_of(t.select("table_id", "xs", "ys", "groups")), "made")
-    rest = cells.select(*made.columns).join(made.select("table_id").distinct(), "table_id", "left_anti")
+    rest = cells.select(*made.columns).join(made.select("table_id").distinct().hint("merge"), "table_id", "left_anti")
     return made.unionByName(rest)
 
 
