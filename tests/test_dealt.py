@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import render
 from tessera.operators.sequences import both_axes
-from tessera.plans import catalog, repairs
+from tessera.plans import catalog, repairs, run
 from tessera.sources.derived import view
 from tessera.sources.staging import cut
 
@@ -84,3 +84,11 @@ def test_boxes_and_cells_are_gone_through_once_each(spark, sf_dir, without_broad
     rows = catalog.queries()["row_set_intersection"](spark, sf_dir)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and exchanges(rows) == 0
+
+
+def optimized(rows) -> str:
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_text_of_boxes_is_put_right_once(spark, sf_dir):
+    assert optimized(run.cleaned(view(spark, sf_dir, "v_boxes"))).count("(?i)cm") == 1
